@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .exact_dedup import exact_dedup
+from .langid import identify
+from .pii import BASE_KINDS, joined, pii_spans
+from .toxicity import toxicity
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +22,25 @@ k as (select *, row_number() over (partition by s order by n desc, doc_id) as r,
 select doc_id, k as keep_id, c as group_size, r = 1 as kept, s as text_sha256 from k
 """
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_spans(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(F.transform(base, lambda s: s["kind"]), (lambda k: lambda x: x == k)(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(shared.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", (shared.id_crc(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity(docs, shared.read(spark, sf_dir, "labels"))
+    return found.select("doc_id", (shared.id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_pii": op1_pii, "op4_language_id": op4_language_id, "op7_exact_dedup": op7_exact_dedup, "op10_toxicity": op10_toxicity}
 SQL = {"op7_exact_dedup": OP7_SQL}
