@@ -9,6 +9,9 @@ from . import shared
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .pii import BASE_KINDS, joined, pii_spans
+from .packing import pack, token_pieces
+from .token_files import read_tokens, write_tokens
+from .tokens import tokenizer_file
 from .toxicity import toxicity
 
 
@@ -42,5 +45,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (shared.id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_language_id": op4_language_id, "op7_exact_dedup": op7_exact_dedup, "op10_toxicity": op10_toxicity}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_tokens(shared.read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2)
+    return read_tokens(files)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(shared.read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op4_language_id": op4_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op10_toxicity": op10_toxicity}
 SQL = {"op7_exact_dedup": OP7_SQL}
