@@ -77,7 +77,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, *, folder: str |
                 out.write(data.tobytes())
         yield pa.RecordBatch.from_pylist([{"part": part, "n_docs": len(offsets) - 1, "n_tokens": total, "folder": folder, "name": name, "width": width}])
 
-    made = written(rows.mapInArrow(run, "part bigint, n_docs bigint, n_tokens bigint, folder string, name string, width int"), "token-parts")
+    made = written(rows.mapInArrow(run, "part bigint, n_docs bigint, n_tokens bigint, folder string, name string, width bigint"), "token-parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each document
     return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
