@@ -1,29 +1,62 @@
-"""A corpus pipeline made of the operators of spokenframe.llm."""
+"""A corpus pipeline of five operators of spokenframe.llm, in this order: toxic
+documents go, exact copies go, near copies go, personal data is masked, and
+what is left is packed into training sequences.
+
+Each stage works on all rows its predecessor kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spokenframe.llm.exact_dedup import keep_first
+from spokenframe.llm import exact_dedup, near, packing, pii, shared, tokens, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores under one half stay."""
+    labels = shared.read(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, labels).filter("predicted = 0").select(docs.columns)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return keep_first(docs)
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that word-shingle similarity links stays."""
+    return near.keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; n_chars follows."""
+    return pii.masked(docs)
 
-#: The stages hold trained models and probabilistic pruning; see tests/llm for the brute-force versions.
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its place in a sequence of at most 4096 tokens."""
+    pieces = packing.token_pieces(docs, tokens.tokenizer_file("word_bpe_49k.json"), 1)
+    return packing.pack(pieces)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: A trained model decides in the first stage, which SQL can't express; tests/llm has the brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spokenframe.llm.shared import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir, each written and read again."""
+    docs = shared.read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
+            docs = shared.written(docs, f"stage-{name}")
     return docs

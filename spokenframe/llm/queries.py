@@ -9,6 +9,7 @@ from . import shared
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .pii import BASE_KINDS, joined, pii_spans
+from .near import near_join
 from .packing import pack, token_pieces
 from .token_files import read_tokens, write_tokens
 from .tokens import tokenizer_file
@@ -54,5 +55,9 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(shared.read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op4_language_id": op4_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op10_toxicity": op10_toxicity}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join(shared.read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op4_language_id": op4_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
 SQL = {"op7_exact_dedup": OP7_SQL}
