@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import ngram_lm, shared
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .pii import BASE_KINDS, joined, pii_spans
@@ -59,5 +59,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(shared.read(spark, sf_dir, "documents")).drop("text_hash")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op4_language_id": op4_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.read(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs, shared.id_crc(F.col("doc_id")) % 10 != 0)
+    found = ngram_lm.score(docs, model)
+    return found.withColumn("held_out", shared.id_crc(F.col("doc_id")) % 10 == 0)
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op3_lm_score": op3_lm_score, "op4_language_id": op4_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
 SQL = {"op7_exact_dedup": OP7_SQL}
