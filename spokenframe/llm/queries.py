@@ -13,6 +13,7 @@ from .near import near_join
 from .packing import pack, token_pieces
 from .token_files import read_tokens, write_tokens
 from .tokens import tokenizer_file
+from .topk import exact_topk
 from .toxicity import toxicity
 
 
@@ -66,5 +67,18 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", shared.id_crc(F.col("doc_id")) % 10 == 0)
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op3_lm_score": op3_lm_score, "op4_language_id": op4_language_id, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
-SQL = {"op7_exact_dedup": OP7_SQL}
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = shared.read(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+OP5_SQL = r"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op3_lm_score": op3_lm_score, "op4_language_id": op4_language_id, "op5_exact_topk": op5_exact_topk, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
+SQL = {"op5_exact_topk": OP5_SQL, "op7_exact_dedup": OP7_SQL}
