@@ -11,6 +11,7 @@ from .langid import identify
 from .pii import BASE_KINDS, joined, pii_spans
 from .near import near_join
 from .packing import pack, token_pieces
+from .pieces import round_trip
 from .token_files import read_tokens, write_tokens
 from .tokens import tokenizer_file
 from .topk import exact_topk
@@ -80,5 +81,9 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op3_lm_score": op3_lm_score, "op4_language_id": op4_language_id, "op5_exact_topk": op5_exact_topk, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(shared.read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op3_lm_score": op3_lm_score, "op4_language_id": op4_language_id, "op5_exact_topk": op5_exact_topk, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
 SQL = {"op5_exact_topk": OP5_SQL, "op7_exact_dedup": OP7_SQL}
