@@ -101,4 +101,6 @@ def duckdb(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} as ({_fill(VIEWS[n], 'duckdb')})" for n in names)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head},\n{body[15:]}"
     return f"with {head},\n{body[5:]}" if body.lower().startswith("with ") else f"with {head}\n{body}"
