@@ -7,11 +7,14 @@ Points are found by bucketed joins once for all windows, decisions are column ex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import is_low_value, starts_dependently, words_of
+from ..sources.shared import written
 from .ranges import near_points, overlapping, text_in_window, word_at, words_in_windows
 from .segments import ends_sentence
 
@@ -20,6 +23,11 @@ FORWARD_START, FORWARD_END = 6000, 8000
 KEYS = ["video_id", "window_id"]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _with_limits(windows: DataFrame, min_ms: int, max_ms: int, media: DataFrame | None) -> DataFrame:
     for name, value in (("min_ms", min_ms), ("max_ms", max_ms)):
         windows = windows if name in windows.columns else windows.withColumn(name, F.lit(value).cast("bigint"))
@@ -67,19 +75,29 @@ def refine_boundaries(windows: DataFrame, words: DataFrame, segments: DataFrame,
     late = F.when(c("es_next") - c("s1") <= c("max_ms"), c("es_next"))
     w = w.withColumn("e1", F.coalesce("es_near", late, "ep_near", "ec_near", "end_ms")).withColumn(
         "ek", F.when(c("es_near").isNotNull(), "sentence").when(late.isNotNull(), "sentence(forward)").when(c("ep_near").isNotNull(), "pause").when(c("ec_near").isNotNull(), "scene").otherwise("requested"))
+    w = written(w.select(*KEYS, "min_ms", "max_ms", "total_ms", "floor_ms", "s1", "sk", "e1", "ek"), "snapped")
     w = w.join(_whole_word(w, "s1", words).hint("merge"), KEYS, "left").join(_whole_word(w, "e1", words).hint("merge"), KEYS, "left")
     in_s, in_e = F.coalesce(c("s1") > c("s1_ws") + 20, F.lit(False)), F.coalesce(c("e1") < c("e1_we") - 20, F.lit(False))
-    w = w.select(*KEYS, "min_ms", "max_ms", "total_ms", "floor_ms",
-                 F.when(in_s, c("s1_ws")).otherwise(c("s1")).cast("double").alias("s"), F.concat("sk", F.when(in_s, "+word").otherwise("")).alias("start_kind"),
-                 F.when(in_e, c("e1_we")).otherwise(c("e1")).cast("double").alias("e"), F.concat("ek", F.when(in_e, "+word").otherwise("")).alias("end_kind"))
-    total = F.when(c("total_ms") > 0, c("total_ms"))
-    w = w.withColumn("s", F.greatest(F.lit(0.0), c("s") - LEAD_IN, c("floor_ms") - LEAD_IN)).withColumn("e", F.least(c("e") + LEAD_OUT, total))
-    lack = F.greatest(F.lit(0.0), c("min_ms") - (c("e") - c("s")))
-    w = w.withColumn("lack", lack).withColumn("grow", F.least(c("lack") * 0.6, c("s"))).withColumn("s", c("s") - c("grow")).withColumn("e", c("e") + c("lack") - c("grow"))
-    over = F.when((c("lack") > 0) & (c("e") > total), c("e") - total)
-    w = w.withColumn("over", over).withColumn("s", F.when(c("over").isNotNull(), F.greatest(F.lit(0.0), c("s") - c("over"))).otherwise(c("s"))).withColumn("e", F.when(c("over").isNotNull(), total).otherwise(c("e")))
+    total = F.when(c("total_ms") > 0, c("total_ms").cast("double"))
+    first = F.struct(
+        F.greatest(F.lit(0.0), F.when(in_s, c("s1_ws")).otherwise(c("s1")) - LEAD_IN, c("floor_ms") - LEAD_IN).cast("double").alias("s"),
+        F.least(F.when(in_e, c("e1_we")).otherwise(c("e1")) + LEAD_OUT, total).cast("double").alias("e"),
+    )
+
+    def grown(x: Column) -> Column:
+        """Short windows grow, three fifths at the start; what passes the end of the video goes to the start."""
+        lack = F.greatest(F.lit(0.0), c("min_ms") - (x["e"] - x["s"]))
+        front = F.least(lack * 0.6, x["s"])
+        return F.struct((x["s"] - front).alias("s"), (x["e"] + lack - front).alias("e"), (lack > 0).alias("grew"))
+
+    def inside(x: Column) -> Column:
+        over = F.when(x["grew"] & (x["e"] > total), x["e"] - total)
+        return F.struct(F.when(over.isNotNull(), F.greatest(F.lit(0.0), x["s"] - over)).otherwise(x["s"]).alias("s"), F.when(over.isNotNull(), total).otherwise(x["e"]).alias("e"))
+
+    w = w.select(*KEYS, "min_ms", "max_ms", "floor_ms", F.concat("sk", F.when(in_s, "+word").otherwise("")).alias("start_kind"), F.concat("ek", F.when(in_e, "+word").otherwise("")).alias("end_kind"), _let(_let(first, grown), inside).alias("r"))
+    w = w.select(*KEYS, "min_ms", "max_ms", "floor_ms", "start_kind", "end_kind", "r.s", "r.e")
+    w = written(w.withColumn("cut", F.when(c("e") - c("s") > c("max_ms"), c("e") - c("max_ms"))), "grown")
     # too long: the front goes, to the first sentence start that leaves enough
-    w = w.withColumn("cut", F.when(c("e") - c("s") > c("max_ms"), c("e") - c("max_ms")))
     long = w.filter("cut is not null")
     probes = long.select("video_id", F.col("window_id").alias("probe_id"), F.ceil("cut").cast("bigint").alias("t_ms"))
     reach = near_points(probes, starts, 2000, max_ms).join(long.select("video_id", F.col("window_id").alias("probe_id"), "cut", "e", "min_ms", "floor_ms"), ["video_id", "probe_id"])
@@ -90,7 +108,7 @@ def refine_boundaries(windows: DataFrame, words: DataFrame, segments: DataFrame,
         F.min_by(F.when(off <= 2000, c("point")), F.when(off <= 2000, F.struct(off, -c("point")))).alias("t_near"))
     w = w.join(trims.hint("merge"), KEYS, "left")
     w = w.withColumn("s", F.when(c("cut").isNull(), c("s")).otherwise(F.coalesce(c("t_next"), F.when(c("t_near") < c("e"), c("t_near")), c("cut"))))
-    out = w.select(*KEYS, F.round(F.greatest(F.lit(0.0), "s")).cast("bigint").alias("start_ms"), F.round("e").cast("bigint").alias("end_ms"), "start_kind", "end_kind")
+    out = written(w.select(*KEYS, F.round(F.greatest(F.lit(0.0), "s")).cast("bigint").alias("start_ms"), F.round("e").cast("bigint").alias("end_ms"), "start_kind", "end_kind"), "refined")
     opening = text_in_window(out.select(*KEYS, "start_ms", (c("start_ms") + 6000).alias("end_ms")), words, segments).withColumnRenamed("text", "opening")
     ending = text_in_window(out.select(*KEYS, F.greatest(F.lit(0), c("end_ms") - 6000).alias("start_ms"), "end_ms"), words, segments).withColumnRenamed("text", "ending")
     out = out.join(opening.hint("merge"), KEYS, "left").join(ending.hint("merge"), KEYS, "left")

@@ -63,8 +63,12 @@ def window_factors(*, text: Column, opening: Column, ending: Column, ms: Column,
     structure = F.least(F.lit(1.0), structure + F.when(n_speakers > 1, 0.1).otherwise(0.0))
     seen = F.coalesce(visual, F.lit(0.45)) * F.when(scene_count > 6, 0.8).otherwise(1.0)
     heard = F.coalesce(reaction, F.lit(0.0))
-    strong = F.when(trigger.isin("story", "question"), 0.9).when(trigger != "generic", 0.7).otherwise(0.35) * F.when(dependent, 0.5).otherwise(1.0)
-    payoff = F.when(ended, F.when(trigger.isin("conclusion", "lesson", "number"), 0.95).otherwise(0.7)).otherwise(F.when(trigger.isin("conclusion", "lesson", "number"), 0.95).otherwise(0.35))
+    pattern = {name: f"(?i){p}" for name, _, p in L.TRIGGERS}
+    tells = opening.rlike(pattern["story"]) | opening.rlike(r"\?\s*$")
+    hooked = F.array_contains(F.array(*[opening.rlike(p) for p in pattern.values()]), True)
+    strong = F.when(tells, 0.9).when(hooked, 0.7).otherwise(0.35) * F.when(dependent, 0.5).otherwise(1.0)
+    lands = ending.rlike(pattern["conclusion"]) | ending.rlike(pattern["lesson"]) | ending.rlike(pattern["number"])
+    payoff = F.when(lands, 0.95).when(ended, 0.7).otherwise(0.35)
     payoff = F.least(F.lit(1.0), payoff + F.when(heard > 0.25, 0.2).otherwise(0.0))
     values = (clarity, complete, structure, seen, F.coalesce(dynamics, F.lit(0.5)), heard, lexical_density(text), strong, payoff)
     return F.struct(*[F.round(v, 4).alias(n) for n, v in zip(WEIGHTS, values, strict=True)])
