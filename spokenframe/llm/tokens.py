@@ -17,7 +17,7 @@ import types
 import numpy as np
 
 #: Chunks whose ids a worker keeps, for each of two generations. Results don't depend on it.
-KEEP = 600_000
+KEEP = 1_200_000
 _LONGEST = 64
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
