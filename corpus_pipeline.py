@@ -16,7 +16,7 @@ from spokenframe.llm import exact_dedup, near, packing, pii, shared, tokens, tox
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores under one half stay."""
     labels = shared.read(spark, sf_dir, "labels")
-    return toxicity.toxicity(docs, labels).filter("predicted = 0").select(docs.columns)
+    return toxicity.toxicity(docs, labels, names=("_toxicity", "_toxic")).filter("_toxic = 0").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

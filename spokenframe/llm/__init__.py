@@ -1,8 +1 @@
 """Operations for building language-model training data on Spark."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors get the functions with the task: the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

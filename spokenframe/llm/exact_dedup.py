@@ -94,12 +94,11 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
 
     Copies that repeat a whole (doc_id, text) count once: one of them stays.
     """
-    kept = exact_dedup(docs, **params).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "group_size")
-    mine = docs.withColumn("_s", F.sha2(normalised(F.col("text")), 256)).withColumn("_len", F.length(F.coalesce("text", F.lit(""))))
-    found = mine.join(kept.hint("merge"), (F.col("_sha") == F.col("_s")) & F.col("_id").eqNullSafe(F.col("doc_id")))
-    single = found.filter("group_size = 1").select(docs.columns)
+    kept = exact_dedup(docs, **params).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "group_size")
+    text = F.coalesce("text", F.lit(""))
+    mine = docs.select(F.struct("*").alias("d"), F.sha2(normalised(F.col("text")), 256).alias("s"), F.length(text).alias("len"), F.concat_ws("\0", *[F.col(c).cast("string") for c in docs.columns if c != "text"]).alias("tie"))
+    found = mine.join(kept.hint("merge"), (F.col("sha") == F.col("s")) & F.col("id").eqNullSafe(F.col("d.doc_id")))
+    single = found.filter("group_size = 1").select("d.*")
     # a keeper's id may occur on more than one of its copies: the longest of those stays
-    copies = found.filter("group_size > 1").groupBy("_id", "_sha").agg(
-        F.max_by(F.struct(*docs.columns), F.struct(F.col("_len"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in docs.columns if c != "text"])).alias("d")
-    )
+    copies = found.filter("group_size > 1").groupBy("id", "sha").agg(F.max_by("d", F.struct("len", "tie")).alias("d"))
     return single.unionByName(copies.select("d.*"))

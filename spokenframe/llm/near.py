@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import parts, small_batches, written
+from .shared import parts, release, slices_of, small_batches, written
 from .words import flat, mix, word_hashes
 
 SHINGLE = 5
@@ -177,7 +177,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        release()
+        for b in (x for y in batches for x in slices_of(y, "text")):
             h, w = word_hashes(*flat(b.column("text")))
             sets = [shingles(h[w[k] : w[k + 1]]) for k in range(len(b))]
             yield pa.RecordBatch.from_arrays(
@@ -339,7 +340,7 @@ def near_join(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float
     texts = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(cluster.withColumn("key", key).drop("doc_id").hint("merge"), "key").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in slices_of(y, "text")):
             h, w = word_hashes(*flat(b.column("text")))
             data = [shingles(h[w[k] : w[k + 1]]).tobytes() for k in range(len(b))]
             ok = pa.array([hashlib.blake2b(d, digest_size=16).digest() == x for d, x in zip(data, b.column("digest").to_pylist(), strict=True)], pa.bool_())
@@ -366,10 +367,8 @@ def near_join(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The documents that near_join keeps, one of each group, with all their columns."""
-    from pyspark.sql import Window
-
-    kept = near_join(docs, **params).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    mine = docs.withColumn("_text", F.xxhash64("text"))
-    found = mine.join(kept.hint("merge"), (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(*[F.col(c).cast("string") for c in docs.columns if c != "text"]))
-    return found.withColumn("_nth", nth).filter("_nth = 1").select(docs.columns)
+    kept = near_join(docs, **params).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    mine = docs.select(F.struct("*").alias("d"), F.xxhash64("text").alias("h"), F.concat_ws("\0", *[F.col(c).cast("string") for c in docs.columns if c != "text"]).alias("tie"))
+    found = mine.join(kept.hint("merge"), (F.col("h") == F.col("hash")) & F.col("d.doc_id").eqNullSafe(F.col("id")))
+    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("tie"))
+    return found.withColumn("nth", nth).filter("nth = 1").select("d.*")

@@ -166,8 +166,7 @@ class Lookup:
         """(id, count) of each hash; -1 and 0 where it is not known. hashes are sorted."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         b = _bucket(hashes, 1 << 64, self.m.buckets)
-        at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-        for lo, hi in zip(at, [*at[1:], len(b)], strict=True):
+        for lo, hi in _stretches(b):
             name = self.m.words[b[lo]]
             if not name:
                 continue
@@ -183,8 +182,7 @@ class Lookup:
         """STAT of each id; ids are sorted and known, or model.size for a text's beginning."""
         out = np.zeros(len(ids), STAT)
         b = _bucket(ids, self.m.size + 1, self.m.buckets)
-        at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-        for lo, hi in zip(at, [*at[1:], len(b)], strict=True):
+        for lo, hi in _stretches(b):
             name = self.m.stats[b[lo]]
             if name:
                 out[lo:hi] = self.maps(name, STAT)[ids[lo:hi] - _first(int(b[lo]), self.m.size + 1, self.m.buckets)]
@@ -197,8 +195,7 @@ class Lookup:
         key = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         order = np.lexsort((key, b))
         b, key = b[order], key[order]
-        at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
-        for lo, hi in zip(at, [*at[1:], len(b)], strict=True):
+        for lo, hi in _stretches(b):
             name = self.m.pairs[b[lo]]
             if not name:
                 continue
@@ -215,6 +212,12 @@ class Lookup:
         return out
 
 
+def _stretches(b: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of equal neighbours."""
+    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else np.empty(0, np.int64)
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
 def _first(bucket: int, whole: int, n: int) -> int:
     """The least id of a bucket of _bucket(ids, whole, n)."""
     return -(-bucket * whole // n)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Most bytes of column data in one Arrow batch handed to Python.
 BATCH_BYTES = 8 << 20
 
@@ -17,20 +16,6 @@ BATCH_BYTES = 8 << 20
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where it is unset (tests, one machine) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        local = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        path = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path for a new table or folder in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -65,3 +50,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def release() -> None:
+    """Drop what encoders keep in this worker; operators that encode nothing call it, for their own memory."""
+    import sys
+
+    for name in ("_kept_encoders", "_kept_pieces"):
+        sys.modules.pop(name, None)
+
+
+def slices_of(batch, column: int | str, most: int = 1 << 20):
+    """Parts of an Arrow batch whose texts hold about `most` bytes."""
+    import numpy as np
+
+    if not len(batch):
+        return
+    size = np.cumsum(_lengths(batch.column(column)).astype(np.int64))
+    cut = np.flatnonzero(np.diff(size // most)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)], strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
+def _lengths(texts):
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .samples import sample_by_class
-from .shared import id_crc, small_batches, written
+from .shared import id_crc, release, slices_of, small_batches, written
 from .words import flat, hash_word, per_doc, word_hashes
 
 #: Insults; a caller may pass other words.
@@ -218,7 +218,8 @@ def learn_lexicon(rows: DataFrame, lexicon: tuple[str, ...], *, most: int = 4000
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        release()
+        for b in (x for y in batches for x in slices_of(y, "text")):
             buf, off = flat(b.column("text"))
             toxic = b.column("toxic").to_numpy(zero_copy_only=False) > 0
             for stem in (0, PREFIX):
@@ -264,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, *, lexicon: tuple[str, ...] = tupl
     lex = learn_lexicon(rows.filter("half = 0"), lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in slices_of(y, "text")):
             x = features(b.column("text"), lex)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "toxic", "x"])
 
@@ -275,21 +276,22 @@ def train(docs: DataFrame, labels: DataFrame, *, lexicon: tuple[str, ...] = tupl
     return train_trees(x, y, hold=hold), lex
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, lexicon: tuple[str, ...] = tuple(LEXICON), per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """docs with the columns score (0 to 1) and predicted (1 if score >= 0.5); they replace columns of those names.
+def toxicity(docs: DataFrame, labels: DataFrame, *, lexicon: tuple[str, ...] = tuple(LEXICON), per_label: int = SAMPLE_PER_LABEL, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with the columns score (0 to 1) and predicted (1 if score >= 0.5), under the given names; they replace columns of those names.
 
     Null texts count as empty; empty texts are scored like others.  Without
     usable labels every score is the share of toxic labels, or 0.
     """
     model, lex = train(docs, labels, lexicon=lexicon, per_label=per_label)
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        release()
+        for b in (x for y in batches for x in slices_of(y, at)):
             text = b.column(at).fill_null("")
             s = model.score(features(text, lex))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*b.schema.names, *names])
 
-    fields = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    fields = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return docs.mapInArrow(run, fields)
