@@ -3,7 +3,7 @@
 Both supported pre-tokenizers always cut before a space that a non-space
 follows, so the ids of a text are the ids of its chunks behind each other.  A
 worker keeps the ids of the chunks it has met; a chunk it hasn't met goes to
-the library.  Texts that hold an added token, and tokenizers of other
+the library.  Texts that hold an added token or a NUL, and tokenizers of other
 kinds, are encoded whole.
 """
 
@@ -21,6 +21,8 @@ KEEP = 1_200_000
 _LONGEST = 64
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+_WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
+_SPACE = re.compile(r"\s")
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,14 +62,14 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks that hold no space, encoded as one text and cut again at word edges."""
         if not chunks:
             return []
         lead = " " if self.mode == "spaced" else ""
-        ids = np.array(self.lib.encode(lead + " ".join(chunks), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.lib.encode_batch_fast([lead + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.edge[ids])
         if len(at) != len(chunks):
             return self._whole([lead + c for c in chunks])
@@ -75,49 +77,75 @@ class Encoder:
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]
 
+    def _atoms(self, c: str) -> list[str]:
+        """Parts of a chunk whose ids, behind each other, are its ids: a word, the signs after it, a line break.
+
+        Where spaces count, a chunk that none precedes carries a NUL in front.
+        """
+        bare = self.mode == "bare"
+        lead = "\0" if not bare and c[:1] == "\0" else ""
+        body = c[len(lead) :]
+        if not bare and body.count("\n") == 1:
+            a, b = body.split("\n")
+            if a and b and not _SPACE.search(a) and not _SPACE.search(b):
+                return [*self._atoms(lead + a), "\0\n", *self._atoms("\0" + b)]
+        m = _WORD_AND_SIGNS.fullmatch(body)
+        if m and m[1].isalpha():
+            return [lead + m[1], m[2] if bare else "\0" + m[2]]
+        return [c]
+
     def _learn(self, need: set[str]) -> None:
-        """Put the ids of all chunks in need into now. Chunks that start a text carry a NUL in front."""
+        """Put the ids of all chunks in need into now."""
         now, old = self.now, self.old
-        plain, ended, odd = [], [], []
+        fresh = []
         for c in need:
             if (have := old.get(c)) is not None:
                 now[c] = have
-            elif self.mode == "spaced" and c[:1] == "\0":
-                odd.append(c)
-            elif c.isalpha():
-                plain.append(c)
-            elif c[-1:] in (",", ".") and c[:-1].isalpha():
-                ended.append(c)
             else:
-                odd.append(c)
-        words = {c[:-1] for c in ended}
-        words = [w for w in words if w not in now and w not in need]
-        plain += words
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
+                fresh.append(c)
+        made = {c: self._atoms(c) for c in fresh if not c.isalpha()}
+        atoms = {a for parts in made.values() for a in parts}
+        atoms.update(c for c in fresh if c.isalpha())
+        atoms = [a for a in atoms if a not in now]
+        spaced, tokenize = self.mode == "spaced", self.lib.model.tokenize
+        words, odd = [], []
+        for a in atoms:
+            bare = a[1:] if spaced and a[:1] == "\0" else a
+            if bare.isascii() and bare.isalpha():  # one word: the model alone, past normaliser and pre-tokenizer
+                now[a] = np.array([t.id for t in tokenize((bare if a is not bare else f"Ġ{a}") if spaced else a.lower())], "<u4").tobytes()
+            elif bare is a and a.isalpha():
+                words.append(a)
+            else:
+                odd.append(a)
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
             now.update(zip(part, self._joined(part), strict=True))
-        if self.mode == "spaced":
-            texts = [c[1:] if c[:1] == "\0" else f" {c}" for c in odd]
-        else:
-            texts = odd
+        texts = [c[1:] if c[:1] == "\0" else f" {c}" for c in odd] if spaced else odd
         now.update(zip(odd, self._whole(texts), strict=True))
-        if ended:
-            mark = dict(zip(",.", self._whole([",", "."]), strict=True))
-            for c in ended:
-                now[c] = now[c[:-1]] + mark[c[-1]]
+        for c, parts in made.items():
+            if len(parts) > 1:
+                now[c] = b"".join([now[a] for a in parts])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
             return self._whole(texts)
         out: list = [None] * len(texts)
-        whole = [k for k, t in enumerate(texts) if self.added and "<" in t and self.added.search(t)]
+        whole = [k for k, t in enumerate(texts) if "\0" in t or (self.added and "<" in t and self.added.search(t))]
         for k, x in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = x
         parts = []
         for k, t in enumerate(texts):
             if out[k] is not None:
                 continue
-            if self.mode == "bare" or not _ODD.search(t):
+            if self.mode == "bare":
+                t = t.replace("\n", " ")
+                try:
+                    t.encode("latin-1")  # here lower case is what the normaliser makes of a letter
+                    t = t.lower()
+                except UnicodeEncodeError:
+                    pass
+                c = t.split(" ")
+            elif not _ODD.search(t):
                 c = t.split(" ")
             else:
                 c = _CUT.split(t)

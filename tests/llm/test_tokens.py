@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from spokenframe.llm import packing, token_files, tokens
 from spokenframe.llm.pieces import Pieces, decode_pieces, encode_pieces, round_trip
 
-TEXTS = ["", "  ", " a", "a ", "a  b", "a\n b", "a \nb", "don't 's <|endoftext|> x", "x<|startoftext|> y", "ΑΣ Σ İ", "tab\tx  \n\n  y ", "é́ x ́y", "a" * 500 + " b", "1234 5.6,7 a,b. c.d ,. ''s", "a b　c", "naïve,naïve. Ünder,", "\x1c a \x1cb\x85 c"]
+TEXTS = ["", "  ", " a", "a ", "a  b", "a\n b", "a \nb", "don't 's <|endoftext|> x", "x<|startoftext|> y", "ΑΣ Σ İ", "tab\tx  \n\n  y ", "é́ x ́y", "a" * 500 + " b", "1234 5.6,7 a,b. c.d ,. ''s", "a b　c", "naïve,naïve. Ünder,", "\x1c a \x1cb\x85 c", "x \x00y \x00", "End.\nNext, word*** Word__ e\u0301,! Ab's\tc d.\n\ne"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
