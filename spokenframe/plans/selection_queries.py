@@ -20,7 +20,7 @@ from ..sources import transcripts as A
 from ..streaming import feeds
 from .registry import query
 from .signal_queries import _SENT, HOP, _faced
-from .text_queries import _CASE, _FUNC, _LOW, _NW, _OPEN, _TRIG  # noqa: F401
+from .text_queries import _CASE, _LOW, _NW, _OPEN, _TOK, _TRIG
 
 # --- sources and tables ---
 
@@ -140,7 +140,12 @@ def _(probes, faces):
     return at.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 
-@query("f27_dedupe_faces", "faces")
+_IOU = "greatest(0, least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x)) * greatest(0, least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y))"
+
+
+@query("f27_dedupe_faces", "faces", f"""with recursive o as (select *, row_number() over (partition by video_id, t_ms order by -(w * h), face_no, x, y) as r from faces),
+f as (select video_id, t_ms, r, [struct_pack(face_no := face_no, x := x, y := y, w := w, h := h)] as kept from o where r = 1 union all select o.video_id, o.t_ms, o.r, case when len(list_filter(f.kept, lambda k: {_IOU} / greatest(1, o.w * o.h + k.w * k.h - {_IOU}) > 0.35)) > 0 then f.kept else list_append(f.kept, struct_pack(face_no := o.face_no, x := o.x, y := o.y, w := o.w, h := o.h)) end from f join o on o.video_id = f.video_id and o.t_ms = f.t_ms and o.r = f.r + 1),
+l as (select video_id, t_ms, unnest(kept) as k from (select *, row_number() over (partition by video_id, t_ms order by r desc) as last from f) x where last = 1) select video_id, t_ms, k.face_no, k.x, k.y, k.w, k.h from l""")
 def _(faces):
     return V.dedupe_faces(faces)
 
@@ -220,7 +225,17 @@ def _(candidates):
     return C.top_variants(candidates.select("video_id", (F.col("candidate_id") % 250).alias("anchor_id"), F.col("candidate_id").alias("window_id"), "start_ms", "end_ms", "heuristic_score"))
 
 
-@query("f09_select_clips", "candidates evaluations")
+_DUP = "greatest(0, least(o.e, k.e) - greatest(o.s, k.s)) / greatest(1, least(o.e - o.s, k.e - k.s))"
+_LIKE = "case when len(o.t) = 0 or len(k.t) = 0 then 0 else len(list_intersect(o.t, k.t)) / (len(o.t) + len(k.t) - len(list_intersect(o.t, k.t))) end"
+_BLEND = "least(1, greatest(0, 0.62 * quality_score + 0.38 * heuristic_score + case when recommended then 0.10 else 0 end - case when context_dependency = 'high' then 0.12 else 0 end - case when complete_thought then 0 else 0.10 end))::double"
+
+
+@query("f09_select_clips", "candidates evaluations", f"""with recursive b as (select c.video_id, c.candidate_id as id, c.start_ms as s, c.end_ms as e, {_BLEND} as score, {_TOK.format('text')} as t from candidates c join evaluations e on e.candidate_id = c.candidate_id),
+n as (select *, row_number() over (partition by video_id order by score desc, id) as nth from b), low as (select video_id, count(*) filter (score < 0.42) as below_floor, count(*) filter (score >= 0.42) as above from n where nth <= 80 group by 1),
+o as (select *, row_number() over (partition by video_id order by nth) as r from n where nth <= 80 and score >= 0.42),
+f as (select video_id, r, [struct_pack(id := id, s := s, e := e, score := score, t := t, nth := nth)] as kept from o where r = 1 union all select o.video_id, o.r, case when len(list_filter(f.kept, lambda k: {_DUP} >= 0.35 or {_LIKE} >= 0.72 or ({_DUP} > 0.15 and {_LIKE} > 0.54))) > 0 then f.kept else list_append(f.kept, struct_pack(id := o.id, s := o.s, e := o.e, score := o.score, t := o.t, nth := o.nth)) end from f join o on o.video_id = f.video_id and o.r = f.r + 1),
+l as (select video_id, len(kept) as strong, unnest(kept[1:5]) as k from (select *, row_number() over (partition by video_id order by r desc) as last from f) x where last = 1)
+select l.video_id, k.id as candidate_id, row_number() over (partition by l.video_id order by k.s, k.nth) as index, k.s as start_ms, k.e as end_ms, round(k.score, 4) as score, strong, above - strong as duplicates, below_floor from l join low on low.video_id = l.video_id""")
 def _(candidates, evaluations):
     return P.select_clips(candidates, evaluations, 5)
 
@@ -230,11 +245,14 @@ def _(candidates, evaluations):
     return P.scored(candidates, evaluations).select("video_id", "candidate_id", F.round("blended", 6).alias("blended"))
 
 
-@query("f10_is_duplicate", "candidates")
+@query("f10_is_duplicate", "candidates", f"""with n as (select *, lead(start_ms) over v as s2, lead(end_ms) over v as e2, lead(text) over v as other from candidates window v as (partition by video_id order by candidate_id)),
+t as (select video_id, candidate_id, case when least(end_ms, e2) > greatest(start_ms, s2) then (least(end_ms, e2) - greatest(start_ms, s2)) / least(end_ms - start_ms, e2 - s2) else 0 end as o, {_TOK.format('text')} as a, {_TOK.format('other')} as b from n where s2 is not null),
+u as (select *, case when len(a) = 0 or len(b) = 0 then 0 else len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) end as l from t)
+select video_id, candidate_id, o >= 0.35 or l >= 0.72 or (o > 0.15 and l > 0.54) as duplicate, case when o >= 0.35 then 'overlaps' when l >= 0.72 then 'transcript' when o > 0.15 and l > 0.54 then 'adjacent' else '' end as reason from u""")
 def _(candidates):
     w = Window.partitionBy("video_id").orderBy("candidate_id")
     pairs = candidates.select("video_id", "candidate_id", *[F.col(c).alias(f"a_{n}") for n, c in (("start", "start_ms"), ("end", "end_ms"), ("text", "text"))], *[F.lead(c).over(w).alias(f"b_{n}") for n, c in (("start", "start_ms"), ("end", "end_ms"), ("text", "text"))]).filter("b_start is not null")
-    return P.is_duplicate(pairs).select("video_id", "candidate_id", "duplicate", "reason")
+    return P.is_duplicate(pairs).select("video_id", "candidate_id", "duplicate", F.regexp_extract("reason", "^[a-z]*", 0).alias("reason"))
 
 
 @query("f11_trim_filler_opening", "windows words segments media")

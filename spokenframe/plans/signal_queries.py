@@ -80,7 +80,14 @@ def _(scenes, media):
     return S.cover_scenes(scenes, media)
 
 
-@query("c09_caption_cues", "words segments media")
+_BRK = "(c.done or w.start_ms - c.e > 550 or w.end_ms - c.s > 3200 or c.len + 1 + length(w.word) > 44 or w.speaker is distinct from c.sp)"
+
+
+@query("c09_caption_cues", "words segments media", f"""with recursive w as (select x.*, s.speaker, m.duration_ms, row_number() over (partition by x.video_id order by x.start_ms, x.word_idx) as r from words x join segments s on s.video_id = x.video_id and s.segment_id = x.segment_id join media m on m.video_id = x.video_id),
+c as (select video_id, r, word, start_ms, end_ms, duration_ms, 0 as cue, start_ms as s, end_ms as e, length(word) as len, speaker as sp, regexp_matches(word, '[.!?]$') as done from w where r = 1
+ union all select w.video_id, w.r, w.word, w.start_ms, w.end_ms, w.duration_ms, c.cue + {_BRK}::int, case when {_BRK} then w.start_ms else c.s end, w.end_ms, case when {_BRK} then length(w.word) else c.len + 1 + length(w.word) end, w.speaker, regexp_matches(w.word, '[.!?]$') from c join w on w.video_id = c.video_id and w.r = c.r + 1),
+g as (select video_id, cue as cue_idx, min(start_ms) as start_ms, greatest(max(end_ms), min(start_ms) + 400) as end_ms, string_agg(word, ' ' order by r) as text from c group by 1, 2)
+select video_id, 0 as clip_id, cue_idx, start_ms, case when end_ms > lead(start_ms) over v then greatest(start_ms + 200, lead(start_ms) over v - 20) else end_ms end as end_ms, text from g window v as (partition by video_id order by cue_idx)""")
 def _(words, segments, media):
     rows = words.join(segments.select("video_id", "segment_id", "speaker"), ["video_id", "segment_id"]).join(media, "video_id")
     return S.caption_cues(rows.withColumn("clip_id", F.lit(0)).withColumn("clip_start", F.lit(0).cast("bigint")).withColumn("clip_end", F.col("duration_ms")))
@@ -108,7 +115,14 @@ def _(segments):
     return S.sample_middle(segments.select("video_id", F.col("segment_id").alias("chunk_idx")), 4, 2)
 
 
-@query("c14_envelope_modulation", "audio_frames")
+_WAVE = "list_sum(list_transform(x, lambda v, i: v * {f}(2 * pi() * k * (i - 1) / len(x))))"
+
+
+@query("c14_envelope_modulation", "audio_frames", f"""with s as (select video_id, frame_idx, list(pow(10.0, rms_db / 20)) over (partition by video_id order by frame_idx rows between 11 preceding and 10 following) as seen, count(*) over (partition by video_id) as n from audio_frames),
+m as (select video_id, frame_idx, n, list_transform(seen, lambda v: v - list_avg(seen)) as x from s),
+d as (select video_id, frame_idx, n, len(x) as size, list_transform(range(0, len(x) // 2 + 1), lambda k: struct_pack(f := k / (len(x) * 0.05), m := sqrt(pow({_WAVE.format(f='cos')}, 2) + pow({_WAVE.format(f='sin')}, 2)))) as mag from m),
+t as (select video_id, frame_idx, n, size, list_sum(list_transform(mag, lambda b: b.m)) as total, coalesce(list_sum(list_transform(list_filter(mag, lambda b: b.f >= 3 and b.f <= 8), lambda b: b.m)), 0) as band from d)
+select video_id, frame_idx, round(case when n >= 22 and size >= 4 and total > 1e-9 then band / total else 0 end, 8) as modulation from t""")
 def _(audio_frames):
     return _rounded(G.envelope_modulation(audio_frames.withColumn("rms", F.pow(F.lit(10.0), F.col("rms_db") / 20))), "modulation")
 
