@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # written, so that the join shuffles both sides for itself and Spark can split the rows of a large star
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
         large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down.hint("merge"), "u")
