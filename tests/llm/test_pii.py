@@ -46,6 +46,16 @@ def test_the_method_adds_spans_and_masks():
     assert [x for x in pii.find_spans("order 123-45-6789")] == []
 
 
+def test_long_secrets_go_to_their_end():
+    body = "aB3" * 1667
+    for head, secret in (("token=", body), ("api_key: ", body), ("", "sk-" + body), ("", "xoxb-" + body), ("", "xoxb-" + "12-ab" * 1000), ("", "ghp_" + body)):
+        s = f"Log in by {head}{secret} or not"
+        assert [x[:3] for x in pii.find_spans(s)] == [("secret", 10 + len(head), 10 + len(head) + len(secret))]
+        assert pii.mask(s, pii.find_spans(s)) == f"Log in by {head}<SECRET> or not"
+    for s in ("token=" * 50_000, "token=a " * 50_000, "sk-" * 100_000, "xoxb-" * 60_000, "ghp_" * 75_000):
+        pii.find_spans(s)
+
+
 def test_linear_on_long_texts():
     for s in ("1" * 300_000, "a" * 300_000 + "@", "+1" + "(" * 300_000, "1." * 100_000, "a@" * 100_000):
         pii.find_spans(s)
