@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import content_tokens, token_similarity
 from .ranges import time_overlap_ratio
@@ -43,27 +48,56 @@ def scored(candidates: DataFrame, evaluations: DataFrame, *, model_answered: boo
     return rows.withColumn("blended", blended_score(F.col("heuristic_score"), F.col("quality_score"), F.col("recommended"), F.col("context_dependency"), F.col("complete_thought")))
 
 
-def select_clips(candidates: DataFrame, evaluations: DataFrame, requested: int, *, overlap_at: float = 0.35, similar_at: float = 0.72, floor: float = FLOOR, model_answered: bool = True, pool: int = 80) -> DataFrame:
+def select_clips(candidates: DataFrame, evaluations: DataFrame, requested: int, *, overlap_at: float = 0.35, similar_at: float = 0.72, floor: float = FLOOR, model_answered: bool = True) -> DataFrame:
     """(video_id, candidate_id, index, start_ms, end_ms, score, strong, duplicates, below_floor): the clips of each video.
 
     Best first, a clip stays unless it duplicates one that stays (by time or by words);
     the first `requested` are put in order of time.  candidates (video_id, candidate_id, start_ms, end_ms, text,
-    heuristic_score) hold at most `pool` rows a video, as the candidate stage leaves them; more are cut by score.
+    heuristic_score) may be any number a video: its rows stream by in order of score, and only the clips that stay are held.
     Ties go to the smaller id.
     """
-    rows = scored(candidates, evaluations, model_answered=model_answered)
-    best = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("blended"), "candidate_id"))
-    rows = rows.withColumn("nth", best).filter(F.col("nth") <= pool).withColumn("ok", F.col("blended") >= floor)
-    item = F.struct("nth", F.col("candidate_id").alias("id"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.round("blended", 4).alias("score"), content_tokens(F.col("text")).alias("t"))
-    groups = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), item))).alias("items"), F.count_if(~F.col("ok")).alias("below_floor"))
-    share = "greatest(0, least(x.e, k.e) - greatest(x.s, k.s)) / cast(greatest(1, least(x.e - x.s, k.e - k.s)) as double)"
-    both = "size(array_intersect(x.t, k.t))"
-    like = f"if(size(x.t) = 0 or size(k.t) = 0, 0d, {both} / cast(size(x.t) + size(k.t) - {both} as double))"
-    same = f"({share} >= {overlap_at} or {like} >= {similar_at} or ({share} > 0.15 and {like} > {similar_at * 0.75}))"
-    kept = groups.withColumn("kept", F.expr(f"aggregate(items, slice(items, 1, 0), (kept, x) -> if(exists(kept, k -> {same}), kept, concat(kept, array(x))))"))
-    clips = kept.select("video_id", "below_floor", F.size("kept").alias("strong"), (F.size("items") - F.size("kept")).alias("duplicates"), F.explode(F.slice("kept", 1, requested)).alias("k"))
-    index = F.row_number().over(Window.partitionBy("video_id").orderBy("k.s", "k.nth"))
-    return clips.select("video_id", F.col("k.id").alias("candidate_id"), index.alias("index"), F.col("k.s").alias("start_ms"), F.col("k.e").alias("end_ms"), F.col("k.score").alias("score"), "strong", "duplicates", "below_floor")
+    rows = scored(candidates, evaluations, model_answered=model_answered).select("video_id", "candidate_id", "start_ms", "end_ms", "text", "blended")
+    rows = rows.repartition("video_id").sortWithinPartitions("video_id", F.desc("blended"), "candidate_id")
+    ok = F.col("blended") >= floor
+    rows = rows.select("video_id", "candidate_id", "start_ms", "end_ms", F.round("blended", 4).alias("score"), ok.alias("ok"), F.when(ok, content_tokens(F.col("text"))).alias("t"))
+    kind = rows.schema
+    out = T.StructType([kind["video_id"], kind["candidate_id"], T.StructField("index", T.IntegerType()), kind["start_ms"], kind["end_ms"], kind["score"], T.StructField("strong", T.IntegerType()), T.StructField("duplicates", T.IntegerType()), T.StructField("below_floor", T.LongType())])
+    arrow = to_arrow_schema(out)
+
+    def same(x: tuple, k: tuple) -> bool:
+        share = max(0, min(x[1], k[1]) - max(x[0], k[0])) / max(1, min(x[1] - x[0], k[1] - k[0]))
+        if share >= overlap_at:
+            return True
+        both = len(x[2] & k[2])
+        like = both / (len(x[2]) + len(k[2]) - both) if both else 0.0
+        return like >= similar_at or (share > 0.15 and like > similar_at * 0.75)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, kept, first, above, below = None, [], [], 0, 0
+
+        def clips() -> Iterator[pa.RecordBatch]:
+            if first:
+                ranked = sorted(first, key=lambda r: r["start_ms"])
+                yield pa.RecordBatch.from_pylist([r | {"index": k, "strong": len(kept), "duplicates": above - len(kept), "below_floor": below} for k, r in enumerate(ranked, 1)], schema=arrow)
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for r in b.slice(at, 256).to_pylist():
+                    if r["video_id"] != video:
+                        yield from clips()
+                        video, kept, first, above, below = r["video_id"], [], [], 0, 0
+                    if not r["ok"]:
+                        below += r["ok"] is False
+                        continue
+                    above += 1
+                    x = (r["start_ms"], r["end_ms"], frozenset(r["t"]))
+                    if not any(same(x, k) for k in kept):
+                        kept.append(x)
+                        if len(first) < requested:
+                            first.append({c: r[c] for c in ("video_id", "candidate_id", "start_ms", "end_ms", "score")})
+        yield from clips()
+
+    return rows.mapInArrow(fold, out)
 
 
 def selection_report(clips: DataFrame, requested: int) -> DataFrame:
