@@ -90,7 +90,7 @@ select dir || '/Info.txt' as path, 'Start: ' || format('{:02d}:{:02d}:{:02d}', s
 union all select dir || '/Context.txt', text from f where text <> '' and k < 100 union all select distinct 'video' || video_id || '/About.txt', 'About ' || video_id from f""")
 def _(windows, segments):
     k = F.row_number().over(Window.partitionBy("video_id").orderBy("window_id"))
-    clips = windows.withColumn("index", k).join(R.text_between(windows, segments), ["video_id", "window_id"]).withColumn("stem", F.concat(F.lit("video"), "video_id")).withColumn("context", F.col("text")).withColumn("hooks", F.lit("")).withColumn("caption", F.lit(None).cast("string")).filter("index < 100")
+    clips = windows.withColumn("index", k).join(R.text_between(windows, segments), ["video_id", "window_id"]).withColumn("stem", F.concat(F.lit("video"), "video_id")).withColumn("context", F.col("text")).withColumn("hooks", F.lit("")).withColumn("caption", F.lit(None).cast("string"))
     return A.export_files(clips, windows.select("video_id").distinct().select(F.concat(F.lit("video"), "video_id").alias("stem"), F.concat(F.lit("About "), "video_id").alias("about")))
 
 

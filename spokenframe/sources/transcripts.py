@@ -65,7 +65,7 @@ def export_files(clips: DataFrame, abouts: DataFrame) -> DataFrame:
 
     clips: (video_id, stem, index, start_ms, end_ms, text, context, hooks, caption); abouts: (video_id, stem, about).
     """
-    folder = F.concat("stem", F.lit("/Clip_"), F.lpad(F.col("index").cast("string"), 2, "0"))
+    folder = F.concat("stem", F.lit("/Clip_"), F.format_string("%02d", F.col("index")))
     info = F.concat(F.lit("Start: "), timecode(F.col("start_ms")), F.lit("\nEnd: "), timecode(F.col("end_ms")), F.lit("\nLength: "), clock(F.col("end_ms") - F.col("start_ms")), F.lit("\n\n"), F.when(F.trim(text(F.col("text"))) == "", "(no speech detected)").otherwise(F.trim("text")), F.lit("\n"))
     files = F.array(*[F.struct(F.concat(folder, F.lit(f"/{name}.txt")).alias("path"), content.alias("content")) for name, content in (("Info", info), ("Context", F.col("context")), ("Hooks", F.col("hooks")), ("Caption", F.col("caption")))])
     each = clips.select(F.explode(files).alias("f")).select("f.path", "f.content")

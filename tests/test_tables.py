@@ -22,6 +22,13 @@ def test_read_transcripts(spark, tmp_path):
     assert A.full_text(segs).first().text == "Hello there. Bye"
 
 
+def test_exported_paths_stay_apart_from_the_hundredth_clip_on(spark):
+    clips = spark.range(1, 1101).select(F.lit(1).alias("video_id"), F.lit("v").alias("stem"), "id", F.col("id").cast("int").alias("index"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 500).alias("end_ms"), F.lit("t").alias("text"), F.lit("c").alias("context"), F.lit("").alias("hooks"), F.lit(None).cast("string").alias("caption"))
+    abouts = spark.createDataFrame([(1, "v", "about")], "video_id long, stem string, about string")
+    paths = [x.path for x in A.export_files(clips, abouts).collect()]
+    assert sorted(paths) == sorted([f"v/Clip_{k:02d}/{name}.txt" for k in range(1, 1101) for name in ("Info", "Context")] + ["v/About.txt"])
+
+
 def test_artifacts_replace_only_their_videos(spark, tmp_path):
     path = str(tmp_path / "art")
     A.write_artifact(spark.createDataFrame([(1, "a"), (2, "b")], "video_id long, x string"), path)
