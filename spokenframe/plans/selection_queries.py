@@ -118,7 +118,7 @@ m as (select a.video_id, a.t_ms, a.k, a.n, (select list_sort(list(coalesce(b.mot
 e as (select *, first_value(med) over v as f, last_value(med) over v as l from m window v as (partition by video_id order by t_ms rows between unbounded preceding and unbounded following))
 select a.video_id, a.t_ms, round((select avg(coalesce(b.med, case when a.k + d < 1 then a.f else a.l end)) from range(-2, 3) r(d) left join e b on b.video_id = a.video_id and b.k = a.k + d), 6) as motion from e a""")
 def _(frames):
-    return V.smooth_path(frames.filter("video_id < 3").select("video_id", "t_ms", "motion"), "motion").withColumn("motion", F.round("motion", 6))
+    return V.smooth_path(frames.select("video_id", "t_ms", "motion"), "motion").withColumn("motion", F.round("motion", 6))
 
 
 @query("c17_crop_keyframes", "faces", """with recursive p as (select video_id, t_ms, min(x) as x, min(y) as y, row_number() over (partition by video_id order by t_ms) as r from faces group by 1, 2),
