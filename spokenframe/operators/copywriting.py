@@ -114,5 +114,5 @@ def render_context(*, setting: Column, participants: Column, subject: Column, su
 
 
 def merge_vocabulary(*lists: Column) -> Column:
-    """Terms of all lists, blanks dropped, joined by commas."""
-    return F.concat_ws(", ", F.filter(F.transform(F.concat(*lists), lambda t: F.trim(text(t))), lambda t: t != ""))
+    """Terms of all lists, white space around them cut off, blanks dropped, joined by commas."""
+    return F.concat_ws(", ", F.filter(F.transform(F.concat(*lists), lambda t: F.trim(text(t), F.lit(" \t\n\x0b\f\r"))), lambda t: t != ""))

@@ -323,8 +323,7 @@ def _(candidates, evaluations):
 
 @query("f29_merge_vocabulary", "segments", "select video_id, segment_id, concat_ws(', ', speaker, list_aggregate(list_filter(regexp_split_to_array(text, ' '), lambda w: trim(w) <> ''), 'string_agg', ', ')) as vocabulary from segments where not regexp_matches(text, '\\n')")
 def _(segments):
-    rows = segments.filter("text not like '%\n%'")
-    return rows.select("video_id", "segment_id", W.merge_vocabulary(F.array("speaker"), F.split("text", " "), F.array(F.lit(" "))).alias("vocabulary"))
+    return segments.select("video_id", "segment_id", W.merge_vocabulary(F.array("speaker"), F.split("text", " "), F.array(F.lit(" "))).alias("vocabulary"))
 
 
 @query("f30_rerender_retry", "jobs", "select job_key, 'pending' as render_status from jobs where status = 'running'")

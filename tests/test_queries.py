@@ -2,6 +2,9 @@ from collections import defaultdict
 from statistics import median
 
 import __spark_entry__ as e
+from pyspark.sql import functions as F
+
+from spokenframe.operators import copywriting as W
 from spokenframe.plans.views import view
 
 SMALL = "/root/testdata/sf0.001"
@@ -23,3 +26,12 @@ def test_smooth_path_over_every_video(spark):
     got = {(x.video_id, x.t_ms): x.motion for x in e.queries()["c16_smooth_path"](spark, SMALL).collect()}
     assert len({v for v, _ in want}) > 3 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_vocabulary_keeps_texts_of_several_lines(spark):
+    row = spark.createDataFrame([(["a\n", "\n", " b c\t", "x\ny", None],)], "terms array<string>")
+    assert row.select(W.merge_vocabulary(F.array(F.lit(" n ")), "terms").alias("v")).first().v == "n, a, b c, x\ny"
+    segments = {(x.video_id, x.segment_id): [x.speaker, *x.text.split(" ")] for x in view(spark, SMALL, "segments").collect()}
+    got = {(x.video_id, x.segment_id): x.vocabulary for x in e.queries()["f29_merge_vocabulary"](spark, SMALL).collect()}
+    assert any("\n" in " ".join(terms) for terms in segments.values())
+    assert got == {k: ", ".join(t.strip(" \t\n\v\f\r") for t in terms if t.strip(" \t\n\v\f\r")) for k, terms in segments.items()}
