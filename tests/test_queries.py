@@ -1,4 +1,5 @@
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from statistics import median
 
 import __spark_entry__ as e
@@ -35,3 +36,25 @@ def test_vocabulary_keeps_texts_of_several_lines(spark):
     got = {(x.video_id, x.segment_id): x.vocabulary for x in e.queries()["f29_merge_vocabulary"](spark, SMALL).collect()}
     assert any("\n" in " ".join(terms) for terms in segments.values())
     assert got == {k: ", ".join(t.strip(" \t\n\v\f\r") for t in terms if t.strip(" \t\n\v\f\r")) for k, terms in segments.items()}
+
+
+def test_timecodes_from_an_hour_on(spark, tmp_path):
+    rows = [(1, 0, "user", "word " * 9_500), (1, 1, "assistant", "late words")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {x.segment_id: (x.code, x.clock) for x in e.queries()["e20_timecode"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {0, 1} and got[1][0] == f"0{got[1][1]}" and got[1][1].startswith("1:0")
+
+
+def test_layout_of_faces_at_the_edge(spark):
+    want = Counter()
+    for x in view(spark, SMALL, "faces").collect():
+        chars = 22 if x.x <= 0 or x.w <= 0 else min(42, max(12, math.floor(x.x * 0.86 / (0.62 * x.w))))
+        want[x.video_id, x.t_ms, x.face_no, chars, x.x <= 0] += 1
+    assert any(k[4] for k in want)
+    got = Counter((x.video_id, x.t_ms, x.face_no, x.chars) for x in e.queries()["e21_caption_layout"](spark, SMALL).collect())
+    assert got == sum((Counter({k[:4]: n}) for k, n in want.items()), Counter())
+
+
+def test_safe_names_of_whole_texts(spark):
+    names = [x.name for x in e.queries()["e19_safe_name"](spark, SMALL).collect()]
+    assert len(names) == view(spark, SMALL, "segments").count() and max(map(len, names)) == 120 + len(".mp4")
