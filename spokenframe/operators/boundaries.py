@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.text import is_low_value, starts_dependently, words_of
 from ..sources.shared import written
-from .ranges import near_points, overlapping, text_in_window, word_at, words_in_windows
-from .segments import ends_sentence
+from .ranges import near_points, overlapping, range_join, text_in_window, texts_in, words_in_windows
+from .segments import ends_sentence, pause_points, sentence_ends, sentence_starts
 
 LEAD_IN, LEAD_OUT = 180, 350
 FORWARD_START, FORWARD_END = 6000, 8000
+#: How far a scene cut may lie.
+CUT_REACH = 1200
 KEYS = ["video_id", "window_id"]
 
 
@@ -32,42 +34,69 @@ def _with_limits(windows: DataFrame, min_ms: int, max_ms: int, media: DataFrame
     for name, value in (("min_ms", min_ms), ("max_ms", max_ms)):
         windows = windows if name in windows.columns else windows.withColumn(name, F.lit(value).cast("bigint"))
     if "total_ms" not in windows.columns:
-        windows = windows.join(media.select("video_id", F.col("duration_ms").alias("total_ms")), "video_id", "left") if media is not None else windows.withColumn("total_ms", F.lit(None).cast("bigint"))
+        windows = windows.join(media.select("video_id", F.col("duration_ms").alias("total_ms")).hint("merge"), "video_id", "left") if media is not None else windows.withColumn("total_ms", F.lit(None).cast("bigint"))
     return windows if "floor_ms" in windows.columns else windows.withColumn("floor_ms", F.lit(None).cast("bigint"))
 
 
-def _found(windows: DataFrame, at: Column, points: DataFrame, near_ms: int, ahead_ms: int, prefix: str, floor: bool = False) -> DataFrame:
-    """(keys, <prefix>_near, <prefix>_next): nearest point within near_ms (of equals the later), first point in (t, t + ahead_ms]."""
-    probes = windows.select("video_id", F.col("window_id").alias("probe_id"), at.cast("bigint").alias("t_ms"))
-    hit = near_points(probes, points, near_ms, max(near_ms, ahead_ms))
-    if floor:
-        hit = hit.join(windows.select("video_id", F.col("window_id").alias("probe_id"), "floor_ms"), ["video_id", "probe_id"]).filter(F.col("floor_ms").isNull() | (F.col("point") >= F.col("floor_ms") - 50))
-    off = F.abs(F.col("point") - F.col("p"))
-    near = F.min_by(F.when(off <= near_ms, F.col("point")), F.when(off <= near_ms, F.struct(off, -F.col("point"))))
-    ahead = F.min(F.when((F.col("point") > F.col("p")) & (F.col("point") <= F.col("p") + ahead_ms), F.col("point")))
-    return hit.groupBy("video_id", F.col("probe_id").alias("window_id")).agg(near.alias(f"{prefix}_near"), ahead.alias(f"{prefix}_next"))
+def boundary_points(words: DataFrame, segments: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(video_id, point, kind): all points that edges snap to: sentence starts and ends, pauses and scene cuts."""
+    kinds = {"start": sentence_starts(words, segments), "end": sentence_ends(words, segments), "pause": pause_points(words), "cut": scenes.select("video_id", F.col("start_ms").alias("point")).distinct()}
+    out = None
+    for kind, points in kinds.items():
+        rows = points.select("video_id", "point", F.lit(kind).alias("kind"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def _whole_word(windows: DataFrame, column: str, words: DataFrame) -> DataFrame:
-    """(keys, w_start, w_end) of the word at a moment."""
-    probes = windows.select("video_id", F.col("window_id").alias("probe_id"), F.col(column).cast("bigint").alias("t_ms"))
-    at = word_at(probes, words).filter("word_idx is not null").select("video_id", F.col("probe_id").alias("window_id"), "word_idx")
-    return at.join(words.select("video_id", "word_idx", F.col("start_ms").alias(f"{column}_ws"), F.col("end_ms").alias(f"{column}_we")), ["video_id", "word_idx"]).drop("word_idx")
+def _edges(windows: DataFrame, start: str, end: str) -> DataFrame:
+    """Two rows of each window: (keys, edge, p, floor_ms)."""
+    edge = F.explode(F.array(F.struct(F.lit("start").alias("edge"), F.col(start).cast("bigint").alias("p")), F.struct(F.lit("end").alias("edge"), F.col(end).cast("bigint").alias("p"))))
+    return windows.select(*KEYS, "floor_ms", edge.alias("x")).select(*KEYS, "floor_ms", "x.edge", "x.p")
 
 
-def refine_boundaries(windows: DataFrame, words: DataFrame, segments: DataFrame, starts: DataFrame, ends: DataFrame, pauses: DataFrame, cuts: DataFrame, *, media: DataFrame | None = None, min_ms: int = 20_000, max_ms: int = 60_000, search_ms: int = 2500) -> DataFrame:
-    """(keys, start_ms, end_ms, start_kind, end_kind, opens_mid_sentence, ends_mid_sentence).
+def _snapped(windows: DataFrame, points: DataFrame, search_ms: int) -> DataFrame:
+    """(keys, ss_near, ss_next, sc_near, sp_near, es_near, es_next, ep_near, ec_near), one join for both edges and all kinds of points.
+
+    near: the nearest point within reach, of equals the later; next: the first point ahead.
+    """
+    c = F.col
+    probes = _edges(windows, "start_ms", "end_ms").withColumn("lo", c("p") - max(search_ms, CUT_REACH)).withColumn("hi", c("p") + F.when(c("edge") == "start", max(search_ms, CUT_REACH, FORWARD_START)).otherwise(max(search_ms, CUT_REACH, FORWARD_END)))
+    hit = range_join(probes, points, ("lo", "hi"), ("point", "point"), c("point").between(c("lo"), c("hi")))
+    free = c("floor_ms").isNull() | (c("point") >= c("floor_ms") - 50)
+    off = F.abs(c("point") - c("p"))
+
+    def near(edge: str, kind: str, reach: int, more: Column | None = None) -> Column:
+        ok = (c("edge") == edge) & (c("kind") == kind) & (off <= reach)
+        ok = ok if more is None else ok & more
+        return F.min_by(F.when(ok, c("point")), F.when(ok, F.struct(off, -c("point"))))
+
+    def following(edge: str, kind: str, reach: int, more: Column | None = None) -> Column:
+        ok = (c("edge") == edge) & (c("kind") == kind) & (c("point") > c("p")) & (c("point") <= c("p") + reach)
+        return F.min(F.when(ok if more is None else ok & more, c("point")))
+
+    return hit.groupBy(*KEYS).agg(
+        near("start", "start", search_ms, free).alias("ss_near"), following("start", "start", FORWARD_START, free).alias("ss_next"), near("start", "cut", CUT_REACH).alias("sc_near"), near("start", "pause", search_ms).alias("sp_near"),
+        near("end", "end", search_ms).alias("es_near"), following("end", "end", FORWARD_END).alias("es_next"), near("end", "pause", search_ms).alias("ep_near"), near("end", "cut", CUT_REACH).alias("ec_near"),
+    )
+
+
+def _whole_words(windows: DataFrame, words: DataFrame) -> DataFrame:
+    """(keys, s1_ws, e1_we): where the word at s1 starts, and where the word at e1 ends."""
+    c = F.col
+    hit = range_join(_edges(windows, "s1", "e1"), words.select("video_id", "word_idx", "start_ms", "end_ms"), ("p", "p"), ("start_ms", "end_ms"), c("p").between(c("start_ms"), c("end_ms")))
+    first = lambda edge, value: F.min_by(F.when(c("edge") == edge, c(value)), F.when(c("edge") == edge, F.struct("start_ms", "word_idx")))
+    return hit.groupBy(*KEYS).agg(first("start", "start_ms").alias("s1_ws"), first("end", "end_ms").alias("e1_we"))
+
+
+def refine_boundaries(windows: DataFrame, words: DataFrame, segments: DataFrame, points: DataFrame, *, media: DataFrame | None = None, min_ms: int = 20_000, max_ms: int = 60_000, search_ms: int = 2500) -> DataFrame:
+    """(keys, start_ms, end_ms, start_kind, end_kind, opens_mid_sentence, ends_mid_sentence); points as from boundary_points.
 
     Starts prefer a sentence start near by, the next one ahead, a scene cut, a pause; ends a
     sentence end near by, the next one ahead, a pause, a scene cut.  Then no word is cut, a
     little is added, short windows grow and long ones lose their front.
     """
     w = _with_limits(windows, min_ms, max_ms, media)
-    for f in (
-        _found(w, F.col("start_ms"), starts, search_ms, FORWARD_START, "ss", floor=True), _found(w, F.col("start_ms"), cuts, 1200, 0, "sc"), _found(w, F.col("start_ms"), pauses, search_ms, 0, "sp"),
-        _found(w, F.col("end_ms"), ends, search_ms, FORWARD_END, "es"), _found(w, F.col("end_ms"), pauses, search_ms, 0, "ep"), _found(w, F.col("end_ms"), cuts, 1200, 0, "ec"),
-    ):
-        w = w.join(f.hint("merge"), KEYS, "left")
+    w = w.join(_snapped(w, points, search_ms).hint("merge"), KEYS, "left")
     c = F.col
     ahead = F.when(c("end_ms") - c("ss_next") >= c("min_ms"), c("ss_next"))
     w = w.withColumn("s1", F.coalesce("ss_near", ahead, "sc_near", "sp_near", "start_ms")).withColumn(
@@ -76,7 +105,7 @@ def refine_boundaries(windows: DataFrame, words: DataFrame, segments: DataFrame,
     w = w.withColumn("e1", F.coalesce("es_near", late, "ep_near", "ec_near", "end_ms")).withColumn(
         "ek", F.when(c("es_near").isNotNull(), "sentence").when(late.isNotNull(), "sentence(forward)").when(c("ep_near").isNotNull(), "pause").when(c("ec_near").isNotNull(), "scene").otherwise("requested"))
     w = written(w.select(*KEYS, "min_ms", "max_ms", "total_ms", "floor_ms", "s1", "sk", "e1", "ek"), "snapped")
-    w = w.join(_whole_word(w, "s1", words).hint("merge"), KEYS, "left").join(_whole_word(w, "e1", words).hint("merge"), KEYS, "left")
+    w = w.join(_whole_words(w, words).hint("merge"), KEYS, "left")
     in_s, in_e = F.coalesce(c("s1") > c("s1_ws") + 20, F.lit(False)), F.coalesce(c("e1") < c("e1_we") - 20, F.lit(False))
     total = F.when(c("total_ms") > 0, c("total_ms").cast("double"))
     first = F.struct(
@@ -99,31 +128,34 @@ def refine_boundaries(windows: DataFrame, words: DataFrame, segments: DataFrame,
     w = written(w.withColumn("cut", F.when(c("e") - c("s") > c("max_ms"), c("e") - c("max_ms"))), "grown")
     # too long: the front goes, to the first sentence start that leaves enough
     long = w.filter("cut is not null")
-    probes = long.select("video_id", F.col("window_id").alias("probe_id"), F.ceil("cut").cast("bigint").alias("t_ms"))
-    reach = near_points(probes, starts, 2000, max_ms).join(long.select("video_id", F.col("window_id").alias("probe_id"), "cut", "e", "min_ms", "floor_ms"), ["video_id", "probe_id"])
+    probes = long.select(*KEYS, "cut", "e", "min_ms", "floor_ms", (F.ceil("cut") - 2000).alias("lo"), (F.ceil("cut") + c("max_ms")).alias("hi"))
+    reach = range_join(probes, points.filter("kind = 'start'").drop("kind"), ("lo", "hi"), ("point", "point"), c("point").between(c("lo"), c("hi")))
     reach = reach.filter(c("floor_ms").isNull() | (c("point") >= c("floor_ms") - 50))
     off = F.abs(c("point") - c("cut"))
-    trims = reach.groupBy("video_id", c("probe_id").alias("window_id")).agg(
+    trims = reach.groupBy(*KEYS).agg(
         F.min(F.when((c("point") >= c("cut")) & (c("e") - c("point") >= c("min_ms")), c("point"))).alias("t_next"),
         F.min_by(F.when(off <= 2000, c("point")), F.when(off <= 2000, F.struct(off, -c("point")))).alias("t_near"))
     w = w.join(trims.hint("merge"), KEYS, "left")
     w = w.withColumn("s", F.when(c("cut").isNull(), c("s")).otherwise(F.coalesce(c("t_next"), F.when(c("t_near") < c("e"), c("t_near")), c("cut"))))
     out = written(w.select(*KEYS, F.round(F.greatest(F.lit(0.0), "s")).cast("bigint").alias("start_ms"), F.round("e").cast("bigint").alias("end_ms"), "start_kind", "end_kind"), "refined")
-    opening = text_in_window(out.select(*KEYS, "start_ms", (c("start_ms") + 6000).alias("end_ms")), words, segments).withColumnRenamed("text", "opening")
-    ending = text_in_window(out.select(*KEYS, F.greatest(F.lit(0), c("end_ms") - 6000).alias("start_ms"), "end_ms"), words, segments).withColumnRenamed("text", "ending")
-    out = out.join(opening.hint("merge"), KEYS, "left").join(ending.hint("merge"), KEYS, "left")
+    said = texts_in(out, words, segments, opening=(c("start_ms"), c("start_ms") + 6000), ending=(F.greatest(F.lit(0), c("end_ms") - 6000), c("end_ms")))
+    out = out.join(said.select(*KEYS, "opening", "ending").hint("merge"), KEYS, "left")
     return out.withColumn("opens_mid_sentence", starts_dependently(c("opening"))).withColumn("ends_mid_sentence", (F.coalesce("ending", F.lit("")) != "") & ~ends_sentence(c("ending"))).drop("opening", "ending")
 
 
 def expand_for_context(windows: DataFrame, words: DataFrame, segments: DataFrame, starts: DataFrame, *, max_ms: int = 60_000, lookback_ms: int = 12_000) -> DataFrame:
-    """(keys, start_ms, end_ms): the start moves back to the latest sentence start whose first 6 s don't lean on what came before."""
-    w = windows.select(*KEYS, "start_ms", "end_ms")
-    probes = w.select("video_id", F.col("window_id").alias("probe_id"), F.col("start_ms").alias("t_ms"))
-    back = near_points(probes, starts, lookback_ms, 0).filter("point < p").join(w.select("video_id", F.col("window_id").alias("probe_id"), "end_ms"), ["video_id", "probe_id"]).filter(F.col("end_ms") - F.col("point") <= max_ms)
+    """(keys, start_ms, end_ms): the start moves back to the latest sentence start whose first 6 s don't lean on what came before.
+
+    A column lookback_ms of windows, where there is one, takes the parameter's place.
+    """
+    reach = F.coalesce("lookback_ms", F.lit(lookback_ms)) if "lookback_ms" in windows.columns else F.lit(lookback_ms)
+    w = windows.select(*KEYS, "start_ms", "end_ms", (F.col("start_ms") - reach).alias("lo"))
+    back = range_join(w, starts, ("lo", "start_ms"), ("point", "point"), (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("start_ms")) & (F.col("end_ms") - F.col("point") <= max_ms))
+    w, back = w.drop("lo"), back.select(*KEYS, "point")
     # openings belong to points, not windows: each is read once
     points = back.select("video_id", F.col("point").alias("window_id"), F.col("point").alias("start_ms"), (F.col("point") + 6000).alias("end_ms")).distinct()
     clean = text_in_window(points, words, segments).filter((F.col("text") != "") & ~starts_dependently(F.col("text"))).select("video_id", F.col("window_id").alias("point"))
-    best = back.join(clean.hint("merge"), ["video_id", "point"]).groupBy("video_id", F.col("probe_id").alias("window_id")).agg(F.max("point").alias("point"))
+    best = back.join(clean.hint("merge"), ["video_id", "point"]).groupBy(*KEYS).agg(F.max("point").alias("point"))
     return w.join(best.hint("merge"), KEYS, "left").select(*KEYS, F.when(F.col("point").isNull(), F.col("start_ms")).otherwise(F.greatest(F.lit(0), F.col("point") - LEAD_IN)).alias("start_ms"), "end_ms")
 
 
@@ -142,7 +174,7 @@ def complete_ending(windows: DataFrame, words: DataFrame, segments: DataFrame, p
     w = w.withColumn("moved", F.coalesce(later, sooner))
     # trailing connectives: the last words of what is still open
     stuck = w.filter("open and moved is null")
-    last = words_in_windows(stuck.select(*KEYS, "start_ms", "end_ms"), words, segments).groupBy(*KEYS).agg(F.expr("slice(array_sort(collect_list(struct(word_idx, word, end_ms)), (a, b) -> case when a.word_idx > b.word_idx then -1 else 1 end), 1, 40)").alias("last"))
+    last = words_in_windows(stuck.select(*KEYS, "start_ms", "end_ms"), words, segments).groupBy(*KEYS).agg(F.expr("array_sort(collect_list(struct(word_idx, word, end_ms)), (a, b) -> case when a.word_idx > b.word_idx then -1 else 1 end)").alias("last"))
     dangling = "lower(trim(both ',.!?\"'')' from trim(element_at(last, i).word))) in (" + ", ".join(f"'{x}'" for x in L.DANGLING) + ")"
     fold = f"""aggregate(sequence(1, greatest(1, size(last) - 1)), struct(end_ms as e, true as go), (a, i) ->
       if(a.go and i < size(last) and {dangling} and element_at(last, i + 1).end_ms - start_ms >= min_ms and element_at(last, i + 1).end_ms >= end_ms - {trim_ms},

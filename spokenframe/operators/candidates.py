@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import anchor_score, confrontation_score, is_low_value, lexical_density, starts_dependently, words_of
-from .ranges import scene_count_between, speakers_between, text_in_window, words_in_windows
+from ..sources.shared import written
+from .ranges import BIN_MS, range_join, scene_count_between, texts_in
 from .segments import ends_sentence
-from .signals import clip, dynamics_score, exchange_rate_score, reaction_score, shouting_score, visual_interest
+from .signals import clip, dynamics, exchange_rate, loudness_levels, reaction_score, rise, shouting, visual_interest
 
 #: The share of each factor in a window's score.
 WEIGHTS = {
@@ -46,15 +47,22 @@ def candidate_windows(anchored: DataFrame, *, min_ms: int = 20_000, max_ms: int
 
 def opening_and_ending(windows: DataFrame, words: DataFrame, segments: DataFrame, opening_ms: int = 6000, ending_ms: int = 7000) -> DataFrame:
     """(keys, opening, ending): what is said in the first and last seconds of each window."""
-    head = text_in_window(windows.select(*KEYS, "start_ms", (F.col("start_ms") + opening_ms).alias("end_ms")), words, segments).withColumnRenamed("text", "opening")
-    tail = text_in_window(windows.select(*KEYS, F.greatest(F.lit(0), F.col("end_ms") - ending_ms).alias("start_ms"), "end_ms"), words, segments).withColumnRenamed("text", "ending")
-    return head.join(tail, KEYS)
+    c = F.col
+    return texts_in(windows, words, segments, opening=(c("start_ms"), c("start_ms") + opening_ms), ending=(F.greatest(F.lit(0), c("end_ms") - ending_ms), c("end_ms"))).select(*KEYS, "opening", "ending")
+
+
+def places(x: Column, n: int = 4) -> Column:
+    """x to n places; decided on nine, so that the last bits of a sum don't move a tie."""
+    return F.round(F.round(x, 9), n)
 
 
-def window_factors(*, text: Column, opening: Column, ending: Column, ms: Column, trigger: Column, n_speakers: Column, scene_count: Column, visual: Column, dynamics: Column, reaction: Column) -> Column:
-    """The nine factors of a window as a struct; missing visual, dynamics and reaction count .45, .5 and 0."""
+def window_factors(*, text: Column, opening: Column, ending: Column, ms: Column, trigger: Column, n_speakers: Column, scene_count: Column, visual: Column, dynamics: Column, reaction: Column, triggers=L.TRIGGERS, low_value: str = L.LOW_VALUE) -> Column:
+    """The nine factors of a window as a struct; missing visual, dynamics and reaction count .45, .5 and 0.
+
+    A trigger that triggers doesn't name matches nothing.
+    """
     pace = F.size(words_of(text)) / F.greatest(ms / 1000.0, F.lit(0.001))
-    clarity = clip(pace / 2.6, 0, 1) * F.when(pace < 0.9, 0.6).otherwise(1.0) * F.when(is_low_value(text), 0.35).otherwise(1.0)
+    clarity = clip(pace / 2.6, 0, 1) * F.when(pace < 0.9, 0.6).otherwise(1.0) * F.when(is_low_value(text, low_value), 0.35).otherwise(1.0)
     dependent, ended = starts_dependently(opening), ends_sentence(ending)
     complete = 0.5 + F.when(~dependent, 0.25).otherwise(0.0) + F.when(ended, 0.25).otherwise(0.0)
     structure = F.lit(0.3)
@@ -63,65 +71,97 @@ def window_factors(*, text: Column, opening: Column, ending: Column, ms: Column,
     structure = F.least(F.lit(1.0), structure + F.when(n_speakers > 1, 0.1).otherwise(0.0))
     seen = F.coalesce(visual, F.lit(0.45)) * F.when(scene_count > 6, 0.8).otherwise(1.0)
     heard = F.coalesce(reaction, F.lit(0.0))
-    pattern = {name: f"(?i){p}" for name, _, p in L.TRIGGERS}
-    tells = opening.rlike(pattern["story"]) | opening.rlike(r"\?\s*$")
-    hooked = F.array_contains(F.array(*[opening.rlike(p) for p in pattern.values()]), True)
-    strong = F.when(tells, 0.9).when(hooked, 0.7).otherwise(0.35) * F.when(dependent, 0.5).otherwise(1.0)
-    lands = ending.rlike(pattern["conclusion"]) | ending.rlike(pattern["lesson"]) | ending.rlike(pattern["number"])
+    pattern = {name: f"(?i){p}" for name, _, p in triggers}
+    matches = lambda c, *names: F.greatest(F.lit(False), *[c.rlike(pattern[n]) for n in names if n in pattern])
+    tells = matches(opening, "story", "story") | opening.rlike(r"\?\s*$")
+    strong = F.when(tells, 0.9).when(matches(opening, *pattern), 0.7).otherwise(0.35) * F.when(dependent, 0.5).otherwise(1.0)
+    lands = matches(ending, "conclusion", "lesson", "number")
     payoff = F.when(lands, 0.95).when(ended, 0.7).otherwise(0.35)
     payoff = F.least(F.lit(1.0), payoff + F.when(heard > 0.25, 0.2).otherwise(0.0))
     values = (clarity, complete, structure, seen, F.coalesce(dynamics, F.lit(0.5)), heard, lexical_density(text), strong, payoff)
-    return F.struct(*[F.round(v, 4).alias(n) for n, v in zip(WEIGHTS, values, strict=True)])
+    return F.struct(*[places(v).alias(n) for n, v in zip(WEIGHTS, values, strict=True)])
 
 
 def opening_punch(*, shouting: Column, confrontation: Column, exchange: Column, lead_in_ms: Column, silent: Column) -> Column:
-    """How hard the first seconds hit; 0.05 if nothing is said in them."""
-    return F.when(silent, 0.05).otherwise(clip(0.40 * shouting + 0.30 * confrontation + 0.15 * exchange + 0.15 * clip(1 - lead_in_ms / 1200.0, 0, 1), 0, 1))
+    """How hard the first seconds hit, to four places; 0.05 if nothing is said in them.  No lead_in_ms: no word begins, which earns nothing."""
+    prompt = F.coalesce(0.15 * clip(1 - lead_in_ms / 1200.0, 0, 1), F.lit(0.0))
+    return places(F.when(silent, 0.05).otherwise(clip(0.40 * shouting + 0.30 * confrontation + 0.15 * exchange + prompt, 0, 1)))
 
 
 def conflict_profile(*, shouting: Column, exchange: Column, confrontation: Column, punch: Column) -> Column:
-    """(intensity, note) of a window."""
-    note = F.concat_ws(", ", F.when(shouting > 0.5, "raised voices"), F.when(exchange > 0.5, "rapid back-and-forth"), F.when(confrontation > 0.4, "direct confrontation"), F.when(punch > 0.6, "strong opening"))
-    return F.struct(clip(0.34 * shouting + 0.28 * exchange + 0.38 * confrontation, 0, 1).alias("intensity"), note.alias("note"))
+    """(intensity, note) of a window; measures count to four places in the note."""
+    over = lambda c, limit: places(c) > limit
+    note = F.concat_ws(", ", F.when(over(shouting, 0.5), "raised voices"), F.when(over(exchange, 0.5), "rapid back-and-forth"), F.when(over(confrontation, 0.4), "direct confrontation"), F.when(over(punch, 0.6), "strong opening"))
+    return F.struct(places(clip(0.34 * shouting + 0.28 * exchange + 0.38 * confrontation, 0, 1)).alias("intensity"), note.alias("note"))
+
+
+def raised_factors(factors: Column, punch: Column, intensity: Column) -> Column:
+    """factors with the opening's strength and the emotional reaction raised by the first seconds and by the conflict."""
+    strength = places(F.least(F.lit(1.0), 0.45 * factors["opening_strength"] + 0.55 * punch))
+    feeling = places(F.least(F.lit(1.0), F.greatest(factors["emotional_reaction"], intensity)))
+    return factors.withField("opening_strength", strength).withField("emotional_reaction", feeling)
 
 
 def heuristic_score(factors: Column, anchor: Column, punch: Column, intensity: Column, weights: dict[str, float] = WEIGHTS, opening_weight: float = 0.22, conflict_weight: float = 0.18) -> Column:
-    """One number from the factors, the anchor, the opening and the conflict."""
+    """One number from the (raised) factors, the anchor, the opening and the conflict."""
     total = sum(weights.values()) or 1.0
-    strength = F.round(F.least(F.lit(1.0), 0.45 * factors["opening_strength"] + 0.55 * punch), 4)
-    feeling = F.round(F.least(F.lit(1.0), F.greatest(factors["emotional_reaction"], intensity)), 4)
-    value = {n: factors[n] for n in weights} | {"opening_strength": strength, "emotional_reaction": feeling}
-    base = sum((F.lit(w / total) * value[n] for n, w in weights.items()), F.lit(0.0))
+    base = sum((F.lit(w / total) * factors[n] for n, w in weights.items()), F.lit(0.0))
     base = 0.82 * base + 0.18 * clip(anchor, 0, 1)
-    return F.round(max(0.0, 1 - opening_weight - conflict_weight) * base + opening_weight * punch + conflict_weight * intensity, 4)
-
+    return places(max(0.0, 1 - opening_weight - conflict_weight) * base + opening_weight * punch + conflict_weight * intensity)
 
-def opening_features(windows: DataFrame, words: DataFrame, segments: DataFrame, turns: DataFrame, audio_frames: DataFrame, hop_ms: int, opening_ms: int = 3000) -> DataFrame:
-    """(keys, punch): opening_punch of each window from its first seconds."""
-    head = windows.select(*KEYS, "start_ms", (F.col("start_ms") + opening_ms).alias("end_ms"))
-    wide = windows.select(*KEYS, "start_ms", (F.col("start_ms") + opening_ms + 2000).alias("end_ms"))
-    said = words_in_windows(head, words, segments).groupBy(*KEYS).agg(F.min("start_ms").alias("first_ms"))
-    rows = head.join(said, KEYS, "left").join(text_in_window(head, words, segments), KEYS).join(shouting_score(head, audio_frames, hop_ms), KEYS).join(exchange_rate_score(wide, turns), KEYS)
-    lead = F.greatest(F.lit(0), F.coalesce("first_ms", "end_ms") - F.col("start_ms"))
-    return rows.select(*KEYS, opening_punch(shouting=F.col("shouting"), confrontation=confrontation_score(F.col("text")), exchange=F.col("exchange"), lead_in_ms=lead, silent=F.trim("text") == "").alias("punch"))
 
+def window_measures(windows: DataFrame, words: DataFrame, segments: DataFrame, turns: DataFrame, audio_frames: DataFrame, events: DataFrame, frames: DataFrame, scenes: DataFrame, *, hop_ms: int, head_ms: int = 3000, least_words: int = 18) -> DataFrame:
+    """windows with everything that scores need: texts, speakers, scene count, and measures of loudness, turns, frames and events.
 
-def score_windows(windows: DataFrame, words: DataFrame, segments: DataFrame, turns: DataFrame, audio_frames: DataFrame, events: DataFrame, frames: DataFrame, scenes: DataFrame, *, hop_ms: int, least_words: int = 18) -> DataFrame:
-    """windows (keys, start_ms, end_ms, anchor, trigger, ...) with text, factors, punch, intensity, note and heuristic_score.
+    Each source meets the windows in one range join, whose conditional aggregates serve the whole window, its
+    opening, its ending and its first seconds; the narrow results are written and joined once.
+    Windows with fewer than least_words words are left out.
+    """
+    c = F.col
+    head = c("start_ms") + head_ms
+    said = texts_in(windows, words, segments, text=(c("start_ms"), c("end_ms")), opening=(c("start_ms"), c("start_ms") + 6000), ending=(F.greatest(F.lit(0), c("end_ms") - 7000), c("end_ms")), head=(c("start_ms"), head))
+    said = said.filter(F.size(words_of(c("text"))) >= least_words).select(*KEYS, "text", "opening", "ending", "head", "head_first")
+    rows = written(windows.join(said.hint("merge"), KEYS), "spoken-windows")
+    spans = rows.select(*KEYS, "start_ms", "end_ms")
+
+    # loudness: frames of the window and of its first seconds
+    own = spans.select(*KEYS, F.greatest(F.lit(0), F.floor(c("start_ms") / hop_ms)).alias("lo"), (F.floor(c("end_ms") / hop_ms) - 1).alias("hi"), (F.floor((c("start_ms") + head_ms) / hop_ms) - 1).alias("head_hi"))
+    own = own.withColumn("last", F.greatest("hi", "head_hi"))
+    heard = range_join(own, audio_frames.select("video_id", "frame_idx", "rms_db"), ("lo", "last"), ("frame_idx", "frame_idx"), c("frame_idx").between(c("lo"), c("last")), width=max(1, BIN_MS // hop_ms))
+    heard = heard.join(loudness_levels(audio_frames).hint("merge"), "video_id").withColumn("above", rise(c("rms_db"), c("voiced_db"), c("loud_db")))
+    whole = c("frame_idx") <= c("hi")
+    loud = heard.groupBy(*KEYS).agg(
+        shouting(F.when(whole, c("above"))).alias("shouting"), shouting(F.when(c("frame_idx") <= c("head_hi"), c("above"))).alias("head_shouting"),
+        dynamics(F.when(whole, c("rms_db")), F.when(whole, c("rms_db") < c("median_db") - 22)).alias("dynamics"),
+    )
+
+    # turns: who speaks, and how often that changes
+    long = spans.select(*KEYS, c("start_ms").alias("w_start"), c("end_ms").alias("own_end"), (c("start_ms") + head_ms + 2000).alias("head_end")).withColumn("w_end", F.greatest("own_end", "head_end"))
+    near = range_join(long, turns.select("video_id", "turn_idx", "speaker", "start_ms", "end_ms"), ("w_start", "w_end"), ("start_ms", "end_ms"), (c("end_ms") > c("w_start")) & (c("start_ms") < c("w_end")))
+    turn = F.struct("turn_idx", "speaker")
+    talk = near.groupBy(*KEYS, "w_start", "own_end", "head_end").agg(F.array_sort(F.collect_list(F.when(c("start_ms") < c("own_end"), turn))).alias("own"), F.array_sort(F.collect_list(F.when(c("start_ms") < c("head_end"), turn))).alias("first"))
+    talk = talk.select(*KEYS, F.array_compact(F.array_distinct(F.transform("own", lambda x: x["speaker"]))).alias("speakers"), exchange_rate(c("own"), c("own_end") - c("w_start")).alias("exchange"), exchange_rate(c("first"), c("head_end") - c("w_start")).alias("head_exchange"))
+
+    tables = {"loud": loud, "talk": talk, "cuts": scene_count_between(spans, scenes), "seen": visual_interest(spans, frames), "heard": reaction_score(spans, events)}
+    for name, table in tables.items():
+        rows = rows.join(written(table, name).hint("merge"), KEYS, "left")
+    defaults = {"shouting": 0.0, "head_shouting": 0.0, "dynamics": 0.3, "exchange": 0.0, "head_exchange": 0.0}
+    rows = rows.withColumns({n: F.coalesce(c(n), F.lit(v)) for n, v in defaults.items()})
+    return rows.withColumn("speakers", F.coalesce("speakers", F.array().cast("array<string>")))
+
+
+def score_windows(windows: DataFrame, words: DataFrame, segments: DataFrame, turns: DataFrame, audio_frames: DataFrame, events: DataFrame, frames: DataFrame, scenes: DataFrame, *, hop_ms: int, least_words: int = 18, triggers=L.TRIGGERS, low_value: str = L.LOW_VALUE, confrontation=L.CONFRONTATION) -> DataFrame:
+    """windows (keys, start_ms, end_ms, anchor, trigger, ...) with text, speakers, scene_count, factors (raised by opening and conflict), punch, conflict and heuristic_score.
 
     Windows with fewer than least_words words are left out.
     """
-    text = text_in_window(windows, words, segments).filter(F.size(words_of(F.col("text"))) >= least_words)
-    rows = windows.join(text.hint("merge"), KEYS)
-    for f in (
-        opening_and_ending(windows, words, segments), speakers_between(windows, turns), scene_count_between(windows, scenes), visual_interest(windows, frames),
-        dynamics_score(windows, audio_frames, hop_ms), reaction_score(windows, events), shouting_score(windows, audio_frames, hop_ms), exchange_rate_score(windows, turns),
-        opening_features(windows, words, segments, turns, audio_frames, hop_ms),
-    ):
-        rows = rows.join(f.hint("merge"), KEYS)
     c = F.col
-    factors = window_factors(text=c("text"), opening=c("opening"), ending=c("ending"), ms=c("end_ms") - c("start_ms"), trigger=c("trigger"), n_speakers=F.size("speakers"), scene_count=c("scene_count"), visual=c("interest"), dynamics=c("dynamics"), reaction=c("reaction"))
-    rows = rows.withColumn("factors", factors).withColumn("conflict", conflict_profile(shouting=c("shouting"), exchange=c("exchange"), confrontation=confrontation_score(c("text")), punch=c("punch")))
+    rows = window_measures(windows, words, segments, turns, audio_frames, events, frames, scenes, hop_ms=hop_ms, least_words=least_words)
+    factors = window_factors(text=c("text"), opening=c("opening"), ending=c("ending"), ms=c("end_ms") - c("start_ms"), trigger=c("trigger"), n_speakers=F.size("speakers"), scene_count=c("scene_count"), visual=c("interest"), dynamics=c("dynamics"), reaction=c("reaction"), triggers=triggers, low_value=low_value)
+    punch = opening_punch(shouting=c("head_shouting"), confrontation=confrontation_score(c("head"), confrontation), exchange=c("head_exchange"), lead_in_ms=c("head_first") - c("start_ms"), silent=F.trim("head") == "")
+    rows = rows.withColumn("factors", factors).withColumn("punch", punch)
+    rows = rows.withColumn("conflict", conflict_profile(shouting=c("shouting"), exchange=c("exchange"), confrontation=confrontation_score(c("text"), confrontation), punch=c("punch")))
+    rows = rows.withColumn("factors", raised_factors(c("factors"), c("punch"), c("conflict.intensity")))
     rows = rows.withColumn("heuristic_score", heuristic_score(c("factors"), c("anchor"), c("punch"), c("conflict.intensity")))
     return rows.select(*windows.columns, "text", "speakers", "scene_count", "factors", "punch", "conflict", "heuristic_score")
 

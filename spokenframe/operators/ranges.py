@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 BIN_MS = 30_000
 
 
@@ -37,7 +39,7 @@ def _window(windows: DataFrame) -> DataFrame:
 
 def _all(windows: DataFrame, found: DataFrame, **defaults) -> DataFrame:
     """Every window once, with what was found, or the defaults."""
-    out = windows.select("video_id", "window_id").join(found, ["video_id", "window_id"], "left")
+    out = windows.select("video_id", "window_id").join(found.hint("merge"), ["video_id", "window_id"], "left")
     for name, value in defaults.items():
         out = out.withColumn(name, F.coalesce(F.col(name), value if isinstance(value, Column) else F.lit(value)))
     return out
@@ -68,12 +70,58 @@ def text_between(windows: DataFrame, segments: DataFrame) -> DataFrame:
     return _all(windows, found, text="", n_segments=0)
 
 
+def timed_words(words: DataFrame, segments: DataFrame) -> DataFrame:
+    """words with seg_start and seg_end, the times of their segment; words that have them already stay as they are."""
+    if "seg_start" in words.columns:
+        return words
+    seg = segments.select("video_id", "segment_id", F.col("start_ms").alias("seg_start"), F.col("end_ms").alias("seg_end"))
+    return words.join(seg.hint("merge"), ["video_id", "segment_id"])
+
+
+def _spoken(lo: Column, hi: Column) -> Column:
+    """Whether a timed word's midpoint lies in a range and its segment strictly overlaps it."""
+    middle = F.col("start_ms") + F.col("end_ms")
+    return (middle >= 2 * lo) & (middle <= 2 * hi) & (F.col("seg_end") > lo) & (F.col("seg_start") < hi)
+
+
 def words_in_windows(windows: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
     """A row for each word whose midpoint lies in a window and whose segment strictly overlaps it."""
-    seg = segments.select("video_id", "segment_id", F.col("start_ms").alias("s_start"), F.col("end_ms").alias("s_end"))
-    timed = words.join(seg, ["video_id", "segment_id"]).withColumn("twice_mid", F.col("start_ms") + F.col("end_ms"))
-    inside = (F.col("twice_mid") >= 2 * F.col("w_start")) & (F.col("twice_mid") <= 2 * F.col("w_end"))
-    return range_join(_window(windows), timed, ("w_start", "w_end"), ("start_ms", "end_ms"), inside & (F.col("s_end") > F.col("w_start")) & (F.col("s_start") < F.col("w_end")))
+    return range_join(_window(windows), timed_words(words, segments), ("w_start", "w_end"), ("start_ms", "end_ms"), _spoken(F.col("w_start"), F.col("w_end")))
+
+
+def texts_in(windows: DataFrame, words: DataFrame, segments: DataFrame, **spans: tuple[Column, Column]) -> DataFrame:
+    """(video_id, window_id, <name>, <name>_first for each span): what is said in several ranges of each window, and when the first word starts.
+
+    spans: name=(from, to) over the columns of windows.  One pass over the words serves all
+    spans.  A span without words takes the texts of the segments that strictly overlap
+    it; only windows that have such a span meet the segments.
+    """
+    keys = ["video_id", "window_id"]
+    reach = windows.select(*keys, *[c.cast("bigint").alias(f"{n}_{end}") for n, span in spans.items() for end, c in zip(("lo", "hi"), span, strict=True)])
+    edges = {end: [F.col(f"{n}_{end}") for n in spans] for end in ("lo", "hi")}
+    reach = reach.withColumn("w_start", F.least(*edges["lo"]) if len(spans) > 1 else edges["lo"][0]).withColumn("w_end", F.greatest(*edges["hi"]) if len(spans) > 1 else edges["hi"][0])
+    bounds = [c for c in reach.columns if c not in keys]
+
+    def found(rows: DataFrame, table: DataFrame, order: str, text: str, holds) -> DataFrame:
+        """The texts of each span by order, null where there is none."""
+        inside = {n: holds(F.col(f"{n}_lo"), F.col(f"{n}_hi")) for n in spans}
+        any_span = None
+        for cond in inside.values():
+            any_span = cond if any_span is None else any_span | cond
+        item = F.struct(order, F.trim(F.col(text)).alias("_t"))
+        out = []
+        for n, cond in inside.items():
+            parts = F.array_sort(F.collect_list(F.when(cond, item)))
+            joined = F.concat_ws(" ", F.filter(F.transform(parts, lambda x: x["_t"]), lambda t: t != ""))
+            out += [F.when(F.count(F.when(cond, 1)) > 0, joined).alias(n), F.min(F.when(cond, F.col("start_ms"))).alias(f"{n}_first")]
+        return range_join(rows, table.select("video_id", order, text, *[c for c in table.columns if c in ("start_ms", "end_ms", "seg_start", "seg_end")]), ("w_start", "w_end"), ("start_ms", "end_ms"), any_span).groupBy(*keys).agg(*out)
+
+    said = written(reach.join(found(reach, timed_words(words, segments), "word_idx", "word", _spoken).hint("merge"), keys, "left"), "said")
+    silent = said.filter(" or ".join(f"{n} is null" for n in spans)).select(*keys, *bounds)
+    strictly = lambda lo, hi: (F.col("end_ms") > lo) & (F.col("start_ms") < hi)
+    whole = found(silent, segments, "segment_id", "text", strictly).select(*keys, *[F.col(n).alias(f"{n}_seg") for n in spans])
+    rows = said.join(whole.hint("merge"), keys, "left")
+    return rows.select(*keys, *[F.coalesce(n, f"{n}_seg", F.lit("")).alias(n) for n in spans], *[f"{n}_first" for n in spans])
 
 
 def words_between(windows: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
@@ -86,9 +134,7 @@ def words_between(windows: DataFrame, words: DataFrame, segments: DataFrame) ->
 
 def text_in_window(windows: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
     """(video_id, window_id, text): the window's words, or the segment texts where it has none."""
-    spoken = words_in_windows(windows, words, segments).groupBy("video_id", "window_id").agg(joined_text(["word_idx"], "word").alias("spoken"))
-    whole = text_between(windows, segments)
-    return whole.join(spoken, ["video_id", "window_id"], "left").select("video_id", "window_id", F.coalesce("spoken", "text").alias("text"))
+    return texts_in(windows, words, segments, text=(F.col("start_ms"), F.col("end_ms"))).drop("text_first")
 
 
 def speaker_at(probes: DataFrame, turns: DataFrame) -> DataFrame:
@@ -96,7 +142,7 @@ def speaker_at(probes: DataFrame, turns: DataFrame) -> DataFrame:
     t = probes.select("video_id", "probe_id", F.col("t_ms").alias("p"))
     hit = range_join(t, turns, ("p", "p"), ("start_ms", "end_ms"), (F.col("start_ms") <= F.col("p")) & (F.col("p") < F.col("end_ms")))
     found = hit.groupBy("video_id", "probe_id").agg(F.min_by("speaker", "turn_idx").alias("speaker"))
-    return probes.select("video_id", "probe_id").join(found, ["video_id", "probe_id"], "left")
+    return probes.select("video_id", "probe_id").join(found.hint("merge"), ["video_id", "probe_id"], "left")
 
 
 def speakers_between(windows: DataFrame, turns: DataFrame) -> DataFrame:
@@ -126,7 +172,7 @@ def in_any_span(probes: DataFrame, spans: DataFrame) -> DataFrame:
     """(video_id, probe_id, inside): whether t lies in any closed span."""
     t = probes.select("video_id", "probe_id", F.col("t_ms").alias("p"))
     hit = range_join(t, spans, ("p", "p"), ("start_ms", "end_ms"), F.col("p").between(F.col("start_ms"), F.col("end_ms"))).select("video_id", "probe_id").distinct().withColumn("inside", F.lit(True))
-    return probes.select("video_id", "probe_id").join(hit, ["video_id", "probe_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    return probes.select("video_id", "probe_id").join(hit.hint("merge"), ["video_id", "probe_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
 def scene_count_between(windows: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -145,7 +191,7 @@ def near_points(probes: DataFrame, points: DataFrame, before_ms: int, after_ms:
 
 
 def _probed(probes: DataFrame, found: DataFrame) -> DataFrame:
-    return probes.select("video_id", "probe_id").join(found, ["video_id", "probe_id"], "left")
+    return probes.select("video_id", "probe_id").join(found.hint("merge"), ["video_id", "probe_id"], "left")
 
 
 def scene_boundaries_near(probes: DataFrame, scenes: DataFrame, window_ms: int = 1500) -> DataFrame:
@@ -188,7 +234,7 @@ def surrounding_context(windows: DataFrame, segments: DataFrame, reach_ms: int =
 
     before = shifted(F.greatest(F.lit(0), F.col("start_ms") - reach_ms), F.col("start_ms")).select("video_id", "window_id", F.right("text", F.lit(chars)).alias("before"))
     after = shifted(F.col("end_ms"), F.col("end_ms") + reach_ms).select("video_id", "window_id", F.left("text", F.lit(chars)).alias("after"))
-    return before.join(after, ["video_id", "window_id"])
+    return before.join(after.hint("merge"), ["video_id", "window_id"])
 
 
 def time_overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -26,7 +26,7 @@ def loudness_frames(pcm: DataFrame, *, rate: int, window_s: float = 0.10, hop_s:
     size, hop = int(rate * window_s), int(rate * hop_s)
     n = pcm.groupBy("video_id").agg((F.max("sample_idx") + 1).alias("n"))
     frames = F.greatest(F.lit(1), F.floor((F.col("n") - size) / hop) + 1)
-    rows = pcm.join(n, "video_id").withColumn("last", F.least(F.floor(F.col("sample_idx") / hop), frames - 1)).withColumn("first", F.greatest(F.lit(0), F.ceil((F.col("sample_idx") - size + 1) / hop)))
+    rows = pcm.join(n.hint("merge"), "video_id").withColumn("last", F.least(F.floor(F.col("sample_idx") / hop), frames - 1)).withColumn("first", F.greatest(F.lit(0), F.ceil((F.col("sample_idx") - size + 1) / hop)))
     rows = rows.filter("first <= last").withColumn("frame_idx", F.explode(F.sequence("first", "last")))
     rms = F.sqrt(F.sum(F.col("value") * F.col("value")) / size)
     return rows.groupBy("video_id", "frame_idx").agg((20 * F.log10(F.greatest(rms, F.lit(1e-7)))).alias("rms_db"))
@@ -52,13 +52,13 @@ def envelope_modulation(frames: DataFrame, *, hop_s: float = 0.05, reach_s: floa
 def loudness_baseline(frames: DataFrame, *, below_top_db: float = 35) -> DataFrame:
     """(video_id, median_db, p95_db) of the voiced frames: those within below_top_db of the loudest."""
     top = frames.groupBy("video_id").agg(F.max("rms_db").alias("top"))
-    return frames.join(top, "video_id").filter(F.col("rms_db") > F.col("top") - below_top_db).groupBy("video_id").agg(F.percentile("rms_db", F.lit(0.5)).alias("median_db"), F.percentile("rms_db", F.lit(0.95)).alias("p95_db"))
+    return frames.join(top.hint("merge"), "video_id").filter(F.col("rms_db") > F.col("top") - below_top_db).groupBy("video_id").agg(F.percentile("rms_db", F.lit(0.5)).alias("median_db"), F.percentile("rms_db", F.lit(0.95)).alias("p95_db"))
 
 
 def reaction_thresholds(frames: DataFrame) -> DataFrame:
     """(video_id, median_db, flat_thresh, gate_db): what counts as loud and noise-like in each video."""
     base = frames.groupBy("video_id").agg(F.percentile("rms_db", F.lit(0.5)).alias("median_db"), F.percentile("rms_db", F.lit(0.05)).alias("floor_db"))
-    flat = frames.join(base, "video_id").groupBy("video_id", "median_db", "floor_db").agg(percentile_where("flatness", F.col("rms_db") > F.col("median_db") - 12, 0.9).alias("p90"))
+    flat = frames.join(base.hint("merge"), "video_id").groupBy("video_id", "median_db", "floor_db").agg(percentile_where("flatness", F.col("rms_db") > F.col("median_db") - 12, 0.9).alias("p90"))
     return flat.select("video_id", "median_db", clip(3 * F.coalesce("p90", F.lit(0.0)), 0.12, 0.45).alias("flat_thresh"), F.greatest(F.col("floor_db") + 12, F.col("median_db") - 30).alias("gate_db"))
 
 
@@ -67,7 +67,7 @@ def audio_events(frames: DataFrame, hop_ms: int) -> DataFrame:
 
     frames: (video_id, frame_idx, rms_db, flatness, modulation).
     """
-    known = frames.join(reaction_thresholds(frames), "video_id")
+    known = frames.join(reaction_thresholds(frames).hint("merge"), "video_id")
     quiet = mask_runs(known, F.col("rms_db") < F.col("median_db") - 22, hop_ms, 450).withColumn("kind", F.lit("silence")).withColumn("strength", F.lit(1.0))
     loud = mask_runs(known, F.col("rms_db") > F.col("median_db") + 5, hop_ms, 350, clip((F.max("rms_db") - F.first("median_db")) / 15, 0, 1).alias("strength")).withColumn("kind", F.lit("emphasis"))
     kind = F.when(F.avg("modulation") > 0.32, "laughter").otherwise("applause").alias("kind")
@@ -75,36 +75,60 @@ def audio_events(frames: DataFrame, hop_ms: int) -> DataFrame:
     return quiet.unionByName(loud).unionByName(noise).select("video_id", "kind", "start_ms", "end_ms", "strength")
 
 
-def _heard(windows: DataFrame, frames: DataFrame, hop_ms: int) -> DataFrame:
-    return energy_between(windows, frames, hop_ms)
+def loudness_levels(frames: DataFrame) -> DataFrame:
+    """(video_id, median_db, voiced_db, loud_db): median of all frames, median and 95th percentile of the voiced ones."""
+    middle = frames.groupBy("video_id").agg(F.percentile("rms_db", F.lit(0.5)).alias("median_db"))
+    voiced = loudness_baseline(frames).select("video_id", F.col("median_db").alias("voiced_db"), F.col("p95_db").alias("loud_db"))
+    return middle.join(voiced.hint("merge"), "video_id")
+
+
+def rise(db: Column, voiced_db: Column, loud_db: Column) -> Column:
+    """How far a frame rises from the usual loudness towards the loud one."""
+    return clip((db - voiced_db) / F.greatest(F.lit(3.0), loud_db - voiced_db), 0, 1.5)
+
+
+def shouting(above: Column) -> Column:
+    """Aggregate of a window's rises; null without any."""
+    return 0.6 * F.avg((above > 0.75).cast("int")) + 0.4 * clip(F.percentile(above, F.lit(0.95)), 0, 1)
+
+
+def dynamics(db: Column, quiet: Column) -> Column:
+    """Aggregate of a window's loudness and of which frames are silent; null without any."""
+    spread = clip((F.percentile(db, F.lit(0.9)) - F.percentile(db, F.lit(0.1))) / 25, 0, 1)
+    return clip(0.35 + 0.65 * spread - clip((F.avg(quiet.cast("int")) - 0.25) * 1.6, 0, 0.6), 0, 1)
 
 
 def shouting_score(windows: DataFrame, frames: DataFrame, hop_ms: int) -> DataFrame:
     """(video_id, window_id, shouting): how far, and how often, the window rises above the video's usual loudness."""
-    heard = _heard(windows, frames, hop_ms).join(loudness_baseline(frames), "video_id")
-    above = clip((F.col("rms_db") - F.col("median_db")) / F.greatest(F.lit(3.0), F.col("p95_db") - F.col("median_db")), 0, 1.5)
-    found = heard.withColumn("above", above).groupBy("video_id", "window_id").agg((0.6 * F.avg((F.col("above") > 0.75).cast("int")) + 0.4 * clip(F.percentile("above", F.lit(0.95)), 0, 1)).alias("shouting"))
+    heard = energy_between(windows, frames, hop_ms).join(loudness_baseline(frames).hint("merge"), "video_id")
+    found = heard.withColumn("above", rise(F.col("rms_db"), F.col("median_db"), F.col("p95_db"))).groupBy("video_id", "window_id").agg(shouting(F.col("above")).alias("shouting"))
     return _all(windows, found, shouting=0.0)
 
 
+def switches(turns: Column) -> Column:
+    """How often the speaker changes in an ordered array of turns; a turn without a speaker changes nothing."""
+    n = F.size(turns)
+    at = F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: (k <= n) & F.coalesce(F.try_element_at(turns, k)["speaker"] != F.try_element_at(turns, k - 1)["speaker"], F.lit(False)))
+    return F.size(at)
+
+
+def exchange_rate(turns: Column, ms: Column) -> Column:
+    """Speaker changes of an ordered array of turns, 12 a minute being 1; 0 for fewer than two turns."""
+    return F.when((F.size(turns) >= 2) & (ms > 0), clip(switches(turns) / (ms / 60_000) / 12, 0, 1)).otherwise(0.0)
+
+
 def exchange_rate_score(windows: DataFrame, turns: DataFrame) -> DataFrame:
     """(video_id, window_id, exchange): speaker switches among the overlapping turns, 12 a minute being 1."""
-    hit = overlapping(windows, turns)
-    w = Window.partitionBy("video_id", "window_id").orderBy("turn_idx")
-    switch = (F.lag("speaker").over(w) != F.col("speaker")).cast("int")
-    minutes = (F.col("w_end") - F.col("w_start")) / 60_000
-    found = hit.withColumn("switch", switch).groupBy("video_id", "window_id", "w_start", "w_end").agg(F.sum("switch").alias("n"), F.count(F.lit(1)).alias("turns"))
-    found = found.filter((F.col("turns") >= 2) & (F.col("w_end") > F.col("w_start"))).select("video_id", "window_id", clip(F.col("n") / minutes / 12, 0, 1).alias("exchange"))
-    return _all(windows, found, exchange=0.0)
+    said = F.array_sort(F.collect_list(F.struct("turn_idx", "speaker")))
+    found = overlapping(windows, turns).groupBy("video_id", "window_id", "w_start", "w_end").agg(said.alias("turns"))
+    return _all(windows, found.select("video_id", "window_id", exchange_rate(F.col("turns"), F.col("w_end") - F.col("w_start")).alias("exchange")), exchange=0.0)
 
 
 def dynamics_score(windows: DataFrame, frames: DataFrame, hop_ms: int) -> DataFrame:
     """(video_id, window_id, dynamics): range of loudness, less long silences; 0.3 without frames."""
     median = frames.groupBy("video_id").agg(F.percentile("rms_db", F.lit(0.5)).alias("median_db"))
-    heard = _heard(windows, frames, hop_ms).join(median, "video_id")
-    spread = clip((F.percentile("rms_db", F.lit(0.9)) - F.percentile("rms_db", F.lit(0.1))) / 25, 0, 1)
-    silent = F.avg((F.col("rms_db") < F.col("median_db") - 22).cast("int"))
-    found = heard.groupBy("video_id", "window_id").agg(clip(0.35 + 0.65 * spread - clip((silent - 0.25) * 1.6, 0, 0.6), 0, 1).alias("dynamics"))
+    heard = energy_between(windows, frames, hop_ms).join(median.hint("merge"), "video_id")
+    found = heard.groupBy("video_id", "window_id").agg(dynamics(F.col("rms_db"), F.col("rms_db") < F.col("median_db") - 22).alias("dynamics"))
     return _all(windows, found, dynamics=0.3)
 
 
@@ -138,7 +162,7 @@ def dominant_face_count(windows: DataFrame, frames: DataFrame) -> DataFrame:
 def face_track(windows: DataFrame, frames: DataFrame, faces: DataFrame) -> DataFrame:
     """(video_id, window_id, t_ms, faces): the boxes of each frame of each window, by face_no; frames without faces have none."""
     boxes = faces.groupBy("video_id", "t_ms").agg(F.array_sort(F.collect_list(F.struct("face_no", "x", "y", "w", "h"))).alias("faces"))
-    seen = points_in(windows, frames).join(boxes, ["video_id", "t_ms"], "left")
+    seen = points_in(windows, frames).join(boxes.hint("merge"), ["video_id", "t_ms"], "left")
     return seen.select("video_id", "window_id", "t_ms", F.coalesce("faces", F.array().cast(boxes.schema["faces"].dataType)).alias("faces"))
 
 
@@ -150,14 +174,14 @@ def subtitle_band(rows: DataFrame, *, least_profiles: int = 8) -> DataFrame:
     the upper 60 %.  The band grows up from it over rows above max(1.2 * that, 0.25 * peak), over gaps of up to 8 %.
     """
     enough = rows.groupBy("video_id").agg(F.countDistinct("profile_idx").alias("k")).filter(F.col("k") >= least_profiles).select("video_id")
-    mean = rows.join(enough, "video_id").groupBy("video_id", "row", "n_rows").agg(F.avg("density").alias("d"))
+    mean = rows.join(enough.hint("merge"), "video_id").groupBy("video_id", "row", "n_rows").agg(F.avg("density").alias("d"))
     lower = F.col("row") >= F.floor(F.col("n_rows") * 0.6)
     base = mean.groupBy("video_id", "n_rows").agg(
         F.percentile(F.when(~lower, F.col("d")), F.lit(0.9)).alias("base"),
         F.max(F.when(lower, F.col("d"))).alias("peak"), F.max_by(F.when(lower, F.col("row")), F.when(lower, F.struct("d", -F.col("row")))).alias("at"),
     )
     base = base.filter((F.col("peak") >= 0.018) & (F.col("peak") >= 1.6 * F.col("base"))).withColumn("least", F.greatest(1.2 * F.col("base"), 0.25 * F.col("peak")))
-    over = mean.join(base, ["video_id", "n_rows"]).filter((F.col("d") >= F.col("least")) & (F.col("row") <= F.col("at")))
+    over = mean.join(base.hint("merge"), ["video_id", "n_rows"]).filter((F.col("d") >= F.col("least")) & (F.col("row") <= F.col("at")))
     up = Window.partitionBy("video_id").orderBy(F.desc("row"))
     gap = over.withColumn("gap", F.coalesce(F.lag("row").over(up) - F.col("row") - 1 > F.col("n_rows") * 0.08, F.lit(False)).cast("int"))
     first = gap.withColumn("cut", F.sum("gap").over(up.rowsBetween(Window.unboundedPreceding, 0))).filter("cut = 0").groupBy("video_id", "n_rows").agg(F.min("row").alias("top"))

@@ -17,30 +17,33 @@ from ..sources.shared import written
 KEYS = ["video_id", "window_id"]
 
 
-def boundary_points(words: DataFrame, segments: DataFrame, scenes: DataFrame) -> dict[str, DataFrame]:
-    """The point tables that boundaries snap to, each computed once."""
-    return {
-        "starts": written(S.sentence_starts(words, segments), "starts"), "ends": written(S.sentence_ends(words, segments), "ends"),
-        "pauses": written(S.pause_points(words), "pauses"), "cuts": written(scenes.select("video_id", F.col("start_ms").alias("point")).distinct(), "cuts"),
-    }
+def _points(words: DataFrame, segments: DataFrame, scenes: DataFrame) -> DataFrame:
+    """The points that boundaries snap to, computed once."""
+    return written(B.boundary_points(words, segments, scenes), "points")
 
 
-def generate_candidates(words: DataFrame, segments: DataFrame, turns: DataFrame, audio_frames: DataFrame, frames: DataFrame, scenes: DataFrame, media: DataFrame, *, hop_ms: int, min_ms: int = 20_000, max_ms: int = 60_000, pool: int = 80, triggers=L.TRIGGERS, low_value: str = L.LOW_VALUE) -> DataFrame:
+def _starts(points: DataFrame) -> DataFrame:
+    return points.filter("kind = 'start'").select("video_id", "point")
+
+
+def generate_candidates(words: DataFrame, segments: DataFrame, turns: DataFrame, audio_frames: DataFrame, frames: DataFrame, scenes: DataFrame, media: DataFrame, *, hop_ms: int, min_ms: int = 20_000, max_ms: int = 60_000, pool: int = 80, triggers=L.TRIGGERS, low_value: str = L.LOW_VALUE, confrontation=L.CONFRONTATION) -> DataFrame:
     """The best windows of each video: sentences, windows, boundary repair, scores, and the best few of each anchor.
 
-    Columns: video_id, anchor_id, window_id, rank, name, start_ms, end_ms, trigger, text, factors, punch, conflict, heuristic_score, before, after, kinds.
+    Columns: video_id, window_id, anchor_id, rank, name, start_ms, end_ms, trigger, text, factors, punch, conflict, heuristic_score, before, after, kinds.
     """
-    words, segments = written(words, "words"), written(segments, "segments")
+    segments, audio_frames = written(segments, "segments"), written(audio_frames, "loudness")
+    words = written(R.timed_words(words, segments), "words")
     anchored = C.anchored_sentences(S.build_sentences(words, segments), triggers, low_value)
     raw = C.candidate_windows(anchored, min_ms=min_ms, max_ms=max_ms).withColumn("window_id", F.col("i") * 100_000 + F.col("j"))
     raw = written(raw, "windows")
-    refined = B.refine_boundaries(raw.select(*KEYS, "start_ms", "end_ms"), words, segments, media=media, min_ms=min_ms, max_ms=max_ms, **boundary_points(words, segments, scenes))
+    refined = B.refine_boundaries(raw.select(*KEYS, "start_ms", "end_ms"), words, segments, _points(words, segments, scenes), media=media, min_ms=min_ms, max_ms=max_ms)
     refined = refined.filter(F.col("end_ms") - F.col("start_ms") >= min_ms).select(*KEYS, "start_ms", "end_ms")
     windows = written(refined.join(raw.select(*KEYS, F.col("i").alias("anchor_id"), "anchor", "trigger").hint("merge"), KEYS), "refined-windows")
     events = written(G.audio_events(audio_frames, hop_ms), "events")
-    scored = written(C.score_windows(windows, words, segments, turns, audio_frames, events, frames, scenes, hop_ms=hop_ms), "scored")
-    best = written(C.top_variants(scored, pool=pool), "best")
-    rows = best.join(scored.drop("anchor_id").hint("merge"), KEYS)
+    scored = C.score_windows(windows, words, segments, turns, audio_frames, events, frames, scenes, hop_ms=hop_ms, triggers=triggers, low_value=low_value, confrontation=confrontation)
+    scored = written(scored, "scored")
+    best = C.top_variants(scored, pool=pool)
+    rows = written(best.join(scored.drop("anchor_id").hint("merge"), KEYS), "best")
     kept = rows.select(*KEYS, "start_ms", "end_ms")
     return rows.join(R.surrounding_context(kept, segments).hint("merge"), KEYS).join(G.event_kinds(kept, events).hint("merge"), KEYS)
 
@@ -50,30 +53,27 @@ def apply_validation(clips: DataFrame, verdicts: DataFrame, words: DataFrame, se
 
     Columns: video_id, window_id, index (by start), start_ms, end_ms, text, speakers.  A video of which nothing is left has no row.
     """
-    points = boundary_points(words, segments, scenes)
+    segments = written(segments, "segments")
+    words = written(R.timed_words(words, segments), "words")
+    points = _points(words, segments, scenes)
     rows = clips.join(verdicts.hint("merge"), KEYS, "left").withColumn("verdict", F.coalesce("verdict", F.lit("accept"))).filter("verdict <> 'reject'")
     rows = written(rows.withColumn("shift_ms", F.coalesce("shift_ms", F.lit(0))), "verdicts")
     wider = rows.filter("verdict = 'expand' or shift_ms < 0")
-    # each asks for its own reach: the longest is searched, the nearest fitting start within its own reach wins
-    wide = []
-    for lookback in (5000, 12_000, 20_000):
-        own = F.when(F.col("shift_ms") < 0, -F.col("shift_ms")).otherwise(12_000)
-        step = F.when(own <= 5000, 5000).when(own <= 12_000, 12_000).otherwise(20_000)
-        wide.append(B.expand_for_context(wider.filter(step == lookback), words, segments, points["starts"], max_ms=max_ms, lookback_ms=lookback))
-    moved = wide[0].union(wide[1]).union(wide[2])
+    own = F.when(F.col("shift_ms") < 0, -F.col("shift_ms")).otherwise(12_000)
+    moved = B.expand_for_context(wider.withColumn("lookback_ms", own), words, segments, _starts(points), max_ms=max_ms)
     same = rows.join(wider.select(KEYS).hint("merge"), KEYS, "left_anti").select(*KEYS, "start_ms", "end_ms")
     moved = written(moved.unionByName(same), "expanded")
     trimmed = written(B.trim_filler_opening(moved, S.build_sentences(words, segments), media=media, min_ms=min_ms, max_ms=max_ms), "trimmed")
     floored = trimmed.withColumn("floor_ms", F.when(F.col("trimmed"), F.col("start_ms")))
-    refined = B.refine_boundaries(floored.drop("trimmed"), words, segments, media=media, min_ms=min_ms, max_ms=max_ms, **points)
+    refined = B.refine_boundaries(floored.drop("trimmed"), words, segments, points, media=media, min_ms=min_ms, max_ms=max_ms)
     opens = refined.filter("opens_mid_sentence").select(*KEYS, "start_ms", "end_ms")
-    refined = written(B.expand_for_context(opens, words, segments, points["starts"], max_ms=max_ms).unionByName(refined.filter("not opens_mid_sentence").select(*KEYS, "start_ms", "end_ms")), "reopened")
+    refined = written(B.expand_for_context(opens, words, segments, _starts(points), max_ms=max_ms).unionByName(refined.filter("not opens_mid_sentence").select(*KEYS, "start_ms", "end_ms")), "reopened")
     done = written(B.complete_ending(refined, words, segments, S.sentence_ends(words, segments, punctuated_only=True), media=media, min_ms=min_ms, max_ms=max_ms), "completed")
     index = F.row_number().over(Window.partitionBy("video_id").orderBy("start_ms", "window_id"))
     return done.withColumn("index", index).join(R.text_in_window(done, words, segments).hint("merge"), KEYS).join(R.speakers_between(done, turns).hint("merge"), KEYS)
 
 
-def adjust_clips(adjustments: DataFrame, clips: DataFrame, words: DataFrame, segments: DataFrame, scenes: DataFrame, media: DataFrame, *, min_ms: int = 5000, max_ms: int = 90_000) -> tuple[DataFrame, DataFrame]:
+def adjust_clips(adjustments: DataFrame, clips: DataFrame, words: DataFrame, segments: DataFrame, scenes: DataFrame, media: DataFrame, *, min_ms: int = 20_000, max_ms: int = 60_000) -> tuple[DataFrame, DataFrame]:
     """(clips, feedback) after manual adjustments (video_id, window_id, start_ms, end_ms): each is refused or snapped within 1.2 s.
 
     clips: (video_id, window_id, start_ms, end_ms, refused) with the adjusted ranges and why any was refused; feedback: a boundary_adjusted event with the
@@ -81,7 +81,9 @@ def adjust_clips(adjustments: DataFrame, clips: DataFrame, words: DataFrame, seg
     """
     asked = adjustments.join(media.hint("merge"), "video_id").withColumn("refused", M.adjust_request(F.col("start_ms"), F.col("end_ms"), F.col("duration_ms")))
     fine = asked.filter("refused is null").select(*KEYS, "start_ms", "end_ms")
-    new = B.refine_boundaries(fine, words, segments, media=media, min_ms=min_ms, max_ms=max_ms, search_ms=1200, **boundary_points(words, segments, scenes))
+    segments = written(segments, "segments")
+    words = written(R.timed_words(words, segments), "words")
+    new = B.refine_boundaries(fine, words, segments, _points(words, segments, scenes), media=media, min_ms=min_ms, max_ms=max_ms, search_ms=1200)
     new = written(new.select(*KEYS, F.col("start_ms").alias("new_start"), F.col("end_ms").alias("new_end")), "adjusted")
     rows = clips.join(new.hint("merge"), KEYS, "left").join(asked.select(*KEYS, "refused").hint("merge"), KEYS, "left")
     out = rows.select(*KEYS, F.coalesce("new_start", "start_ms").alias("start_ms"), F.coalesce("new_end", "end_ms").alias("end_ms"), "refused")

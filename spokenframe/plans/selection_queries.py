@@ -17,10 +17,12 @@ from ..operators import selection as P
 from ..operators import signals as G
 from ..operators import speakers as K
 from ..sources import transcripts as A
+from ..sources.shared import written
 from ..streaming import feeds
+from . import stage_sql as Q
 from .registry import query
 from .signal_queries import _SENT, HOP, _faced
-from .text_queries import _CASE, _LOW, _NW, _OPEN, _TOK, _TRIG
+from .text_queries import _CASE, _CONF, _LOW, _NW, _OPEN, _TOK, _TRIG
 
 # --- sources and tables ---
 
@@ -30,7 +32,7 @@ def _(segments, words):
     nested = words.groupBy("video_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start_ms", "end_ms"))).alias("w"))
     typed = F.transform("w", lambda x: F.struct(x["word"].alias("word"), (x["start_ms"] / 1000).alias("start"), (x["end_ms"] / 1000).alias("end")))
     tag = F.when(F.col("segment_id") % 3 == 1, F.lit(" [Applause and noise] ")).otherwise(F.col("text"))
-    rows = segments.join(nested, ["video_id", "segment_id"]).select("video_id", "segment_id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), tag.alias("text"), typed.alias("words"))
+    rows = segments.join(nested.hint("merge"), ["video_id", "segment_id"]).select("video_id", "segment_id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), tag.alias("text"), typed.alias("words"))
     return A.filter_speech(rows).select("video_id", "segment_id", "text", F.size("words").alias("n_words"))
 
 
@@ -171,50 +173,56 @@ def _(words, segments):
     return C.candidate_windows(_anchored(words, segments)).withColumn("anchor", F.round("anchor", 6))
 
 
-_TEXT = "coalesce((select string_agg(x.word, ' ' order by x.word_idx) from words x join segments s on s.video_id = x.video_id and s.segment_id = x.segment_id where x.video_id = r.video_id and x.start_ms + x.end_ms between 2 * ({a}) and 2 * ({b}) and s.end_ms > ({a}) and s.start_ms < ({b})), (select string_agg(trim(s.text), ' ' order by s.segment_id) from segments s where s.video_id = r.video_id and s.end_ms > ({a}) and s.start_ms < ({b})), '')"
-_NEAR = "(select arg_min(point, struct_pack(d := abs(point - {t}), p := -point)) from {p} q where q.video_id = w.video_id and abs(point - {t}) <= {n})"
-_REFINE = f"""a as (select w.*, m.duration_ms as total, {_NEAR.format(t='w.start_ms', p='starts', n=2500)} as ss, (select min(point) from starts q where q.video_id = w.video_id and point > w.start_ms and point <= w.start_ms + 6000) as sf, {_NEAR.format(t='w.start_ms', p='cutpoints', n=1200)} as sc, {_NEAR.format(t='w.start_ms', p='pauses', n=2500)} as sp,
-  {_NEAR.format(t='w.end_ms', p='ends', n=2500)} as es, (select min(point) from ends q where q.video_id = w.video_id and point > w.end_ms and point <= w.end_ms + 8000) as ef, {_NEAR.format(t='w.end_ms', p='pauses', n=2500)} as ep, {_NEAR.format(t='w.end_ms', p='cutpoints', n=1200)} as ec from windows w left join media m on m.video_id = w.video_id),
-b as (select *, coalesce(ss, case when end_ms - sf >= 20000 then sf end, sc, sp, start_ms) as s1, case when ss is not null then 'sentence' when end_ms - sf >= 20000 then 'sentence(forward)' when sc is not null then 'scene' when sp is not null then 'pause' else 'requested' end as sk from a),
-c as (select *, coalesce(es, case when ef - s1 <= 60000 then ef end, ep, ec, end_ms) as e1, case when es is not null then 'sentence' when ef - s1 <= 60000 then 'sentence(forward)' when ep is not null then 'pause' when ec is not null then 'scene' else 'requested' end as ek from b),
-d as (select c.*, (select arg_min(x.start_ms, struct_pack(a := x.start_ms, b := x.word_idx)) from words x where x.video_id = c.video_id and c.s1 between x.start_ms and x.end_ms) as sw, (select arg_min(x.end_ms, struct_pack(a := x.start_ms, b := x.word_idx)) from words x where x.video_id = c.video_id and c.e1 between x.start_ms and x.end_ms) as ew from c),
-f as (select video_id, window_id, total, greatest(0, case when s1 > sw + 20 then sw else s1 end - 180)::double as s, least(case when e1 < ew - 20 then ew else e1 end + 350, total)::double as e, sk || case when s1 > sw + 20 then '+word' else '' end as start_kind, ek || case when e1 < ew - 20 then '+word' else '' end as end_kind from d),
-g as (select *, greatest(0, 20000 - (e - s)) as lack, least(greatest(0, 20000 - (e - s)) * 0.6, s) as grow from f),
-h as (select *, s - grow as s2, e + lack - grow as e2 from g),
-i as (select *, case when lack > 0 and e2 > total then greatest(0, s2 - (e2 - total)) else s2 end as s3, case when lack > 0 and e2 > total then total else e2 end as e3 from h),
-j as (select video_id, window_id, start_kind, end_kind, e3, s3, case when e3 - s3 > 60000 then e3 - 60000 end as cut from i),
-w2 as (select *, (select min(point) from starts q where q.video_id = w.video_id and point >= w.cut and w.e3 - point >= 20000) as tn, {_NEAR.format(t='w.cut', p='starts', n=2000)} as tr from j w),
-r as (select video_id, window_id, start_kind, end_kind, round(greatest(0, case when cut is null then s3 else coalesce(tn, case when tr < e3 then tr end, cut) end))::bigint as start_ms, round(e3)::bigint as end_ms from w2)"""
-_CUTS = "cutpoints as (select distinct video_id, start_ms as point from scenes)"
-
-
-def _points(words, segments, scenes):
-    return S.sentence_starts(words, segments), S.sentence_ends(words, segments), S.pause_points(words), scenes.select("video_id", F.col("start_ms").alias("point")).distinct()
+_REAL = "own as (select w.* from windows w join media m on m.video_id = w.video_id)"
 
 
 def _real(windows, media):
     """Windows of videos that have a transcript."""
-    return windows.join(media.select("video_id"), "video_id", "left_semi")
+    return windows.join(media.select("video_id").hint("merge"), "video_id", "left_semi")
 
 
-@query("f02_refine_boundaries", "windows words segments scenes media", f"with {_CUTS}, {_REFINE}, o as (select r.*, {_TEXT.format(a='r.start_ms', b='r.start_ms + 6000')} as text, {_TEXT.format(a='greatest(0, r.end_ms - 6000)', b='r.end_ms')} as ending from r) select video_id, window_id, start_ms, end_ms, start_kind, end_kind, {_OPEN} as opens_mid_sentence, ending <> '' and not regexp_matches(ending, '[.!?][\"'')\\]]*\\s*$') as ends_mid_sentence from o")
+@query("f02_refine_boundaries", "windows words segments scenes media", f"with {Q.CUTS}, {Q.refine('windows')}, o as (select r.*, {Q.TEXT.format(a='r.start_ms', b='r.start_ms + 6000')} as text, {Q.TEXT.format(a='greatest(0, r.end_ms - 6000)', b='r.end_ms')} as ending from r) select video_id, window_id, start_ms, end_ms, start_kind, end_kind, {_OPEN} as opens_mid_sentence, ending <> '' and not {Q.ENDED.format('ending')} as ends_mid_sentence from o")
 def _(windows, words, segments, scenes, media):
-    return B.refine_boundaries(windows, words, segments, *_points(words, segments, scenes), media=media)
+    segments = written(segments, "segments")
+    words = written(R.timed_words(words, segments), "words")
+    return B.refine_boundaries(windows, words, segments, B.boundary_points(words, segments, scenes), media=media)
 
 
-@query("f03_opening_and_ending", "windows words segments", f"select r.video_id, r.window_id, {_TEXT.format(a='r.start_ms', b='r.start_ms + 6000')} as opening, {_TEXT.format(a='greatest(0, r.end_ms - 7000)', b='r.end_ms')} as ending from windows r")
+@query("f03_opening_and_ending", "windows words segments", f"select r.video_id, r.window_id, {Q.TEXT.format(a='r.start_ms', b='r.start_ms + 6000')} as opening, {Q.TEXT.format(a='greatest(0, r.end_ms - 7000)', b='r.end_ms')} as ending from windows r")
 def _(windows, words, segments):
     return C.opening_and_ending(windows, words, segments)
 
 
 def _scored(windows, words, segments, scenes, media, audio_frames, frames, faces):
+    """Scores of the sample windows: every anchor counts 0.5, every trigger is a story."""
+    segments, audio_frames = written(segments, "segments"), written(audio_frames, "loudness")
+    words = written(R.timed_words(words, segments), "words")
     own = _real(windows, media).withColumn("anchor", F.lit(0.5)).withColumn("trigger", F.lit("story"))
-    return C.score_windows(own, words, segments, S.merge_turns(segments), audio_frames, G.audio_events(audio_frames, HOP), _faced(frames, faces), scenes, hop_ms=HOP)
+    return C.score_windows(own, words, segments, S.merge_turns(segments), audio_frames, written(G.audio_events(audio_frames, HOP), "events"), _faced(frames, faces), scenes, hop_ms=HOP, triggers=_TRIG, low_value=_LOW, confrontation=_CONF)
+
+
+_SOURCES = "windows words segments scenes media audio_frames frames faces"
+_SCORES = f"with own as (select w.*, 0.5 as anchor, 'story' as trigger from windows w join media m on m.video_id = w.video_id), {Q.scores('own', 'z')}"
+
+
+@query("f04_score_window", _SOURCES, f"{_SCORES} select video_id, window_id, {', '.join(C.WEIGHTS)} from z")
+def _(*tables):
+    return _scored(*tables).select("video_id", "window_id", "factors.*")
+
+
+@query("f05_conflict_profile", _SOURCES, f"{_SCORES} select video_id, window_id, intensity, note from z")
+def _(*tables):
+    return _scored(*tables).select("video_id", "window_id", "conflict.*")
+
+
+@query("f06_opening_punch", _SOURCES, f"{_SCORES} select video_id, window_id, punch from z")
+def _(*tables):
+    return _scored(*tables).select("video_id", "window_id", "punch")
 
 
-@query("f04_score_window", "windows words segments scenes media audio_frames frames faces")
-def _(windows, words, segments, scenes, media, audio_frames, frames, faces):
-    return _scored(windows, words, segments, scenes, media, audio_frames, frames, faces).select("video_id", "window_id", "factors.*", F.round("punch", 6).alias("punch"), F.round("conflict.intensity", 6).alias("intensity"), "conflict.note", "heuristic_score")
+@query("f07_heuristic_score", _SOURCES, f"{_SCORES} select video_id, window_id, heuristic_score from z")
+def _(*tables):
+    return _scored(*tables).select("video_id", "window_id", "heuristic_score")
 
 
 @query("f08_top_variants", "candidates", """with recursive o as (select video_id, candidate_id % 250 as anchor_id, candidate_id as id, start_ms as s, end_ms as e, heuristic_score as h, row_number() over (partition by video_id, candidate_id % 250 order by -heuristic_score, start_ms, end_ms, candidate_id) as r from candidates),
@@ -255,17 +263,17 @@ def _(candidates):
     return P.is_duplicate(pairs).select("video_id", "candidate_id", "duplicate", F.regexp_extract("reason", "^[a-z]*", 0).alias("reason"))
 
 
-@query("f11_trim_filler_opening", "windows words segments media")
+@query("f11_trim_filler_opening", "windows words segments media", f"with recursive {_REAL}, {Q.trim_opening('own', 'z')} select * from z")
 def _(windows, words, segments, media):
     return B.trim_filler_opening(_real(windows, media), S.build_sentences(words, segments), media=media, low_value=_LOW)
 
 
-@query("f12_expand_for_context", "windows words segments media", f"with p as (select distinct w.video_id, w.window_id, w.start_ms, w.end_ms, s.point from windows w join media m on m.video_id = w.video_id left join starts s on s.video_id = w.video_id and s.point >= w.start_ms - 12000 and s.point < w.start_ms and w.end_ms - s.point <= 60000), d as (select distinct video_id, point from p where point is not null), o as (select r.video_id, r.point, {_TEXT.format(a='r.point', b='r.point + 6000')} as text from d r), k as (select video_id, point from o where text <> '' and not {_OPEN}) select p.video_id, p.window_id, case when max(k.point) is null then any_value(p.start_ms) else greatest(0, max(k.point) - 180) end as start_ms, any_value(p.end_ms) as end_ms from p left join k on k.video_id = p.video_id and k.point = p.point group by 1, 2")
+@query("f12_expand_for_context", "windows words segments media", f"with {_REAL}, {Q.expand('own', 'z')} select * from z")
 def _(windows, words, segments, media):
     return B.expand_for_context(_real(windows, media), words, segments, S.sentence_starts(words, segments))
 
 
-@query("f13_complete_ending", "windows words segments media")
+@query("f13_complete_ending", "windows words segments media", f"with {_REAL}, {Q.complete('own', 'z')} select * from z")
 def _(windows, words, segments, media):
     return B.complete_ending(_real(windows, media), words, segments, S.sentence_ends(words, segments, punctuated_only=True), media=media)
 

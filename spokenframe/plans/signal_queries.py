@@ -57,11 +57,14 @@ def _(loudness):
     return S.mask_runs(loudness, F.col("rms_db") < F.col("median_db") - 22, HOP, 450)
 
 
-@query("c06_merge_turns", "segments", """with k as (select *, case when end_ms - start_ms >= 600 then speaker end as own from segments),
+_TURNS = """with k as (select *, case when end_ms - start_ms >= 600 then speaker end as own from segments),
 f as (select video_id, segment_id, start_ms, end_ms, coalesce(last_value(own ignore nulls) over (partition by video_id order by segment_id rows between unbounded preceding and current row), first_value(own ignore nulls) over (partition by video_id order by segment_id rows between current row and unbounded following)) as speaker from k),
 n as (select *, case when lag(segment_id) over v is null or lag(speaker) over v is distinct from speaker or start_ms - lag(end_ms) over v >= 1200 then 1 else 0 end as new from f window v as (partition by video_id order by segment_id)),
 i as (select *, sum(new) over (partition by video_id order by segment_id) as island from n)
-select video_id, (island - 1)::bigint as turn_idx, any_value(speaker) as speaker, min(start_ms) as start_ms, max(end_ms) as end_ms from i group by video_id, island""")
+select video_id, (island - 1)::bigint as turn_idx, any_value(speaker) as speaker, min(start_ms) as start_ms, max(end_ms) as end_ms from i group by video_id, island"""
+
+
+@query("c06_merge_turns", "segments", _TURNS)
 def _(segments):
     return S.merge_turns(segments)
 
