@@ -103,7 +103,7 @@ def find_truncations(segments: DataFrame, *, least_length: int = 4, dominance: f
     Candidates meet by the last least_length letters, so that names only meet names of like endings.
     """
     counts = _tokens(segments).groupBy("video_id", F.lower("token").alias("token")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("segment_id", "pos")).alias("seen"))
-    names = counts.join(proper_nouns(segments), ["video_id", "token"]).filter(F.length("token") >= least_length).withColumn("tail", F.right("token", F.lit(least_length)))
+    names = counts.join(proper_nouns(segments).hint("merge"), ["video_id", "token"]).filter(F.length("token") >= least_length).withColumn("tail", F.right("token", F.lit(least_length)))
     short = names.select("video_id", "tail", F.col("token").alias("short"), F.col("n").alias("short_n"))
     long = names.filter(F.col("n") >= least_count).select("video_id", "tail", F.col("token").alias("long"), F.col("n").alias("long_n"), "seen")
     pairs = short.join(long.hint("merge"), ["video_id", "tail"]).filter((F.length("long") > F.length("short")) & F.col("long").endswith(F.col("short")) & (F.col("long_n") >= dominance * F.col("short_n")))

@@ -72,8 +72,8 @@ def window_factors(*, text: Column, opening: Column, ending: Column, ms: Column,
     seen = F.coalesce(visual, F.lit(0.45)) * F.when(scene_count > 6, 0.8).otherwise(1.0)
     heard = F.coalesce(reaction, F.lit(0.0))
     pattern = {name: f"(?i){p}" for name, _, p in triggers}
-    matches = lambda c, *names: F.greatest(F.lit(False), *[c.rlike(pattern[n]) for n in names if n in pattern])
-    tells = matches(opening, "story", "story") | opening.rlike(r"\?\s*$")
+    matches = lambda c, *names: F.greatest(F.lit(False), F.lit(False), *[c.rlike(pattern[n]) for n in names if n in pattern])
+    tells = matches(opening, "story") | opening.rlike(r"\?\s*$")
     strong = F.when(tells, 0.9).when(matches(opening, *pattern), 0.7).otherwise(0.35) * F.when(dependent, 0.5).otherwise(1.0)
     lands = matches(ending, "conclusion", "lesson", "number")
     payoff = F.when(lands, 0.95).when(ended, 0.7).otherwise(0.35)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import range_join
+
 
 def face_geometry(faces: DataFrame) -> DataFrame:
     """(video_id, t_ms, cx, cy, left, right): area-weighted centre and span of each frame's faces (x, y, w, h)."""
@@ -24,16 +29,23 @@ def dedupe_faces(faces: DataFrame, most_iou: float = 0.35) -> DataFrame:
     return frames.select("video_id", "t_ms", F.explode(F.expr(fold)).alias("k")).select("video_id", "t_ms", "k.face_no", "k.x", "k.y", "k.w", "k.h")
 
 
-def hold_last(centres: DataFrame) -> DataFrame:
-    """centres (video_id, t_ms, cx nullable): the last known centre fills gaps, the mean those before the first."""
-    v = Window.partitionBy("video_id")
-    return centres.withColumn("cx", F.coalesce(F.last("cx", True).over(v.orderBy("t_ms").rowsBetween(Window.unboundedPreceding, 0)), F.avg("cx").over(v)))
+def face_means(faces: DataFrame) -> DataFrame:
+    """(video_id, mean_cx, mean_cy): mean centre over all faces of a video, each counting once."""
+    return faces.groupBy("video_id").agg(F.avg(F.col("x") + F.col("w") / 2).alias("mean_cx"), F.avg(F.col("y") + F.col("h") / 2).alias("mean_cy"))
+
+
+def hold_last(centres: DataFrame, means: DataFrame) -> DataFrame:
+    """centres (video_id, t_ms, cx, cy nullable): the last known centre fills gaps, means (as of face_means) those before the first."""
+    v = Window.partitionBy("video_id").orderBy("t_ms").rowsBetween(Window.unboundedPreceding, 0)
+    rows = centres.join(means.hint("merge"), "video_id", "left")
+    return rows.withColumns({c: F.coalesce(F.last(c, True).over(v), F.col(f"mean_{c}")) for c in ("cx", "cy")}).drop("mean_cx", "mean_cy")
 
 
 def smooth_path(path: DataFrame, column: str = "cx", window: int = 7, mean: int = 5) -> DataFrame:
     """path (video_id, t_ms, column): a running median, then a running mean, the edges repeated; series under 3 stay.
 
-    The median's window shrinks to the largest odd number the series allows.
+    The median's window shrinks to the largest odd number the series allows, the mean's to the
+    series' length (of an even window, one more value before the middle than after it).
     """
     v = Window.partitionBy("video_id").orderBy("t_ms")
     rows = path.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("video_id"))).withColumn("k", F.row_number().over(v))
@@ -48,16 +60,34 @@ def smooth_path(path: DataFrame, column: str = "cx", window: int = 7, mean: int
     half = window // 2
     rows = rows.withColumn("near", padded(column, half))
     rows = rows.withColumn("near", F.expr(f"array_sort(slice(near, {half + 1} - cast((odd - 1) / 2 as int), cast(odd as int)))")).withColumn("med", F.expr("near[cast((odd - 1) / 2 as int)]"))
-    rows = rows.withColumn("around", padded("med", mean // 2)).withColumn("smooth", F.expr(f"aggregate(around, 0d, (a, b) -> a + b) / {mean}"))
+    rows = rows.withColumn("around", padded("med", mean // 2)).withColumn("smooth", F.expr(f"aggregate(slice(around, {mean // 2 + 1} - cast(floor(least(n, {mean}) / 2) as int), cast(least(n, {mean}) as int)), 0d, (a, b) -> a + b) / least(n, {mean})"))
     return rows.withColumn(column, F.when(F.col("n") < 3, F.col(column)).otherwise(F.col("smooth"))).drop("n", "k", "odd", "near", "med", "around", "smooth")
 
 
 def crop_keyframes(path: DataFrame, least_move: int = 24) -> DataFrame:
-    """path (video_id, t_ms, x, y) thinned to keyframes: the first (at 0), then each that is least_move away in x or y from the last kept."""
-    rows = path.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("t_ms").alias("t"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")))).alias("items"))
-    fold = f"""aggregate(items, slice(items, 1, 0), (kept, p) -> if(size(kept) = 0, array(struct(cast(0 as bigint) as t, p.x as x, p.y as y)),
-      if(abs(p.x - element_at(kept, -1).x) >= {least_move} or abs(p.y - element_at(kept, -1).y) >= {least_move}, concat(kept, array(p)), kept)))"""
-    return rows.select("video_id", F.explode(F.expr(fold)).alias("k")).select("video_id", F.col("k.t").alias("t_ms"), "k.x", "k.y")
+    """path (video_id, t_ms, x, y) thinned to keyframes: the first (and one at 0 with its place, if it is later), then each that is least_move away in x or y from the last kept.
+
+    Frames stream by in order; only the last keyframe is held.
+    """
+    rows = path.select("video_id", F.col("t_ms").cast("bigint").alias("t_ms"), F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    rows = rows.repartition("video_id").sortWithinPartitions("video_id", "t_ms", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, at = None, None
+        for b in batches:
+            out = []
+            for v, t, x, y in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+                if at is None or v != video:
+                    if t > 0:
+                        out.append((v, 0, x, y))
+                elif abs(x - at[0]) < least_move and abs(y - at[1]) < least_move:
+                    continue
+                out.append((v, t, x, y))
+                video, at = v, (x, y)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.field(k).type) for k, c in enumerate(zip(*out, strict=True))], ["video_id", "t_ms", "x", "y"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def crop_size(source_w: int, source_h: int, target_w: int = 1080, target_h: int = 1920) -> tuple[int, int]:
@@ -72,38 +102,46 @@ def crop_size(source_w: int, source_h: int, target_w: int = 1080, target_h: int
 
 
 def crop_path(frames: DataFrame, faces: DataFrame, source_w: int, source_h: int, *, target_w: int = 1080, target_h: int = 1920, bias: float = 0.42) -> DataFrame:
-    """(video_id, strategy, t_ms, x, y, w, h): centred without faces, fixed if 92 % of the crop holds all of them, else following them.
+    """(video_id, strategy, t_ms, x, y, w, h): whole if the source has the target's shape, centred without faces, fixed if 92 % of the crop holds all of them, else following them both ways.
 
-    frames: (video_id, t_ms), relative to the clip; faces: (video_id, t_ms, x, y, w, h).
+    frames: (video_id, t_ms), relative to the clip; faces: (video_id, t_ms, x, y, w, h).  Places are rounded, halves to even numbers.
     """
     w, h = crop_size(source_w, source_h, target_w, target_h)
+    most_x, most_y = max(0, source_w - w), max(0, source_h - h)
+    videos = frames.select("video_id").distinct()
+    sized = lambda rows: rows.withColumn("w", F.lit(w)).withColumn("h", F.lit(h))
+    if w >= source_w and h >= source_h:
+        zero = F.lit(0).cast("bigint")
+        return sized(videos.select("video_id", F.lit("whole").alias("strategy"), zero.alias("t_ms"), zero.alias("x"), zero.alias("y")))
     at = face_geometry(faces)
-    span = at.groupBy("video_id").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.avg("cy").alias("mean_cy"))
-    videos = frames.select("video_id").distinct().join(span.hint("merge"), "video_id", "left")
+    span = at.groupBy("video_id").agg(F.min("left").alias("left"), F.max("right").alias("right")).join(face_means(faces).hint("merge"), "video_id")
+    videos = videos.join(span.hint("merge"), "video_id", "left")
     strategy = F.when(F.col("left").isNull(), "centre").when(F.col("right") - F.col("left") <= 0.92 * w, "static").otherwise("track")
     videos = videos.withColumn("strategy", strategy)
 
-    def fit(x, size: int, most: int):
-        return F.least(F.lit(most - size), F.greatest(F.lit(0), F.floor((x - size / 2) / 2) * 2)).cast("bigint")
+    def fit(place: Column, most: int) -> Column:
+        return F.bround(F.least(F.lit(float(most)), F.greatest(F.lit(0.0), place))).cast("bigint")
 
-    y = F.least(F.lit(source_h - h), F.greatest(F.lit(0), F.floor((F.col("mean_cy") - h * bias) / 2) * 2)).cast("bigint")
+    fit_x, fit_y = (lambda c: fit(c - w / 2, most_x)), (lambda c: fit(c - h * bias, most_y))
+    centre = F.col("strategy") == "centre"
     still = videos.filter("strategy <> 'track'").select(
         "video_id", "strategy", F.lit(0).cast("bigint").alias("t_ms"),
-        F.when(F.col("strategy") == "centre", F.lit((source_w - w) // 2).cast("bigint")).otherwise(fit((F.col("left") + F.col("right")) / 2, w, source_w)).alias("x"),
-        F.when(F.col("strategy") == "centre", F.lit((source_h - h) // 2).cast("bigint")).otherwise(y).alias("y"),
+        F.when(centre, F.lit(most_x // 2)).otherwise(fit_x((F.col("left") + F.col("right")) / 2)).cast("bigint").alias("x"),
+        F.when(centre, F.lit(int(min(most_y, max(0, source_h * bias - h / 2))))).otherwise(fit_y(F.col("mean_cy"))).cast("bigint").alias("y"),
     )
-    moving = videos.filter("strategy = 'track'").select("video_id", "mean_cy")
-    path = frames.join(moving.hint("merge"), "video_id").join(at.select("video_id", "t_ms", "cx").hint("merge"), ["video_id", "t_ms"], "left")
-    path = smooth_path(hold_last(path)).select("video_id", "t_ms", fit(F.col("cx"), w, source_w).alias("x"), y.alias("y"))
-    track = crop_keyframes(path).withColumn("strategy", F.lit("track"))
-    return still.unionByName(track).withColumn("w", F.lit(w)).withColumn("h", F.lit(h))
+    moving = videos.filter("strategy = 'track'").select("video_id", "mean_cx", "mean_cy")
+    path = frames.select("video_id", "t_ms").join(moving.select("video_id").hint("merge"), "video_id").join(at.select("video_id", "t_ms", "cx", "cy").hint("merge"), ["video_id", "t_ms"], "left")
+    path = smooth_path(smooth_path(hold_last(path, moving), "cx"), "cy").select("video_id", "t_ms", fit_x(F.col("cx")).alias("x"), fit_y(F.col("cy")).alias("y"))
+    return sized(still.unionByName(crop_keyframes(path).withColumn("strategy", F.lit("track"))))
 
 
 def crop_at(probes: DataFrame, keyframes: DataFrame) -> DataFrame:
     """(video_id, probe_id, x, y): the crop's place at t, on the line between neighbouring keyframes; still before the first and after the last."""
     v = Window.partitionBy("video_id").orderBy("t_ms")
-    spans = keyframes.select("video_id", F.col("t_ms").alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("t_ms").over(v).alias("t1"), F.lead("x").over(v).alias("x1"), F.lead("y").over(v).alias("y1"), F.row_number().over(v).alias("k"))
-    p = probes.select("video_id", "probe_id", F.col("t_ms").alias("p"))
-    hit = p.join(spans.hint("merge"), "video_id").filter(((F.col("p") >= F.col("t0")) | (F.col("k") == 1)) & (F.col("t1").isNull() | (F.col("p") < F.col("t1"))))
-    part = F.greatest(F.lit(0.0), F.coalesce((F.col("p") - F.col("t0")) / (F.col("t1") - F.col("t0")), F.lit(0.0)))
+    spans = keyframes.select("video_id", F.col("t_ms").alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("t_ms").over(v).alias("t1"), F.lead("x").over(v).alias("x1"), F.lead("y").over(v).alias("y1"))
+    spans = spans.withColumn("until", F.coalesce("t1", "t0"))
+    ends = keyframes.groupBy("video_id").agg(F.min("t_ms").alias("first"), F.max("t_ms").alias("last"))
+    p = probes.select("video_id", "probe_id", F.col("t_ms").alias("p")).join(ends.hint("merge"), "video_id").withColumn("p", F.greatest("first", F.least("last", "p"))).drop("first", "last")
+    hit = range_join(p, spans, ("p", "p"), ("t0", "until"), (F.col("p") >= F.col("t0")) & (F.col("t1").isNull() | (F.col("p") < F.col("t1"))))
+    part = F.coalesce((F.col("p") - F.col("t0")) / (F.col("t1") - F.col("t0")), F.lit(0.0))
     return hit.select("video_id", "probe_id", (F.col("x0") + part * F.coalesce(F.col("x1") - F.col("x0"), F.lit(0))).alias("x"), (F.col("y0") + part * F.coalesce(F.col("y1") - F.col("y0"), F.lit(0))).alias("y"))

@@ -93,13 +93,15 @@ def answered(response: Column, fallback: Column) -> Column:
     return F.when(F.trim(F.coalesce(response, F.lit(""))) != "", response).otherwise(fallback)
 
 
-def summary_requests(chunks: DataFrame, segments: DataFrame, system: str, schema: str = "") -> DataFrame:
-    """A request for each chunk (video_id, chunk_idx, start_ms, end_ms): its segments' texts in order."""
+def summary_requests(numbered: DataFrame, system: str, schema: str = "", chunks: DataFrame | None = None) -> DataFrame:
+    """A request for each chunk of numbered segments (video_id, segment_id, start_ms, text, chunk_idx): their texts in order.
+
+    chunks (video_id, chunk_idx): only these, where given.
+    """
     from .ranges import joined_text
 
-    s = segments.select("video_id", "segment_id", F.col("start_ms").alias("s_ms"), "text")
-    rows = chunks.join(s.hint("merge"), "video_id").filter((F.col("s_ms") >= F.col("start_ms")) & (F.col("s_ms") < F.col("end_ms")))
-    out = rows.groupBy("video_id", "chunk_idx", "start_ms").agg(joined_text(["segment_id"], "text").alias("prompt"))
+    rows = numbered if chunks is None else numbered.join(chunks.select("video_id", "chunk_idx").hint("merge"), ["video_id", "chunk_idx"], "left_semi")
+    out = rows.groupBy("video_id", "chunk_idx").agg(F.min_by("start_ms", "segment_id").alias("start_ms"), joined_text(["segment_id"], "text").alias("prompt"))
     return out.select(F.concat_ws(":", F.col("video_id").cast("string"), F.col("chunk_idx").cast("string")).alias("request_id"), "video_id", "chunk_idx", "start_ms", F.lit(system).alias("system"), "prompt", F.lit(schema).alias("schema"))
 
 
@@ -111,6 +113,28 @@ def reduce_summaries(requests: DataFrame, responses: DataFrame, most_chars: int
     return by.select("video_id", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("notes"), F.left(F.array_join(F.transform("x", lambda e: e["text"]), " "), F.lit(most_chars)).alias("fallback"))
 
 
+def context_requests(summaries: DataFrame, system: str, schema: str = "", voices: DataFrame | None = None) -> DataFrame:
+    """A request for each video's context from its notes (as of reduce_summaries) and, where known, how many voices it has (video_id, n)."""
+    rows = summaries.withColumn("n", F.lit(None).cast("bigint")) if voices is None else summaries.join(voices.select("video_id", "n").hint("merge"), "video_id", "left")
+    prompt = F.concat_ws("\n\n", F.when(F.col("n") > 0, F.format_string("%d distinct voices", F.col("n"))), F.col("notes"))
+    return rows.select(F.col("video_id").cast("string").alias("request_id"), "video_id", F.lit(system).alias("system"), prompt.alias("prompt"), F.lit(schema).alias("schema"))
+
+
+def video_contexts(summaries: DataFrame, responses: DataFrame, most_terms: int = 12) -> DataFrame:
+    """(video_id, setting, participants, subject, summary, key_terms): each video's context from the answer to its request, at most most_terms terms.
+
+    Labels and white space in the texts are cleaned.  Without an answer, the plain summary of the notes is all there is.
+    """
+    from ..functions.text import clean_label_text
+
+    parsed = parse_model_json(responses.filter("error is null").select("request_id", "response"), "response", "setting string, participants string, subject string, summary string, key_terms array<string>")
+    rows = summaries.withColumn("request_id", F.col("video_id").cast("string")).join(parsed.select("request_id", "parsed").hint("merge"), "request_id", "left")
+    known = F.col("parsed").isNotNull()
+    field = lambda name: F.when(known, clean_label_text(F.col(f"parsed.{name}"))).otherwise("")
+    terms = F.slice(F.transform(F.filter(F.coalesce("parsed.key_terms", F.array().cast("array<string>")), lambda t: F.trim(F.coalesce(t, F.lit(""))) != ""), clean_label_text), 1, most_terms)
+    return rows.select("video_id", field("setting").alias("setting"), field("participants").alias("participants"), field("subject").alias("subject"), F.when(known, field("summary")).otherwise(F.col("fallback")).alias("summary"), terms.alias("key_terms"))
+
+
 def describe_requests(clips: DataFrame, contexts: DataFrame, system: str, schema: str = "") -> DataFrame:
     """A request for each clip (video_id, clip_id, text) with its video's context; blank clips give none."""
     rows = clips.filter(F.trim(F.coalesce("text", F.lit(""))) != "").join(contexts.select("video_id", "context").hint("merge"), "video_id", "left")

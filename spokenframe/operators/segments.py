@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranges import in_any_span
 
@@ -37,7 +41,7 @@ def build_sentences(words: DataFrame, segments: DataFrame) -> DataFrame:
         F.min("from_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("word_idx", F.trim("word").alias("t")))), lambda x: x["t"])).alias("text"), F.count(F.lit(1)).alias("n_words"),
     )
-    silent = segments.join(words.select("video_id", "segment_id").distinct(), ["video_id", "segment_id"], "left_anti").filter(F.trim("text") != "")
+    silent = segments.join(words.select("video_id", "segment_id").distinct().hint("merge"), ["video_id", "segment_id"], "left_anti").filter(F.trim("text") != "")
     return spoken.unionByName(silent.select("video_id", "segment_id", F.lit(0).cast("bigint").alias("part"), "start_ms", "end_ms", F.trim("text").alias("text"), F.lit(0).cast("bigint").alias("n_words")))
 
 
@@ -59,7 +63,7 @@ def sentence_ends(words: DataFrame, segments: DataFrame, *, punctuated_only: boo
     points = words.filter(ends_sentence(F.col("word"))).select("video_id", F.col("end_ms").alias("point"))
     if not punctuated_only:
         last = words.groupBy("video_id", "segment_id").agg(F.max("end_ms").alias("last"))
-        points = points.union(segments.join(last, ["video_id", "segment_id"], "left").select("video_id", F.coalesce("last", "end_ms").alias("point")))
+        points = points.union(segments.join(last.hint("merge"), ["video_id", "segment_id"], "left").select("video_id", F.coalesce("last", "end_ms").alias("point")))
     return points.distinct()
 
 
@@ -100,11 +104,11 @@ def caption_spans(frames: DataFrame, *, interval_ms: int = 1000, merge_gap_ms: i
     """(video_id, start_ms, end_ms): stretches where burnt-in captions show.
 
     A video needs 8 frames and a 97th percentile of caption_score of 0.008; frames at
-    max(0.006, 0.45 * percentile) or more count, each for one interval.
+    max(0.006, 0.45 * percentile) or more count, each for one interval around it (the first may begin before 0).
     """
     peak = frames.groupBy("video_id").agg(F.percentile("caption_score", F.lit(0.97)).alias("peak"), F.count(F.lit(1)).alias("n")).filter("n >= 8 and peak >= 0.008")
-    hit = frames.join(peak, "video_id").filter(F.col("caption_score") >= F.greatest(F.lit(0.006), 0.45 * F.col("peak")))
-    spans = hit.select("video_id", F.greatest(F.lit(0), F.col("t_ms") - interval_ms / 2).cast("bigint").alias("start_ms"), (F.col("t_ms") + interval_ms / 2).cast("bigint").alias("end_ms"))
+    hit = frames.join(peak.hint("merge"), "video_id").filter(F.col("caption_score") >= F.greatest(F.lit(0.006), 0.45 * F.col("peak")))
+    spans = hit.select("video_id", (F.col("t_ms") - interval_ms / 2).cast("bigint").alias("start_ms"), (F.col("t_ms") + interval_ms / 2).cast("bigint").alias("end_ms"))
     new = F.coalesce(F.col("start_ms") - F.lag("end_ms").over(_by_video("start_ms")) > merge_gap_ms, F.lit(True))
     return _islands(spans.withColumn("new", new), F.col("new"), "start_ms").groupBy("video_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
@@ -113,7 +117,7 @@ def cover_scenes(scenes: DataFrame, media: DataFrame, slack_ms: int = 500) -> Da
     """(video_id, scene_idx, start_ms, end_ms): scenes cut to the duration; the last one stretched to it if it ends over slack_ms early; a video without scenes is one scene."""
     last = F.lead("scene_idx").over(_by_video("scene_idx")).isNull()
     cut = F.least("end_ms", "duration_ms")
-    rows = media.join(scenes.withColumn("last", last), "video_id", "left")
+    rows = media.join(scenes.withColumn("last", last).hint("merge"), "video_id", "left")
     end = F.when(F.col("scene_idx").isNull() | (F.col("last") & (F.col("duration_ms") - cut > slack_ms)), F.col("duration_ms")).otherwise(cut)
     return rows.select("video_id", F.coalesce("scene_idx", F.lit(0)).cast("bigint").alias("scene_idx"), F.coalesce("start_ms", F.lit(0)).cast("bigint").alias("start_ms"), end.alias("end_ms"))
 
@@ -123,21 +127,28 @@ def caption_cues(words: DataFrame, *, max_chars: int = 22, gap_ms: int = 550, sp
 
     words: (video_id, clip_id, word_idx, word, start_ms, end_ms, speaker, clip_start, clip_end).  A new
     cue begins before a word after a gap, when the cue would last or grow too long, or when
-    the speaker changes, and after final punctuation.  Times count from the clip's start;
-    a cue lasts 0.4 s at least, and ends before the next one.
+    its known speaker differs from the known speaker of the cue's first word, and after final
+    punctuation.  Times count from the clip's start; a cue that would end where it starts lasts 0.4 s, and
+    every cue ends before the next one.
+
+    Gaps and punctuation cut a clip into stretches by windows; only inside a stretch is the rest an ordered fold.
     """
+    v = Window.partitionBy("video_id", "clip_id").orderBy("start_ms", "word_idx")
+    rows = words.withColumn("word", F.trim("word")).filter("word <> ''")
+    ended = F.coalesce(F.lag("word").over(v).rlike("[.!?]$"), F.lit(True))
+    rows = rows.withColumn("new", ended | (F.col("start_ms") - F.lag("end_ms").over(v) > gap_ms)).withColumn("stretch", F.sum(F.col("new").cast("int")).over(v.rowsBetween(Window.unboundedPreceding, 0)))
     item = F.struct("start_ms", "word_idx", "word", "end_ms", "speaker")
-    clips = words.filter(F.trim("word") != "").groupBy("video_id", "clip_id", "clip_start", "clip_end").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    clips = clips.withColumn("items", F.expr("transform(items, x -> struct(x.start_ms as s, x.end_ms as e, trim(x.word) as w, x.speaker as sp))"))
-    fold = f"""aggregate(items, cast(array() as array<struct<s:bigint,e:bigint,t:string,sp:string,done:boolean>>), (acc, x) ->
-      if(size(acc) = 0 or element_at(acc, -1).done or x.s - element_at(acc, -1).e > {gap_ms} or x.e - element_at(acc, -1).s > {span_ms}
-         or length(element_at(acc, -1).t) + 1 + length(x.w) > {max_chars * 2} or not (x.sp <=> element_at(acc, -1).sp),
-        concat(acc, array(struct(x.s as s, x.e as e, x.w as t, x.sp as sp, x.w rlike '[.!?]$' as done))),
-        concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, x.e as e, concat(element_at(acc, -1).t, ' ', x.w) as t, x.sp as sp, x.w rlike '[.!?]$' as done)))))"""
-    cues = clips.withColumn("cues", F.expr(fold)).select("video_id", "clip_id", "clip_start", "clip_end", F.posexplode("cues").alias("cue_idx", "c"))
+    runs = rows.groupBy("video_id", "clip_id", "stretch").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("clip_start").alias("clip_start"), F.first("clip_end").alias("clip_end"))
+    fold = f"""aggregate(items, cast(array() as array<struct<s:bigint,e:bigint,t:string,sp:string>>), (acc, x) ->
+      if(size(acc) = 0 or x.end_ms - element_at(acc, -1).s > {span_ms} or length(element_at(acc, -1).t) + 1 + length(x.word) > {max_chars * 2}
+         or coalesce(x.speaker <> element_at(acc, -1).sp, false),
+        concat(acc, array(struct(x.start_ms as s, x.end_ms as e, x.word as t, x.speaker as sp))),
+        concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, x.end_ms as e, concat(element_at(acc, -1).t, ' ', x.word) as t, element_at(acc, -1).sp as sp)))))"""
+    cues = runs.select("video_id", "clip_id", "clip_start", "clip_end", "stretch", F.posexplode(F.expr(fold)).alias("pos", "c"))
+    order = Window.partitionBy("video_id", "clip_id").orderBy("stretch", "pos")
     start = F.greatest(F.lit(0), F.col("c.s") - F.col("clip_start"))
-    end = F.greatest(F.least(F.col("c.e"), F.col("clip_end")) - F.col("clip_start"), start + 400)
-    rows = cues.select("video_id", "clip_id", "cue_idx", start.alias("start_ms"), end.alias("end_ms"), F.col("c.t").alias("text"))
+    end = F.least(F.col("c.e"), F.col("clip_end")) - F.col("clip_start")
+    rows = cues.select("video_id", "clip_id", (F.row_number().over(order) - 1).alias("cue_idx"), start.alias("start_ms"), F.when(end <= start, start + 400).otherwise(end).alias("end_ms"), F.col("c.t").alias("text"))
     following = F.lead("start_ms").over(Window.partitionBy("video_id", "clip_id").orderBy("cue_idx"))
     return rows.withColumn("end_ms", F.when(F.col("end_ms") > following, F.greatest(F.col("start_ms") + 200, following - 20)).otherwise(F.col("end_ms")))
 
@@ -146,17 +157,38 @@ def suppress_cues(cues: DataFrame, spans: DataFrame) -> DataFrame:
     """cues (video_id, cue_id, start_ms, end_ms in source time, ...) whose midpoint lies in no caption span."""
     mid = cues.select("video_id", F.col("cue_id").alias("probe_id"), ((F.col("start_ms") + F.col("end_ms")) / 2).alias("t_ms"))
     hidden = in_any_span(mid, spans).filter("inside").select("video_id", F.col("probe_id").alias("cue_id"))
-    return cues.join(hidden, ["video_id", "cue_id"], "left_anti")
+    return cues.join(hidden.hint("merge"), ["video_id", "cue_id"], "left_anti")
+
+
+def number_chunks(segments: DataFrame, budget: int = 5000) -> DataFrame:
+    """segments without blank ones, with chunk_idx: in order, a chunk closes once its texts, with one more character each, reach the budget.
+
+    Where a chunk closes depends on where the last one did, so a video's rows stream by in order and only the running length is held.
+    """
+    rows = segments.filter(F.trim("text") != "").withColumn("_n", (F.length(F.trim("text")) + 1).cast("bigint"))
+    rows = rows.repartition("video_id").sortWithinPartitions("video_id", "segment_id")
+    fields = [f for f in rows.schema.fields if f.name != "_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, chunk, total = None, 0, 0
+        for b in batches:
+            out = []
+            for v, n in zip(b.column("video_id").to_pylist(), b.column("_n").to_pylist(), strict=True):
+                if v != video:
+                    video, chunk, total = v, 0, 0
+                elif total >= budget:
+                    chunk, total = chunk + 1, 0
+                total += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(out, pa.int64())], [*[f.name for f in fields], "chunk_idx"])
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("chunk_idx", T.LongType())]))
 
 
 def chunk_by_budget(segments: DataFrame, budget: int = 5000) -> DataFrame:
-    """(video_id, chunk_idx, start_ms, n_segments, chars): segments in order; a chunk closes once its texts, with one more character each, reach the budget."""
-    rows = segments.filter(F.trim("text") != "").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", "start_ms", (F.length(F.trim("text")) + 1).alias("n")))).alias("items"))
-    fold = f"""aggregate(items, cast(array() as array<struct<s:bigint,k:bigint,n:bigint>>), (acc, x) ->
-      if(size(acc) = 0 or element_at(acc, -1).n >= {budget},
-        concat(acc, array(struct(x.start_ms as s, cast(1 as bigint) as k, cast(x.n as bigint) as n))),
-        concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, element_at(acc, -1).k + 1 as k, element_at(acc, -1).n + x.n as n)))))"""
-    return rows.select("video_id", F.posexplode(F.expr(fold)).alias("chunk_idx", "c")).select("video_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("c.s").alias("start_ms"), F.col("c.k").alias("n_segments"), F.col("c.n").alias("chars"))
+    """(video_id, chunk_idx, start_ms, n_segments, chars) of the chunks that number_chunks makes."""
+    rows = number_chunks(segments.select("video_id", "segment_id", "start_ms", "text"), budget)
+    return rows.groupBy("video_id", "chunk_idx").agg(F.min_by("start_ms", "segment_id").alias("start_ms"), F.count(F.lit(1)).alias("n_segments"), F.sum(F.length(F.trim("text")) + 1).alias("chars"))
 
 
 def sample_middle(chunks: DataFrame, most: int = 14, middle: int = 12) -> DataFrame:

@@ -25,43 +25,72 @@ def standardise(embeddings: DataFrame) -> DataFrame:
     return rows.groupBy("video_id", "segment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda e: e["z"]).alias("embedding"))
 
 
+#: Rows whose distances to all others are held at once.
+ROWS = 1024
+
+
 def ward_labels(x: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Labels of Ward's agglomerative clustering at every k from most down to 1."""
+    """Labels of Ward's agglomerative clustering at every k from most down to 1.
+
+    Chains of nearest neighbours merge where two are each other's nearest, which makes the same tree as merging
+    the closest pair each time.  Distances are computed from centres when they are needed, so memory is that of x.
+    """
     n = len(x)
-    centre, size, label = x.astype(float).copy(), np.ones(n), np.arange(n)
-    alive = np.arange(n)
-    cost = ((x[:, None] - x[None]) ** 2).sum(-1) / 2
-    np.fill_diagonal(cost, np.inf)
+    centre, size, alive = x.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        i = chain[-1]
+        cost = ((centre - centre[i]) ** 2).sum(1) * (size * size[i] / (size + size[i]))
+        cost[~alive] = np.inf
+        cost[i] = np.inf
+        j = int(cost.argmin())
+        if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+            j = chain[-2]
+            chain = chain[:-2]
+            lo, hi = min(i, j), max(i, j)
+            merges.append((float(cost[j]), lo, hi))
+            centre[lo] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
+            size[lo] += size[hi]
+            alive[hi] = False
+        else:
+            chain.append(j)
+    label, parent = np.arange(n), np.arange(n)
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = int(parent[k])
+        return k
+
     out = {n: label.copy()} if n <= most else {}
-    while len(alive) > 1:
-        i, j = divmod(int(cost.argmin()), n)
-        i, j = min(i, j), max(i, j)
-        centre[i] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        label[label == j] = i
-        alive = alive[alive != j]
-        cost[j, :] = cost[:, j] = np.inf
-        d = ((centre[alive] - centre[i]) ** 2).sum(1) * size[alive] * size[i] / (size[alive] + size[i])
-        cost[i, alive] = cost[alive, i] = d
-        cost[i, i] = np.inf
-        if len(alive) <= most:
-            out[len(alive)] = label.copy()
+    for done, (_, i, j) in enumerate(sorted(merges, key=lambda m: m[0]), 1):
+        i, j = root(i), root(j)
+        parent[max(i, j)] = min(i, j)
+        if n - done <= most:
+            out[n - done] = np.array([root(k) for k in range(n)])
     return out
 
 
 def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     """Mean silhouette of a clustering; clusters of one count 0."""
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    names = np.unique(label)
-    mean = np.stack([d[:, label == c].sum(1) for c in names], 1)
-    count = np.array([(label == c).sum() for c in names])
-    own = np.searchsorted(names, label)
-    rows = np.arange(len(x))
-    a = mean[rows, own] / np.maximum(1, count[own] - 1)
-    other = mean / count
-    other[rows, own] = np.inf
-    b = other.min(1)
-    return float(np.where(count[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
+    names, own = np.unique(label, return_inverse=True)
+    count = np.bincount(own)
+    member = np.eye(len(names))[own]
+    square, total = (x * x).sum(1), 0.0
+    for lo in range(0, len(x), ROWS):
+        part, mine = x[lo : lo + ROWS], own[lo : lo + ROWS]
+        d = np.sqrt(np.maximum(square[lo : lo + ROWS, None] + square[None] - 2 * part @ x.T, 0))
+        d[np.arange(len(part)), np.arange(lo, lo + len(part))] = 0
+        by, rows = d @ member, np.arange(len(part))
+        a = by[rows, mine] / np.maximum(1, count[mine] - 1)
+        other = by / count
+        other[rows, mine] = np.inf
+        b = other.min(1)
+        total += np.where(count[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).sum()
+    return float(total / len(x))
 
 
 def choose_k(x: np.ndarray, labels: dict[int, np.ndarray], most: int = 6) -> int:
@@ -75,7 +104,8 @@ def choose_k(x: np.ndarray, labels: dict[int, np.ndarray], most: int = 6) -> int
 def cluster_speakers(embeddings: DataFrame, most: int = 6) -> DataFrame:
     """(video_id, segment_id, speaker): standardised embeddings clustered in each video; A, B, C by first appearance.
 
-    A video has some hundreds of segments; videos run in parallel.  Fewer than two embeddings are one speaker.
+    One video's embeddings (a row for each segment) are in one task, but no table of their pairs; videos run in parallel.
+    Fewer than two embeddings are one speaker.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -87,9 +87,9 @@ def _(candidates):
 
 
 @query("a13_export_files", "windows segments", """with t as (select w.video_id, w.window_id, w.start_ms, w.end_ms, row_number() over (partition by w.video_id order by w.window_id) as k, coalesce(string_agg(trim(s.text), ' ' order by s.segment_id), '') as text from windows w left join segments s on s.video_id = w.video_id and s.end_ms > w.start_ms and s.start_ms < w.end_ms group by 1, 2, 3, 4),
-f as (select video_id, 'video' || video_id || '/Clip_' || lpad(k::varchar, 2, '0') as dir, * exclude (video_id) from t)
-select dir || '/Info.txt' as path, 'Start: ' || format('{:02d}:{:02d}:{:02d}', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || chr(10) || 'End: ' || format('{:02d}:{:02d}:{:02d}', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60) || chr(10) || 'Length: ' || format('{:02d}:{:02d}', (end_ms - start_ms) // 60000, (end_ms - start_ms) // 1000 % 60) || chr(10) || chr(10) || case when text = '' then '(no speech detected)' else text end || chr(10) as content from f where k < 100
-union all select dir || '/Context.txt', text from f where text <> '' and k < 100 union all select distinct 'video' || video_id || '/About.txt', 'About ' || video_id from f""")
+f as (select video_id, 'video' || video_id || '/Clip_' || format('{:02d}', k) as dir, * exclude (video_id) from t)
+select dir || '/Info.txt' as path, 'Start: ' || format('{:02d}:{:02d}:{:02d}', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || chr(10) || 'End: ' || format('{:02d}:{:02d}:{:02d}', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60) || chr(10) || 'Length: ' || format('{:02d}:{:02d}', (end_ms - start_ms) // 60000, (end_ms - start_ms) // 1000 % 60) || chr(10) || chr(10) || case when text = '' then '(no speech detected)' else text end || chr(10) as content from f
+union all select dir || '/Context.txt', text from f where text <> '' union all select distinct 'video' || video_id || '/About.txt', 'About ' || video_id from f""")
 def _(windows, segments):
     k = F.row_number().over(Window.partitionBy("video_id").orderBy("window_id"))
     clips = windows.withColumn("index", k).join(R.text_between(windows, segments), ["video_id", "window_id"]).withColumn("stem", F.concat(F.lit("video"), "video_id")).withColumn("context", F.col("text")).withColumn("hooks", F.lit("")).withColumn("caption", F.lit(None).cast("string"))
@@ -109,30 +109,74 @@ def _(faces):
     return V.face_geometry(faces).withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6))
 
 
-@query("c15_hold_last", "frames faces", "with g as (select video_id, t_ms, sum((x + w / 2) * w * h) / sum(w * h) as cx from faces group by 1, 2), f as (select f.video_id, f.t_ms, g.cx from frames f left join g on g.video_id = f.video_id and g.t_ms = f.t_ms) select video_id, t_ms, round(coalesce(last_value(cx ignore nulls) over (partition by video_id order by t_ms rows between unbounded preceding and current row), avg(cx) over (partition by video_id)), 6) as cx from f")
-def _(frames, faces):
-    at = V.face_geometry(faces).select("video_id", "t_ms", "cx")
-    return V.hold_last(frames.select("video_id", "t_ms").join(at, ["video_id", "t_ms"], "left")).withColumn("cx", F.round("cx", 6))
+_CENTRES = "fc as (select video_id, t_ms, sum((x + w / 2) * w * h) / sum(w * h) as cx, sum((y + h / 2) * w * h) / sum(w * h) as cy from faces group by 1, 2), mean as (select video_id, avg(x + w / 2) as mx, avg(y + h / 2) as my, max(x + w) - min(x) as span, min(x) as lo, max(x + w) as hi from faces group by 1)"
+_HELD = "held as (select f.video_id, f.t_ms, coalesce(last_value(a.cx ignore nulls) over v, m.mx) as cx, coalesce(last_value(a.cy ignore nulls) over v, m.my) as cy from frames f left join fc a on a.video_id = f.video_id and a.t_ms = f.t_ms left join mean m on m.video_id = f.video_id window v as (partition by f.video_id order by f.t_ms rows between unbounded preceding and current row))"
 
 
-@query("c16_smooth_path", "frames", """with p as (select video_id, t_ms, motion, first_value(motion) over v as f, last_value(motion) over v as l, row_number() over (partition by video_id order by t_ms) as k, count(*) over (partition by video_id) as n from frames window v as (partition by video_id order by t_ms rows between unbounded preceding and unbounded following)),
-m as (select a.video_id, a.t_ms, a.k, a.n, (select list_sort(list(coalesce(b.motion, case when a.k + d < 1 then a.f else a.l end)))[4] from range(-3, 4) r(d) left join p b on b.video_id = a.video_id and b.k = a.k + d) as med from p a where a.video_id < 3),
-e as (select *, first_value(med) over v as f, last_value(med) over v as l from m window v as (partition by video_id order by t_ms rows between unbounded preceding and unbounded following))
-select a.video_id, a.t_ms, round((select avg(coalesce(b.med, case when a.k + d < 1 then a.f else a.l end)) from range(-2, 3) r(d) left join e b on b.video_id = a.video_id and b.k = a.k + d), 6) as motion from e a""")
+@query("c15_hold_last", "frames faces", f"with {_CENTRES}, {_HELD} select video_id, t_ms, round(cx, 6) as cx, round(cy, 6) as cy from held")
+def _(frames, faces):
+    at = V.face_geometry(faces).select("video_id", "t_ms", "cx", "cy")
+    held = V.hold_last(frames.select("video_id", "t_ms").join(at.hint("merge"), ["video_id", "t_ms"], "left"), V.face_means(faces))
+    return held.withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6))
+
+
+def _smooth(src: str, column: str, name: str) -> str:
+    """Running median over seven, then running mean over five; for series of five and more."""
+    around = lambda c, half: ", ".join(f"coalesce({f'lag({c}, {-d})' if d < 0 else f'lead({c}, {d})'} over v, {'first_value' if d < 0 else 'last_value'}({c}) over u)" if d else c for d in range(-half, half + 1))
+    windows = "window v as (partition by video_id order by t_ms), u as (partition by video_id order by t_ms rows between unbounded preceding and unbounded following)"
+    return f"""{name}_n as (select *, least(7, n - (1 - n % 2)) as odd from (select video_id, t_ms, {column} as val, count(*) over (partition by video_id) as n from {src}) x),
+{name}_w as (select *, [{around('val', 3)}] as near from {name}_n {windows}),
+{name}_m as (select video_id, t_ms, n, val, list_sort(near[4 - (odd - 1) // 2 : 4 + (odd - 1) // 2])[(odd - 1) // 2 + 1] as med from {name}_w),
+{name} as (select video_id, t_ms, case when n < 3 then val else ({' + '.join(f'({x})' for x in _split(around('med', 2)))}) / 5 end as val from {name}_m {windows})"""
+
+
+def _split(items: str) -> list[str]:
+    """Items at the commas that stand in no brackets."""
+    out, depth = [""], 0
+    for ch in items:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
+@query("c16_smooth_path", "frames", f"with {_smooth('frames', 'motion', 'z')} select video_id, t_ms, round(val, 6) as motion from z")
 def _(frames):
     return V.smooth_path(frames.select("video_id", "t_ms", "motion"), "motion").withColumn("motion", F.round("motion", 6))
 
 
-@query("c17_crop_keyframes", "faces", """with recursive p as (select video_id, t_ms, min(x) as x, min(y) as y, row_number() over (partition by video_id order by t_ms) as r from faces group by 1, 2),
-k as (select video_id, r, 0::bigint as t_ms, x, y, true as kept from p where r = 1 union all select p.video_id, p.r, p.t_ms, case when abs(p.x - k.x) >= 24 or abs(p.y - k.y) >= 24 then p.x else k.x end, case when abs(p.x - k.x) >= 24 or abs(p.y - k.y) >= 24 then p.y else k.y end, abs(p.x - k.x) >= 24 or abs(p.y - k.y) >= 24 from k join p on p.video_id = k.video_id and p.r = k.r + 1)
-select video_id, t_ms, x, y from k where kept""")
+def _keyframes(src: str, name: str) -> str:
+    """Keyframes of a path (video_id, t_ms, x, y).  Needs `with recursive`."""
+    far = "(abs(p.x - k.x) >= 24 or abs(p.y - k.y) >= 24)"
+    return f"""{name}_p as (select *, row_number() over (partition by video_id order by t_ms, x, y) as r from {src}),
+{name}_k as (select video_id, r, t_ms, x, y, true as kept from {name}_p where r = 1 union all select p.video_id, p.r, p.t_ms, case when {far} then p.x else k.x end, case when {far} then p.y else k.y end, {far} from {name}_k k join {name}_p p on p.video_id = k.video_id and p.r = k.r + 1),
+{name} as (select video_id, t_ms, x, y from {name}_k where kept union all select video_id, 0, x, y from {name}_p where r = 1 and t_ms > 0)"""
+
+
+@query("c17_crop_keyframes", "faces", f"with recursive q as (select video_id, t_ms, min(x) as x, min(y) as y from faces group by 1, 2), {_keyframes('q', 'z')} select * from z")
 def _(faces):
     return V.crop_keyframes(faces.groupBy("video_id", "t_ms").agg(F.min("x").alias("x"), F.min("y").alias("y")))
 
 
-@query("c18_crop_path", "frames faces")
+#: Shapes of source, target and crop: one leaves room to the sides, the other above and below.
+_SHAPES = {"wide": (1920, 1080, 1080, 1920, 608, 1080), "tall": (1920, 1920, 1080, 608, 1920, 1080)}
+
+
+def _crop_path(n: str, source_w: int, source_h: int, _tw: int, _th: int, w: int, h: int) -> str:
+    fit = lambda c, d, most: f"round_even(least({most}, greatest(0, {c} - {d})), 0)::bigint"
+    x, y = (lambda c: fit(c, f"{w} / 2", source_w - w)), (lambda c: fit(c, f"{h} * 0.42::double", source_h - h))
+    return f"""{n}_c as (select f.video_id, m.* exclude (video_id), case when m.span is null then 'centre' when m.span <= 0.92 * {w} then 'static' else 'track' end as strategy from (select distinct video_id from frames) f left join mean m on m.video_id = f.video_id),
+{n}_v as (select h.* from held h join {n}_c k on k.video_id = h.video_id and k.strategy = 'track'), {_smooth(f'{n}_v', 'cx', f'{n}_x')}, {_smooth(f'{n}_v', 'cy', f'{n}_y')},
+{n}_q as (select a.video_id, a.t_ms, {x('a.val')} as x, {y('b.val')} as y from {n}_x a join {n}_y b on b.video_id = a.video_id and b.t_ms = a.t_ms), {_keyframes(f'{n}_q', f'{n}_z')},
+{n} as (select '{n}' as shape, video_id, 'track' as strategy, t_ms, x, y, {w} as w, {h} as h from {n}_z union all select '{n}', video_id, strategy, 0, case when strategy = 'centre' then {(source_w - w) // 2} else {x('(lo + hi) / 2')} end, case when strategy = 'centre' then {int(min(source_h - h, max(0, source_h * 0.42 - h / 2)))} else {y('my')} end, {w}, {h} from {n}_c where strategy <> 'track')"""
+
+
+@query("c18_crop_path", "frames faces", f"with recursive {_CENTRES}, {_HELD}, {', '.join(_crop_path(n, *s) for n, s in _SHAPES.items())} select * from wide union all select * from tall")
 def _(frames, faces):
-    return V.crop_path(frames.select("video_id", "t_ms"), faces, 1920, 1080)
+    wide, tall = (V.crop_path(frames.select("video_id", "t_ms"), faces, s[0], s[1], target_w=s[2], target_h=s[3]).withColumn("shape", F.lit(n)) for n, s in _SHAPES.items())
+    return wide.unionByName(tall)
 
 
 @query("c19_crop_at", "probes faces", """with p as (select video_id, t_ms, min(x) as x, min(y) as y from faces group by 1, 2), s as (select video_id, t_ms as t0, x as x0, y as y0, lead(t_ms) over v as t1, lead(x) over v as x1, lead(y) over v as y1, row_number() over v as k from p window v as (partition by video_id order by t_ms)),
@@ -239,8 +283,8 @@ _BLEND = "least(1, greatest(0, 0.62 * quality_score + 0.38 * heuristic_score + c
 
 
 @query("f09_select_clips", "candidates evaluations", f"""with recursive b as (select c.video_id, c.candidate_id as id, c.start_ms as s, c.end_ms as e, {_BLEND} as score, {_TOK.format('text')} as t from candidates c join evaluations e on e.candidate_id = c.candidate_id),
-n as (select *, row_number() over (partition by video_id order by score desc, id) as nth from b), low as (select video_id, count(*) filter (score < 0.42) as below_floor, count(*) filter (score >= 0.42) as above from n where nth <= 80 group by 1),
-o as (select *, row_number() over (partition by video_id order by nth) as r from n where nth <= 80 and score >= 0.42),
+n as (select *, row_number() over (partition by video_id order by score desc, id) as nth from b), low as (select video_id, count(*) filter (score < 0.42) as below_floor, count(*) filter (score >= 0.42) as above from n group by 1),
+o as (select *, row_number() over (partition by video_id order by nth) as r from n where score >= 0.42),
 f as (select video_id, r, [struct_pack(id := id, s := s, e := e, score := score, t := t, nth := nth)] as kept from o where r = 1 union all select o.video_id, o.r, case when len(list_filter(f.kept, lambda k: {_DUP} >= 0.35 or {_LIKE} >= 0.72 or ({_DUP} > 0.15 and {_LIKE} > 0.54))) > 0 then f.kept else list_append(f.kept, struct_pack(id := o.id, s := o.s, e := o.e, score := o.score, t := o.t, nth := o.nth)) end from f join o on o.video_id = f.video_id and o.r = f.r + 1),
 l as (select video_id, len(kept) as strong, unnest(kept[1:5]) as k from (select *, row_number() over (partition by video_id order by r desc) as last from f) x where last = 1)
 select l.video_id, k.id as candidate_id, row_number() over (partition by l.video_id order by k.s, k.nth) as index, k.s as start_ms, k.e as end_ms, round(k.score, 4) as score, strong, above - strong as duplicates, below_floor from l join low on low.video_id = l.video_id""")
@@ -329,7 +373,7 @@ def _(candidates, evaluations):
     return P.merge_vision(factors, evaluations.select((F.col("candidate_id") % 50).alias("video_id"), F.col("candidate_id").alias("window_id"), F.col("quality_score").alias("seen_interest")))
 
 
-@query("f29_merge_vocabulary", "segments", "select video_id, segment_id, concat_ws(', ', speaker, list_aggregate(list_filter(regexp_split_to_array(text, ' '), lambda w: trim(w) <> ''), 'string_agg', ', ')) as vocabulary from segments where not regexp_matches(text, '\\n')")
+@query("f29_merge_vocabulary", "segments", r"select video_id, segment_id, array_to_string(list_filter(list_transform(list_prepend(speaker, regexp_split_to_array(text, ' ')), lambda w: trim(w, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda w: w <> ''), ', ') as vocabulary from segments")
 def _(segments):
     return segments.select("video_id", "segment_id", W.merge_vocabulary(F.array("speaker"), F.split("text", " "), F.array(F.lit(" "))).alias("vocabulary"))
 
@@ -435,9 +479,8 @@ def _(segments):
 
 @query("f23_summaries", "segments")
 def _(segments):
-    chunks = S.chunk_by_budget(segments, 500)
-    upper = F.coalesce(F.lead("start_ms").over(Window.partitionBy("video_id").orderBy("chunk_idx")), F.lit(1 << 60))
-    asked = X.summary_requests(chunks.withColumn("end_ms", upper), segments, "Summarise.")
+    numbered = S.number_chunks(segments.select("video_id", "segment_id", "start_ms", "text"), 500)
+    asked = written(X.summary_requests(numbered, "Summarise."), "requests")
     return X.reduce_summaries(asked, X.model_map(asked, _echo, retries=1))
 
 

@@ -70,7 +70,7 @@ def _(segments):
 
 
 @query("c07_caption_spans", "frames", """with p as (select video_id, quantile_cont(caption_score, 0.97) as peak from frames group by 1 having count(*) >= 8),
-h as (select f.video_id, greatest(0, f.t_ms - 500) as s, f.t_ms + 500 as e from frames f join p on p.video_id = f.video_id where peak >= 0.008 and f.caption_score >= greatest(0.006, 0.45 * peak)),
+h as (select f.video_id, f.t_ms - 500 as s, f.t_ms + 500 as e from frames f join p on p.video_id = f.video_id where peak >= 0.008 and f.caption_score >= greatest(0.006, 0.45 * peak)),
 n as (select *, case when lag(e) over (partition by video_id order by s) is null or s - lag(e) over (partition by video_id order by s) > 1500 then 1 else 0 end as new from h),
 i as (select *, sum(new) over (partition by video_id order by s) as k from n) select video_id, min(s) as start_ms, max(e) as end_ms from i group by video_id, k""")
 def _(frames):
@@ -83,16 +83,18 @@ def _(scenes, media):
     return S.cover_scenes(scenes, media)
 
 
-_BRK = "(c.done or w.start_ms - c.e > 550 or w.end_ms - c.s > 3200 or c.len + 1 + length(w.word) > 44 or w.speaker is distinct from c.sp)"
+_BRK = "(c.done or w.start_ms - c.e > 550 or w.end_ms - c.s > 3200 or c.len + 1 + length(w.word) > 44 or coalesce(w.speaker <> c.sp, false))"
 
 
-@query("c09_caption_cues", "words segments media", f"""with recursive w as (select x.*, s.speaker, m.duration_ms, row_number() over (partition by x.video_id order by x.start_ms, x.word_idx) as r from words x join segments s on s.video_id = x.video_id and s.segment_id = x.segment_id join media m on m.video_id = x.video_id),
+@query("c09_caption_cues", "words segments media", f"""with recursive w as (select x.*, case when s.segment_id % 5 <> 1 then s.speaker end as speaker, m.duration_ms, row_number() over (partition by x.video_id order by x.start_ms, x.word_idx) as r from words x join segments s on s.video_id = x.video_id and s.segment_id = x.segment_id join media m on m.video_id = x.video_id),
 c as (select video_id, r, word, start_ms, end_ms, duration_ms, 0 as cue, start_ms as s, end_ms as e, length(word) as len, speaker as sp, regexp_matches(word, '[.!?]$') as done from w where r = 1
- union all select w.video_id, w.r, w.word, w.start_ms, w.end_ms, w.duration_ms, c.cue + {_BRK}::int, case when {_BRK} then w.start_ms else c.s end, w.end_ms, case when {_BRK} then length(w.word) else c.len + 1 + length(w.word) end, w.speaker, regexp_matches(w.word, '[.!?]$') from c join w on w.video_id = c.video_id and w.r = c.r + 1),
-g as (select video_id, cue as cue_idx, min(start_ms) as start_ms, greatest(max(end_ms), min(start_ms) + 400) as end_ms, string_agg(word, ' ' order by r) as text from c group by 1, 2)
-select video_id, 0 as clip_id, cue_idx, start_ms, case when end_ms > lead(start_ms) over v then greatest(start_ms + 200, lead(start_ms) over v - 20) else end_ms end as end_ms, text from g window v as (partition by video_id order by cue_idx)""")
+ union all select w.video_id, w.r, w.word, w.start_ms, w.end_ms, w.duration_ms, c.cue + {_BRK}::int, case when {_BRK} then w.start_ms else c.s end, w.end_ms, case when {_BRK} then length(w.word) else c.len + 1 + length(w.word) end, case when {_BRK} then w.speaker else c.sp end, regexp_matches(w.word, '[.!?]$') from c join w on w.video_id = c.video_id and w.r = c.r + 1),
+g as (select video_id, cue as cue_idx, min(start_ms) as start_ms, least(arg_max(end_ms, r), any_value(duration_ms)) as end_ms, string_agg(word, ' ' order by r) as text from c group by 1, 2),
+h as (select video_id, cue_idx, start_ms, case when end_ms <= start_ms then start_ms + 400 else end_ms end as end_ms, text from g)
+select video_id, 0 as clip_id, cue_idx, start_ms, case when end_ms > lead(start_ms) over v then greatest(start_ms + 200, lead(start_ms) over v - 20) else end_ms end as end_ms, text from h window v as (partition by video_id order by cue_idx)""")
 def _(words, segments, media):
-    rows = words.join(segments.select("video_id", "segment_id", "speaker"), ["video_id", "segment_id"]).join(media, "video_id")
+    known = F.when(F.col("segment_id") % 5 != 1, F.col("speaker")).alias("speaker")
+    rows = words.join(segments.select("video_id", "segment_id", known).hint("merge"), ["video_id", "segment_id"]).join(media.hint("merge"), "video_id")
     return S.caption_cues(rows.withColumn("clip_id", F.lit(0)).withColumn("clip_start", F.lit(0).cast("bigint")).withColumn("clip_end", F.col("duration_ms")))
 
 
@@ -170,7 +172,7 @@ _FACED = "faced as (select f.*, coalesce(n, 0) as n_faces from frames f left joi
 
 def _faced(frames, faces):
     n = faces.groupBy("video_id", "t_ms").agg(F.count(F.lit(1)).alias("n_faces"))
-    return frames.join(n, ["video_id", "t_ms"], "left").withColumn("n_faces", F.coalesce("n_faces", F.lit(0)))
+    return frames.join(n.hint("merge"), ["video_id", "t_ms"], "left").withColumn("n_faces", F.coalesce("n_faces", F.lit(0)))
 
 
 @query("d08_visual_interest", "windows frames faces", f"with {_FACED}, r as (select w.video_id, w.window_id, least(greatest(0.30 + 0.30 * avg((n_faces > 0)::int) + 0.20 * least(avg(motion) / 0.08, 1) + 0.10 * least(avg(sharpness) / 0.5, 1) - case when avg(brightness) < 0.12 or avg(brightness) > 0.94 then 0.20 else 0 end, 0), 1) as s from windows w join faced f on f.video_id = w.video_id and f.t_ms between w.start_ms and w.end_ms group by 1, 2) select w.video_id, w.window_id, round(coalesce(s, 0.4), 8) as interest from windows w left join r on r.video_id = w.video_id and r.window_id = w.window_id")

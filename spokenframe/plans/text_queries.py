@@ -120,19 +120,19 @@ def _(segments):
     return segments.select("video_id", "segment_id", T.normalise_hashtags(F.split("text", " ")).alias("tags"))
 
 
-@query("e19_safe_name", "segments", r"""with n as (select video_id, segment_id, regexp_replace(trim(regexp_replace(left(text, 40), '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '^\.+|\.+$', '', 'g') as s from segments) select video_id, segment_id, concat(coalesce(nullif(trim(left(regexp_replace(s, '\.', '_', 'g'), 120)), ''), 'video'), '.mp4') as name from n""")
+@query("e19_safe_name", "segments", r"""with n as (select video_id, segment_id, regexp_replace(trim(regexp_replace(text, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '^\.+|\.+$', '', 'g') as s from segments) select video_id, segment_id, concat(coalesce(nullif(trim(left(regexp_replace(s, '\.', '_', 'g'), 120)), ''), 'video'), '.mp4') as name from n""")
 def _(segments):
     name = F.concat(F.lit("a/b\\"), F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("text", r'[<>:"/\\|?*\x00-\x1f]', "_")), r"^\.+|\.+$", ""), r"\.", "_"), F.lit(".mp4"))
     return segments.select("video_id", "segment_id", T.safe_name(name).alias("name"))
 
 
-@query("e20_timecode", "segments", "select video_id, segment_id, format('{:02d}:{:02d}:{:02d}', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) as code, format('{:d}:{:02d}:{:02d}.{:02d}', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000 // 10) as cue, format('{:02d}:{:02d}', start_ms // 60000, start_ms // 1000 % 60) as clock from segments where start_ms < 3600000")
+@query("e20_timecode", "segments", "select video_id, segment_id, format('{:02d}:{:02d}:{:02d}', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) as code, format('{:d}:{:02d}:{:02d}.{:02d}', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000 // 10) as cue, case when start_ms >= 3600000 then format('{:d}:{:02d}:{:02d}', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) else format('{:02d}:{:02d}', start_ms // 60000, start_ms // 1000 % 60) end as clock from segments")
 def _(segments):
     c = F.col("start_ms")
     return segments.select("video_id", "segment_id", T.timecode(c).alias("code"), T.cue_timecode(c).alias("cue"), T.clock(c).alias("clock"))
 
 
-@query("e21_caption_layout", "faces", "select video_id, t_ms, face_no, case when w <= 0 then 22 else least(42, greatest(12, floor(x * 0.86 / (0.62 * w)))) end::int as chars from faces where x > 0")
+@query("e21_caption_layout", "faces", "select video_id, t_ms, face_no, case when x <= 0 or w <= 0 then 22 else least(42, greatest(12, floor(x * 0.86 / (0.62 * w)))) end::int as chars from faces")
 def _(faces):
     return faces.select("video_id", "t_ms", "face_no", T.chars_per_line(F.col("x"), F.col("w")).alias("chars"))
 

@@ -45,9 +45,9 @@ def test_refined_windows_keep_their_limits(spark):
     text = [(10_000 * k, "Retention is a whole sentence about one thing. And it goes on.") for k in range(12)]
     words, segs = transcript(spark, *text)
     media = spark.createDataFrame([(1, 118_000)], "video_id long, duration_ms long")
-    cuts = spark.createDataFrame([], "video_id long, point long")
+    scenes = spark.createDataFrame([], "video_id long, start_ms long")
     w = windows(spark, (9000, 35_000), (50_000, 52_000), (1000, 110_000), (100_000, 117_900))
-    got = {x.window_id: x for x in B.refine_boundaries(w, words, segs, S.sentence_starts(words, segs), S.sentence_ends(words, segs), S.pause_points(words), cuts, media=media).collect()}
+    got = {x.window_id: x for x in B.refine_boundaries(w, words, segs, B.boundary_points(words, segs, scenes), media=media).collect()}
     assert (got[0].start_ms, got[0].start_kind) == (9820, "sentence")
     for x in got.values():
         assert 19_999 <= x.end_ms - x.start_ms <= 60_001 and 0 <= x.start_ms and x.end_ms <= 118_000
@@ -114,6 +114,63 @@ def test_crops(spark):
     assert [x.x for x in at] == [150.0, 300.0]
 
 
+CUES = "video_id long, clip_id long, word_idx long, word string, start_ms long, end_ms long, speaker string, clip_start long, clip_end long"
+
+
+def test_unknown_speakers_break_no_cue(spark):
+    rows = [(1, 0, k, w, 300 * k, 300 * k + 250, sp, 0, 9000) for k, (w, sp) in enumerate([("one", "A"), ("two", None), ("three", "A"), ("four", "B")])]
+    got = S.caption_cues(spark.createDataFrame(rows, CUES)).orderBy("cue_idx").collect()
+    assert [(x.text, x.start_ms, x.end_ms) for x in got] == [("one two three", 0, 850), ("four", 900, 1150)]  # short cues keep their length
+
+
+def test_keyframes_stand_still_until_the_first_frame(spark):
+    path = spark.createDataFrame([(1, 5000, 100, 0), (1, 6000, 110, 0), (1, 9000, 300, 0), (2, 0, 7, 7)], "video_id long, t_ms long, x long, y long")
+    got = sorted((k.video_id, k.t_ms, k.x) for k in V.crop_keyframes(path).collect())
+    assert got == [(1, 0, 100), (1, 5000, 100), (1, 9000, 300), (2, 0, 7)]
+    at = V.crop_at(spark.createDataFrame([(1, 0, 2500), (1, 1, 7000), (1, 2, 99_000), (1, 3, -5)], "video_id long, probe_id long, t_ms long"), V.crop_keyframes(path)).orderBy("probe_id").collect()
+    assert [k.x for k in at] == [100.0, 200.0, 300.0, 100.0]
+
+
+def test_crops_follow_faces_up_and_down(spark):
+    frames = spark.createDataFrame([(1, 1000 * k) for k in range(10)], "video_id long, t_ms long")
+    faces = [(1, 1000 * k, 0, 1700 * (k % 2), 100 + 150 * k, 200, 100) for k in range(10)]
+    path = V.crop_path(frames, spark.createDataFrame(faces, "video_id long, t_ms long, face_no long, x long, y long, w long, h long"), 1920, 1920, target_w=1080, target_h=608).orderBy("t_ms").collect()
+    assert path[0].strategy == "track" and path[-1].y > path[0].y and all(0 <= k.y <= 1920 - k.h for k in path)
+    whole = V.crop_path(frames, spark.createDataFrame(faces, "video_id long, t_ms long, face_no long, x long, y long, w long, h long"), 1080, 1920).collect()
+    assert [(k.strategy, k.x, k.y) for k in whole] == [("whole", 0, 0)]
+
+
+def test_the_mean_of_all_faces_stands_in_before_the_first(spark):
+    faces = spark.createDataFrame([(1, 1000, 0, 0, 0, 10, 10), (1, 1000, 1, 90, 0, 10, 10), (1, 2000, 0, 290, 0, 10, 10)], "video_id long, t_ms long, face_no long, x long, y long, w long, h long")
+    frames = spark.createDataFrame([(1, 0), (1, 1000), (1, 1500)], "video_id long, t_ms long")
+    held = V.hold_last(frames.join(V.face_geometry(faces).select("video_id", "t_ms", "cx", "cy"), ["video_id", "t_ms"], "left"), V.face_means(faces)).orderBy("t_ms").collect()
+    assert [round(k.cx, 6) for k in held] == [131.666667, 50.0, 50.0]
+
+
+def test_caption_spans_may_begin_before_zero(spark):
+    frames = spark.createDataFrame([(1, 1000 * k, 0.02 if k < 2 else 0.0) for k in range(10)], "video_id long, t_ms long, caption_score double")
+    assert [(x.start_ms, x.end_ms) for x in S.caption_spans(frames).collect()] == [(-500, 1500)]
+
+
+def test_a_callers_lexicon_reaches_the_scores(spark):
+    words, segs = transcript(spark, (0, "Bananas are a fruit that grows on plants and people like to eat them every single day of the year. Zebra. " * 3))
+    w = windows(spark, (0, 25_000)).withColumn("anchor", F.lit(0.5)).withColumn("trigger", F.lit("story"))
+    audio = words.select("video_id", F.col("word_idx").alias("frame_idx"), F.lit(-30.0).alias("rms_db"), F.lit(0.1).alias("flatness"), F.lit(0.1).alias("modulation"))
+    frames = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 0.5)], "video_id long, t_ms long, n_faces long, motion double, sharpness double, brightness double")
+    scenes = spark.createDataFrame([(1, 0, 0, 240_000)], "video_id long, scene_idx long, start_ms long, end_ms long")
+    score = lambda **k: C.score_windows(w, words, segs, S.merge_turns(segs), audio, G.audio_events(audio, 400), frames, scenes, hop_ms=400, **k).first()
+    plain, own = score(), score(triggers=(("story", 0.9, "bananas"),), low_value="zebra", confrontation=((9.0, "fruit"),))
+    assert own.factors.content_clarity < plain.factors.content_clarity and own.factors.opening_strength > plain.factors.opening_strength
+    assert own.conflict.intensity > plain.conflict.intensity == 0 and own.factors.emotional_reaction >= own.conflict.intensity
+
+
+def test_an_expansion_keeps_to_its_own_reach(spark):
+    words, segs = transcript(spark, (0, "Here we are now."), (6000, "Some more of that."), (12_000, "And it goes on."))
+    w = windows(spark, (12_000, 14_000), (12_000, 14_000)).withColumn("lookback_ms", F.when(F.col("window_id") == 0, 4000).otherwise(7000))
+    got = {x.window_id: x.start_ms for x in B.expand_for_context(w, words, segs, S.sentence_starts(words, segs)).collect()}
+    assert got == {0: 12_000, 1: 5820}
+
+
 def test_loudness(spark):
     pcm = spark.createDataFrame([(1, k, 0.5) for k in range(400)] + [(2, k, 1.0) for k in range(50)], "video_id long, sample_idx long, value double")
     got = {(x.video_id, x.frame_idx): round(x.rms_db, 3) for x in G.loudness_frames(pcm, rate=1000).collect()}
@@ -125,3 +182,10 @@ def test_subtitle_band(spark):
     rows = [(1, p, r, 100, 0.05 if 84 <= r <= 90 else 0.001) for p in range(8) for r in range(100)] + [(2, p, r, 100, 0.001) for p in range(8) for r in range(100)] + [(3, 0, r, 100, 0.05 if r > 80 else 0.0) for r in range(100)]
     got = G.subtitle_band(spark.createDataFrame(rows, "video_id long, profile_idx long, row long, n_rows long, density double")).collect()
     assert [(x.video_id, round(x.band_top, 3)) for x in got] == [(1, 0.825)]
+
+
+def test_candidates_of_a_library(spark):
+    import __spark_entry__ as e
+
+    rows = e.queries()["f00_generate_candidates"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and len({(r.video_id, r.rank) for r in rows}) == len(rows) and all(r.end_ms - r.start_ms >= 20_000 for r in rows)
