@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
+def spread_join(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows (many for a hot key) joined with found (one row for each key).
+
+    found mostly comes grouped by the key, and Spark would then bring rows to that grouping as
+    they are.  A second key that both sides compute makes both sides be dealt out anew for the
+    join alone, so that adaptive execution may cut a hot key's rows into several tasks.
+    """
+    deal = F.xxhash64(key, F.lit(11))
+    return rows.withColumn("_deal", deal).join(found.withColumn("_deal", deal).hint("merge"), [key, "_deal"]).drop("_deal")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of edges (u, v); root is the smallest node of its component.
 
@@ -20,10 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both.filter("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down.hint("merge"), "u")
-        small = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = spread_join(large, down, "u")
+        # a node's larger neighbours hang on its smallest one; the node itself does so too
+        small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = written(small.filter("u <> v").distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:

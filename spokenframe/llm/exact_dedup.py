@@ -1,10 +1,13 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
 Every document becomes a row (digest, length, ids).  The rows are dealt into
-`fan_in ** rounds` runs, sorted by digest inside each.  In every round `fan_in`
-neighbouring runs exchange and merge: equal digests of the sibling runs meet,
-the smallest verified identifier and the summed count stay.  Each (run, digest)
-pair has at most `fan_in` rows to merge, however many copies a text has, so a hot
+`fan_in ** rounds` runs, each sorted by digest.  In every round `fan_in` sibling runs
+exchange and merge.  As in a butterfly network, a merged run is held in `fan_in` times as many
+slices of the digests as before, so a round moves rows between siblings only and no cell
+(run and slice) grows: at the root every cell holds one slice of all digests.  Cells are
+sorted by digest, and one pass over neighbours keeps the smallest verified identifier and
+the summed count of each digest, verified by a second hash of the text.  A cell has at
+most `fan_in` rows of a digest to merge, however many copies a text has, so a hot
 text never lands in one task.  The root's answers go back down the same tree,
 again at most `fan_in` rows for each key, until every row knows its keeper.
 
@@ -19,6 +22,9 @@ from pyspark.sql import functions as F
 from .shared import SPACE, parts, written
 
 FAN_IN = 16
+#: Parts that a cell's digests are dealt into, so that tasks are even.
+SPLIT = 64
+KEY = ["cell", "part", "sha", "chk"]
 
 
 def normalised(text: Column) -> Column:
@@ -29,18 +35,49 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def _order(*, length: str, doc_id: str, uid: str) -> Column:
+def _order() -> Column:
     """Keeper order: longest original text, then smallest id (null ids last), then first row."""
-    return F.struct((-F.col(length)).alias("neg"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(uid).alias("uid"))
+    return F.struct((-F.col("len")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
 
 
-def _step(table: DataFrame, fan_in: int) -> DataFrame:
-    """One binomial round: sibling runs merge, each digest keeps its smallest identifier."""
-    return (
-        table.withColumn("run", F.floor(F.col("run") / fan_in))
-        .groupBy("run", "sha", "chk")
-        .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    )
+def _cell(run: Column, level: int, fan_in: int) -> Column:
+    """Where a digest of a leaf run lies after `level` rounds: the merged run, and its slice of the digests."""
+    wide = fan_in**level
+    return F.floor(run / wide) * wide + F.pmod("chk", F.lit(wide))
+
+
+def _sorted(table: DataFrame) -> DataFrame:
+    """table with every cell as sorted runs: dealt out by cell and part, sorted by digest."""
+    return table.repartition("cell", "part").sortWithinPartitions(*KEY)
+
+
+def _merged(table: DataFrame, best: Column, n: Column) -> DataFrame:
+    """One pass over sorted cells: equal neighbours become one row.  The grouping's order is that of the runs, so nothing is sorted or dealt out again."""
+    return _sorted(table).groupBy(*KEY).agg(F.min("run").alias("run"), best.alias("best"), n.alias("n"))
+
+
+def _decided(docs: DataFrame, fan_in: int, runs: int | None) -> DataFrame:
+    """Rows (doc_id, text_hash, keep_id, group_size, kept, sha), one for each row of docs; text_hash is xxhash64(text)."""
+    want = runs or max(fan_in, parts(docs.sparkSession))
+    rounds = 1
+    while fan_in**rounds < want:
+        rounds += 1
+    leaf = docs.select(
+        "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("len"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("uid"), normalised(F.col("text")).alias("bare"),
+    ).select("doc_id", "len", "text_hash", "uid", F.unhex(F.sha2("bare", 256)).alias("sha"), F.xxhash64("bare").alias("chk"))
+    leaf = leaf.withColumn("run", F.pmod(F.xxhash64("uid"), F.lit(fan_in**rounds))).withColumn("part", F.pmod(F.shiftright("chk", 40), F.lit(SPLIT)))
+    leaf = written(leaf, "digests")
+    rows = leaf.withColumn("cell", _cell(F.col("run"), 0, fan_in))
+    levels = [written(_merged(rows, F.min(_order()), F.count(F.lit(1))), "runs")]
+    for level in range(1, rounds + 1):
+        merged = _merged(levels[-1].withColumn("cell", _cell(F.col("run"), level, fan_in)), F.min("best"), F.sum("n"))
+        levels.append(written(merged, "runs") if level < rounds else merged)
+    # the way down: a cell's digests take the answer of the cell they merged into
+    answer = levels[-1].select(*KEY, F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), F.col("n").alias("group_size"))
+    for level in range(rounds, 0, -1):
+        child = levels[level - 1].select(F.col("cell").alias("own"), _cell(F.col("run"), level, fan_in).alias("cell"), "part", "sha", "chk")
+        answer = child.join(answer.hint("merge"), KEY).drop("cell").withColumnRenamed("own", "cell")
+    return rows.join(answer.hint("merge"), KEY).select("doc_id", "text_hash", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "sha")
 
 
 def exact_dedup(docs: DataFrame, *, fan_in: int = FAN_IN, runs: int | None = None) -> DataFrame:
@@ -53,52 +90,17 @@ def exact_dedup(docs: DataFrame, *, fan_in: int = FAN_IN, runs: int | None = Non
     and text are read, so further columns don't matter.  An empty table gives
     an empty result.
     """
-    spark = docs.sparkSession
-    want = runs or max(fan_in, parts(spark))
-    rounds = 1
-    while fan_in**rounds < want:
-        rounds += 1
-    bare = normalised(F.col("text"))
-    leaf = docs.select(
-        F.col("doc_id"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).alias("len"),
-        F.monotonically_increasing_id().alias("uid"),
-        bare.alias("bare"),
-    ).select("doc_id", "len", "uid", F.unhex(F.sha2("bare", 256)).alias("sha"), F.xxhash64("bare").alias("chk"))
-    leaf = leaf.withColumn("run", F.pmod(F.xxhash64("uid"), F.lit(fan_in**rounds)))
-    leaf = written(leaf, "digests")
-    # level 0: sorted runs, equal digests of a run meet
-    levels = [
-        leaf.groupBy("run", "sha", "chk").agg(
-            F.min(_order(length="len", doc_id="doc_id", uid="uid")).alias("best"), F.count(F.lit(1)).alias("n")
-        )
-    ]
-    for _ in range(rounds):
-        levels[-1] = written(levels[-1], "run")
-        levels.append(_step(levels[-1], fan_in))
-    # the way down: children take the answer of their parent run
-    answer = levels[-1].select("run", "sha", "chk", F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), F.col("n").alias("group_size"))
-    for level in reversed(levels[:-1]):
-        child = level.select(F.col("run").alias("child"), F.floor(F.col("run") / fan_in).alias("run"), "sha", "chk")
-        answer = (
-            child.join(answer.hint("merge"), ["run", "sha", "chk"])
-            .select(F.col("child").alias("run"), "sha", "chk", "keep_id", "keep_uid", "group_size")
-        )
-    return leaf.join(answer.hint("merge"), ["run", "sha", "chk"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
-
-
-def keep_first(docs: DataFrame, **params) -> DataFrame:
+    return _decided(docs, fan_in, runs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame, *, fan_in: int = FAN_IN, runs: int | None = None) -> DataFrame:
     """The documents that exact_dedup keeps, with all their columns.
 
-    Copies that repeat a whole (doc_id, text) count once: one of them stays.
+    Rows that repeat a kept (doc_id, text) count once: the first by the other columns stays.  Whole
+    rows are dealt out once, by id and a hash of the text as it is.
     """
-    kept = exact_dedup(docs, **params).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "group_size")
-    text = F.coalesce("text", F.lit(""))
-    mine = docs.select(F.struct("*").alias("d"), F.sha2(normalised(F.col("text")), 256).alias("s"), F.length(text).alias("len"), F.concat_ws("\0", *[F.col(c).cast("string") for c in docs.columns if c != "text"]).alias("tie"))
-    found = mine.join(kept.hint("merge"), (F.col("sha") == F.col("s")) & F.col("id").eqNullSafe(F.col("d.doc_id")))
-    single = found.filter("group_size = 1").select("d.*")
-    # a keeper's id may occur on more than one of its copies: the longest of those stays
-    copies = found.filter("group_size > 1").groupBy("id", "sha").agg(F.max_by("d", F.struct("len", "tie")).alias("d"))
-    return single.unionByName(copies.select("d.*"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("key")
+    kept = _decided(docs, fan_in, runs).filter("kept").select("text_hash", key)
+    mine = docs.select(F.xxhash64("text").alias("text_hash"), key, F.concat_ws("\0", *[F.col(c).cast("string") for c in docs.columns if c != "text"]).alias("tie"), F.struct("*").alias("d"))
+    # the join and the choice have the same keys
+    return mine.join(kept.hint("merge"), ["text_hash", "key"]).groupBy("text_hash", "key").agg(F.min_by("d", "tie").alias("d")).select("d.*")

@@ -4,9 +4,10 @@ Documents are sets of word shingles.  Those with equal sets form one class, whic
 takes part once.  MinHash bands propose candidates.  A candidate pair's MinHash
 values are compared a few at a time; it is dropped as soon as the posterior
 probability that its Jaccard similarity reaches the threshold falls below the
-tolerance.  What is left forms clusters, in which every pair is verified
-exactly.  Pairs never become rows: buckets and clusters are dealt out in blocks
-of bounded size, every pair of blocks is one piece of work, and only counts of
+tolerance.  The pairs that survive are verified exactly, block by block, with the sets
+of the classes that have one.  A pair counts in the first band that its two classes
+share, so it is looked at once.  Pairs never become rows: buckets are dealt out in
+blocks of bounded size, every pair of blocks is one piece of work, and only counts of
 links and spanning edges leave it, so a large group of near copies costs
 neither one large task nor a table of all its pairs.
 """
@@ -18,17 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, spread_join
 from .shared import parts, release, slices_of, small_batches, written
 from .words import flat, mix, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: MinHash values, and how many form a band: a pair at the threshold meets in some band but for 1 in 20 million.
-VALUES, ROWS = 128, 4
+#: MinHash values, how many form a band, and how many bands there are: a pair at the threshold meets in some
+#: band but for 1 in 20,000; of pairs at 0.4 one in 4 meets, at 0.3 one in 17.
+VALUES, ROWS, BANDS = 128, 5, 25
 #: A pair is dropped below this posterior probability of reaching the threshold.
 TOLERANCE = 1e-6
 #: After so many MinHash values the posterior is looked at.
@@ -186,62 +188,66 @@ def _sets(docs: DataFrame) -> DataFrame:
                 ["uid", "doc_id", "text_hash", "digest", "n", "sig"],
             )
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, f"uid bigint, doc_id {kind}, text_hash bigint, digest binary, n int, sig binary")
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature."""
+    part = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), part.shape[:2])
+    for k in range(ROWS):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + part[:, :, k])
+    return h
+
+
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES)
+
+
 def _bands(classes: DataFrame) -> DataFrame:
     """Rows (bucket, cid): a bucket for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = VALUES // ROWS
         for b in batches:
-            if not len(b):
-                continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(len(b), bands, ROWS).astype(np.uint64)
-            h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(b), bands))
-            for k in range(ROWS):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("cid").to_numpy(), bands))], ["bucket", "cid"])
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(_signatures(b.column("sig"))).reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("cid").to_numpy(), BANDS))], ["bucket", "cid"])
 
     return classes.filter("n > 0").select("cid", "sig").mapInArrow(run, "bucket bigint, cid bigint")
 
 
+def _first_shared(keys: np.ndarray, band: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that meet in no band before this one."""
+    for k in range(band):
+        other = keys[i, k] != keys[j, k]
+        i, j = i[other], j[other]
+    return i, j
+
+
+def _survivors(bucket: int, sig: np.ndarray, side: np.ndarray | None, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block's members that meet in this bucket first and that the pruning leaves."""
+    keys = band_keys(sig)
+    band = int(np.flatnonzero(keys[0].view(np.int64) == bucket)[0])
+    return surviving(sig, *_first_shared(keys, band, *_pairs(len(sig), side)), least)
+
+
 def _propose(dealt: DataFrame, least: dict[int, int]) -> DataFrame:
-    """Edges (u, v) that span the pairs of each bucket which the pruning leaves."""
+    """Rows (grp, a, b, side, cid) for the members of each block that have a surviving pair in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
             at = _bounds(t, 3)
-            cid = t.column("cid").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
-            cross = (t.column("a").to_numpy() != t.column("b").to_numpy())[at[:-1]]
-            side = t.column("side").to_numpy()
-            i, j, held = [], [], 0
-            us, vs = [], []
-
-            def flush():
-                nonlocal i, j, held
-                if held:
-                    a, b = surviving(sig, np.concatenate(i), np.concatenate(j), least)
-                    label = roots(len(cid), a, b)
-                    off = np.flatnonzero(label != np.arange(len(cid)))
-                    us.append(cid[off])
-                    vs.append(cid[label[off]])
-                i, j, held = [], [], 0
-
-            for g in range(len(at) - 1):
-                lo, hi = at[g], at[g + 1]
-                a, b = _pairs(hi - lo, side[lo:hi] if cross[g] else None)
-                i.append(a + lo)
-                j.append(b + lo)
-                held += len(a)
-                if held > 1_000_000:
-                    flush()
-            flush()
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-    return _sorted_by_group(dealt).mapInArrow(run, "u bigint, v bigint")
+            grp, a, b, side = (t.column(c).to_numpy() for c in ("grp", "a", "b", "side"))
+            sig = _signatures(t.column("sig"))
+            need = []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                i, j = _survivors(grp[lo], sig[lo:hi], side[lo:hi] if a[lo] != b[lo] else None, least)
+                need.append(lo + np.unique(np.concatenate([i, j])))
+            k = np.concatenate(need) if need else np.empty(0, np.int64)
+            if len(k):
+                yield t.select(["grp", "a", "b", "side", "cid"]).take(pa.array(k)).combine_chunks().to_batches()[0]
+
+    return _sorted_by_group(dealt).mapInArrow(run, "grp bigint, a int, b int, side int, cid bigint")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -267,39 +273,31 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(dealt: DataFrame, threshold: float) -> DataFrame:
-    """Rows (cid, root, texts, docs, final) for classes with links: how many other classes and their documents reach the threshold."""
+def _verify(needed: DataFrame, least: dict[int, int], threshold: float) -> DataFrame:
+    """Rows (cid, root, texts, docs) for classes with links in a block: how many other classes, and documents of them, reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
             at = _bounds(t, 3)
-            all_cid, all_side, copies = (t.column(c).to_numpy() for c in ("cid", "side", "copies"))
-            cross = (t.column("a").to_numpy() != t.column("b").to_numpy())[at[:-1]]
-            blocks = t.column("blocks").to_numpy()
-            data = t.column("set").to_pylist()
-            out: list[tuple] = []
-            for g in range(len(at) - 1):
-                cid, first = np.unique(all_cid[at[g] : at[g + 1]], return_index=True)  # repeated rows of one document
-                first += at[g]
-                if len(cid) < 2:
-                    continue
-                size = np.array([len(data[k]) // 8 for k in first], np.float64)
-                both = overlaps([np.frombuffer(data[k], np.uint64) for k in first]).astype(np.float64)
-                link = both / (size[:, None] + size[None, :] - both) >= threshold
-                np.fill_diagonal(link, False)
-                if cross[g]:
-                    side = all_side[first]
-                    link &= side[:, None] != side[None, :]
-                i, j = np.nonzero(np.triu(link))
-                label = roots(len(cid), i, j)
-                texts, linked = link.sum(1), link @ copies[first]
-                for k in np.flatnonzero(texts):
-                    out.append((int(cid[k]), int(cid[label[k]]), int(texts[k]), int(linked[k]), bool(blocks[first[k]] == 1)))
+            grp, a, b, side, all_cid, copies = (t.column(c).to_numpy() for c in ("grp", "a", "b", "side", "cid", "copies"))
+            sig, data = _signatures(t.column("sig")), t.column("set").to_pylist()
+            out: list[np.ndarray] = []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                i, j = _survivors(grp[lo], sig[lo:hi], side[lo:hi] if a[lo] != b[lo] else None, least)
+                sets = [np.frombuffer(x, np.uint64) for x in data[lo:hi]]
+                size = np.array([len(x) for x in sets])
+                both = overlaps(sets)[i, j]
+                link = both / (size[i] + size[j] - both) >= threshold
+                i, j = i[link], j[link]
+                cid, n = all_cid[lo:hi], copies[lo:hi]
+                texts = np.bincount(np.concatenate([i, j]), minlength=len(cid))
+                docs = np.bincount(np.concatenate([i, j]), np.concatenate([n[j], n[i]]), len(cid)).astype(np.int64)
+                k = np.flatnonzero(texts)
+                out.append(np.stack([cid[k], cid[roots(len(cid), i, j)[k]], texts[k], docs[k]]))
             if out:
-                c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in c[:4]], pa.array(c[4])], ["cid", "root", "texts", "docs", "final"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(out, 1)], ["cid", "root", "texts", "docs"])
 
-    return _sorted_by_group(dealt).mapInArrow(run, "cid bigint, root bigint, texts bigint, docs bigint, final boolean")
+    return _sorted_by_group(needed).mapInArrow(run, "cid bigint, root bigint, texts bigint, docs bigint")
 
 
 def near_join(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -313,62 +311,60 @@ def near_join(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float
     equal each other, but link to nothing else.  text_hash is xxhash64(text).
     Further columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     sets = written(_sets(docs), "sets")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("uid").alias("uid")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"), F.col("text_hash").alias("hash")))
     classes = written(
         sets.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         .withColumn("cid", F.col("first.uid")), "classes",
     )
-    # buckets with company; of buckets with equal members one is enough
+    least = least_matches(threshold, tolerance)
+    # buckets with company; every pair of their blocks compares signatures
     bands = _bands(classes)
-    buckets = (
-        bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("who"), F.min("cid").alias("low"))
-        .filter("size > 1").groupBy("size", "who", "low").agg(F.min("bucket").alias("bucket"))
-    )
-    buckets = written(buckets.select("bucket", "size"), "buckets")
-    members = bands.join(buckets.hint("merge"), "bucket").join(classes.select("cid", "sig").hint("merge"), "cid")
-    edges = _propose(_dealt(members, "bucket", "size", "cid"), least_matches(threshold, tolerance))
-    cluster = components(edges).select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
-    cluster = written(cluster, "clusters")
-    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    cluster = cluster.join(sizes.hint("merge"), "cluster").join(classes.select("cid", "copies", "digest", F.col("first.id").alias("doc_id")).hint("merge"), "cid")
-    # the members' texts come again; of rows with the same id the digest tells which is meant
-    none = F.lit(-(1 << 63)) if docs.schema["doc_id"].dataType.simpleString() == "bigint" else None
-    key = F.coalesce(F.col("doc_id"), none) if none is not None else F.col("doc_id")
-    texts = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(cluster.withColumn("key", key).drop("doc_id").hint("merge"), "key").drop("key")
+    buckets = written(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    members = spread_join(bands, buckets, "bucket").join(classes.select("cid", "sig").hint("merge"), "cid")
+    needed = written(_propose(_dealt(members, "bucket", "size", "cid"), least), "needed")
+    # the sets of the classes that some pair needs, from the text of each class's first row
+    wanted = needed.select("cid").distinct().join(classes.select("cid", "digest", "copies", "sig", F.col("first.id").alias("id"), F.col("first.hash").alias("hash")).hint("merge"), "cid")
+    wanted = written(wanted, "wanted")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("hash"), key("doc_id").alias("key"))
+    texts = texts.join(wanted.select("cid", "digest", "hash", key("id").alias("key")).hint("merge"), ["hash", "key"]).select("cid", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for y in batches for x in slices_of(y, "text")):
             h, w = word_hashes(*flat(b.column("text")))
             data = [shingles(h[w[k] : w[k + 1]]).tobytes() for k in range(len(b))]
             ok = pa.array([hashlib.blake2b(d, digest_size=16).digest() == x for d, x in zip(data, b.column("digest").to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([*[b.column(c) for c in ("cid", "cluster", "size", "copies")], pa.array(data, pa.binary())], ["cid", "cluster", "size", "copies", "set"])
-            yield out.filter(ok)
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(data, pa.binary())], ["cid", "set"]).filter(ok)
 
-    rows = texts.mapInArrow(run, "cid bigint, cluster bigint, size bigint, copies bigint, set binary")
-    links = written(_verify(_dealt(rows, "cluster", "size", "cid"), threshold), "links")
-    spanning = components(links.filter("not final").select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    root = links.filter("final").select("cid", "root").union(spanning.select(F.col("node").alias("cid"), "root"))
+    own = texts.mapInArrow(run, "cid bigint, set binary").groupBy("cid").agg(F.first("set").alias("set"))  # repeated rows give the same set
+    own = written(own.join(wanted.select("cid", "copies", "sig").hint("merge"), "cid"), "wanted-sets")
+    blocks = needed.join(own.hint("merge"), "cid").select("grp", "a", "b", "side", "cid", "copies", "sig", "set")
+    links = written(_verify(blocks, least, threshold), "links")
+    root = components(links.select(F.col("cid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("cid"), "root")
     count = links.groupBy("cid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     linked = written(root.join(count.hint("merge"), "cid"), "linked")
     known = classes.drop("sig", "n").join(linked.hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    known = written(known, "known")
     heads = known.groupBy("root").agg(F.min("first").alias("head"))
-    known = known.join(heads.hint("merge"), "root").select(
+    known = spread_join(known, heads, "root").select(
         "digest", F.col("head.id").alias("class_id"), F.col("head.uid").alias("head"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
     )
-    known = written(known, "known")
+    known = written(known, "classes-linked")
     return sets.drop("sig").join(known.hint("merge"), "digest").select(
         "doc_id", "text_hash", "class_id", F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), "n_texts", (F.col("uid") == F.col("head")).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The documents that near_join keeps, one of each group, with all their columns."""
-    kept = near_join(docs, **params).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    mine = docs.select(F.struct("*").alias("d"), F.xxhash64("text").alias("h"), F.concat_ws("\0", *[F.col(c).cast("string") for c in docs.columns if c != "text"]).alias("tie"))
-    found = mine.join(kept.hint("merge"), (F.col("h") == F.col("hash")) & F.col("d.doc_id").eqNullSafe(F.col("id")))
-    nth = F.row_number().over(Window.partitionBy("id", "hash").orderBy("tie"))
-    return found.withColumn("nth", nth).filter("nth = 1").select("d.*")
+    """The documents that near_join keeps, one of each group, with all their columns.
+
+    Where a kept id and text stand in several rows, the first by the other columns stays.
+    """
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    kept = near_join(docs, **params).filter("kept").select(F.col("text_hash").alias("hash"), key("doc_id").alias("key"))
+    mine = docs.select(F.xxhash64("text").alias("hash"), key("doc_id").alias("key"), F.concat_ws("\0", *[F.col(c).cast("string") for c in docs.columns if c != "text"]).alias("tie"), F.struct("*").alias("d"))
+    # the join and the choice have the same keys, so that texts are dealt out once
+    found = mine.join(kept.hint("merge"), ["hash", "key"]).groupBy("hash", "key").agg(F.min_by("d", "tie").alias("d"))
+    return found.select("d.*")

@@ -34,9 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, so that very long texts don't pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    """Bound the rows and bytes of an Arrow batch where the session allows more, so that very long texts don't pile up.
+
+    Spark reads these settings when a result is computed, so they stay; a session that has lower ones keeps them.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)):
+        have = spark.conf.get(name, None)
+        value = int(have) if have is not None and have.lstrip("-").isdigit() else None
+        if value is None or value <= 0 or value > most:
+            spark.conf.set(name, str(most))
 
 
 def id_crc(doc_id: Column) -> Column:

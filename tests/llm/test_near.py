@@ -64,6 +64,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert near.near_join(no_docs).count() == 0
 
 
+def test_ids_of_text_and_rows_without_ids(spark):
+    rows = corpus()
+    want = [n for _, _, n in brute(rows)]
+    for kind, ids in (("string", [f"d{i:04d}" for i, _ in rows]), ("string", [None] * len(rows)), ("bigint", [None] * len(rows)), ("bigint", [7] * len(rows))):
+        data = [(i, t) for i, (_, t) in zip(ids, rows)]
+        got = near.near_join(spark.createDataFrame(data, f"doc_id {kind}, text string"))
+        assert sorted(x.n_links for x in got.collect()) == sorted(want)
+        assert near.keep_one(spark.createDataFrame(data, f"doc_id {kind}, text string")).count() == len({r for _, r, _ in brute(rows)})
+
+
 def test_pruning_keeps_pairs_over_the_threshold():
     least = near.least_matches(0.8, near.TOLERANCE)
     assert all(least[a] / a <= least[b] / b for a, b in zip(near.STEPS, near.STEPS[1:]))
