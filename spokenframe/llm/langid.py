@@ -21,9 +21,9 @@ from .shared import id_crc, small_batches
 from .words import flat
 
 BUCKETS = 4096
-#: About as many training rows for each language, and most languages.
+#: About as many training rows for each language, and most in all: with more languages there are fewer of each.
 SAMPLE_PER_LANG = 500
-MAX_LANGS = 64
+SAMPLE_ROWS = 16_000
 AMBIGUOUS = 0.6
 
 
@@ -96,9 +96,9 @@ def fit_codes(x: np.ndarray, y: list[str], steps: int = 150) -> Codes:
     """Logistic regressions for the bits, by accelerated gradient descent."""
     langs = sorted(set(y))
     code = codewords(len(langs))
-    target = code[[langs.index(v) for v in y]].astype(np.float32)
-    counts = np.array([y.count(v) for v in langs], np.float32)
-    row = (1 / counts)[[langs.index(v) for v in y]][:, None] / len(langs)
+    at = np.searchsorted(langs, y)
+    target = code[at].astype(np.float32)
+    row = (1 / np.bincount(at).astype(np.float32))[at][:, None] / len(langs)
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
@@ -109,35 +109,38 @@ def fit_codes(x: np.ndarray, y: list[str], steps: int = 150) -> Codes:
     return Codes(langs, code, w, b)
 
 
-def train(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> Codes | None:
-    """Classifiers from rows with text and lang whose crc32(doc_id) mod 4 is not 2; about per_lang rows of each of the max_langs commonest languages."""
+def train(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG, most: int = SAMPLE_ROWS) -> Codes | None:
+    """Classifiers from rows with text and lang whose crc32(doc_id) mod 4 is not 2.
+
+    Every language is learned, from about per_lang rows of each, at most about `most` in all; ids of any type will do.
+    """
     small_batches(docs.sparkSession)
     known = docs.filter("text is not null and lang is not null").filter(id_crc(F.col("doc_id")) % 4 != 2)
-    most = min(per_lang, 16_000 // max_langs * 2)
-    rows = sample_by_class(known.select("doc_id", "text", "lang"), "lang", "doc_id", most, max_langs)
+    rows = sample_by_class(known.select("doc_id", "text", "lang"), "lang", ["doc_id", "text"], per_lang, most).select("text", F.col("lang").cast("string").alias("lang"), "_draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
                 x = grams(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("_draw"), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["lang", "_draw", "x"])
 
-    seen = rows.mapInArrow(run, "doc_id bigint, lang string, x binary").orderBy("doc_id", "x").limit(3 * per_lang * 16).toPandas()
+    # repeated rows are drawn together; of those that are too many the last by hash go, whatever their ids and languages
+    seen = rows.mapInArrow(run, "lang string, _draw double, x binary").orderBy("_draw", "lang", "x").limit(2 * most).toPandas()
     if not len(seen):
         return None
     x = np.stack([np.frombuffer(v, "<f2") for v in seen["x"]]).astype(np.float32)
     return fit_codes(x, seen["lang"].tolist())
 
 
-def identify(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> DataFrame:
+def identify(docs: DataFrame, *, per_lang: int = SAMPLE_PER_LANG, most: int = SAMPLE_ROWS) -> DataFrame:
     """Rows (doc_id, lang_pred, score, ambiguous) for each row of docs, from its text alone.
 
     lang_pred is a learned language, or `und` (score 0) where text is null or holds no
     letter, or where nothing could be learned.  ambiguous marks scores under AMBIGUOUS.
     Repeated rows and null ids give a row each; further columns are not read.
     """
-    model = train(docs, per_lang=per_lang, max_langs=max_langs)
+    model = train(docs, per_lang=per_lang, most=most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

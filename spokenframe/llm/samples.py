@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 
-def sample_by_class(rows: DataFrame, label: str, key: str, per_class: int, max_classes: int) -> DataFrame:
-    """About per_class rows of each of the max_classes commonest labels.
+#: Up to so many labels their shares are broadcast; beyond that they are joined.
+FEW = 10_000
 
-    Rows are chosen by a hash of their key, so the choice is the same on every run
-    and no class is sorted or gathered as a whole.  The expected number of rows is at
-    most per_class * max_classes.  Only the counts of max_classes labels are broadcast.
+
+def sample_by_class(rows: DataFrame, label: str, keys: list[str], per_class: int, most: int) -> DataFrame:
+    """About per_class rows of each label, but no more than `most` in all: with many labels fewer of each, one at least.
+
+    Rows are chosen by a hash of their keys (kept as the column _draw), so the choice is the same on every run
+    and no class is sorted or gathered as a whole.
     """
-    share = (
-        rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes)
-        .select(F.col(label).alias("_label"), (F.lit(float(per_class)) / F.col("count")).alias("_share"))
-    )
-    draw: Column = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(F.broadcast(share), F.col(label) == F.col("_label")).filter(draw < F.col("_share")).drop("_label", "_share")
+    counts = written(rows.groupBy(label).count(), "class-counts")
+    n = counts.count()
+    each = max(1, min(per_class, most // max(1, n)))
+    share = counts.select(F.col(label).alias("_label"), (F.lit(float(each)) / F.col("count")).alias("_share"))
+    drawn = rows.withColumn("_draw", F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30))
+    share = F.broadcast(share) if n <= FEW else share.hint("merge")
+    return drawn.join(share, F.col(label) == F.col("_label")).filter(F.col("_draw") < F.col("_share")).drop("_label", "_share")

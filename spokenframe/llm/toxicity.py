@@ -144,16 +144,17 @@ class Trees:
         return np.clip(np.interp(self.raw(x), self.xs, self.ys), 0.0, 1.0)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: a non-decreasing fit of y over x, as knots to interpolate between."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: a non-decreasing (weighted) fit of y over x, as knots to interpolate between."""
     order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # [sum, count, least x, most x]
-    for v, t in zip(x[order], y[order], strict=True):
+    weight = np.ones(len(x)) if weight is None else weight
+    blocks: list[list[float]] = []  # [sum, weight, least x, most x]
+    for v, t, w in zip(x[order], y[order], weight[order], strict=True):
         if blocks and blocks[-1][3] == v:
-            blocks[-1][0] += t
-            blocks[-1][1] += 1
+            blocks[-1][0] += t * w
+            blocks[-1][1] += w
         else:
-            blocks.append([t, 1, v, v])
+            blocks.append([t * w, w, v, v])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1][0] += s
@@ -164,11 +165,11 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, ys
 
 
-def train_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, hold: np.ndarray | None = None) -> Trees:
-    """Second-order boosting of the log loss on binned features; rows in hold fit the calibration only."""
+def train_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, hold: np.ndarray | None = None, stands_for: np.ndarray | None = None) -> Trees:
+    """Second-order boosting of the log loss on binned features; rows in hold fit the calibration only, each as much as the labelled rows it stands for."""
     hold = np.zeros(len(y), bool) if hold is None else hold
     if len(y) == 0 or y[~hold].min(initial=1) == y[~hold].max(initial=0):
-        p = float(y.mean()) if len(y) else 0.0
+        p = float(np.average(y, weights=stands_for)) if len(y) else 0.0
         return Trees(np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)), 0.0, np.array([0.0, 1.0]), np.array([p, p]))
     fit, target = x[~hold], y[~hold].astype(float)
     cuts = [np.unique(np.quantile(np.unique(c), np.linspace(0, 1, bins + 1)[1:-1])) for c in fit.T]
@@ -205,7 +206,7 @@ def train_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int =
         trees.append((feature, cut, value))
     out = Trees(np.stack([t[0] for t in trees]), np.stack([t[1] for t in trees]), np.stack([t[2] for t in trees]), 0.0, np.zeros(0), np.zeros(0))
     part = hold if hold.any() else ~hold
-    out.xs, out.ys = isotonic(out.raw(x[part]), y[part].astype(float))
+    out.xs, out.ys = isotonic(out.raw(x[part]), y[part].astype(float), None if stands_for is None else stands_for[part])
     return out
 
 
@@ -237,13 +238,13 @@ def learn_lexicon(rows: DataFrame, lexicon: tuple[str, ...], *, most: int = 4000
 
     total = rows.agg(F.sum((F.col("toxic") > 0).cast("int")).alias("p"), F.count(F.lit(1)).alias("n")).first()
     p, n = total["p"] or 0, total["n"] or 0
-    found = (
+    found = written(
         rows.mapInArrow(run, "h bigint, sig bigint, toxic boolean, stem boolean")
         .distinct().groupBy("h", "stem").agg(count(True).alias("a"), count(False).alias("b"))
         .filter((F.col("a") >= max(4, 0.004 * p)) & (F.col("a") / max(1, p) >= 12 * (F.col("b") + 0.5) / max(1, n - p)))
-        .orderBy(F.desc("a"), "h").limit(2 * most).toPandas()
+        , "lexicon",
     )
-    sort = lambda stem: np.sort(found.loc[found["stem"] == stem, "h"].to_numpy(np.int64).view(np.uint64)[:most])
+    sort = lambda stem: np.sort(found.filter(F.col("stem") == stem).orderBy(F.desc("a"), "h").limit(most).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     return Lexicon(lexicon_hashes(lexicon), lexicon_hashes(SECOND_PERSON), sort(False), sort(True))
 
 
@@ -256,24 +257,30 @@ def train(docs: DataFrame, labels: DataFrame, *, lexicon: tuple[str, ...] = tupl
     labels counts as toxic if any says so; null labels are left out.
     """
     small_batches(docs.sparkSession)
-    known = labels.filter("toxic is not null and doc_id is not null").filter(id_crc(F.col("doc_id")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = sample_by_class(known, "toxic", "doc_id", per_label, 2)
+    known = labels.filter("toxic is not null and doc_id is not null").filter(id_crc(F.col("doc_id")) % 5 != 0).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    known = written(known, "labels")
+    drawn = written(sample_by_class(known, "toxic", ["doc_id"], per_label, 2 * per_label), "drawn")
+    # ids of at most about 2 * per_label rows
     rows = written(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))),
         "labelled",
     )
-    lex = learn_lexicon(rows.filter("half = 0"), lexicon)
+    lex = learn_lexicon(rows.filter("half = 0").select("text", "toxic"), lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for y in batches for x in slices_of(y, "text")):
             x = features(b.column("text"), lex)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(list(x), pa.list_(pa.float32()))], ["id", "toxic", "x"])
 
-    seen = rows.filter("half = 1").mapInArrow(run, "doc_id bigint, toxic int, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(4 * per_label).toPandas()
+    mine = rows.filter("half = 1").select(F.xxhash64("doc_id").alias("id"), "toxic", "text")
+    seen = mine.mapInArrow(run, "id bigint, toxic int, x array<float>").dropDuplicates(["id"]).orderBy("id").limit(4 * per_label).toPandas()
     x = np.array(seen["x"].tolist(), np.float32).reshape(len(seen), len(FEATURES))
-    y = (seen["toxic"].to_numpy() > 0).astype(int)
+    y = seen["toxic"].to_numpy().astype(int)
+    # the sample has as many rows of either label; the calibration counts each for the labelled rows it stands for
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands_for = np.array([total.get(v, 0) / max(1, int((y == v).sum())) for v in (0, 1)])[y]
     hold = np.arange(len(y)) % 4 == 0
-    return train_trees(x, y, hold=hold), lex
+    return train_trees(x, y, hold=hold, stands_for=stands_for), lex
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, lexicon: tuple[str, ...] = tuple(LEXICON), per_label: int = SAMPLE_PER_LABEL, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

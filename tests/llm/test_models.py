@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -73,6 +74,28 @@ def test_languages(spark, odd_docs, no_docs):
     assert langid.identify(no_docs).count() == 0
 
 
+def test_sixty_five_languages(spark):
+    """Every language is learned, those of large ids too."""
+    r = random.Random(2)
+    langs = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for k in range(65)}
+    rows = [(f"{k:04d}-{j}", " ".join(r.choice(w) for _ in range(30)), lang) for k, (lang, w) in enumerate(langs.items()) for j in range(8)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert np.mean([x.lang_pred == want[x.doc_id] for x in got]) > 0.98 and {x.lang_pred for x in got} == set(langs)
+
+
+def test_decoding_like_a_plain_search():
+    r = np.random.default_rng(3)
+    x, y = r.random((60, 32)).astype(np.float32), [f"l{k % 5}" for k in range(60)]
+    model = langid.fit_codes(x, y, steps=20)
+    at, score = model.decode(x)
+    for row, a, s in zip(x, at, score, strict=True):
+        f = [float(row @ model.weight[:, b] + model.bias[b]) for b in range(model.code.shape[1])]
+        cost = [sum(math.log1p(math.exp(-v * c)) for v, c in zip(f, code)) / len(f) * 4 for code in model.code]
+        like = [math.exp(min(cost) - c) for c in cost]
+        assert cost[a] == pytest.approx(min(cost), rel=1e-4) and s == pytest.approx(max(like) / sum(like), rel=1e-3)
+
+
 def test_codewords_differ():
     for n in (1, 2, 3, 5, 7, 12, 40):
         code = langid.codewords(n)
@@ -91,6 +114,45 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
+def test_features_and_trees_like_plain_versions():
+    import pyarrow as pa
+
+    lex = toxicity.Lexicon(toxicity.lexicon_hashes(["idiot"]), toxicity.lexicon_hashes(["you"]), toxicity.lexicon_hashes(["zork"]), np.empty(0, np.uint64))
+    texts = ["You are an IDIOT! zork", "fine text, no 1d1ot?", "", "you a b c d e f g idiot"]
+    x = dict(zip(toxicity.FEATURES, toxicity.features(pa.array(texts), lex).T))
+    words = [re.findall(r"[a-z]+", t.lower()) for t in texts]
+    assert x["lexicon_any"].tolist() == [w.count("idiot") for w in words] and x["learned_any"].tolist() == [w.count("zork") for w in words]
+    assert x["near_you"].tolist() == [2, 0, 0, 0] and x["hidden"].tolist() == [0, 1, 0, 0] and x["distinct_hits"].tolist() == [2, 0, 0, 1]
+    assert x["capitals"] == pytest.approx([sum(c.isupper() for c in t) / max(1, len(t)) for t in texts]) and x["bangs"] == pytest.approx([t.count("!") / max(1, len(t)) for t in texts])
+    r = np.random.default_rng(1)
+    data = r.random((400, len(toxicity.FEATURES))).astype(np.float32)
+    trees = toxicity.train_trees(data, (data[:, 0] + data[:, 3] > 1).astype(int), rounds=10)
+
+    def walk(row):
+        out = trees.base
+        for f, c, v in zip(trees.feature, trees.cut, trees.value):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(row[f[node]] > c[node])
+            out += v[node - len(f)]
+        return out
+
+    assert trees.raw(data) == pytest.approx([walk(row) for row in data])
+
+
+def test_calibration_keeps_the_labels_shares(spark):
+    """One label in a hundred, more rows of the other than are drawn: a score near one half is right half the time."""
+    rows = []
+    for k in range(9000):
+        toxic = k % 100 == 0
+        marked = toxic or k % 100 in (1, 2, 3)  # of the marked rows one in four is toxic
+        rows.append((f"d{k}", words(k, 12, 200) + (" you moron" if marked else ""), int(toxic)))
+    data = spark.createDataFrame(rows, "doc_id string, text string, toxic bigint")
+    got = toxicity.toxicity(data.select("doc_id", "text"), data.select("doc_id", "toxic"), per_label=1500).collect()
+    marked = [x.score for x in got if "moron" in x.text]
+    assert np.mean(marked) < 0.6 and np.mean([x.score for x in got]) < 0.1
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1])
     xs, ys = toxicity.isotonic(x, y)
