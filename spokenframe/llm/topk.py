@@ -1,14 +1,15 @@
 """Exact top-k inner products with an impact-ordered index, scored segment by segment.
 
 Vectors are whole numbers.  A block of vectors is stored as postings (row, value)
-in segments of one dimension and one quantised impact, highest impact first, with
-the norm of what each level leaves out.  A block of queries takes level after
-level; what is still missing is at most the product of the two norms, so
-each pair has an upper and a lower bound.  It stops only when the bounds prove that few
-pairs can still reach the best k; those are rescored exactly.
-
-Every query block meets every index block once, in tasks that keep each query's
-best k so far: the search is for a stated set of queries, and no pair becomes a row.
+in segments of one dimension and one quantised impact.  A query weighs a segment by its own
+component there: it takes the segments of a block by descending weight times impact and adds
+weight times value to the rows they hold.  What a row may still get is at most the smaller of two
+bounds: the sum over dimensions of weight times the highest impact not yet read, and the product of the
+norms of what is unread of the query and of the row.  Reading stops only when the bounds
+prove that few rows can still reach the best k; those are rescored exactly.
+
+Every index block is shuffled once; the queries, a small stated set, are copied to the
+blocks and stream by there in blocks of their own, and no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .shared import parts, written
 LEVELS = 8
 BLOCK = 4096
 QUERY_BLOCK = 512
-#: Share of a block's pairs that may be left for exact scoring.
+#: Share of a block's rows that may be left for exact scoring.
 LEFT = 0.02
+#: The bounds are looked at after so large a share of the postings each time.
+CHECK = 1 / 12
 
 
 def _matrix(column: pa.ChunkedArray, scale: int) -> np.ndarray:
@@ -38,52 +41,73 @@ def _matrix(column: pa.ChunkedArray, scale: int) -> np.ndarray:
 
 
 def index_block(x: np.ndarray, levels: int = LEVELS) -> dict[str, bytes | int]:
-    """Postings by level (descending) and dimension, and each row's norm of what lies below each level."""
+    """Postings by dimension and descending level, where each segment ends, and the highest magnitude in it."""
     n, d = x.shape
     top = np.abs(x).max(initial=0) + 1
     level = np.floor(np.abs(x) * levels / top).astype(np.int64)
     row, dim = np.nonzero(x)
-    order = np.lexsort((row, dim, -level[row, dim]))
-    row, dim = row[order], dim[order]
-    bounds = np.searchsorted(-level[row, dim], -np.arange(levels - 1, -1, -1), "right")
-    below = np.stack([np.sqrt(np.where(level < k, x * x, 0).sum(1)) for k in range(levels)])
-    return {"n": n, "d": d, "rows": row.astype("<u2").tobytes(), "dims": dim.astype("<u2").tobytes(), "vals": x[row, dim].astype("<f8").tobytes(), "bounds": bounds.astype("<i8").tobytes(), "below": below.astype("<f8").tobytes()}
-
-
-def best_of_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, index: dict, k: int, floor: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """For each query (ids, scores) of all rows that may be among its best k, exactly scored; and the levels read.
-
-    floor: the k-th best score of each query so far (-inf while there are fewer).
-    """
-    n, d, levels = index["n"], index["d"], LEVELS
-    rows, dims, vals = (np.frombuffer(index[c], t).astype(np.int64 if t != "<f8" else np.float64) for c, t in (("rows", "<u2"), ("dims", "<u2"), ("vals", "<f8")))
-    bounds, below = np.frombuffer(index["bounds"], "<i8"), np.frombuffer(index["below"], "<f8").reshape(levels, n)
-    width = max(d, q.shape[1])
-    q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
-    norm = np.sqrt((q * q).sum(1))[:, None] * (1 + 1e-12)
-    own = q_ids[:, None] == ids[None, :]
-    acc, lo, done = np.zeros((len(q), n)), 0, 0
-    for step in range(levels):
-        hi = int(bounds[step])
-        if hi > lo:
-            tile = np.zeros((n, width))
-            tile[rows[lo:hi], dims[lo:hi]] = vals[lo:hi]
-            acc += q @ tile.T
-        lo, done = hi, step + 1
-        miss = norm * below[levels - 1 - step][None, :] + (levels - 1 - step > 0)
-        low = np.where(own, -np.inf, acc - miss)
-        cut = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k] if n >= k else -np.inf)
-        may = (acc + miss >= cut[:, None]) & ~own
-        if may.sum() <= max(LEFT * may.size, k * len(q)) or done == levels:
-            break
-    if done < levels:
-        full = np.zeros((n, width))
-        full[rows, dims] = vals
-    out = []
-    for r in range(len(q)):
-        c = np.flatnonzero(may[r])
-        out.append((ids[c], acc[r, c] if done == levels else full[c] @ q[r]))
-    return out, done
+    segment = dim * levels + (levels - 1 - level[row, dim])
+    order = np.lexsort((row, segment))
+    row, dim, segment = row[order], dim[order], segment[order]
+    value = x[row, dim]
+    most = np.zeros(d * levels)
+    np.maximum.at(most, segment, np.abs(value))
+    return {"n": n, "d": d, "rows": row.astype("<u2").tobytes(), "vals": value.astype("<f8").tobytes(), "ends": np.searchsorted(segment, np.arange(d * levels), "right").astype("<i8").tobytes(), "most": most.astype("<f8").tobytes()}
+
+
+class Block:
+    """A block's postings, ready for queries."""
+
+    def __init__(self, index: dict, levels: int = LEVELS):
+        self.n, self.d, self.levels = index["n"], index["d"], levels
+        self.rows, self.vals = np.frombuffer(index["rows"], "<u2").astype(np.int64), np.frombuffer(index["vals"], "<f8")
+        self.ends, self.most = np.frombuffer(index["ends"], "<i8"), np.frombuffer(index["most"], "<f8").reshape(self.d, levels)
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.dim = np.repeat(np.arange(self.d * levels) // levels, self.ends - self.starts)
+        self.full = np.zeros((self.n, self.d))
+        self.full[self.rows, self.dim] = self.vals
+        self.square = (self.full * self.full).sum(1)
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
+        """(rows, exact scores) of all rows but `own` that may be among the best k, and the share of postings read.
+
+        floor: a score that k other rows are known to reach.
+        """
+        q = np.pad(q, (0, max(0, self.d - len(q))))[: self.d]
+        weight = np.abs(q)
+        impact = (weight[:, None] * self.most).reshape(-1)
+        order = np.argsort(-impact, kind="stable")
+        order = order[impact[order] > 0]
+        size = (self.ends - self.starts)[order]
+        total = max(1, int(size.sum()))
+        # segments are taken in turns of about CHECK of the postings
+        turn = np.cumsum(size) // max(1, int(total * CHECK))
+        acc, left = np.zeros(self.n), self.square.copy()
+        unread = self.most.copy()
+        read, at = 0, 0
+        while True:
+            level_top = unread.max(1)
+            rest = min(float(weight @ level_top), np.inf)
+            open_q = float(np.sqrt(np.square(weight[level_top > 0]).sum()))
+            bound = np.minimum(rest, open_q * np.sqrt(np.maximum(left, 0))) * (1 + 1e-9) + (1e-6 if at < len(order) else 0.0)
+            low = acc - bound
+            low[own] = -np.inf
+            cut = max(floor, float(np.partition(low, -k)[-k]) if self.n >= k else -np.inf)
+            may = acc + bound >= cut
+            may[own] = False
+            found = np.flatnonzero(may)
+            if len(found) <= max(LEFT * self.n, k) or at == len(order):
+                return found, self.full[found] @ q, read / total
+            step = int(np.searchsorted(turn, turn[at], "right"))
+            some = order[at:step]
+            for s in some.tolist():
+                lo, hi = self.starts[s], self.ends[s]
+                rows, vals = self.rows[lo:hi], self.vals[lo:hi]
+                acc[rows] += q[s // self.levels] * vals
+                left[rows] -= vals * vals
+                read += hi - lo
+            unread.reshape(-1)[some] = 0
+            at = step
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -106,7 +130,7 @@ def _blocks(rows: DataFrame, size: int, scale: int, *, index: bool) -> tuple[Dat
             row |= {"q_n": x.shape[0], "q_d": x.shape[1], "q": x.astype("<f8").tobytes()}
         return pa.Table.from_pylist([row])
 
-    more = "n bigint, d bigint, rows binary, dims binary, vals binary, bounds binary, below binary" if index else "q_n bigint, q_d bigint, q binary"
+    more = "n bigint, d bigint, rows binary, vals binary, ends binary, most binary" if index else "q_n bigint, q_d bigint, q binary"
     dealt = rows.withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n)))
     return written(dealt.groupBy("blk").applyInArrow(build, f"blk bigint, ids binary, {more}"), "index" if index else "queries"), n
 
@@ -120,42 +144,43 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int
     than once among the queries is one query with all its vectors.  Fewer
     candidates than k give fewer rows.  Products must stay below 2**53.
     """
+    return _found(vectors, queries, k, scale).select("query_id", "rank", "vec_id", "score")
+
+
+def shares_read(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256) -> DataFrame:
+    """(query_id, vec_id, score, read) before the blocks' answers are put together: read is the share of its block's postings that the query took."""
+    return _scored(vectors, queries, k, scale)
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, k: int, scale: int) -> DataFrame:
     spark = vectors.sparkSession
     index, n = _blocks(_usable(vectors), BLOCK, scale, index=True)
-    asked, m = _blocks(_usable(queries), QUERY_BLOCK, scale, index=False)
-    shares = max(1, min(n, -(-2 * parts(spark) // m)))  # of the index, for each query block
-    pairs = (
-        asked.withColumnRenamed("blk", "qblk").withColumnRenamed("ids", "q_ids")
-        .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("blk", F.col("blk").cast("long"))
-        .join(index.hint("merge"), "blk")
-    )
-    pairs = pairs.withColumn("share", F.pmod("blk", F.lit(shares))).repartition(parts(spark), "qblk", "share").sortWithinPartitions("qblk", "share", "blk")
+    asked, _ = _blocks(_usable(queries), QUERY_BLOCK, scale, index=False)
+    copies = asked.withColumnRenamed("blk", "qblk").withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("blk", F.col("blk").cast("long"))
+    rows = index.withColumn("qblk", F.lit(-1).cast("long")).unionByName(copies, allowMissingColumns=True)
+    # an index block comes first, the queries after it
+    rows = rows.repartition(parts(spark), "blk").sortWithinPartitions("blk", "qblk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, q_ids, best = None, None, []
-
-        def ended():
-            q = np.repeat(q_ids, [len(i) for i, _ in best])
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate([i for i, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]).astype(np.int64))], ["query_id", "vec_id", "score"])
-
+        at, block, ids = None, None, np.empty(0, np.int64)
         for b in batches:
-            for i in range(len(b)):
-                r = b.slice(i, 1).to_pylist()[0]
-                if at != (r["qblk"], r["share"]):
-                    if at is not None:
-                        yield ended()
-                    at, q_ids = (r["qblk"], r["share"]), np.frombuffer(r["q_ids"], "<i8")
-                    q = np.frombuffer(r["q"], "<f8").reshape(r["q_n"], r["q_d"])
-                    best = [(np.empty(0, np.int64), np.empty(0)) for _ in q_ids]
-                floor = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in best])
-                found, _ = best_of_block(q, q_ids, np.frombuffer(r["ids"], "<i8"), r, k, floor)
-                for j, (ids, scores) in enumerate(found):
-                    ids, scores = np.concatenate([best[j][0], ids]), np.concatenate([best[j][1], scores])
-                    first = np.lexsort((ids, -scores))[:k]
-                    best[j] = ids[first], scores[first]
-        if at is not None:
-            yield ended()
-
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+            for r in (x for i in range(len(b)) for x in b.slice(i, 1).to_pylist()):
+                if r["qblk"] < 0:
+                    at, block, ids = r["blk"], Block(r), np.frombuffer(r["ids"], "<i8")
+                    continue
+                if r["blk"] != at:
+                    continue  # a block without vectors
+                out = []
+                for q_id, q in zip(np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["q"], "<f8").reshape(r["q_n"], r["q_d"]), strict=True):
+                    found, scores, read = block.search(q, ids == q_id, k)
+                    first = np.lexsort((ids[found], -scores))[:k]
+                    out.append((np.full(len(first), q_id), ids[found][first], scores[first].astype(np.int64), np.full(len(first), read)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score", "read"])
+
+    return rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, read double")
+
+
+def _found(vectors: DataFrame, queries: DataFrame, k: int, scale: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _scored(vectors, queries, k, scale).withColumn("rank", place).filter(F.col("rank") <= k)

@@ -29,13 +29,18 @@ def test_like_brute_force(spark, monkeypatch):
 def test_stops_early_on_proof():
     r = np.random.default_rng(5)
     x = np.floor(256 * r.normal(size=(2000, 16)) * np.where(r.random((2000, 16)) < 0.1, 1.0, 0.002))  # few components matter
-    index = topk.index_block(x)
-    q = x[:20]
-    found, done = topk.best_of_block(q, np.arange(20), np.arange(2000), index, 5, np.full(20, -np.inf))
-    assert done < topk.LEVELS
-    for k, (ids, scores) in enumerate(found):
-        want = sorted((-float(q[k] @ x[c]), c) for c in range(2000) if c != k)[:5]
-        assert sorted(zip((-scores).tolist(), ids.tolist()))[:5] == want
+    block = topk.Block(topk.index_block(x))
+    for k in range(20):
+        found, scores, read = block.search(x[k], np.arange(2000) == k, 5)
+        assert read < 1
+        want = sorted((-float(x[k] @ x[c]), c) for c in range(2000) if c != k)[:5]
+        assert sorted(zip((-scores).tolist(), found.tolist()))[:5] == want
+
+
+def test_the_stop_fires_on_the_sample_vectors(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    read = [x.read for x in topk.shares_read(vectors, vectors.filter("vec_id % 50 = 0")).collect()]
+    assert read and np.mean(read) < 1
 
 
 def test_few_rows(spark):
