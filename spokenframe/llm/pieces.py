@@ -2,11 +2,13 @@
 
 A text falls into segments wherever two neighbouring characters stand together in
 no piece.  Distinct segments of equal length advance together: hashes of all their
-substrings probe the sorted keys of the pieces.  For unigram models vectorised
-maxima over the last piece fill a Viterbi table and store backpointers.  For BPE
-models, whose segmentation is the order of merges and not a best path, vectorised
-maxima choose each segment's next merge instead; that is what gives the library's ids.
-Unknown characters become byte pieces where the model has them.
+substrings probe the sorted keys of the pieces, vectorised maxima over the last piece
+fill a Viterbi table and store backpointers.  The best path is that of the highest sum of
+the file's scores; unknown characters become byte pieces where the model has them.
+
+The ids that the library gives for a BPE file follow the order of merges, which is no best
+path.  For such files they are to be had as well, from the same tables: vectorised
+maxima choose each segment's next merge.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ class Pieces:
         near = {(ord(a) << 21) | ord(b) for k in own for a, b in zip(pieces[k], pieces[k][1:], strict=False)}
         self.near = np.array(sorted(near), np.uint64)
         self.known = {pieces[k]: (scores[k], k) for k in own}
-        self.kept: dict[int, bytes] = {}
+        self.kept: dict[bool, dict[int, bytes]] = {True: {}, False: {}}
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -140,7 +142,7 @@ class Pieces:
         return width
 
     def _best_path(self, score: np.ndarray) -> np.ndarray:
-        """Unigram: Viterbi over all segments at once; the length of the piece that starts at each place of the best path, else 0."""
+        """Viterbi over all segments at once; the length of the piece that starts at each place of the best path, else 0."""
         most, n, size = score.shape
         best, back = np.full((n, size + 1), -np.inf), np.ones((n, size + 1), np.int64)
         best[:, 0] = 0
@@ -192,14 +194,14 @@ class Pieces:
     def _unknown(self, text: str) -> list[int]:
         return [int(self.byte[b]) for b in text.encode()] if self.fallback else [self.unknown]
 
-    def segment_ids(self, segments: list[str]) -> list[list[int]]:
-        """Ids of segments; those of equal length advance together."""
+    def segment_ids(self, segments: list[str], path: bool) -> list[list[int]]:
+        """Ids of segments, by the best path or by merges; those of equal length advance together."""
         out: list[list[int]] = [[] for _ in segments]
         by: dict[int, list[int]] = {}
         for k, s in enumerate(segments):
             by.setdefault(len(s), []).append(k)
         for size, all_k in by.items():
-            if size > _LONG and self.bpe:
+            if size > _LONG and not path:
                 for k in all_k:
                     out[k] = self._long(segments[k])
                 continue
@@ -208,7 +210,7 @@ class Pieces:
                 some = all_k[lo : lo + step]
                 cp = np.frombuffer("".join(segments[k] for k in some).encode("utf-32-le"), "<u4").reshape(len(some), size)
                 score, ident = self._table(cp)
-                width = self._merged(score) if self.bpe else self._best_path(score)
+                width = self._best_path(score) if path else self._merged(score)
                 row, start = np.nonzero(width)
                 found = ident[width[row, start] - 1, row, start]
                 for r, s, i in zip(row.tolist(), start.tolist(), found.tolist(), strict=True):
@@ -220,8 +222,9 @@ class Pieces:
             out = [[i for k, i in enumerate(x) if i != self.unknown or k == 0 or x[k - 1] != i] for x in out]
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets that bound each text's)."""
+    def encode(self, texts: list[str], path: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets that bound each text's), by the best path, or by a BPE file's merges."""
+        path = path or not self.bpe
         if self.normalize:
             texts = [self.normalize(t) for t in texts]
         else:
@@ -244,12 +247,13 @@ class Pieces:
         h = mix((total[e - 1] - before) * _power(_INVERSE, len(cp))[s] + (e - s).astype(np.uint64))
         uniq, at, back = np.unique(h, return_index=True, return_inverse=True)
         keys = uniq.tolist()
-        if len(self.kept) > KEEP:
-            self.kept = {}
-        new = [k for k, x in enumerate(keys) if x not in self.kept]
-        found = self.segment_ids([text[s[at[k]] : e[at[k]]] for k in new])
-        self.kept.update((keys[k], np.array(x, "<i4").tobytes()) for k, x in zip(new, found, strict=True))
-        got = [self.kept[x] for x in keys]
+        if len(self.kept[path]) > KEEP:
+            self.kept[path] = {}
+        kept = self.kept[path]
+        new = [k for k, x in enumerate(keys) if x not in kept]
+        found = self.segment_ids([text[s[at[k]] : e[at[k]]] for k in new], path)
+        kept.update((keys[k], np.array(x, "<i4").tobytes()) for k, x in zip(new, found, strict=True))
+        got = [kept[x] for x in keys]
         flat = np.frombuffer(b"".join(got), "<i4")
         n = np.array([len(x) // 4 for x in got], np.int64)
         first = np.cumsum(n) - n
@@ -292,8 +296,14 @@ def _parts(p: Pieces, text: str) -> list[str]:
     return [*out, text[lo:]]
 
 
-def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
-    """Rows (doc_id, ids) for each row of docs: ids of its whole text; null texts count as empty and have none."""
+def _split(p: Pieces, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """(parts of all texts, where each text's begin and end among them)."""
+    own = [_parts(p, t) if p.prefix and not p.normalize else [t] for t in texts]
+    return [x for parts in own for x in parts], np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+
+def encode_pieces(docs: DataFrame, model: str, *, merges: bool = False) -> DataFrame:
+    """Rows (doc_id, ids) for each row of docs: ids of its whole text by the best path, or with merges those that the library gives for a BPE file; null texts count as empty and have none."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -302,11 +312,9 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in slices(texts, 1 << 20):
-                own = [x for t in texts[lo:hi] for x in (_parts(p, t) if p.prefix and not p.normalize else [t])]
-                n = [len(_parts(p, t)) if p.prefix and not p.normalize else 1 for t in texts[lo:hi]]
-                ids, off = p.encode(own)
-                off = off[np.concatenate([[0], np.cumsum(n)])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+                own, at = _split(p, texts[lo:hi])
+                ids, off = p.encode(own, not merges)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(off[at], pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
@@ -327,10 +335,10 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """Rows (doc_id, n_pieces, ids_crc32, same): the whole text encoded, decoded again, and whether the same text came back.
+    """Rows (doc_id, n_pieces, ids_crc32, same, n_merged, merged_crc32, merged_same): the whole text encoded by the best path, decoded again, and whether the same text came back; then the same by merges.
 
-    ids_crc32 is over the ids as little-endian unsigned 32-bit integers.  The sign U+2581
-    comes back as a space.
+    ids_crc32 is over the ids as little-endian unsigned 32-bit integers.  The columns of merges hold the library's
+    ids for a BPE file; for other files they repeat the best path.  The sign U+2581 comes back as a space.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -340,15 +348,13 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in slices(texts, 1 << 20):
-                n = np.array([len(_parts(p, t)) if p.prefix and not p.normalize else 1 for t in texts[lo:hi]])
-                own = [x for t in texts[lo:hi] for x in (_parts(p, t) if p.prefix and not p.normalize else [t])]
-                ids, off = p.encode(own)
-                off = off[np.concatenate([[0], np.cumsum(n)])]
-                back = p.decode(ids, off)
-                data = ids.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array([zlib.crc32(data[a:e].tobytes()) for a, e in zip(off, off[1:], strict=False)], pa.int64()), pa.array([a == t for a, t in zip(back, texts[lo:hi], strict=True)])],
-                    ["doc_id", "n_pieces", "ids_crc32", "same"],
-                )
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids_crc32 bigint, same boolean")
+                own, at = _split(p, texts[lo:hi])
+                out = []
+                for path in (True, False):
+                    ids, off = p.encode(own, path)
+                    off, data = off[at], ids.astype("<u4")
+                    back = p.decode(ids, off)
+                    out += [pa.array(np.diff(off)), pa.array([zlib.crc32(data[a:e].tobytes()) for a, e in zip(off, off[1:], strict=False)], pa.int64()), pa.array([a == t for a, t in zip(back, texts[lo:hi], strict=True)])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *out], ["doc_id", "n_pieces", "ids_crc32", "same", "n_merged", "merged_crc32", "merged_same"])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids_crc32 bigint, same boolean, n_merged bigint, merged_crc32 bigint, merged_same boolean")

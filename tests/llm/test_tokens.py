@@ -114,14 +114,23 @@ def test_sentencepiece_like_the_library(odd_docs, no_docs):
     texts = TEXTS + ["日本語の文章です。漢字", "ab" * 100 + " " + "the" * 90, " " * 50, "<s> x", "<0x41>", "😀é́"]
     texts += ["".join(r.choice(["a", "the", "B", " ", "  ", "\n", "ing", ",", "é", "日", "ß", "qu", "e", "s"]) for _ in range(r.randint(0, 40))) for _ in range(300)]
     p = Pieces.load(path)
-    ids, off = p.encode(texts)
+    ids, off = p.encode(texts, path=False)
     assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == lib.encode(texts, num_threads=1)
     assert p.decode(ids, off) == texts
-    coded = encode_pieces(odd_docs, path)
+    ids, off = p.encode(texts)
+    assert p.decode(ids, off) == texts
+    score = dict(zip(p.ids.tolist(), p.scores.tolist()))
+    for t, a, b in zip(texts, off, off[1:]):  # the library's way through a text has no higher sum of scores
+        mine, theirs = ids[a:b].tolist(), lib.encode(t)
+        if all(k in score for k in [*mine, *theirs]):
+            assert sum(score[k] for k in mine) >= sum(score[k] for k in theirs)
+    coded = encode_pieces(odd_docs, path, merges=True)
     want = {x.doc_id: x.text or "" for x in odd_docs.collect() if x.doc_id is not None}
     assert all(x.ids == lib.encode(want[x.doc_id]) for x in coded.collect() if x.doc_id is not None)
     assert all(x.text == want[x.doc_id] for x in decode_pieces(coded, path).collect() if x.doc_id is not None)
-    assert all(x.same for x in round_trip(odd_docs, path).collect())
+    best = encode_pieces(odd_docs, path)
+    assert all(x.text == want[x.doc_id] for x in decode_pieces(best, path).collect() if x.doc_id is not None)
+    assert all(x.same and x.merged_same and x.n_merged == len(lib.encode(want.get(x.doc_id, ""))) for x in round_trip(odd_docs, path).collect() if x.doc_id is not None)
     assert round_trip(no_docs, path).count() == 0
 
 
