@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,17 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, as a URI of the file system that it names, or of the cluster's default one.
 
-    Only where it is unset (tests, one machine) a temporary folder is made and set.
+    Only where it is unset and Spark runs on one machine (tests) a temporary folder is made and set; on a cluster it must be set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         path = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(hadoop.Path(path)).toString()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -102,3 +102,15 @@ def test_streams(spark, tmp_path):
     assert [(x.segment_id, x.text, x.words[0].word) for x in spark.table("segs").collect()] == [(1, "Hi", "Hi")]
     updates = spark.createDataFrame([(1, "2024-01-01", 1, "running", 0.1), (1, "2024-01-01", 2, "running", 0.5), (2, "2024-01-02", 1, "completed", 1.0)], "job_id long, ts string, seq long, status string, progress double")
     assert {(x.job_id, x.progress) for x in feeds.job_latest(updates).collect()} == {(1, 0.5), (2, 1.0)}
+
+
+def test_a_folder_without_scheme_belongs_to_the_default_store(spark, tmp_path):
+    from spokenframe.sources.shared import shared_dir, written
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+        assert shared_dir(spark) == f"file:{tmp_path}"
+        assert written(spark.range(3), "x").count() == 3
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
