@@ -11,19 +11,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}  # by application, where no shared folder is set
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, as a URI of the file system that it names, or of the cluster's default one.
 
-    Only where it is unset and Spark runs on one machine (tests) a temporary folder is made and set; on a cluster it must be set.
+    Only where it is unset and Spark runs on one machine (tests) is a temporary folder made; on a cluster it must be set.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _local.get(context.applicationId)
     if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
-        path = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local[context.applicationId] = f"file://{local}"
+    return _qualified(spark, path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI; one without a scheme lies in Hadoop's default file system."""
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
         return path
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

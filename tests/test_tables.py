@@ -1,6 +1,8 @@
 import json
+from types import SimpleNamespace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spokenframe.operators import maintenance as M
@@ -104,13 +106,19 @@ def test_streams(spark, tmp_path):
     assert {(x.job_id, x.progress) for x in feeds.job_latest(updates).collect()} == {(1, 0.5), (2, 1.0)}
 
 
-def test_a_folder_without_scheme_belongs_to_the_default_store(spark, tmp_path):
-    from spokenframe.sources.shared import shared_dir, written
+def test_the_shared_folder(spark):
+    """A folder without a scheme belongs to the default store; on one machine a folder is made, a cluster must name one."""
+    from spokenframe.sources import shared
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        assert shared_dir(spark) == f"file:{tmp_path}"
-        assert written(spark.range(3), "x").count() == 3
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    def session(master: str, folder: str | None):
+        get = lambda name, default=None: folder
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: SimpleNamespace(get=get), _jvm=spark.sparkContext._jvm, _jsc=spark.sparkContext._jsc)
+        return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=context)
+
+    assert shared.shared_dir(session("spark://x:7077", "/shared/x")) == "file:/shared/x"
+    assert shared.shared_dir(session("spark://x:7077", "hdfs://n/x")) == "hdfs://n/x"
+    made = shared.shared_dir(session("local[2]", None))
+    assert made.startswith("file:///") and shared.shared_dir(session("local[2]", None)) == made
+    with pytest.raises(ValueError):
+        shared.shared_dir(session("spark://x:7077", None))
+    assert shared.written(spark.range(3), "x").count() == 3
