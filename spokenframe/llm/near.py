@@ -36,7 +36,7 @@ TOLERANCE = 1e-6
 #: After so many MinHash values the posterior is looked at.
 STEPS = (16, 32, 64, 128)
 #: Most members of a block.
-BLOCK = 512
+BLOCK = 256
 
 
 def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
