@@ -131,7 +131,7 @@ def video_contexts(summaries: DataFrame, responses: DataFrame, most_terms: int =
     rows = summaries.withColumn("request_id", F.col("video_id").cast("string")).join(parsed.select("request_id", "parsed").hint("merge"), "request_id", "left")
     known = F.col("parsed").isNotNull()
     field = lambda name: F.when(known, clean_label_text(F.col(f"parsed.{name}"))).otherwise("")
-    terms = F.slice(F.transform(F.filter(F.coalesce("parsed.key_terms", F.array().cast("array<string>")), lambda t: F.trim(F.coalesce(t, F.lit(""))) != ""), clean_label_text), 1, most_terms)
+    terms = F.slice(F.transform(F.filter(F.coalesce("parsed.key_terms", F.array().cast("array<string>")), lambda t: F.trim(F.coalesce(t, F.lit(""))) != ""), lambda t: clean_label_text(t)), 1, most_terms)
     return rows.select("video_id", field("setting").alias("setting"), field("participants").alias("participants"), field("subject").alias("subject"), F.when(known, field("summary")).otherwise(F.col("fallback")).alias("summary"), terms.alias("key_terms"))
 
 

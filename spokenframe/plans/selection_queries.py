@@ -1,6 +1,7 @@
 """Candidates, boundaries, selection, framing, copy, maintenance and streams over the sample tables."""
 
 import json
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,22 +18,48 @@ from ..operators import selection as P
 from ..operators import signals as G
 from ..operators import speakers as K
 from ..sources import transcripts as A
-from ..sources.shared import written
+from ..sources.shared import shared_dir, written
 from ..streaming import feeds
 from . import stage_sql as Q
 from .registry import query
-from .signal_queries import _SENT, HOP, _faced
+from .signal_queries import _CHUNKS, _SENT, HOP, _faced
 from .text_queries import _CASE, _CONF, _LOW, _NW, _OPEN, _TOK, _TRIG
 
 # --- sources and tables ---
 
 
-@query("a02_filter_speech", "segments words", "select video_id, row_number() over (partition by video_id order by start_ms, segment_id) - 1 as segment_id, trim(text) as text, n as n_words from (select s.*, (select count(*) from words w where w.video_id = s.video_id and w.segment_id = s.segment_id) as n from segments s where s.segment_id % 3 <> 1) x")
-def _(segments, words):
+def _nested(segments, words):
+    """Segments in seconds with their words inside, as a transcript holds them."""
     nested = words.groupBy("video_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start_ms", "end_ms"))).alias("w"))
     typed = F.transform("w", lambda x: F.struct(x["word"].alias("word"), (x["start_ms"] / 1000).alias("start"), (x["end_ms"] / 1000).alias("end")))
-    tag = F.when(F.col("segment_id") % 3 == 1, F.lit(" [Applause and noise] ")).otherwise(F.col("text"))
-    rows = segments.join(nested.hint("merge"), ["video_id", "segment_id"]).select("video_id", "segment_id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), tag.alias("text"), typed.alias("words"))
+    return segments.join(nested.hint("merge"), ["video_id", "segment_id"]).select("video_id", "segment_id", (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text", "speaker", typed.alias("words"))
+
+
+@query("a01_read_transcripts", "segments words", "select s.video_id, row_number() over (partition by s.video_id order by s.start_ms, s.segment_id) - 1 as segment_id, s.start_ms, s.end_ms, trim(s.text) as text, s.speaker, (select count(*) from words w where w.video_id = s.video_id and w.segment_id = s.segment_id) as n_words from segments s")
+def _(segments, words):
+    """Transcripts written as JSON documents, one a video, and read back."""
+    spark = segments.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/transcripts-{uuid.uuid4().hex}"
+    each = F.array_sort(F.collect_list(F.struct(F.col("segment_id").alias("id"), "start", "end", "text", "words", "speaker")))
+    _nested(segments, words).groupBy("video_id").agg(each.alias("segments")).select(F.to_json(F.struct("video_id", "segments")).alias("value")).write.text(folder)
+    back, spoken = A.read_transcripts(spark, folder, one_per_line=True)
+    n = spoken.groupBy("video_id", "segment_id").agg(F.count(F.lit(1)).alias("n_words"))
+    return back.join(n.hint("merge"), ["video_id", "segment_id"], "left").select("video_id", "segment_id", "start_ms", "end_ms", "text", "speaker", F.coalesce("n_words", F.lit(0)).alias("n_words"))
+
+
+@query("a04_write_artifact", "candidates", "select video_id, candidate_id, start_ms, end_ms, case when video_id % 2 = 1 then heuristic_score + 1 else heuristic_score end as heuristic_score from candidates")
+def _(candidates):
+    """Results written for each video, those of every other video written again, and all read back."""
+    folder = f"{shared_dir(candidates.sparkSession).rstrip('/')}/artifact-{uuid.uuid4().hex}"
+    rows = candidates.select("video_id", "candidate_id", "start_ms", "end_ms", "heuristic_score")
+    A.write_artifact(rows, folder)
+    A.write_artifact(rows.filter("video_id % 2 = 1").withColumn("heuristic_score", F.col("heuristic_score") + 1), folder)
+    return candidates.sparkSession.read.parquet(folder).select(F.col("video_id").cast("bigint").alias("video_id"), "candidate_id", "start_ms", "end_ms", "heuristic_score")
+
+
+@query("a02_filter_speech", "segments words", "select video_id, row_number() over (partition by video_id order by start_ms, segment_id) - 1 as segment_id, trim(text) as text, n as n_words from (select s.*, (select count(*) from words w where w.video_id = s.video_id and w.segment_id = s.segment_id) as n from segments s where s.segment_id % 3 <> 1) x")
+def _(segments, words):
+    rows = _nested(segments, words).withColumn("text", F.when(F.col("segment_id") % 3 == 1, F.lit(" [Applause and noise] ")).otherwise(F.col("text")))
     return A.filter_speech(rows).select("video_id", "segment_id", "text", F.size("words").alias("n_words"))
 
 
@@ -282,12 +309,15 @@ _LIKE = "case when len(o.t) = 0 or len(k.t) = 0 then 0 else len(list_intersect(o
 _BLEND = "least(1, greatest(0, 0.62 * quality_score + 0.38 * heuristic_score + case when recommended then 0.10 else 0 end - case when context_dependency = 'high' then 0.12 else 0 end - case when complete_thought then 0 else 0.10 end))::double"
 
 
-@query("f09_select_clips", "candidates evaluations", f"""with recursive b as (select c.video_id, c.candidate_id as id, c.start_ms as s, c.end_ms as e, {_BLEND} as score, {_TOK.format('text')} as t from candidates c join evaluations e on e.candidate_id = c.candidate_id),
+_CLIPS = f"""with recursive b as (select c.video_id, c.candidate_id as id, c.start_ms as s, c.end_ms as e, {_BLEND} as score, {_TOK.format('text')} as t from candidates c join evaluations e on e.candidate_id = c.candidate_id),
 n as (select *, row_number() over (partition by video_id order by score desc, id) as nth from b), low as (select video_id, count(*) filter (score < 0.42) as below_floor, count(*) filter (score >= 0.42) as above from n group by 1),
 o as (select *, row_number() over (partition by video_id order by nth) as r from n where score >= 0.42),
 f as (select video_id, r, [struct_pack(id := id, s := s, e := e, score := score, t := t, nth := nth)] as kept from o where r = 1 union all select o.video_id, o.r, case when len(list_filter(f.kept, lambda k: {_DUP} >= 0.35 or {_LIKE} >= 0.72 or ({_DUP} > 0.15 and {_LIKE} > 0.54))) > 0 then f.kept else list_append(f.kept, struct_pack(id := o.id, s := o.s, e := o.e, score := o.score, t := o.t, nth := o.nth)) end from f join o on o.video_id = f.video_id and o.r = f.r + 1),
-l as (select video_id, len(kept) as strong, unnest(kept[1:5]) as k from (select *, row_number() over (partition by video_id order by r desc) as last from f) x where last = 1)
-select l.video_id, k.id as candidate_id, row_number() over (partition by l.video_id order by k.s, k.nth) as index, k.s as start_ms, k.e as end_ms, round(k.score, 4) as score, strong, above - strong as duplicates, below_floor from l join low on low.video_id = l.video_id""")
+l as (select video_id, len(kept) as strong, unnest(kept[1:5]) as k from (select *, row_number() over (partition by video_id order by r desc) as last from f) x where last = 1),
+z as (select l.video_id, k.id as candidate_id, row_number() over (partition by l.video_id order by k.s, k.nth) as index, k.s as start_ms, k.e as end_ms, round(k.score, 4) as score, strong, above - strong as duplicates, below_floor from l join low on low.video_id = l.video_id)"""
+
+
+@query("f09_select_clips", "candidates evaluations", f"{_CLIPS} select * from z")
 def _(candidates, evaluations):
     return P.select_clips(candidates, evaluations, 5)
 
@@ -327,7 +357,14 @@ def _(candidates):
     return C.shortlist(candidates).select("video_id", "candidate_id", "rank")
 
 
-@query("f15_evaluation_requests", "candidates segments")
+_AROUND = "coalesce((select string_agg(trim(s.text), ' ' order by s.segment_id) from segments s where s.video_id = c.video_id and s.end_ms > {a} and s.start_ms < {b}), '')"
+_TENTHS = "concat(({0} + 50) // 1000, '.', ({0} + 50) // 100 % 10)"
+
+
+@query("f15_evaluation_requests", "candidates segments", f"""with c as (select * from (select *, row_number() over (partition by video_id order by heuristic_score desc, start_ms, end_ms, candidate_id) as rank from candidates) x where rank <= 32),
+n as (select c.*, right({_AROUND.format(a='greatest(0, c.start_ms - 25000)', b='c.start_ms')}, 600) as before, left({_AROUND.format(a='c.end_ms', b='c.end_ms + 25000')}, 600) as after from c),
+b as (select video_id, (rank - 1) // 6 as batch, rank, concat('id: ', candidate_id, chr(10), 'range: ', {_TENTHS.format('start_ms')}, '-', {_TENTHS.format('end_ms')}, 's', chr(10), 'before: ', right(before, 200), chr(10), 'opens: ', left(text, 110), chr(10), 'text: ', text, chr(10), 'after: ', left(after, 200)) as block from n)
+select video_id, batch, count(*) as n, string_agg(block, chr(10) || chr(10) order by rank) as prompt from b group by 1, 2""")
 def _(candidates, segments):
     windows = candidates.select("video_id", F.col("candidate_id").alias("window_id"), "start_ms", "end_ms")
     return P.evaluation_requests(C.shortlist(candidates), R.surrounding_context(windows, segments))
@@ -417,6 +454,11 @@ def _(segments):
     return W.render_hooks(ranked, ranked.filter("rank = 1").select("clip_id", W.best_hook(F.lit("x"), F.col("text")).alias("best_hook")))
 
 
+@query("e15_trim_to_words", "segments")
+def _(segments):
+    return segments.select("video_id", "segment_id", W.trim_to_words(F.array("text", F.concat_ws(" ", "speaker", "text")), F.lit("What now?"), 60).alias("paragraphs"))
+
+
 @query("e16_assemble_caption", "segments")
 def _(segments):
     caption = W.assemble_caption(headline=F.col("speaker"), paragraphs=F.array("text", "text"), question=F.lit("👇 What now?"), location=F.lit("Austin, Texas"), hashtags=F.split("text", " "))
@@ -443,7 +485,8 @@ def _(jobs):
     return M.job_durations(jobs.withColumn("finished_at", done))
 
 
-@query("d16_selection_report", "candidates evaluations")
+@query("d16_selection_report", "candidates evaluations", f"""{_CLIPS}, y as (select video_id, count(*) as selected, max(strong) as strong, max(duplicates) as duplicates, max(below_floor) as below_floor from z group by 1)
+select *, selected < 5 as fell_short, list_filter([case when strong < 5 then format('Only {{}} genuinely strong moment{{}} found, fewer than the 5 requested.', strong, case when strong = 1 then ' was' else 's were' end) end, case when duplicates > 0 then format('{{}} near-duplicate moment(s) were merged.', duplicates) end], lambda x: x is not null) as notes from y""")
 def _(candidates, evaluations):
     return P.selection_report(P.select_clips(candidates, evaluations, 5), 5)
 
@@ -477,7 +520,9 @@ def _(segments):
     return X.model_map(asked, _echo, retries=1).select("request_id", F.get_json_object("response", "$.words").cast("bigint").alias("words"), F.col("error").isNotNull().alias("failed"))
 
 
-@query("f23_summaries", "segments")
+@query("f23_summaries", "segments", f"""{_CHUNKS.replace('trim(text)) + 1 as n,', 'trim(text)) + 1 as n, ' + _NW + ' as words,').replace('select video_id, r, start_ms, 0 as chunk', 'select video_id, r, words, start_ms, 0 as chunk').replace('select s.video_id, s.r, s.start_ms', 'select s.video_id, s.r, s.words, s.start_ms')},
+w as (select video_id, chunk, min(chunk_start) as start_ms, sum(words) as n from c group by 1, 2), y as (select *, concat('{{"words": ', n, '}}') as said from w where n % 11 <> 0)
+select video_id, string_agg(concat('[', start_ms // 1000, 's] ', said), chr(10) order by chunk) as notes, left(string_agg(said, ' ' order by chunk), 1500) as fallback from y group by 1""")
 def _(segments):
     numbered = S.number_chunks(segments.select("video_id", "segment_id", "start_ms", "text"), 500)
     asked = written(X.summary_requests(numbered, "Summarise."), "requests")
@@ -491,6 +536,19 @@ def _(windows, segments):
     return X.describe_requests(clips, contexts, "Describe.").select("request_id", "prompt")
 
 
+@query("g01_segment_embedding", "segment_embeddings", "with u as (select video_id, segment_id // 8 as segment_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as k from segment_embeddings), s as (select video_id, segment_id, k, avg(v) as m, stddev_pop(v) as s, count(*) as n from u where k > 1 group by 1, 2, 3) select video_id, segment_id, case when max(n) >= 5 then 2 * count(*) end as size, case when max(n) >= 5 then round(sum(abs(m)) + sum(s), 6) end as total from s group by 1, 2")
+def _(embeddings):
+    frames = embeddings.select("video_id", F.floor(F.col("segment_id") / 8).alias("segment_id"), (F.col("segment_id") % 8).alias("frame_idx"), F.col("embedding").cast("array<double>").alias("coeffs"))
+    out = K.segment_embedding(frames)
+    return out.select("video_id", "segment_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("bigint").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("total"))
+
+
+@query("g03_choose_k", "segment_embeddings")
+def _(embeddings):
+    found = K.cluster_speakers(embeddings.select("video_id", "segment_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    return found.groupBy("video_id").agg(F.countDistinct("speaker").alias("k"))
+
+
 @query("g02_standardise", "segment_embeddings", "with u as (select video_id, segment_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as k from segment_embeddings), z as (select *, (v - avg(v) over w) / (stddev_pop(v) over w + 1e-6) as z from u window w as (partition by video_id, k)) select video_id, segment_id, round(sum(abs(z)), 6) as total from z group by 1, 2")
 def _(embeddings):
     out = K.standardise(embeddings.select("video_id", "segment_id", F.col("embedding").cast("array<double>").alias("embedding")))
@@ -511,3 +569,15 @@ def _(feedback):
 @query("s02_job_latest", "feedback", "select project_id as job_id, arg_max(event, struct_pack(a := ts, b := event_id)) as status, arg_max(value, struct_pack(a := ts, b := event_id)) as progress from feedback group by 1")
 def _(feedback):
     return feeds.job_latest(feedback.select(F.col("project_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event").alias("status"), F.col("value").alias("progress"))).drop("ts")
+
+
+@query("s03_segments_stream", "segments words", "select video_id, segment_id, start_ms, end_ms, trim(text) as text from segments")
+def _(segments, words):
+    """Segments that arrive as files, picked up by a stream that ends once all are read."""
+    spark = segments.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/arriving-{uuid.uuid4().hex}"
+    rows = _nested(segments, words)
+    rows.write.json(f"{folder}/in")
+    arrived = feeds.segments_stream(spark.readStream.schema(rows.schema).json(f"{folder}/in"))
+    arrived.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("video_id", "segment_id", A.ms(F.col("start")).alias("start_ms"), A.ms(F.col("end")).alias("end_ms"), "text")

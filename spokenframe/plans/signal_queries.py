@@ -120,6 +120,26 @@ def _(segments):
     return S.sample_middle(segments.select("video_id", F.col("segment_id").alias("chunk_idx")), 4, 2)
 
 
+@query("c13_loudness_frames", "frames", """with p as (select video_id, t_ms // 1000 as i, brightness - 0.5 as v, count(*) over (partition by video_id) as n from frames),
+k as (select video_id, unnest(range(0, greatest(1, (any_value(n) - 10) // 5 + 1))) as frame_idx from p group by 1)
+select k.video_id, k.frame_idx, round(20 * log10(greatest(sqrt(sum(v * v) / 10), 1e-7)), 6) as rms_db from k join p on p.video_id = k.video_id and p.i between 5 * k.frame_idx and 5 * k.frame_idx + 9 group by 1, 2""")
+def _(frames):
+    pcm = frames.select("video_id", F.floor(F.col("t_ms") / 1000).alias("sample_idx"), (F.col("brightness") - 0.5).alias("value"))
+    return G.loudness_frames(pcm, rate=100).withColumn("rms_db", F.round("rms_db", 6))
+
+
+@query("d11_subtitle_band", "frames", """with r as (select video_id, t_ms // 20000 as profile_idx, t_ms // 1000 % 20 as line, case when t_ms // 1000 % 20 >= 14 + video_id % 4 then caption_score * 4 else motion / 100 end as density from frames),
+e as (select video_id from r group by 1 having count(distinct profile_idx) >= 7), m as (select video_id, line, avg(density) as d from r where video_id in (select video_id from e) group by 1, 2),
+b as (select video_id, quantile_cont(d, 0.9) filter (line < 12) as base, max(d) filter (line >= 12) as peak, arg_max(line, struct_pack(d := d, l := -line)) filter (line >= 12) as at from m group by 1),
+o as (select m.video_id, m.line, lag(m.line) over (partition by m.video_id order by m.line desc) - m.line - 1 as hole from m join b on b.video_id = m.video_id where peak >= 0.018 and peak >= 1.6 * base and d >= greatest(1.2 * base, 0.25 * peak) and m.line <= b.at),
+c as (select *, sum(case when hole > 1.6 then 1 else 0 end) over (partition by video_id order by line desc) as cut from o)
+select video_id, round(least(greatest(min(line) / 20 - 0.015, 0.80), 0.97), 6) as band_top from c where cut = 0 group by 1""")
+def _(frames):
+    line = F.floor(F.col("t_ms") / 1000) % 20
+    rows = frames.select("video_id", F.floor(F.col("t_ms") / 20_000).alias("profile_idx"), line.alias("row"), F.lit(20).alias("n_rows"), F.when(line >= 14 + F.col("video_id") % 4, F.col("caption_score") * 4).otherwise(F.col("motion") / 100).alias("density"))
+    return G.subtitle_band(rows, least_profiles=7).withColumn("band_top", F.round("band_top", 6))
+
+
 _WAVE = "list_sum(list_transform(x, lambda v, i: v * {f}(2 * pi() * k * (i - 1) / len(x))))"
 
 

@@ -17,9 +17,9 @@ def ms(seconds: Column) -> Column:
     return F.round(seconds * 1000).cast("bigint")
 
 
-def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(segments, words) of JSON documents, one a video; times become whole milliseconds."""
-    docs = spark.read.schema(TRANSCRIPT).option("multiLine", True).json(path)
+def read_transcripts(spark: SparkSession, path: str, *, one_per_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(segments, words) of JSON documents, one a video, each a file or a line; times become whole milliseconds."""
+    docs = spark.read.schema(TRANSCRIPT).option("multiLine", not one_per_line).json(path)
     segments = docs.select("video_id", F.explode("segments").alias("s")).select("video_id", F.col("s.id").alias("segment_id"), "s.start", "s.end", "s.text", "s.words", "s.speaker")
     return split_words(filter_speech(segments))
 

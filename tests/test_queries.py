@@ -58,3 +58,34 @@ def test_layout_of_faces_at_the_edge(spark):
 def test_safe_names_of_whole_texts(spark):
     names = [x.name for x in e.queries()["e19_safe_name"](spark, SMALL).collect()]
     assert len(names) == view(spark, SMALL, "segments").count() and max(map(len, names)) == 120 + len(".mp4")
+
+
+def test_paragraphs_lose_their_last_sentences(spark):
+    """Every text of the sample, against the rule by hand: the last sentence of the longest paragraph goes while there are too many words."""
+    import re
+
+    sentences = lambda p: re.split(r"(?<=[.!?])\s+", p.strip(" "))
+    want = {}
+    for x in view(spark, SMALL, "segments").collect():
+        paragraphs = [x.text, f"{x.speaker} {x.text}"]
+        while sum(len(p.split()) for p in paragraphs) > 60 - 2:
+            k = max(range(2), key=lambda k: (len(paragraphs[k].split()), -k))
+            if len(sentences(paragraphs[k])) < 2:
+                break
+            paragraphs[k] = " ".join(sentences(paragraphs[k])[:-1])
+        want[x.video_id, x.segment_id] = paragraphs
+    got = {(x.video_id, x.segment_id): x.paragraphs for x in e.queries()["e15_trim_to_words"](spark, SMALL).collect()}
+    assert got == want and any(len(v[0]) < len(x) for v, x in zip(want.values(), [r.text for r in view(spark, SMALL, "segments").collect()]))
+
+
+def test_contexts_of_videos(spark):
+    from spokenframe.operators import models as X
+
+    notes = spark.createDataFrame([(1, "[0s] a", "a"), (2, "[0s] b", "b")], "video_id long, notes string, fallback string")
+    asked = X.context_requests(notes, "System.", voices=spark.createDataFrame([(1, 2)], "video_id long, n long")).orderBy("video_id").collect()
+    assert [x.prompt for x in asked] == ["2 distinct voices\n\n[0s] a", "[0s] b"]
+    body = '{"setting": " A  room ", "subject": "Speaker B talks", "summary": "s", "key_terms": [' + ", ".join(f'"t{k}"' for k in range(15)) + ', " "]}'
+    answers = spark.createDataFrame([("1", body, None), ("2", None, "timeout")], "request_id string, response string, error string")
+    got = X.video_contexts(notes, answers).orderBy("video_id").collect()
+    assert (got[0].setting, got[0].subject, len(got[0].key_terms)) == ("A room", "someone talks", 12)
+    assert (got[1].setting, got[1].summary, got[1].key_terms) == ("", "b", [])
