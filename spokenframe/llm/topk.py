@@ -3,7 +3,8 @@
 Vectors are whole numbers.  A block of vectors is stored as postings (row, value)
 in segments of one dimension and one quantised impact.  A query weighs a segment by its own
 component there: it takes the segments of a block by descending weight times impact and adds
-weight times value to the rows they hold.  What a row may still get is at most the smaller of two
+weight times value to the rows they hold.  Queries of a block advance together, turn by turn,
+each through its own segments.  What a row may still get is at most the smaller of two
 bounds: the sum over dimensions of weight times the highest impact not yet read, and the product of the
 norms of what is unread of the query and of the row.  Reading stops only when the bounds
 prove that few rows can still reach the best k; those are rescored exactly.
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 
 from .shared import parts, written
 
-LEVELS = 8
+LEVELS = 4
 BLOCK = 4096
 QUERY_BLOCK = 512
 #: Share of a block's rows that may be left for exact scoring.
 LEFT = 0.02
-#: The bounds are looked at after so large a share of the postings each time.
-CHECK = 1 / 12
+#: The bounds are looked at when such shares of a query's postings are read.
+TURNS = (0.5, 0.65, 0.75, 0.82, 0.9, 1.0)
 
 
 def _matrix(column: pa.ChunkedArray, scale: int) -> np.ndarray:
@@ -56,58 +57,61 @@ def index_block(x: np.ndarray, levels: int = LEVELS) -> dict[str, bytes | int]:
 
 
 class Block:
-    """A block's postings, ready for queries."""
+    """A block's postings, ready for queries: each level of impacts as a matrix (dimension, row) that is zero elsewhere."""
 
     def __init__(self, index: dict, levels: int = LEVELS):
         self.n, self.d, self.levels = index["n"], index["d"], levels
-        self.rows, self.vals = np.frombuffer(index["rows"], "<u2").astype(np.int64), np.frombuffer(index["vals"], "<f8")
-        self.ends, self.most = np.frombuffer(index["ends"], "<i8"), np.frombuffer(index["most"], "<f8").reshape(self.d, levels)
-        self.starts = np.concatenate([[0], self.ends[:-1]])
-        self.dim = np.repeat(np.arange(self.d * levels) // levels, self.ends - self.starts)
-        self.full = np.zeros((self.n, self.d))
-        self.full[self.rows, self.dim] = self.vals
-        self.square = (self.full * self.full).sum(1)
-
-    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
-        """(rows, exact scores) of all rows but `own` that may be among the best k, and the share of postings read.
-
-        floor: a score that k other rows are known to reach.
+        rows, vals = np.frombuffer(index["rows"], "<u2").astype(np.int64), np.frombuffer(index["vals"], "<f8")
+        ends = np.frombuffer(index["ends"], "<i8")
+        self.size = np.diff(ends, prepend=0)
+        self.most = np.frombuffer(index["most"], "<f8").reshape(self.d, levels)
+        segment = np.repeat(np.arange(self.d * levels), self.size)
+        self.level = np.zeros((levels, self.d, self.n))
+        self.level[segment % levels, segment // levels, rows] = vals
+        self.square = self.level * self.level
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each query (rows, exact scores) of all rows but its own that may be among its best k, and the share of its postings that it read.
+
+        own: (query, row) pairs that don't count.  Queries advance together, each through its own order of segments.
         """
-        q = np.pad(q, (0, max(0, self.d - len(q))))[: self.d]
-        weight = np.abs(q)
-        impact = (weight[:, None] * self.most).reshape(-1)
-        order = np.argsort(-impact, kind="stable")
-        order = order[impact[order] > 0]
-        size = (self.ends - self.starts)[order]
-        total = max(1, int(size.sum()))
-        # segments are taken in turns of about CHECK of the postings
-        turn = np.cumsum(size) // max(1, int(total * CHECK))
-        acc, left = np.zeros(self.n), self.square.copy()
-        unread = self.most.copy()
-        read, at = 0, 0
-        while True:
-            level_top = unread.max(1)
-            rest = min(float(weight @ level_top), np.inf)
-            open_q = float(np.sqrt(np.square(weight[level_top > 0]).sum()))
-            bound = np.minimum(rest, open_q * np.sqrt(np.maximum(left, 0))) * (1 + 1e-9) + (1e-6 if at < len(order) else 0.0)
-            low = acc - bound
-            low[own] = -np.inf
-            cut = max(floor, float(np.partition(low, -k)[-k]) if self.n >= k else -np.inf)
-            may = acc + bound >= cut
-            may[own] = False
-            found = np.flatnonzero(may)
-            if len(found) <= max(LEFT * self.n, k) or at == len(order):
-                return found, self.full[found] @ q, read / total
-            step = int(np.searchsorted(turn, turn[at], "right"))
-            some = order[at:step]
-            for s in some.tolist():
-                lo, hi = self.starts[s], self.ends[s]
-                rows, vals = self.rows[lo:hi], self.vals[lo:hi]
-                acc[rows] += q[s // self.levels] * vals
-                left[rows] -= vals * vals
-                read += hi - lo
-            unread.reshape(-1)[some] = 0
-            at = step
+        q = np.pad(q, ((0, 0), (0, max(0, self.d - q.shape[1]))))[:, : self.d]
+        m = len(q)
+        impact = (np.abs(q)[:, :, None] * self.most).reshape(m, -1)
+        order = np.argsort(-impact, axis=1, kind="stable")
+        size = np.where(np.take_along_axis(impact, order, 1) > 0, self.size[order], 0)
+        share = np.cumsum(size, 1) / np.maximum(1, size.sum(1, keepdims=True))
+        turn = np.empty_like(order)
+        np.put_along_axis(turn, order, np.minimum(np.searchsorted(np.array(TURNS), share - 1e-12, "left"), len(TURNS) - 1), 1)
+        turn = turn.reshape(m, self.d, self.levels)
+        acc, out, live = np.zeros((m, self.n)), [None] * m, np.arange(m)
+        mine = np.zeros((m, self.n), bool)
+        mine[own[:, 0], own[:, 1]] = True
+        for t in range(len(TURNS)):
+            some, asked = turn[live], q[live]
+            for v in range(self.levels):
+                acc += (asked * (some[:, :, v] == t)) @ self.level[v]
+            unread = (some > t) & (np.abs(asked)[:, :, None] * self.most > 0)
+            top = (unread * self.most).max(2)
+            rest = (np.abs(asked) * top).sum(1, keepdims=True)
+            open_q = np.sqrt((asked * asked * (top > 0)).sum(1, keepdims=True))
+            left = np.zeros_like(acc)
+            for v in range(self.levels):
+                if unread[:, :, v].any():
+                    left += unread[:, :, v].astype(float) @ self.square[v]
+            bound = np.minimum(rest, open_q * np.sqrt(left)) * (1 + 1e-9) + np.where(rest > 0, 1e-6, 0.0)
+            low = np.where(mine, -np.inf, acc - bound)
+            cut = np.partition(low, -k, axis=1)[:, -k] if self.n >= k else np.full(len(live), -np.inf)
+            may = (acc + bound >= cut[:, None]) & ~mine
+            done = (may.sum(1) <= max(LEFT * self.n, k)) | (t == len(TURNS) - 1)
+            for i in np.flatnonzero(done):
+                found = np.flatnonzero(may[i])
+                read = float((self.size.reshape(self.d, -1) * ~unread[i])[np.abs(asked[i]) > 0].sum() / max(1, int(size[live[i]].sum())))
+                out[live[i]] = (found, asked[i] @ self.level[:, :, found].sum(0), read)
+            live, acc, mine = live[~done], acc[~done], mine[~done]
+            if not len(live):
+                break
+        return out
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -170,9 +174,11 @@ def _scored(vectors: DataFrame, queries: DataFrame, k: int, scale: int) -> DataF
                     continue
                 if r["blk"] != at:
                     continue  # a block without vectors
-                out = []
-                for q_id, q in zip(np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["q"], "<f8").reshape(r["q_n"], r["q_d"]), strict=True):
-                    found, scores, read = block.search(q, ids == q_id, k)
+                out, asked = [], np.frombuffer(r["ids"], "<i8")
+                place = np.argsort(ids, kind="stable")
+                lo, hi = np.searchsorted(ids[place], asked, "left"), np.searchsorted(ids[place], asked, "right")
+                own = np.array([(j, i) for j in range(len(asked)) for i in place[lo[j] : hi[j]].tolist()], np.int64).reshape(-1, 2)
+                for q_id, (found, scores, read) in zip(asked.tolist(), block.search(np.frombuffer(r["q"], "<f8").reshape(r["q_n"], r["q_d"]), own, k), strict=True):
                     first = np.lexsort((ids[found], -scores))[:k]
                     out.append((np.full(len(first), q_id), ids[found][first], scores[first].astype(np.int64), np.full(len(first), read)))
                 if out:

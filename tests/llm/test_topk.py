@@ -30,8 +30,7 @@ def test_stops_early_on_proof():
     r = np.random.default_rng(5)
     x = np.floor(256 * r.normal(size=(2000, 16)) * np.where(r.random((2000, 16)) < 0.1, 1.0, 0.002))  # few components matter
     block = topk.Block(topk.index_block(x))
-    for k in range(20):
-        found, scores, read = block.search(x[k], np.arange(2000) == k, 5)
+    for k, (found, scores, read) in enumerate(block.search(x[:20], np.array([(k, k) for k in range(20)]), 5)):
         assert read < 1
         want = sorted((-float(x[k] @ x[c]), c) for c in range(2000) if c != k)[:5]
         assert sorted(zip((-scores).tolist(), found.tolist()))[:5] == want
