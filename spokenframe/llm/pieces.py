@@ -3,8 +3,9 @@
 A text falls into segments wherever two neighbouring characters stand together in
 no piece.  Distinct segments of equal length advance together: hashes of all their
 substrings probe the sorted keys of the pieces, vectorised maxima over the last piece
-fill a Viterbi table and store backpointers.  The best path is that of the highest sum of
-the file's scores; unknown characters become byte pieces where the model has them.
+fill a Viterbi table and store backpointers.  The best path has the highest sum of
+scores; for BPE files, whose scores only rank merges, the fewest pieces and then the highest
+sum.  Unknown characters become byte pieces where the model has them.
 
 The ids that the library gives for a BPE file follow the order of merges, which is no best
 path.  For such files they are to be had as well, from the same tables: vectorised
@@ -79,7 +80,9 @@ class Pieces:
         order = np.argsort(key)
         self.keys, self.ids = key[order], np.array(own, np.int64)[order]
         self.scores = np.array([scores[k] for k in own], np.float64)[order]
-        self.worst = float(self.scores.min(initial=0)) - 10  # of an unknown character
+        # a BPE file's scores are ranks of merges, not weights: the best path has the fewest pieces, then the best ranks
+        self.weights = self.scores / 1e12 - 1 if bpe else self.scores
+        self.worst = float(self.weights.min(initial=0)) - 10  # of an unknown character
         near = {(ord(a) << 21) | ord(b) for k in own for a, b in zip(pieces[k], pieces[k][1:], strict=False)}
         self.near = np.array(sorted(near), np.uint64)
         self.known = {pieces[k]: (scores[k], k) for k in own}
@@ -105,10 +108,10 @@ class Pieces:
         other |= {k: int(sp.id_to_piece(k)[3:5], 16) for k in range(n) if sp.is_byte(k)}
         return cls([sp.id_to_piece(k) for k in range(n)], [sp.get_score(k) for k in range(n)], bpe=dict(_fields(spec[2])).get(3, 1) == 2, unknown=sp.unk_id(), other=other, prefix=bool(norm.get(3, 1)), normalize=None if plain else sp.normalize)
 
-    def _table(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(score, id) of every substring of equal-length segments, [length - 1, segment, start]; -inf where no piece is."""
+    def _table(self, cp: np.ndarray, path: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(weight on a path, or score of a merge, and id) of every substring of equal-length segments, [length - 1, segment, start]; -inf where no piece is."""
         n, size = cp.shape
-        most = min(self.longest, size)
+        most, scores = min(self.longest, size), self.weights if path else self.scores
         score, ident = np.full((most, n, size), -np.inf), np.full((most, n, size), -1, np.int64)
         h = np.zeros((n, size), np.uint64)
         for m in range(1, most + 1):
@@ -116,7 +119,7 @@ class Pieces:
             key = mix(h + np.uint64(m))
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = self.keys[at] == key
-            score[m - 1, :, : size - m + 1] = np.where(ok, self.scores[at], -np.inf)
+            score[m - 1, :, : size - m + 1] = np.where(ok, scores[at], -np.inf)
             ident[m - 1, :, : size - m + 1] = np.where(ok, self.ids[at], -1)
         return score, ident
 
@@ -209,7 +212,7 @@ class Pieces:
             for lo in range(0, len(all_k), step):
                 some = all_k[lo : lo + step]
                 cp = np.frombuffer("".join(segments[k] for k in some).encode("utf-32-le"), "<u4").reshape(len(some), size)
-                score, ident = self._table(cp)
+                score, ident = self._table(cp, path)
                 width = self._best_path(score) if path else self._merged(score)
                 row, start = np.nonzero(width)
                 found = ident[width[row, start] - 1, row, start]

@@ -121,4 +121,4 @@ def test_op8_and_op9(spark, tables):
     _, got = rows_of(spark, "op8_sentencepiece", tables[0])
     assert len(got) == len(tables[1]) and all(x.same and x.merged_same and x.n_pieces <= x.n_merged for x in got.values())
     _, got = rows_of(spark, "op9_jaccard_join", tables[0])
-    assert {i: (x.class_id, x.n_links) for i, x in got.items()} == {i: (8, 1) if i in (8, 45) else (i, 0) for i in tables[1]}
+    assert {i: (x.class_id, x.n_links) for i, x in got.items()} == {i: (8, 1) if i in (8, 45) else (0 if i < 3 else i, 0) for i in tables[1]}  # texts without words are one class without links
