@@ -286,6 +286,8 @@ def train(docs: DataFrame, learn: Column | None = None, *, buckets: int | None =
         m.tokens += r["tokens"]
     if not m.size:
         return m
+    if m.size >= (1 << 32) - 1:
+        raise ValueError("more than 2**32 different words: their ids don't fit the pairs' keys")
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, got = Lookup(m), _Gather()
