@@ -122,3 +122,22 @@ def test_the_shared_folder(spark):
     with pytest.raises(ValueError):
         shared.shared_dir(session("spark://x:7077", None))
     assert shared.written(spark.range(3), "x").count() == 3
+
+
+def test_clusterings_like_merging_the_closest_pair(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(40, 3)) + 4 * (np.arange(40) % 3)[:, None]
+    groups = {k: [k] for k in range(40)}
+    cost = lambda a, b: ((x[a].mean(0) - x[b].mean(0)) ** 2).sum() * len(a) * len(b) / (len(a) + len(b))
+    labels = K.ward_labels(x, 6)
+    while len(groups) > 1:
+        i, j = min(((i, j) for i in groups for j in groups if i < j), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[i] += groups.pop(j)
+        if len(groups) <= 6:
+            assert {frozenset(np.flatnonzero(labels[len(groups)] == c)) for c in set(labels[len(groups)])} == {frozenset(g) for g in groups.values()}
+    label = labels[3]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    own = [[d[k][(label == c) & (np.arange(40) != k)].mean() for c in [label[k]]][0] for k in range(40)]
+    other = [min(d[k][label == c].mean() for c in set(label) - {label[k]}) for k in range(40)]
+    want = np.mean([(b - a) / max(a, b) for a, b in zip(own, other)])
+    assert abs(K.silhouette(x, label) - want) < 1e-9 and K.choose_k(x, labels) == 3
