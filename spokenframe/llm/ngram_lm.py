@@ -1,17 +1,24 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""An interpolated modified Kneser-Ney model of order 3, counted in Spark.
 
-Words are 64-bit hashes.  Every task counts its own words (then its pairs of
+Words are 64-bit hashes.  Every task counts its own words (then its triples of
 words) and hands sorted, compressed runs of (key, count) to buckets; the buckets
 merge them and store sorted arrays in the shared folder:
 
-    words-*   hash and count of each training word; its place is the word's id
-    pairs-*   id of the first word << 32 | id of the second
-    times-*   how often each pair occurs, capped at 255 (`over-*` has the larger ones)
-    stats-*   for each id: words that precede it; occurrences as a first word and
-              how many of its followers occur once, twice, more often
-
-Words lie in buckets by hash, pairs by the id of their first word; a first word
-that holds more than its share of all tokens is spread by its second word.
+    words-*      hash and count of each training word; its place is the word's id
+    contexts-*   id of a context's second word << 32 | id of its first
+    starts-*     where the context's thirds start
+    follow-*     its occurrences, and how many of its thirds occur once and twice
+    thirds-*     ids of the words that follow each context, in order
+    counts-*     how often each triple occurs
+    pairs-*      id of the first word << 32 | id of the second
+    times-*      different words before each pair; after a text's beginning, its occurrences
+    stats-*      for each id: words that precede it; the sum of `times` after it and
+                 how many of its followers have 1, 2 and more of them
+
+Small numbers are bytes, capped at 255; `over-*` has the larger ones.  Words lie
+in buckets by hash, triples and pairs by the id of their context's last word.  A
+word that holds more than its share of all tokens is spread: triples by their
+first word (after a text's beginning, by their third), pairs by their second.
 Workers map the files they meet into memory and score texts batch by batch with
 binary searches over sorted queries.
 """
@@ -20,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,8 +41,14 @@ from .words import flat, mix, word_hashes
 
 #: The end of a text; no word has this hash but by chance (one in 2**64).
 END = int(mix(np.array([0x5EED], np.uint64))[0])
+#: The beginning of a text, as a hash: the greatest, as its id is the greatest.
+BEGIN = np.uint64((1 << 64) - 1)
 #: Keys that a task gathers before it merges equal ones.
 GATHER = 1 << 22
+#: Tokens whose triples are counted at once, so that places among their words fit 21 bits.
+CHUNK = (1 << 21) - 3
+#: Training tokens for one bucket of triples.
+CELL = 1 << 22
 OPEN_FILES = 192
 
 WORD = np.dtype([("hash", "<u8"), ("count", "<u8")])
@@ -46,10 +59,38 @@ def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A sorted run, compressed: differences of the keys with their bytes laid out by place, then small counts."""
     step = np.diff(keys, prepend=np.uint64(0))
     small = next(t for t in ("u1", "u2", "u4", "u8") if not len(counts) or counts.max() <= np.iinfo(t).max)
-    data = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes() + counts.astype(small).tobytes()
+    data = _by_place(step) + counts.astype(small).tobytes()
     return len(keys).to_bytes(8, "little") + small.encode() + pa.compress(data, "zstd", asbytes=True)
 
 
+def _by_place(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+
+def _pack3(keys: np.ndarray, thirds: np.ndarray, counts: np.ndarray) -> bytes:
+    """A run of triples: a run of their contexts behind the thirds' bytes."""
+    data = pa.compress(_by_place(thirds), "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + data + _pack(keys, counts)
+
+
+def _unpack3(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int.from_bytes(run[:8], "little")
+    keys, counts = _unpack(run[8 + size :])
+    data = pa.decompress(run[8 : 8 + size], 4 * len(keys), "zstd", asbytes=True)
+    return keys, np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1), counts
+
+
+def _merge3(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = [_unpack3(r) for r in runs]
+    keys, thirds, counts = (np.concatenate([g[k] for g in got]) for k in range(3))
+    del got
+    order = np.lexsort((thirds, keys))
+    keys, thirds, counts = keys[order], thirds[order], counts[order]
+    at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (thirds[1:] != thirds[:-1])])
+    return keys[at], thirds[at], np.add.reduceat(counts, at)
+
+
 def _unpack(run: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, small = int.from_bytes(run[:8], "little"), run[8:10].decode()
     data = pa.decompress(run[10:], n * (8 + int(small[1])), "zstd", asbytes=True)
@@ -97,6 +138,14 @@ def _bucket(x: np.ndarray, whole: int, n: int) -> np.ndarray:
     return np.minimum(x.astype(np.int64) * n // max(1, whole), n - 1)
 
 
+def _put_small(folder: str, name: str, over: str, counts: np.ndarray) -> None:
+    """counts (n, or n x columns) as bytes, and the rows that a byte doesn't hold in a table of their own."""
+    _put(folder, name, np.minimum(counts, 255).astype("u1"))
+    wide = counts if counts.ndim > 1 else counts[:, None]
+    rows = np.flatnonzero((wide >= 255).any(1))
+    _put(folder, over, np.column_stack([rows, wide[rows]]).astype("<u8"))
+
+
 def _put(folder: str, name: str, data: np.ndarray) -> None:
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
@@ -142,17 +191,21 @@ class Model:
     words: list[str] = field(default_factory=list)  # file of each bucket
     base: list[int] = field(default_factory=list)  # id of each bucket's first word
     size: int = 0  # words known; also the id of a text's beginning
+    cells: int = 1  # buckets of triples, pairs and stats
+    triples: list[str] = field(default_factory=list)
     pairs: list[str] = field(default_factory=list)
+    spread: list[str] = field(default_factory=list)  # pairs whose first word is spread
     stats: list[str] = field(default_factory=list)
     d1: tuple[float, float, float] = (0.0, 0.0, 0.0)
     d2: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    d3: tuple[float, float, float] = (0.0, 0.0, 0.0)
     total: int = 0  # pairs of different words
     many: tuple[int, int, int] = (0, 0, 0)  # words with one, two, more words before them
 
     @property
     def hot(self) -> float:
-        """A first word with more occurrences than this is spread by its second word."""
-        return max(1.0, self.tokens / (8 * self.buckets))
+        """A word with more occurrences than this is spread by its neighbours."""
+        return max(1.0, self.tokens / (8 * self.cells))
 
 
 class Lookup:
@@ -181,36 +234,74 @@ class Lookup:
     def stats(self, ids: np.ndarray) -> np.ndarray:
         """STAT of each id; ids are sorted and known, or model.size for a text's beginning."""
         out = np.zeros(len(ids), STAT)
-        b = _bucket(ids, self.m.size + 1, self.m.buckets)
+        b = _bucket(ids, self.m.size + 1, self.m.cells)
         for lo, hi in _stretches(b):
             name = self.m.stats[b[lo]]
             if name:
-                out[lo:hi] = self.maps(name, STAT)[ids[lo:hi] - _first(int(b[lo]), self.m.size + 1, self.m.buckets)]
+                out[lo:hi] = self.maps(name, STAT)[ids[lo:hi] - _first(int(b[lo]), self.m.size + 1, self.m.cells)]
+        return out
+
+    def small(self, name: str, over: str, k: np.ndarray, columns: int = 1) -> np.ndarray:
+        """Rows k of an array of small numbers."""
+        out = self.maps(name, "u1").reshape(-1, columns)[k].astype(np.int64)
+        big = np.flatnonzero((out == 255).any(1))
+        if len(big):
+            more = self.maps(over, "<u8").reshape(-1, columns + 1)
+            out[big] = more[np.searchsorted(more[:, 0], k[big].astype(np.uint64)), 1:]
         return out
 
     def times(self, first: np.ndarray, second: np.ndarray, often: np.ndarray) -> np.ndarray:
-        """How often each pair occurs; often: which first words are spread."""
+        """How many words precede each pair; often: which first words are spread."""
         out = np.zeros(len(first), np.int64)
-        b = _bucket(np.where(often, second, first), self.m.size + 1, self.m.buckets)
+        b = _bucket(np.where(often, second, first), self.m.size + 1, self.m.cells) + often * self.m.cells
         key = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         order = np.lexsort((key, b))
         b, key = b[order], key[order]
+        names = self.m.pairs + self.m.spread
         for lo, hi in _stretches(b):
-            name = self.m.pairs[b[lo]]
-            if not name:
-                continue
-            have, times = self.maps(f"pairs-{name}", "<u8"), self.maps(f"times-{name}", "u1")
+            name = names[b[lo]]
+            have = self.maps(f"pairs-{name}", "<u8") if name else ()
             if not len(have):
                 continue
             k = np.minimum(np.searchsorted(have, key[lo:hi]), len(have) - 1)
-            n = np.where(have[k] == key[lo:hi], times[k], 0).astype(np.int64)
-            if (n == 255).any():
-                over = self.maps(f"over-{name}", "<u8").reshape(2, -1)
-                big = np.flatnonzero(n == 255)
-                n[big] = over[1][np.searchsorted(over[0], k[big].astype(np.uint64))]
-            out[order[lo:hi]] = n
+            out[order[lo:hi]] = np.where(have[k] == key[lo:hi], self.small(f"times-{name}", f"over-times-{name}", k)[:, 0], 0)
         return out
 
+    def triples(self, first: np.ndarray, second: np.ndarray, third: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how often each triple occurs, what follows its context); often: which second words are spread.
+
+        What follows: occurrences, and thirds that occur once, twice and more often.
+        """
+        out, follow = np.zeros(len(first), np.int64), np.zeros((len(first), 4), np.int64)
+        b = _bucket(np.where(often, first, second), self.m.size + 1, self.m.cells)
+        key = (second.astype(np.uint64) << np.uint64(32)) | first.astype(np.uint64)
+        order = np.lexsort((key, b))
+        b, key = b[order], key[order]
+        for lo, hi in _stretches(b):
+            name = self.m.triples[b[lo]]
+            have = self.maps(f"contexts-{name}", "<u8") if name else ()
+            if not len(have):
+                continue
+            k = np.minimum(np.searchsorted(have, key[lo:hi]), len(have) - 1)
+            ok = have[k] == key[lo:hi]
+            k, to = k[ok], order[lo:hi][ok]
+            starts = self.maps(f"starts-{name}", "<u4")
+            at, end = starts[k].astype(np.int64), starts[k + 1].astype(np.int64)
+            f = self.small(f"follow-{name}", f"over-follow-{name}", k, 3)
+            follow[to] = np.column_stack([f, end - at - f[:, 1] - f[:, 2]])
+            thirds = self.maps(f"thirds-{name}", "<u4")
+            want, last = third[to], end.copy()
+            left = np.flatnonzero(at < end)
+            while len(left):
+                mid = (at[left] + last[left]) // 2
+                less = thirds[mid] < want[left]
+                at[left[less]], last[left[~less]] = mid[less] + 1, mid[~less]
+                left = left[at[left] < last[left]]
+            here = np.flatnonzero(at < end)
+            here = here[thirds[at[here]] == want[here]]
+            out[to[here]] = self.small(f"counts-{name}", f"over-counts-{name}", at[here])[:, 0]
+        return out, follow
+
 
 def _stretches(b: np.ndarray) -> list[tuple[int, int]]:
     """The ranges of equal neighbours."""
@@ -253,12 +344,58 @@ def _emit(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array([_pack(keys[a:b], counts[a:b]) for a, b in zip(at, end, strict=True)], pa.binary())], ["bucket", "run"])
 
 
+def _emit3(keys: np.ndarray, thirds: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    keys, thirds, counts, bucket = keys[order], thirds[order], counts[order], bucket[order]
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    end = np.r_[at[1:], len(keys)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array([_pack3(keys[a:b], thirds[a:b], counts[a:b]) for a, b in zip(at, end, strict=True)], pa.binary())], ["bucket", "run"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, which of them start a text) of batches, joined to about half a CHUNK at least."""
+    parts, size = [], 0
+    for b in batches:
+        h, w = _tokens(b.column(0))
+        starts = np.zeros(len(h), bool)
+        starts[w[:-1]] = True
+        parts.append((h, starts))
+        size += len(h)
+        if size > CHUNK // 2:
+            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            parts, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _counted(h: np.ndarray, starts: np.ndarray, skip: int, look: Lookup) -> pa.RecordBatch:
+    """Runs of the triples that end at the tokens after the first `skip`."""
+    m = look.m
+    known, c = np.unique(np.append(h, BEGIN), return_inverse=True)
+    begin, c = len(known) - 1, c[:-1].astype(np.uint64)
+    b, a = np.empty_like(c), np.empty_like(c)
+    b[0] = a[0] = begin
+    b[1:] = c[:-1]
+    b[starts] = begin
+    a[1:] = b[:-1]
+    a[starts] = begin
+    bits = np.uint64(21)
+    key, counts = np.unique((((b << bits) | a) << bits | c)[skip:], return_counts=True)
+    mask = np.uint64((1 << 21) - 1)
+    b, a, c = ((key >> (bits + bits)).astype(np.int64), ((key >> bits) & mask).astype(np.int64), (key & mask).astype(np.int64))
+    ids, often = look.ids(known[:-1])
+    ids, often = np.append(ids, m.size), np.append(often > m.hot, True)
+    cell = _bucket(np.where(often[b], np.where(b == begin, ids[c], ids[a]), ids[b]), m.size + 1, m.cells)
+    keys = (ids[b].astype(np.uint64) << np.uint64(32)) | ids[a].astype(np.uint64)
+    return _emit3(keys, ids[c].astype("<u4"), counts.astype(np.uint64), cell)
+
+
 def train(docs: DataFrame, learn: Column | None = None, *, buckets: int | None = None) -> Model:
     """Count docs (where learn holds) and store the model in the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
     m = Model(new_path(spark, "lm"), buckets or max(16, parts(spark)))
-    n, folder = m.buckets, m.folder
+    n, folder, low = m.buckets, m.folder, np.uint64(0xFFFFFFFF)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _Gather()
@@ -289,56 +426,87 @@ def train(docs: DataFrame, learn: Column | None = None, *, buckets: int | None =
     if m.size >= (1 << 32) - 1:
         raise ValueError("more than 2**32 different words: their ids don't fit the pairs' keys")
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, got = Lookup(m), _Gather()
-        for b in batches:
-            h, w = _tokens(b.column(0))
-            known, back = np.unique(h, return_inverse=True)
-            second = look.ids(known)[0][back].astype(np.uint64)
-            first = np.empty_like(second)
-            first[1:] = second[:-1]
-            first[w[:-1]] = m.size
-            got.add((first << np.uint64(32)) | second)
-        got.merge()
-        if len(got.keys):
-            first, second = (got.keys >> np.uint64(32)).astype(np.int64), (got.keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            # a text's beginning is spread at all times; its count is not among the words
-            edge = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-            often = np.repeat(_often(look, first[edge]), np.diff(np.r_[edge, len(first)]))
-            yield _emit(got.keys, got.counts, _bucket(np.where(often, second, first), m.size + 1, n))
+    m.cells = cells = max(n, -(-m.tokens // CELL))
 
-    def merge_pairs(t: pa.Table) -> pa.Table:
-        keys, counts = _merge(t.column("run").to_pylist())
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(m)
+        for h, starts in _gathered(batches):
+            for at in range(0, len(h), CHUNK):
+                lo = max(0, at - 2)
+                yield _counted(h[lo : at + CHUNK], starts[lo : at + CHUNK], at - lo, look)
+
+    def row(bucket: int, kind: str, run: bytes = b"", name: str = "", of: Iterable[int] = ()) -> dict:
+        return {"bucket": bucket, "kind": kind, "run": run, "name": name, "of": list(of)}
+
+    def dealt(kind: str, keys: np.ndarray, counts: np.ndarray, by: np.ndarray) -> list[dict]:
+        """A run of keys for each bucket that holds some of the ids `by`."""
+        if not len(keys):
+            return []
+        return [row(r["bucket"], kind, r["run"]) for r in _emit(keys, counts.astype(np.uint64), _bucket(by, m.size + 1, cells)).to_pylist()]
+
+    def store_pairs(bucket: int, kind: str, keys: np.ndarray, counts: np.ndarray) -> list[dict]:
+        """Store pairs; their part of the words' statistics."""
+        if not len(keys):
+            return []
         name = uuid.uuid4().hex
         _put(folder, f"pairs-{name}", keys.astype("<u8"))
-        _put(folder, f"times-{name}", np.minimum(counts, 255).astype("u1"))
-        over = np.flatnonzero(counts >= 255).astype(np.uint64)
-        _put(folder, f"over-{name}", np.stack([over, counts[over.astype(np.int64)]]).astype("<u8"))
-        first, second = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        out = []
+        _put_small(folder, f"times-{name}", f"over-times-{name}", counts)
+        first, second = keys >> np.uint64(32), keys & low
         at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-        sums = [np.add.reduceat(x.astype(np.uint64), at) for x in (counts, counts == 1, counts == 2, counts > 2)]
         ids = first[at]
-        for kind, k, c in [("total", ids, sums[0]), ("n1", ids, sums[1]), ("n2", ids, sums[2]), ("n3", ids, sums[3]), ("before", *np.unique(second, return_counts=True))]:
+        sums = [np.add.reduceat(x.astype(np.uint64), at) for x in (counts, counts == 1, counts == 2, counts > 2)]
+        out = [row(bucket, kind, name=name, of=[int((counts == k).sum()) for k in (1, 2, 3, 4)])]
+        for k, of, c in [("total", ids, sums[0]), ("n1", ids, sums[1]), ("n2", ids, sums[2]), ("n3", ids, sums[3]), ("before", *np.unique(second, return_counts=True))]:
             some = np.flatnonzero(c)
-            if len(some):
-                e = _emit(k[some], c[some].astype(np.uint64), _bucket(k[some], m.size + 1, n))
-                out += [{"bucket": r["bucket"], "kind": kind, "run": r["run"], "name": "", "of": []} for r in e.to_pylist()]
-        out.append({"bucket": t.column("bucket")[0].as_py(), "kind": "file", "run": b"", "name": name, "of": of})
-        return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("run", pa.binary()), ("name", pa.string()), ("of", pa.list_(pa.int64()))]))
-
-    runs = rows.mapInArrow(count_pairs, "bucket bigint, run binary")
-    made = written(runs.groupBy("bucket").applyInArrow(merge_pairs, "bucket bigint, kind string, run binary, name string, of array<bigint>"), "lm-pairs")
-    m.pairs, of = [""] * n, np.zeros(4, np.int64)
-    for r in made.filter("kind = 'file'").select("bucket", "name", "of").collect():  # a row for each bucket
-        m.pairs[r["bucket"]] = r["name"]
-        of += r["of"]
-    m.d2 = discounts(of.tolist())
+            out += dealt(k, of[some], c[some], of[some])
+        return out
+
+    def merge_triples(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        keys, thirds, counts = _merge3(t.column("run").to_pylist())
+        middle = keys >> np.uint64(32)
+        edge = np.flatnonzero(np.r_[True, middle[1:] != middle[:-1]])
+        often = np.repeat(_often(Lookup(m), middle[edge].astype(np.int64)), np.diff(np.r_[edge, len(keys)]))
+        begins = middle == m.size
+        pairs = (middle << np.uint64(32)) | thirds
+        # after a text's beginning pairs count by occurrence, as no word can precede it
+        out = dealt("spread", pairs[begins], counts[begins], thirds[begins])
+        k, c = np.unique(pairs[often & ~begins], return_counts=True)
+        out += dealt("spread", k, c, k & low)
+        k, c = np.unique(pairs[~often], return_counts=True)
+        out += store_pairs(bucket, "pairs", k, c.astype(np.uint64))
+        keys, thirds, counts = keys[~begins], thirds[~begins], counts[~begins]
+        if len(keys):
+            name = uuid.uuid4().hex
+            at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            _put(folder, f"contexts-{name}", keys[at].astype("<u8"))
+            _put(folder, f"starts-{name}", np.append(at, len(keys)).astype("<u4"))
+            _put_small(folder, f"follow-{name}", f"over-follow-{name}", np.column_stack([np.add.reduceat(x.astype(np.uint64), at) for x in (counts, counts == 1, counts == 2)]))
+            _put(folder, f"thirds-{name}", thirds.astype("<u4"))
+            _put_small(folder, f"counts-{name}", f"over-counts-{name}", counts)
+            out.append(row(bucket, "triples", name=name, of=[int((counts == k).sum()) for k in (1, 2, 3, 4)]))
+        return pa.Table.from_pylist(out, rows_type)
+
+    def merge_spread(t: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(store_pairs(t.column("bucket")[0].as_py(), "spread pairs", *_merge(t.column("run").to_pylist())), rows_type)
+
+    rows_type = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("run", pa.binary()), ("name", pa.string()), ("of", pa.list_(pa.int64()))])
+    schema = "bucket bigint, kind string, run binary, name string, of array<bigint>"
+    runs = rows.mapInArrow(count_triples, "bucket bigint, run binary")
+    made = written(runs.groupBy("bucket").applyInArrow(merge_triples, schema), "lm-triples")
+    spread = written(made.filter("kind = 'spread'").select("bucket", "run").groupBy("bucket").applyInArrow(merge_spread, schema), "lm-pairs")
+    made = made.filter("kind <> 'spread'").union(spread)
+    names = {"triples": [""] * cells, "pairs": [""] * cells, "spread pairs": [""] * cells}
+    of = {kind: np.zeros(4, np.int64) for kind in names}
+    for r in made.filter(F.col("kind").isin(*names)).select("bucket", "kind", "name", "of").collect():  # three rows for each bucket
+        names[r["kind"]][r["bucket"]] = r["name"]
+        of[r["kind"]] += r["of"]
+    m.triples, m.pairs, m.spread = names.values()
+    m.d2, m.d3 = discounts((of["pairs"] + of["spread pairs"]).tolist()), discounts(of["triples"].tolist())
 
     def merge_stats(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        lo, hi = _first(bucket, m.size + 1, n), _first(bucket + 1, m.size + 1, n)
+        lo, hi = _first(bucket, m.size + 1, cells), _first(bucket + 1, m.size + 1, cells)
         out = np.zeros(hi - lo, STAT)
         kinds = np.array(t.column("kind").to_pylist())
         data = t.column("run").to_pylist()
@@ -352,8 +520,8 @@ def train(docs: DataFrame, learn: Column | None = None, *, buckets: int | None =
         b = out["before"]
         return pa.table({"bucket": [bucket], "name": [name], "total": [int(b.sum(dtype=np.int64))], "of": pa.array([[int((b == k).sum()) for k in (1, 2, 3, 4)] + [int((b > 2).sum())]], pa.list_(pa.int64()))})
 
-    made = written(made.filter("kind <> 'file'").select("bucket", "kind", "run").groupBy("bucket").applyInArrow(merge_stats, "bucket bigint, name string, total bigint, of array<bigint>"), "lm-stats")
-    m.stats, of = [""] * n, np.zeros(5, np.int64)
+    made = written(made.filter(F.col("kind").isin(*STAT.names)).select("bucket", "kind", "run").groupBy("bucket").applyInArrow(merge_stats, "bucket bigint, name string, total bigint, of array<bigint>"), "lm-stats")
+    m.stats, of = [""] * cells, np.zeros(5, np.int64)
     for r in made.collect():  # a row for each bucket
         m.stats[r["bucket"]] = r["name"]
         m.total += r["total"]
@@ -363,7 +531,7 @@ def train(docs: DataFrame, learn: Column | None = None, *, buckets: int | None =
 
 
 def _often(look: Lookup, first: np.ndarray) -> np.ndarray:
-    """Which ids are spread by their second word; the beginning of a text always is."""
+    """Which ids are spread by their neighbours; the beginning of a text always is."""
     counts = np.zeros(len(first), np.int64)
     b = np.searchsorted(look.m.base, first, "right") - 1
     for k in np.unique(b):
@@ -416,6 +584,16 @@ def token_scores(look: Lookup, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
         k = known[k]
         c2[known] = look.times(first[k], second[k], often[k])[again]
     p = np.maximum(c2 - _discount(c2, m.d2), 0) / np.maximum(1, t) + g * p1[back]
+    before = np.full_like(first, -1)  # -1 where a text begins, too: its first word has no further context
+    before[1:] = first[:-1]
+    before[w[:-1]] = -1
+    known = np.flatnonzero((before >= 0) & (first >= 0)) if m.size else np.empty(0, np.int64)
+    if len(known):
+        # unknown thirds have the id -1, which no file holds
+        c3, follow = look.triples(before[known], first[known], second[known], often[known])
+        seen = follow[:, 0] > 0
+        c3, follow, at = c3[seen], follow[seen], known[seen]
+        p[at] = (np.maximum(c3 - _discount(c3, m.d3), 0) + follow[:, 1:] @ np.array(m.d3) * p[at]) / follow[:, 0]
     return np.log10(p), counts[back]
 
 

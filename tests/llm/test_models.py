@@ -13,7 +13,10 @@ from spokenframe.llm import langid, ngram_lm, shared, toxicity
 from .conftest import words
 
 
-def test_kneser_ney_like_brute_force(spark):
+@pytest.mark.parametrize(("chunk", "cell"), [(ngram_lm.CHUNK, ngram_lm.CELL), (50, 100)])  # whole; in pieces, most words spread
+def test_kneser_ney_like_brute_force(spark, monkeypatch, chunk, cell):
+    monkeypatch.setattr(ngram_lm, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_lm, "CELL", cell)
     rows = [(k, words(k, 40, 30)) for k in range(60)] + [(100, None), (101, "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     model = ngram_lm.train(docs, shared.id_crc(F.col("doc_id")) % 10 != 0, buckets=5)
@@ -21,14 +24,15 @@ def test_kneser_ney_like_brute_force(spark):
     texts = {i: [*re.findall("[^ ]+", t or ""), "</s>"] for i, t in rows}
     train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 != 0]
     c1 = Counter(w for t in train for w in t)
-    c2 = Counter(p for t in train for p in zip(["<s>", *t], t))
+    c3 = Counter(p for t in train for p in zip(["<s>", *t], t, t[1:]))
+    c2 = Counter((b, c) for _, b, c in c3) + Counter(("<s>", t[0]) for t in train)
     before = Counter(b for _, b in c2)
     after = defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), c in c2.items():
-        after[a][0] += c
-        after[a][min(c, 3)] += 1
+    for (*a, _), c in [*c2.items(), *c3.items()]:
+        after[tuple(a)][0] += c
+        after[tuple(a)][min(c, 3)] += 1
     of = lambda c: [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
-    d1, d2 = ngram_lm.discounts(of(before)), ngram_lm.discounts(of(c2))
+    d1, d2, d3 = (ngram_lm.discounts(of(c)) for c in (before, c2, c3))
     cut = lambda c, d: d[min(c, 3) - 1] if c else 0
     total, n = sum(before.values()), sum(c1.values())
     rest = sum(cut(c, d1) for c in before.values()) / total
@@ -37,17 +41,24 @@ def test_kneser_ney_like_brute_force(spark):
         return max(before[w] - cut(before[w], d1), 0) / total + rest / (len(c1) + 1)
 
     def p2(a, b):
-        if a not in after:
+        if (a,) not in after:
             return p1(b)
-        s = after[a]
+        s = after[a,]
         return max(c2[a, b] - cut(c2[a, b], d2), 0) / s[0] + sum(x * y for x, y in zip(d2, s[1:])) / s[0] * p1(b)
 
+    def p3(a, b, c):
+        if (a, b) not in after:
+            return p2(b, c)
+        s = after[a, b]
+        return (max(c3[a, b, c] - cut(c3[a, b, c], d3), 0) + sum(x * y for x, y in zip(d3, s[1:])) * p2(b, c)) / s[0]
+
     for i, t in texts.items():
         x = got[i]
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(t), sum(w in c1 for w in t), n)
-        assert x.score == pytest.approx(sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *t], t)))
+        assert x.score == pytest.approx(math.log10(p2("<s>", t[0])) + sum(math.log10(p3(*x)) for x in zip(["<s>", *t], t, t[1:])))
         assert x.base_score == pytest.approx(sum(math.log10((c1[w] + 0.1) / (n + 0.1 * (len(c1) + 1))) for w in t))
-    assert sum(p2("w3", w) for w in c1) + p2("w3", "never") == pytest.approx(1)
+    a, b, _ = max(c3, key=c3.get)
+    assert sum(p3(a, b, w) for w in c1) + p3(a, b, "never") == pytest.approx(1)
 
 
 def test_scores_of_odd_rows(odd_docs, no_docs):
