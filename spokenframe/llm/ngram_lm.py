@@ -5,16 +5,17 @@ words) and hands sorted, compressed runs of (key, count) to buckets; the buckets
 merge them and store sorted arrays in the shared folder:
 
     words-*      hash and count of each training word; its place is the word's id
-    contexts-*   id of a context's second word << 32 | id of its first
-    starts-*     where the context's thirds start
+    contexts-*   ids of the contexts' first words, under their second words
+    starts-*     where each context's thirds start
     follow-*     its occurrences, and how many of its thirds occur once and twice
     thirds-*     ids of the words that follow each context, in order
     counts-*     how often each triple occurs
-    pairs-*      id of the first word << 32 | id of the second
+    pairs-*      ids of the second words, under their first words
     times-*      different words before each pair; after a text's beginning, its occurrences
     stats-*      for each id: words that precede it; the sum of `times` after it and
                  how many of its followers have 1, 2 and more of them
 
+`heads-*` has the ids of those upper words and where each one's rows start.
 Small numbers are bytes, capped at 255; `over-*` has the larger ones.  Words lie
 in buckets by hash, triples and pairs by the id of their context's last word.  A
 word that holds more than its share of all tokens is spread: triples by their
@@ -146,6 +147,30 @@ def _put_small(folder: str, name: str, over: str, counts: np.ndarray) -> None:
     _put(folder, over, np.column_stack([rows, wide[rows]]).astype("<u8"))
 
 
+def _put_under(folder: str, name: str, keys: np.ndarray) -> None:
+    """Sorted keys as the lower half of each, and for each upper half that occurs the place of its first."""
+    upper = keys >> np.uint64(32)
+    at = np.flatnonzero(np.r_[True, upper[1:] != upper[:-1]])
+    _put(folder, f"heads-{name}", np.stack([np.append(upper[at], 0), np.append(at, len(keys))]).astype("<u4"))
+    _put(folder, name, (keys & np.uint64(0xFFFFFFFF)).astype("<u4"))
+
+
+def _find(values: np.ndarray, at: np.ndarray, end: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in values[at:end], which ascend; -1 where it isn't there."""
+    at, last = at.copy(), end.copy()
+    left = np.flatnonzero(at < end)
+    while len(left):
+        mid = (at[left] + last[left]) // 2
+        less = values[mid] < want[left]
+        at[left[less]], last[left[~less]] = mid[less] + 1, mid[~less]
+        left = left[at[left] < last[left]]
+    here = np.flatnonzero(at < end)
+    here = here[values[at[here]] == want[here]]
+    out = np.full(len(at), -1, np.int64)
+    out[here] = at[here]
+    return out
+
+
 def _put(folder: str, name: str, data: np.ndarray) -> None:
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
@@ -250,21 +275,28 @@ class Lookup:
             out[big] = more[np.searchsorted(more[:, 0], k[big].astype(np.uint64)), 1:]
         return out
 
+    def under(self, name: str, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """The place of each pair of ids in an array of lower ids under upper ones, or -1."""
+        ids, starts = self.maps(f"heads-{name}", "<u4").reshape(2, -1)
+        k = np.minimum(np.searchsorted(ids[:-1], upper.astype(np.uint32)), len(ids) - 2)
+        at, end = starts[k].astype(np.int64), starts[k + 1].astype(np.int64)
+        return _find(self.maps(name, "<u4"), at, np.where(ids[k] == upper, end, at), lower)
+
     def times(self, first: np.ndarray, second: np.ndarray, often: np.ndarray) -> np.ndarray:
         """How many words precede each pair; often: which first words are spread."""
         out = np.zeros(len(first), np.int64)
         b = _bucket(np.where(often, second, first), self.m.size + 1, self.m.cells) + often * self.m.cells
         key = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         order = np.lexsort((key, b))
-        b, key = b[order], key[order]
+        b = b[order]
         names = self.m.pairs + self.m.spread
         for lo, hi in _stretches(b):
             name = names[b[lo]]
-            have = self.maps(f"pairs-{name}", "<u8") if name else ()
-            if not len(have):
-                continue
-            k = np.minimum(np.searchsorted(have, key[lo:hi]), len(have) - 1)
-            out[order[lo:hi]] = np.where(have[k] == key[lo:hi], self.small(f"times-{name}", f"over-times-{name}", k)[:, 0], 0)
+            if name:
+                to = order[lo:hi]
+                k = self.under(f"pairs-{name}", first[to], second[to])
+                to, k = to[k >= 0], k[k >= 0]
+                out[to] = self.small(f"times-{name}", f"over-times-{name}", k)[:, 0]
         return out
 
     def triples(self, first: np.ndarray, second: np.ndarray, third: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,30 +308,20 @@ class Lookup:
         b = _bucket(np.where(often, first, second), self.m.size + 1, self.m.cells)
         key = (second.astype(np.uint64) << np.uint64(32)) | first.astype(np.uint64)
         order = np.lexsort((key, b))
-        b, key = b[order], key[order]
+        b = b[order]
         for lo, hi in _stretches(b):
             name = self.m.triples[b[lo]]
-            have = self.maps(f"contexts-{name}", "<u8") if name else ()
-            if not len(have):
+            if not name:
                 continue
-            k = np.minimum(np.searchsorted(have, key[lo:hi]), len(have) - 1)
-            ok = have[k] == key[lo:hi]
-            k, to = k[ok], order[lo:hi][ok]
+            to = order[lo:hi]
+            k = self.under(f"contexts-{name}", second[to], first[to])
+            to, k = to[k >= 0], k[k >= 0]
             starts = self.maps(f"starts-{name}", "<u4")
             at, end = starts[k].astype(np.int64), starts[k + 1].astype(np.int64)
             f = self.small(f"follow-{name}", f"over-follow-{name}", k, 3)
             follow[to] = np.column_stack([f, end - at - f[:, 1] - f[:, 2]])
-            thirds = self.maps(f"thirds-{name}", "<u4")
-            want, last = third[to], end.copy()
-            left = np.flatnonzero(at < end)
-            while len(left):
-                mid = (at[left] + last[left]) // 2
-                less = thirds[mid] < want[left]
-                at[left[less]], last[left[~less]] = mid[less] + 1, mid[~less]
-                left = left[at[left] < last[left]]
-            here = np.flatnonzero(at < end)
-            here = here[thirds[at[here]] == want[here]]
-            out[to[here]] = self.small(f"counts-{name}", f"over-counts-{name}", at[here])[:, 0]
+            k = _find(self.maps(f"thirds-{name}", "<u4"), at, end, third[to])
+            out[to[k >= 0]] = self.small(f"counts-{name}", f"over-counts-{name}", k[k >= 0])[:, 0]
         return out, follow
 
 
@@ -449,7 +471,7 @@ def train(docs: DataFrame, learn: Column | None = None, *, buckets: int | None =
         if not len(keys):
             return []
         name = uuid.uuid4().hex
-        _put(folder, f"pairs-{name}", keys.astype("<u8"))
+        _put_under(folder, f"pairs-{name}", keys)
         _put_small(folder, f"times-{name}", f"over-times-{name}", counts)
         first, second = keys >> np.uint64(32), keys & low
         at = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
@@ -479,7 +501,7 @@ def train(docs: DataFrame, learn: Column | None = None, *, buckets: int | None =
         if len(keys):
             name = uuid.uuid4().hex
             at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            _put(folder, f"contexts-{name}", keys[at].astype("<u8"))
+            _put_under(folder, f"contexts-{name}", keys[at])
             _put(folder, f"starts-{name}", np.append(at, len(keys)).astype("<u4"))
             _put_small(folder, f"follow-{name}", f"over-follow-{name}", np.column_stack([np.add.reduceat(x.astype(np.uint64), at) for x in (counts, counts == 1, counts == 2)]))
             _put(folder, f"thirds-{name}", thirds.astype("<u4"))
