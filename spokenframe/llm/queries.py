@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_lm, shared
+from . import curation_queries, ngram_lm, shared
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .pii import BASE_KINDS, joined, pii_spans
@@ -87,3 +87,5 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_pii": op1_pii, "op2_token_files": op2_token_files, "op3_lm_score": op3_lm_score, "op4_language_id": op4_language_id, "op5_exact_topk": op5_exact_topk, "op6_best_fit_packing": op6_best_fit_packing, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
 SQL = {"op5_exact_topk": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+QUERIES |= curation_queries.QUERIES
+SQL |= curation_queries.SQL
