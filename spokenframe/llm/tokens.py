@@ -23,6 +23,9 @@ _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 _WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
 _SPACE = re.compile(r"\s")
+#: The normaliser and the split for which a text's ids are known to follow from those of its chunks; files with others are encoded whole.
+_BARE_NORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_BARE_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 def tokenizer_file(name: str) -> str:
@@ -52,12 +55,13 @@ class Encoder:
         names = [x["type"] for x in pre.get("pretokenizers", [pre])]
         if names == ["ByteLevel"] and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.mode = "spaced"  # a chunk's first id holds the space before it
-        elif names == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed" and pre["pretokenizers"][0]["invert"] and spec["model"].get("end_of_word_suffix"):
+        elif names == ["Split", "ByteLevel"] and pre["pretokenizers"][0] == _BARE_SPLIT and norm == _BARE_NORM and spec["model"].get("end_of_word_suffix"):
             self.mode = "bare"  # spaces vanish; each word's last id holds the word's end
         vocab = self.lib.get_vocab()
         self.edge = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for token, k in vocab.items():
             self.edge[k] = token.startswith("Ġ") if self.mode == "spaced" else token.endswith("</w>")
+        self.ends: dict[str, bool] = {}
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -77,6 +81,16 @@ class Encoder:
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]
 
+    def _ends_word(self, letter: str) -> bool:
+        """Whether the library cuts between this letter and a sign; the normaliser may turn a letter into one with a mark, which joins the signs."""
+        have = self.ends.get(letter)
+        if have is None:
+            text = f"a{letter}!"
+            if self.lib.normalizer is not None:
+                text = self.lib.normalizer.normalize_str(text)
+            have = self.ends[letter] = self.lib.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "!"
+        return have
+
     def _atoms(self, c: str) -> list[str]:
         """Parts of a chunk whose ids, behind each other, are its ids: a word, the signs after it, a line break.
 
@@ -90,7 +104,7 @@ class Encoder:
             if a and b and not _SPACE.search(a) and not _SPACE.search(b):
                 return [*self._atoms(lead + a), "\0\n", *self._atoms("\0" + b)]
         m = _WORD_AND_SIGNS.fullmatch(body)
-        if m and m[1].isalpha():
+        if m and m[1].isalpha() and self._ends_word(m[1][-1]):
             return [lead + m[1], m[2] if bare else "\0" + m[2]]
         return [c]
 

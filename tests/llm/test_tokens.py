@@ -150,3 +150,33 @@ def test_viterbi_finds_the_best_path():
             width = p._best_path(table)[0]
             mine = sum(s if (s := table[width[k] - 1, 0, k]) > -np.inf else p.worst for k in np.flatnonzero(width))
             assert abs(mine - best) < 1e-9
+
+
+def test_letters_whose_lower_case_ends_in_a_mark():
+    """NFC and lower case turn some letters into a letter and a mark, which joins the signs behind it."""
+    import unicodedata
+
+    letters = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    odd = [c for c in letters if not unicodedata.normalize("NFC", c).lower()[-1:].isalpha()]
+    assert len(odd) >= 60
+    r = random.Random(2)
+    pool = odd + list("aébcß?.,!'\n (09") + ["'s", "́", "़"]
+    texts = [f"x {p}{c}{s} y" for c in odd for p in ("", "a", "é") for s in ("?.", ",", "'")] + ["".join(r.choice(pool) for _ in range(r.randint(1, 12))) for _ in range(5000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = tokens.Encoder(tokens.tokenizer_file(name))
+        assert e.mode != "whole"
+        got = [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)]
+        assert got == [x.ids for x in e.lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_normalisers_are_encoded_whole(tmp_path):
+    import json
+
+    with open(tokens.tokenizer_file("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"][0] = {"type": "NFKC"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    e = tokens.Encoder(path)
+    assert e.mode == "whole" and np.frombuffer(e.ids(["ﬁne! ²"])[0], "<u4").tolist() == e.lib.encode("ﬁne! ²", add_special_tokens=False).ids
