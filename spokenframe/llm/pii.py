@@ -41,7 +41,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _KEY = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[:=][\x20]?([^\s,;]{6,}+)")
-_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[\[(]at[\])][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:[\[(]dot[\])]|\.)[\x20]?[A-Za-z0-9-]{1,63}){1,8}")
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?[\[(]at[\])][\x20]?[A-Za-z0-9-]++(?:(?:[\x20]?[\[(]dot[\])][\x20]?|\.)[A-Za-z0-9-]++)++")
 _NEAR = re.compile(r"[^\W\d_]+")
 
 #: Words that make a proposal of a kind likelier.

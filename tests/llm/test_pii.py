@@ -70,3 +70,13 @@ def test_odd_rows(odd_docs, no_docs):
     texts = {x.doc_id: x.text for x in out.collect()}
     assert texts[2] is None and texts[3] == "" and "<EMAIL>" in texts[7]
     assert pii.pii_spans(no_docs).count() == 0 and pii.masked(no_docs).count() == 0
+
+
+def test_spelt_addresses_go_to_their_end():
+    labels = ".".join("abcdefghij")
+    for local in ("me", "m" * 500):
+        for domain in (f"{labels}.com", "x [dot] y(dot)z [dot] org", "a" * 300 + ".com"):
+            s = f"Write {local} [at] {domain}. Then wait"
+            assert pii.mask(s, pii.find_spans(s)) == "Write <EMAIL>. Then wait"
+    for s in ("a [at] " * 50_000, "a" * 300_000 + " [at", "a [at] b" + ".c" * 100_000, "a [at] b" + " [dot] c" * 50_000 + "!"):
+        pii.find_spans(s)
