@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import content_tokens, token_similarity
+from ..sources.shared import written
+from .duplicates import OVERLAP, SIMILAR, beaten, duplicate_pairs, duplicate_reason
 from .ranges import time_overlap_ratio
 
 FLOOR = 0.42
@@ -22,16 +19,6 @@ def blended_score(heuristic: Column, quality: Column, recommended: Column, depen
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(quality.isNull(), heuristic).otherwise(score)))
 
 
-def duplicate_reason(overlap: Column, similarity: Column, *, overlap_at: float = 0.35, similar_at: float = 0.72) -> Column:
-    """Why two clips are the same moment; null if they are not."""
-    pct = lambda x: F.format_string("%.0f", F.bround(x * 100))
-    return (
-        F.when(overlap >= overlap_at, F.concat(F.lit("overlaps "), pct(overlap), F.lit("% in time")))
-        .when(similarity >= similar_at, F.concat(F.lit("transcript "), pct(similarity), F.lit("% similar")))
-        .when((overlap > 0.15) & (similarity > similar_at * 0.75), F.lit("adjacent window covering the same moment"))
-    )
-
-
 def is_duplicate(pairs: DataFrame, **limits) -> DataFrame:
     """pairs (a_start, a_end, a_text, b_start, b_end, b_text, ...) with duplicate and reason."""
     c = F.col
@@ -41,63 +28,48 @@ def is_duplicate(pairs: DataFrame, **limits) -> DataFrame:
 
 
 def scored(candidates: DataFrame, evaluations: DataFrame, *, model_answered: bool = True) -> DataFrame:
-    """candidates with blended score and the evaluated range; unevaluated ones go if the model answered."""
-    rows = candidates.join(evaluations.hint("merge"), "candidate_id", "inner" if model_answered else "left")
+    """candidates with blended score and the evaluated range; unevaluated ones go if the model answered.
+
+    evaluations hold one row for each candidate_id, or for each video_id and candidate_id where they have both.
+    """
+    keys = [c for c in ("video_id", "candidate_id") if c in evaluations.columns]
+    given = [F.col(c).alias(f"_{c}") for c in ("start_ms", "end_ms") if c in evaluations.columns]
+    judged = evaluations.select(*keys, "quality_score", "recommended", "context_dependency", "complete_thought", *given)
+    rows = candidates.join(judged.hint("merge"), keys, "inner" if model_answered else "left")
+    if given:
+        rows = rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("start_ms", "end_ms")}).drop("_start_ms", "_end_ms")
     for name, default in (("context_dependency", F.lit("medium")), ("complete_thought", F.lit(True)), ("recommended", F.lit(False))):
         rows = rows.withColumn(name, F.coalesce(F.col(name), default))
     return rows.withColumn("blended", blended_score(F.col("heuristic_score"), F.col("quality_score"), F.col("recommended"), F.col("context_dependency"), F.col("complete_thought")))
 
 
-def select_clips(candidates: DataFrame, evaluations: DataFrame, requested: int, *, overlap_at: float = 0.35, similar_at: float = 0.72, floor: float = FLOOR, model_answered: bool = True) -> DataFrame:
+def select_clips(candidates: DataFrame, evaluations: DataFrame, requested: int, *, overlap_at: float = OVERLAP, similar_at: float = SIMILAR, floor: float = FLOOR, model_answered: bool = True) -> DataFrame:
     """(video_id, candidate_id, index, start_ms, end_ms, score, strong, duplicates, below_floor): the clips of each video.
 
     Best first, a clip stays unless it duplicates one that stays (by time or by words);
-    the first `requested` are put in order of time.  candidates (video_id, candidate_id, start_ms, end_ms, text,
-    heuristic_score) may be any number a video: its rows stream by in order of score, and only the clips that stay are held.
-    Ties go to the smaller id.
+    the first `requested` are put in order of time.  candidates: (video_id, candidate_id, start_ms, end_ms, text,
+    heuristic_score), ids unique within a video; evaluations as clamp_evaluation gives them, whose range then counts, or without video_id and range.
+    Ties go to the smaller id.  A video's rows need not fit a task: pairs of duplicates are joined, the choice is made in
+    rounds.  Clips of the same range and words count as one for that, the best of them.
     """
     rows = scored(candidates, evaluations, model_answered=model_answered).select("video_id", "candidate_id", "start_ms", "end_ms", "text", "blended")
-    rows = rows.repartition("video_id").sortWithinPartitions("video_id", F.desc("blended"), "candidate_id")
-    ok = F.col("blended") >= floor
-    rows = rows.select("video_id", "candidate_id", "start_ms", "end_ms", F.round("blended", 4).alias("score"), ok.alias("ok"), F.when(ok, content_tokens(F.col("text"))).alias("t"))
-    kind = rows.schema
-    out = T.StructType([kind["video_id"], kind["candidate_id"], T.StructField("index", T.IntegerType()), kind["start_ms"], kind["end_ms"], kind["score"], T.StructField("strong", T.IntegerType()), T.StructField("duplicates", T.IntegerType()), T.StructField("below_floor", T.LongType())])
-    arrow = to_arrow_schema(out)
-
-    def same(x: tuple, k: tuple) -> bool:
-        share = max(0, min(x[1], k[1]) - max(x[0], k[0])) / max(1, min(x[1] - x[0], k[1] - k[0]))
-        if share >= overlap_at:
-            return True
-        both = len(x[2] & k[2])
-        like = both / (len(x[2]) + len(k[2]) - both) if both else 0.0
-        return like >= similar_at or (share > 0.15 and like > similar_at * 0.75)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, kept, first, above, below = None, [], [], 0, 0
-
-        def clips() -> Iterator[pa.RecordBatch]:
-            if first:
-                ranked = sorted(first, key=lambda r: r["start_ms"])
-                yield pa.RecordBatch.from_pylist([r | {"index": k, "strong": len(kept), "duplicates": above - len(kept), "below_floor": below} for k, r in enumerate(ranked, 1)], schema=arrow)
-
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                for r in b.slice(at, 256).to_pylist():
-                    if r["video_id"] != video:
-                        yield from clips()
-                        video, kept, first, above, below = r["video_id"], [], [], 0, 0
-                    if not r["ok"]:
-                        below += r["ok"] is False
-                        continue
-                    above += 1
-                    x = (r["start_ms"], r["end_ms"], frozenset(r["t"]))
-                    if not any(same(x, k) for k in kept):
-                        kept.append(x)
-                        if len(first) < requested:
-                            first.append({c: r[c] for c in ("video_id", "candidate_id", "start_ms", "end_ms", "score")})
-        yield from clips()
-
-    return rows.mapInArrow(fold, out)
+    above = F.col("blended") >= floor
+    rows = written(rows.select("video_id", "candidate_id", "start_ms", "end_ms", "blended", above.alias("above"), F.when(above, content_tokens(F.col("text"))).alias("tokens")), "scored-clips")
+    counts = rows.groupBy("video_id").agg(F.count_if("above").alias("above"), F.count_if(~F.col("above")).alias("below_floor"))
+    alone = F.when((F.col("end_ms") <= F.col("start_ms")) & (F.size("tokens") == 0), F.col("candidate_id"))  # such clips duplicate nothing
+    kinds = rows.filter("above").groupBy("video_id", "start_ms", "end_ms", F.array_sort("tokens").alias("tokens"), alone.alias("alone"))
+    clips = kinds.agg(F.min(F.struct((-F.col("blended")).alias("neg"), "candidate_id")).alias("best")).select("video_id", F.col("best.candidate_id").alias("candidate_id"), "start_ms", "end_ms", "tokens", (-F.col("best.neg")).alias("blended"))
+    clips = written(clips, "clips")
+    place = F.struct((-F.col("blended")).alias("neg"), "candidate_id")
+    pairs = duplicate_pairs(clips.select("video_id", place.alias("id"), "start_ms", "end_ms", "tokens"), overlap_at=overlap_at, similar_at=similar_at)
+    gone = beaten(pairs.select("video_id", F.col("a_id").alias("better"), F.col("b_id").alias("worse")))
+    kept = written(clips.withColumn("id", place).join(gone.hint("merge"), ["video_id", "id"], "left_anti"), "kept-clips")
+    counts = counts.join(kept.groupBy("video_id").agg(F.count(F.lit(1)).alias("strong")).hint("merge"), "video_id")
+    best = kept.withColumn("nth", F.row_number().over(Window.partitionBy("video_id").orderBy("id"))).filter(F.col("nth") <= requested)
+    best = best.withColumn("index", F.row_number().over(Window.partitionBy("video_id").orderBy("start_ms", "nth")))
+    return best.join(counts.hint("merge"), "video_id").select(
+        "video_id", "candidate_id", "index", "start_ms", "end_ms", F.round("blended", 4).alias("score"), F.col("strong").cast("int").alias("strong"), (F.col("above") - F.col("strong")).cast("int").alias("duplicates"), "below_floor"
+    )
 
 
 def selection_report(clips: DataFrame, requested: int) -> DataFrame:

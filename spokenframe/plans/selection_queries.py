@@ -6,9 +6,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import content_tokens
 from ..operators import boundaries as B
 from ..operators import candidates as C
 from ..operators import copywriting as W
+from ..operators import duplicates as U
 from ..operators import framing as V
 from ..operators import maintenance as M
 from ..operators import models as X
@@ -322,6 +324,23 @@ def _(candidates, evaluations):
     return P.select_clips(candidates, evaluations, 5)
 
 
+@query("f10_duplicate_pairs", "candidates", f"""with t as (select video_id, candidate_id as id, start_ms as s, end_ms as e, {_TOK.format('text')} as t from candidates),
+p as (select o.video_id, o.id as a_id, k.id as b_id, {_DUP} as overlap, {_LIKE} as similarity from t o join t k on k.video_id = o.video_id and o.id < k.id)
+select video_id, a_id, b_id, round(overlap, 6) as overlap, round(similarity, 6) as similarity, case when overlap >= 0.35 then 'overlaps' when similarity >= 0.72 then 'transcript' else 'adjacent' end as reason
+from p where overlap >= 0.35 or similarity >= 0.72 or (overlap > 0.15 and similarity > 0.54)""")
+def _(candidates):
+    found = U.duplicate_pairs(candidates.withColumnRenamed("candidate_id", "id"))
+    return found.select("video_id", "a_id", "b_id", F.round("overlap", 6).alias("overlap"), F.round("similarity", 6).alias("similarity"), F.regexp_extract("reason", "^[a-z]*", 0).alias("reason"))
+
+
+@query("e06_similar_segments", "segments", f"""with t as (select video_id * 1000000 + segment_id as id, {_TOK.format('text')} as t from segments), u as (select id, len(t) as n, unnest(t) as w from t), c as (select a.id as a_id, b.id as b_id, any_value(a.n) as na, any_value(b.n) as nb, count(*) as m from u a join u b on a.w = b.w and a.id < b.id group by 1, 2)
+select a_id, b_id, round(m / (na + nb - m), 6) as similarity from c where m / (na + nb - m) >= 0.72""")
+def _(segments):
+    """All pairs of alike segments of all videos."""
+    sets = segments.select((F.col("video_id") * 1_000_000 + F.col("segment_id")).alias("id"), content_tokens(F.col("text")).alias("tokens"))
+    return U.similar_pairs(sets, [], 0.72).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("f09_blended_score", "candidates evaluations", "select c.video_id, c.candidate_id, round(least(1, greatest(0, 0.62 * quality_score + 0.38 * heuristic_score + case when recommended then 0.10 else 0 end - case when context_dependency = 'high' then 0.12 else 0 end - case when complete_thought then 0 else 0.10 end))::double, 6) as blended from candidates c join evaluations e on e.candidate_id = c.candidate_id")
 def _(candidates, evaluations):
     return P.scored(candidates, evaluations).select("video_id", "candidate_id", F.round("blended", 6).alias("blended"))
@@ -387,6 +406,17 @@ def _(candidates, evaluations):
     return P.clamp_evaluation(raw, candidates, min_ms=20_000, max_ms=60_000).drop("reason")
 
 
+_CLAMPED = f"{_ANS}, sx as (select video_id, candidate_id, recommended, greatest(0, start_ms - 15000)::double as s, (end_ms + 3000)::double as e, context_dependency, quality_score, complete_thought from ans), ev as (select * exclude (s, e), s::bigint as s, least(greatest(e, s + 20000), s + 60000)::bigint as e from sx)"
+_JUDGED = f"b as (select c.video_id, c.candidate_id as id, e.s, e.e, {_BLEND} as score, {_TOK.format('text')} as t from candidates c join ev e on e.video_id = c.video_id and e.candidate_id = c.candidate_id),\nn as"
+
+
+@query("f09_select_evaluated", "candidates evaluations", f"with recursive {_CLAMPED}, {_JUDGED}{_CLIPS.partition(chr(10) + 'n as')[2]} select * from z")
+def _(candidates, evaluations):
+    """Answers are collected and clamped, and the clips chosen by their evaluated ranges."""
+    raw = P.collect_evaluations(_answers(candidates, evaluations), candidates)
+    return P.select_clips(candidates, P.clamp_evaluation(raw, candidates, min_ms=20_000, max_ms=60_000), 5)
+
+
 @query("f17_collect_evaluations", "candidates evaluations", f"with {_ANS} select video_id, candidate_id, context_dependency from ans")
 def _(candidates, evaluations):
     return P.collect_evaluations(_answers(candidates, evaluations), candidates).select("video_id", "candidate_id", "raw.context_dependency")
