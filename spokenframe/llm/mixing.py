@@ -97,9 +97,9 @@ def mix(docs: DataFrame, *, share: float = 1.5, weights: tuple[float, ...] = (3,
     sources = written(ranked(sums, [(F.col("sk") == "").asc(), F.asc("sk")], "sources").withColumn("weight", weight), "sources")
     n_sources, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     budget = share * total
-    sources = written(targets(sources, budget, most), "targets")
+    sources = written(targets(sources, budget, most).withColumn("grp", F.lit("")), "targets")
     blocks = int(budget / block + 0.5)
-    seats = apportion(sources.select(F.lit("").alias("grp"), F.col("sk").alias("item"), F.col("target").alias("weight"), F.lit(blocks).cast("long").alias("seats")), "source-blocks")
+    seats = apportion(sources.select("grp", F.col("sk").alias("item"), F.col("target").alias("weight"), F.lit(blocks).cast("long").alias("seats")), "source-blocks")
     split = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n_rows") / shard_rows)).cast("long")
     sources = written(sources.join(seats.select(F.col("item").alias("sk"), F.col("won").alias("blocks")).hint("merge"), "sk", "left").select("sk", "source_size", "target", F.coalesce("blocks", F.lit(0)).alias("blocks"), split.alias("n_shards")), "source-blocks")
 

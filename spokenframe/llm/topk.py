@@ -53,7 +53,7 @@ def index_block(x: np.ndarray, levels: int = LEVELS) -> dict[str, bytes | int]:
     value = x[row, dim]
     most = np.zeros(d * levels)
     np.maximum.at(most, segment, np.abs(value))
-    return {"n": n, "d": d, "rows": row.astype("<u2").tobytes(), "vals": value.astype("<f8").tobytes(), "ends": np.searchsorted(segment, np.arange(d * levels), "right").astype("<i8").tobytes(), "most": most.astype("<f8").tobytes()}
+    return {"n": n, "d": d, "rows": row.astype("<u4").tobytes(), "vals": value.astype("<f8").tobytes(), "ends": np.searchsorted(segment, np.arange(d * levels), "right").astype("<i8").tobytes(), "most": most.astype("<f8").tobytes()}
 
 
 class Block:
@@ -61,7 +61,7 @@ class Block:
 
     def __init__(self, index: dict, levels: int = LEVELS):
         self.n, self.d, self.levels = index["n"], index["d"], levels
-        rows, vals = np.frombuffer(index["rows"], "<u2").astype(np.int64), np.frombuffer(index["vals"], "<f8")
+        rows, vals = np.frombuffer(index["rows"], "<u4").astype(np.int64), np.frombuffer(index["vals"], "<f8")
         ends = np.frombuffer(index["ends"], "<i8")
         self.size = np.diff(ends, prepend=0)
         self.most = np.frombuffer(index["most"], "<f8").reshape(self.d, levels)
@@ -121,7 +121,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, scale: int, *, index: bool) -> tuple[DataFrame, int]:
-    """Rows (blk, ids, ...) of about `size` vectors each."""
+    """Rows (blk, ids, ...) of about `size` vectors each; rows of a repeated id are spread like others."""
     n = max(1, -(-rows.count() // size))
 
     def build(t: pa.Table) -> pa.Table:
@@ -135,7 +135,7 @@ def _blocks(rows: DataFrame, size: int, scale: int, *, index: bool) -> tuple[Dat
         return pa.Table.from_pylist([row])
 
     more = "n bigint, d bigint, rows binary, vals binary, ends binary, most binary" if index else "q_n bigint, q_d bigint, q binary"
-    dealt = rows.withColumn("blk", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n)))
+    dealt = rows.withColumn("blk", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)))
     return written(dealt.groupBy("blk").applyInArrow(build, f"blk bigint, ids binary, {more}"), "index" if index else "queries"), n
 
 
@@ -177,7 +177,8 @@ def _scored(vectors: DataFrame, queries: DataFrame, k: int, scale: int) -> DataF
                 out, asked = [], np.frombuffer(r["ids"], "<i8")
                 place = np.argsort(ids, kind="stable")
                 lo, hi = np.searchsorted(ids[place], asked, "left"), np.searchsorted(ids[place], asked, "right")
-                own = np.array([(j, i) for j in range(len(asked)) for i in place[lo[j] : hi[j]].tolist()], np.int64).reshape(-1, 2)
+                many = hi - lo
+                own = np.stack([np.repeat(np.arange(len(asked)), many), place[np.arange(many.sum()) + np.repeat(lo - np.cumsum(many) + many, many)]], 1)
                 for q_id, (found, scores, read) in zip(asked.tolist(), block.search(np.frombuffer(r["q"], "<f8").reshape(r["q_n"], r["q_d"]), own, k), strict=True):
                     first = np.lexsort((ids[found], -scores))[:k]
                     out.append((np.full(len(first), q_id), ids[found][first], scores[first].astype(np.int64), np.full(len(first), read)))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .samples import sample_by_class
 from .shared import id_crc, release, slices_of, small_batches, written
-from .words import flat, hash_word, per_doc, word_hashes
+from .words import flat, hash_word, mix, per_doc, word_hashes
 
 #: Insults; a caller may pass other words.
 LEXICON = (
@@ -213,7 +213,7 @@ def train_trees(x: np.ndarray, y: np.ndarray, *, rounds: int = 60, depth: int =
 def learn_lexicon(rows: DataFrame, lexicon: tuple[str, ...], *, most: int = 4000) -> Lexicon:
     """Words and beginnings that stand in toxic rows far oftener than in others.
 
-    Support counts differing texts, told apart by the smallest hash of their words, so that
+    Support counts differing texts, told apart by a hash of all their words, so that
     copies of one text don't make its words look toxic.  At most `most` entries of
     each sort are kept, the best supported first.
     """
@@ -227,9 +227,9 @@ def learn_lexicon(rows: DataFrame, lexicon: tuple[str, ...], *, most: int = 4000
                 h, w = word_hashes(buf, off, _PLAIN, stem)
                 sets = [np.unique(h[w[k] : w[k + 1]]) for k in range(len(b))]
                 n = [len(x) for x in sets]
-                sig = [int(x[0]) >> 34 if len(x) else 0 for x in sets]
+                sig = [mix(x).sum(dtype=np.uint64) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(np.array(sig, np.int64), n)), pa.array(np.repeat(toxic, n)), pa.array(np.full(sum(n), stem > 0))],
+                    [pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(np.array(sig, np.uint64).view(np.int64), n)), pa.array(np.repeat(toxic, n)), pa.array(np.full(sum(n), stem > 0))],
                     ["h", "sig", "toxic", "stem"],
                 )
 

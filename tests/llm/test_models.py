@@ -168,3 +168,11 @@ def test_isotonic():
     x, y = np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1])
     xs, ys = toxicity.isotonic(x, y)
     assert (np.diff(ys) >= 0).all() and np.interp([2, 3], xs, ys).tolist() == [0.5, 0.5]
+
+
+def test_texts_that_share_their_smallest_word_count_as_many(spark):
+    own = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) + "q" for k in range(1001)]
+    rows = [(f"anchor common {own[k]} foulword", 1) for k in range(500)] + [(f"anchor common {own[500 + k]} plain", 0) for k in range(500)] + [("copied badcopy text", 1)] * 500
+    lex = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), ())
+    known, hashed = set(lex.words.tolist()), lambda w: toxicity.hash_word(w, toxicity._PLAIN)
+    assert hashed("foulword") in known and not {hashed(w) for w in ("anchor", "plain", "badcopy")} & known

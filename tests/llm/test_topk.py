@@ -47,3 +47,21 @@ def test_few_rows(spark):
     assert topk.exact_topk(empty, empty).count() == 0
     two = spark.createDataFrame([(0, [1.0, 2.0], "x"), (1, [3.0], "y")], "vec_id bigint, embedding array<float>, score string")
     assert [(x.query_id, x.vec_id, x.score) for x in topk.exact_topk(two, two.filter("vec_id = 0")).collect()] == [(0, 1, 3 * 65536)]
+
+
+def test_more_than_65536_rows_of_an_id(spark):
+    rows = [(7, [1.0, 0.0])] * 69_000 + [(7, [0.0, 5.0])] + [(k, [float(k % 11), 1.0]) for k in range(100, 160)]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    vec = dict(rows[69_001:])
+    want = set()
+    for q in (100, 150):
+        best = sorted((-int(65536 * sum(a * b for a, b in zip(vec[q], v, strict=True))), i) for i, v in rows[68_990:] if i != q)[:5]
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
+    assert {(x.query_id, x["rank"], x.vec_id, x.score) for x in topk.exact_topk(data, data.filter("vec_id in (100, 150)")).collect()} == want
+
+
+def test_a_block_of_more_than_65536_rows():
+    x = np.zeros((70_000, 2))
+    x[69_999] = [3.0, 4.0]
+    (found, scores, _), = topk.Block(topk.index_block(x)).search(np.array([[1.0, 1.0]]), np.empty((0, 2), np.int64), 1)
+    assert found[np.argmax(scores)] == 69_999 and scores.max() == 7.0
