@@ -9,6 +9,7 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spokenframe.llm import exact_dedup, near, packing, pii, shared, tokens, toxicity
 
@@ -16,7 +17,8 @@ from spokenframe.llm import exact_dedup, near, packing, pii, shared, tokens, tox
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores under one half stay."""
     labels = shared.read(spark, sf_dir, "labels")
-    return toxicity.toxicity(docs, labels, names=("_toxicity", "_toxic")).filter("_toxic = 0").select(docs.columns)
+    score, toxic = (shared.free_name(docs, name) for name in ("toxicity", "toxic"))
+    return toxicity.toxicity(docs, labels, names=(score, toxic)).filter(F.col(toxic) == 0).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

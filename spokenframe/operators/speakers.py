@@ -1,12 +1,26 @@
-"""Speakers from feature vectors: standardise, choose how many, cluster."""
+"""Speakers from feature vectors: standardise, choose how many, cluster.
+
+Ward's clustering of a video with many segments goes in rounds over a table of centres and
+sizes: every cluster finds its nearest one, and pairs that are each other's nearest
+merge at once, which makes the same tree as merging the closest pair each time.  Nearest
+clusters, and the distance sums that silhouettes need, come from a grid of block pairs: a
+task holds two blocks of rows, never a video.  Once a video has few clusters left, one
+small task makes the last merges.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def segment_embedding(frames: DataFrame, least: int = 5) -> DataFrame:
     """(video_id, segment_id, embedding): mean and deviation of each coefficient but the first over a segment's frames (coeffs); null under `least` frames."""
@@ -27,16 +41,18 @@ def standardise(embeddings: DataFrame) -> DataFrame:
 
 #: Rows whose distances to all others are held at once.
 ROWS = 1024
+#: Rows of a block: two blocks meet in a task, and so many clusters of a video are left to one task.
+BLOCK = 4096
 
 
-def ward_labels(x: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Labels of Ward's agglomerative clustering at every k from most down to 1.
+def ward_labels(x: np.ndarray, most: int, sizes: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """Labels of Ward's agglomerative clustering at every k from most down to 1; sizes: how many rows each row of x stands for.
 
     Chains of nearest neighbours merge where two are each other's nearest, which makes the same tree as merging
     the closest pair each time.  Distances are computed from centres when they are needed, so memory is that of x.
     """
     n = len(x)
-    centre, size, alive = x.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    centre, size, alive = x.astype(float).copy(), np.ones(n) if sizes is None else sizes.astype(float), np.ones(n, bool)
     merges: list[tuple[float, int, int]] = []
     chain: list[int] = []
     while len(merges) < n - 1:
@@ -71,53 +87,186 @@ def ward_labels(x: np.ndarray, most: int) -> dict[int, np.ndarray]:
         parent[max(i, j)] = min(i, j)
         if n - done <= most:
             out[n - done] = np.array([root(k) for k in range(n)])
-    return out
-
-
-def silhouette(x: np.ndarray, label: np.ndarray) -> float:
-    """Mean silhouette of a clustering; clusters of one count 0."""
-    names, own = np.unique(label, return_inverse=True)
-    count = np.bincount(own)
-    member = np.eye(len(names))[own]
-    square, total = (x * x).sum(1), 0.0
-    for lo in range(0, len(x), ROWS):
-        part, mine = x[lo : lo + ROWS], own[lo : lo + ROWS]
-        d = np.sqrt(np.maximum(square[lo : lo + ROWS, None] + square[None] - 2 * part @ x.T, 0))
-        d[np.arange(len(part)), np.arange(lo, lo + len(part))] = 0
-        by, rows = d @ member, np.arange(len(part))
-        a = by[rows, mine] / np.maximum(1, count[mine] - 1)
-        other = by / count
-        other[rows, mine] = np.inf
-        b = other.min(1)
-        total += np.where(count[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).sum()
-    return float(total / len(x))
-
-
-def choose_k(x: np.ndarray, labels: dict[int, np.ndarray], most: int = 6) -> int:
-    """The smallest k within .01 of the best silhouette; 1 if that is under .08."""
-    scores = {k: silhouette(x, labels[k]) for k in range(2, min(most, len(x) - 1) + 1) if k in labels}
-    if not scores or max(scores.values()) < 0.08:
-        return 1
-    return min(k for k, s in scores.items() if s >= max(scores.values()) - 0.01)
-
-
-def cluster_speakers(embeddings: DataFrame, most: int = 6) -> DataFrame:
-    """(video_id, segment_id, speaker): standardised embeddings clustered in each video; A, B, C by first appearance.
+    return {k: np.unique(v, return_inverse=True)[1] for k, v in out.items()}
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), float)
+
+
+def _grid(rows: DataFrame, block: int, found: Callable[[dict, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What `found` makes of every pair of blocks (rows, others) of each video; rows: (video_id, id, ...).
+
+    A row goes to as many groups as its video has blocks, once on either side.
+    """
+    blocks = rows.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    rows = rows.join(blocks.hint("merge"), "video_id").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    left = rows.select("*", F.col("_own").alias("_row"), every.alias("_col"), F.lit(True).alias("_left"))
+    right = rows.select("*", every.alias("_row"), F.col("_own").alias("_col"), F.lit(False).alias("_left"))
 
-    One video's embeddings (a row for each segment) are in one task, but no table of their pairs; videos run in parallel.
-    Fewer than two embeddings are one speaker.
+    def run(group: pa.Table) -> pa.Table:
+        side = group["_left"].combine_chunks()
+        a, b = group.filter(side), group.filter(pa.compute.invert(side))
+        return found({"video_id": group["video_id"][0].as_py()}, a, b)
+
+    return left.union(right).drop("_n", "_own").groupBy("video_id", "_row", "_col").applyInArrow(run, schema)
+
+
+def _nearest(key: dict, a: pa.Table, b: pa.Table) -> pa.Table:
+    """(video_id, id, cost, lo, hi): the pair of least Ward cost of each cluster in a with one in b.
+
+    A product of matrices finds the pairs that may be least; their costs are then
+    computed so that both clusters of a pair get the same number, and equal costs go by ids.
+    """
+    out: dict[str, list] = {"video_id": [], "id": [], "cost": [], "lo": [], "hi": []}
+    if a.num_rows and b.num_rows:
+        x, y, m, n = _matrix(a["x"]), _matrix(b["x"]), a["w"].to_numpy(), b["w"].to_numpy()
+        i, j = a["id"].to_numpy(), b["id"].to_numpy()
+        norm = (y * y).sum(1)
+        for lo in range(0, len(x), ROWS):
+            p, w, own = x[lo : lo + ROWS], m[lo : lo + ROWS, None], i[lo : lo + ROWS]
+            pn = (p * p).sum(1)[:, None]
+            cost = (pn + norm - 2 * p @ y.T) * (w * n / (w + n))
+            slack = 1e-9 * (pn + norm.max()) * w
+            cost[own[:, None] == j] = np.inf
+            least = cost.min(1, keepdims=True)
+            r, c = np.nonzero((cost <= least + slack) & np.isfinite(cost))
+            exact = ((p[r] - y[c]) ** 2).sum(1) * ((w[r, 0] * n[c]) / (w[r, 0] + n[c]))
+            small, large = np.minimum(own[r], j[c]), np.maximum(own[r], j[c])
+            order = np.lexsort((large, small, exact, r))
+            first = order[np.unique(r[order], return_index=True)[1]]
+            out["id"] += own[r[first]].tolist()
+            out["cost"] += exact[first].tolist()
+            out["lo"] += small[first].tolist()
+            out["hi"] += large[first].tolist()
+        out["video_id"] = [key["video_id"]] * len(out["id"])
+    return pa.table(out, schema=pa.schema([("video_id", pa.int64()), ("id", pa.int64()), ("cost", pa.float64()), ("lo", pa.int64()), ("hi", pa.int64())]))
+
+
+def merge_round(active: DataFrame, most: int, block: int) -> DataFrame:
+    """(video_id, lo, hi): pairs of clusters (video_id, id, x, w) that are each other's nearest, for one round.
+
+    The most - 1 costliest pairs of a video wait, so that what is merged can't be among the last most - 1
+    merges of the tree, which are cut; the cheapest pair always merges.
     """
+    near = _grid(active, block, _nearest, "video_id bigint, id bigint, cost double, lo bigint, hi bigint")
+    near = near.groupBy("video_id", "id").agg(F.min(F.struct("cost", "lo", "hi")).alias("p")).select("video_id", "p.*")
+    pairs = written(near.groupBy("video_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("cost").alias("cost")).filter("n = 2").drop("n"), "nearest-pairs")
+    cheapest = pairs.groupBy("video_id").agg(F.min(F.struct("cost", "lo", "hi")).alias("least"))
+    last = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("cost"), F.desc("lo"), F.desc("hi")))
+    wait = pairs.withColumn("nth", last).filter(F.col("nth") < most).join(cheapest.hint("merge"), "video_id").filter(F.struct("cost", "lo", "hi") != F.col("least"))
+    return written(pairs.join(wait.select("video_id", "lo", "hi").hint("merge"), ["video_id", "lo", "hi"], "left_anti").select("video_id", "lo", "hi"), "merges")
+
+
+def _merged(active: DataFrame, merges: DataFrame) -> DataFrame:
+    """active after merges: the weighted mean of both centres under the smaller id."""
+    moved = active.join(merges.select("video_id", F.col("hi").alias("id"), "lo").hint("merge"), ["video_id", "id"], "left").withColumn("to", F.coalesce("lo", "id"))
+    two = F.array_sort(F.collect_list(F.struct("id", "x", "w")))  # two rows at most
+    by = moved.groupBy("video_id", "to").agg(two.alias("two"))
+    a, b = F.col("two")[0], F.get("two", F.lit(1))
+    mean = F.zip_with(a["x"], b["x"], lambda u, v: (u * a["w"] + v * b["w"]) / (a["w"] + b["w"]))
+    return by.select("video_id", F.col("to").alias("id"), F.when(F.size("two") > 1, mean).otherwise(a["x"]).alias("x"), F.when(F.size("two") > 1, a["w"] + b["w"]).otherwise(a["w"]).alias("w"))
 
+
+def _last_merges(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("segment_id")
-        x = np.stack(pdf["embedding"].to_numpy())
-        label = np.zeros(len(x), int)
-        if len(x) >= 2:
-            labels = ward_labels(x, most)
-            k = choose_k(x, labels, most)
-            label = labels[k] if k in labels else label
-        order = {c: n for n, c in enumerate(dict.fromkeys(label.tolist()))}
-        return pd.DataFrame({"video_id": pdf["video_id"], "segment_id": pdf["segment_id"], "speaker": [f"Speaker {chr(65 + order[c])}" for c in label]})
-
-    rows = standardise(embeddings)
-    return rows.groupBy("video_id").applyInPandas(run, "video_id bigint, segment_id bigint, speaker string")
+        pdf = pdf.sort_values("id")
+        labels = ward_labels(np.stack(pdf["x"].to_numpy()), most, pdf["w"].to_numpy())
+        cut = [labels.get(k, np.zeros(len(pdf), int)) for k in range(2, most + 1)]
+        return pd.DataFrame({"video_id": pdf["video_id"], "cluster": pdf["id"], "labels": np.stack(cut, 1).tolist(), "n_clusters": len(pdf)})
+
+    return run
+
+
+def ward_cuts(rows: DataFrame, most: int, *, block: int = BLOCK) -> DataFrame:
+    """(video_id, id, labels, n_clusters): the cluster of each row when its video is cut into 2, 3 .. most clusters.
+
+    rows: (video_id, id, x, w), differing vectors that stand for w rows each.  A video with fewer than k of them has no cut
+    into k; n_clusters says up to how many there are, if under `block`.
+    """
+    active, members = rows, rows.select("video_id", "id", F.col("id").alias("cluster"))
+    while True:
+        large = active.groupBy("video_id").count().filter(F.col("count") > block).select("video_id")
+        if large.isEmpty():
+            break
+        big = active.join(large.hint("merge"), "video_id", "left_semi")
+        merges = merge_round(big, most, block)
+        active = written(_merged(active, merges), "centres")
+        to = merges.select("video_id", F.col("hi").alias("cluster"), "lo")
+        members = written(members.join(to.hint("merge"), ["video_id", "cluster"], "left").select("video_id", "id", F.coalesce("lo", "cluster").alias("cluster")), "members")
+    cuts = active.groupBy("video_id").applyInPandas(_last_merges(most), "video_id bigint, cluster bigint, labels array<int>, n_clusters bigint")
+    return members.join(cuts.hint("merge"), ["video_id", "cluster"]).drop("cluster")
+
+
+def _sums(most: int) -> Callable[[dict, pa.Table, pa.Table], pa.Table]:
+    def run(key: dict, a: pa.Table, b: pa.Table) -> pa.Table:
+        """Each row's summed distances to the clusters of every cut, as far as they lie in b."""
+        parts = []
+        if a.num_rows and b.num_rows:
+            x, y, w = _matrix(a["x"]), _matrix(b["x"]), b["w"].to_numpy()
+            labels, same = np.array(b["labels"].to_pylist()), b["id"].to_numpy()
+            member = np.concatenate([(labels[:, k - 2, None] == np.arange(k)) * w[:, None] for k in range(2, most + 1)], 1)
+            norm, ids = (y * y).sum(1), a["id"].to_numpy()
+            for lo in range(0, len(x), ROWS):
+                p = x[lo : lo + ROWS]
+                d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + norm - 2 * p @ y.T, 0))
+                d[ids[lo : lo + ROWS, None] == same] = 0
+                parts.append(d @ member)
+        total = np.concatenate(parts) if parts else np.empty((0, most * (most + 1) // 2 - 1))
+        ids = a["id"].to_pylist() if parts else []
+        return pa.table({"video_id": pa.array([key["video_id"]] * len(ids), pa.int64()), "id": pa.array(ids, pa.int64()), "sums": pa.array(total.tolist(), pa.list_(pa.float64()))})
+
+    return run
+
+
+def silhouettes(rows: DataFrame, most: int, *, block: int = BLOCK) -> DataFrame:
+    """(video_id, k, score): the mean silhouette of every cut of each video; rows in clusters of one count 0.
+
+    rows: (video_id, id, x, w, labels, n_clusters), labels counted from 0 for each cut.
+    """
+    places = [(k, c) for k in range(2, most + 1) for c in range(k)]
+    sums = _grid(rows.select("video_id", "id", "x", "w", "labels"), block, _sums(most), "video_id bigint, id bigint, sums array<double>")
+    sums = sums.groupBy("video_id", "id").agg(F.array(*[F.sum(F.col("sums")[n]) for n in range(len(places))]).alias("sums"))
+    by = rows.select("video_id", "w", F.posexplode("labels").alias("k", "label")).groupBy("video_id", "k", "label").agg(F.sum("w").alias("n"))
+    count = by.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("k", "label"), "n"))).alias("sizes"))  # as many entries as there are places
+    rows = rows.select("video_id", "id", "w", "labels", "n_clusters").join(sums.hint("merge"), ["video_id", "id"]).join(count.hint("merge"), "video_id")
+    scores = []
+    for k in range(2, most + 1):
+        at = places.index((k, 0))
+        size = [F.coalesce(F.col("sizes")[F.struct(F.lit(k - 2).alias("k"), F.lit(c).alias("label"))], F.lit(0)) for c in range(k)]
+        own = F.col("labels")[k - 2]
+        pick = lambda values, own=own: F.element_at(F.array(*values), own + 1)
+        a = pick([F.col("sums")[at + c] for c in range(k)]) / F.greatest(F.lit(1), pick(size) - 1)
+        b = F.array_min(F.array(*[F.when((own != c) & (size[c] > 0), F.col("sums")[at + c] / F.greatest(F.lit(1), size[c])) for c in range(k)]))
+        value = F.when(pick(size) > 1, (b - a) / F.greatest(a, b, F.lit(1e-12))).otherwise(0.0)
+        scores.append(F.struct(F.lit(k).alias("k"), F.when(F.col("n_clusters") >= k, value).alias("v")))
+    rows = rows.select("video_id", "w", F.explode(F.array(*scores)).alias("s")).filter("s.v is not null")
+    return rows.groupBy("video_id", F.col("s.k").alias("k")).agg((F.sum(F.col("s.v") * F.col("w")) / F.sum("w")).alias("score"), F.sum("w").alias("n"))
+
+
+def choose_k(scores: DataFrame) -> DataFrame:
+    """(video_id, k): the smallest k within .01 of the best silhouette; 1 if that is under .08.  A k must be smaller than the number of rows."""
+    scores = scores.filter("k < n")
+    best = scores.groupBy("video_id").agg(F.max("score").alias("best"))
+    fine = scores.join(best.hint("merge"), "video_id").filter(F.col("score") >= F.col("best") - 0.01)
+    return fine.groupBy("video_id").agg(F.when(F.max("best") < 0.08, 1).otherwise(F.min("k")).alias("k"))
+
+
+def cluster_speakers(embeddings: DataFrame, most: int = 6, *, block: int = BLOCK) -> DataFrame:
+    """(video_id, segment_id, speaker): standardised embeddings clustered in each video; A, B, C by first appearance.
+
+    Segment ids are unique within a video.  Equal embeddings are one row that counts as often.  Fewer than two differing
+    embeddings are one speaker.
+    """
+    rows = written(standardise(embeddings), "standardised")
+    kinds = rows.groupBy("video_id", "embedding").agg(F.min("segment_id").alias("id"), F.count(F.lit(1)).cast("double").alias("w"))
+    kinds = written(kinds.select("video_id", "id", F.col("embedding").alias("x"), "w"), "embeddings")
+    cut = written(kinds.join(ward_cuts(kinds, most, block=block).hint("merge"), ["video_id", "id"]), "cuts")
+    k = choose_k(silhouettes(cut, most, block=block))
+    label = F.when(F.coalesce("k", F.lit(1)) > 1, F.get("labels", F.col("k") - 2)).otherwise(0)
+    found = cut.join(k.hint("merge"), "video_id", "left").select("video_id", F.col("x").alias("embedding"), label.alias("label"))
+    named = written(rows.join(found.hint("merge"), ["video_id", "embedding"]).select("video_id", "segment_id", "label"), "labels")
+    first = named.groupBy("video_id", "label").agg(F.min("segment_id").alias("first"))
+    letter = F.chr(F.lit(64) + F.row_number().over(Window.partitionBy("video_id").orderBy("first")))
+    return named.join(first.select("video_id", "label", F.concat(F.lit("Speaker "), letter).alias("speaker")).hint("merge"), ["video_id", "label"]).select("video_id", "segment_id", "speaker")

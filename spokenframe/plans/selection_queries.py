@@ -333,11 +333,11 @@ def _(candidates):
     return found.select("video_id", "a_id", "b_id", F.round("overlap", 6).alias("overlap"), F.round("similarity", 6).alias("similarity"), F.regexp_extract("reason", "^[a-z]*", 0).alias("reason"))
 
 
-@query("e06_similar_segments", "segments", f"""with t as (select video_id * 1000000 + segment_id as id, {_TOK.format('text')} as t from segments), u as (select id, len(t) as n, unnest(t) as w from t), c as (select a.id as a_id, b.id as b_id, any_value(a.n) as na, any_value(b.n) as nb, count(*) as m from u a join u b on a.w = b.w and a.id < b.id group by 1, 2)
+@query("e06_similar_texts", "candidates", f"""with t as (select candidate_id as id, {_TOK.format('text')} as t from candidates), u as (select id, len(t) as n, unnest(t) as w from t), c as (select a.id as a_id, b.id as b_id, any_value(a.n) as na, any_value(b.n) as nb, count(*) as m from u a join u b on a.w = b.w and a.id < b.id group by 1, 2)
 select a_id, b_id, round(m / (na + nb - m), 6) as similarity from c where m / (na + nb - m) >= 0.72""")
-def _(segments):
-    """All pairs of alike segments of all videos."""
-    sets = segments.select((F.col("video_id") * 1_000_000 + F.col("segment_id")).alias("id"), content_tokens(F.col("text")).alias("tokens"))
+def _(candidates):
+    """All pairs of alike texts of all videos."""
+    sets = candidates.select(F.col("candidate_id").alias("id"), content_tokens(F.col("text")).alias("tokens"))
     return U.similar_pairs(sets, [], 0.72).withColumn("similarity", F.round("similarity", 6))
 
 
