@@ -16,8 +16,8 @@ import types
 
 import numpy as np
 
-#: Chunks whose ids a worker keeps, for each of two generations. Results don't depend on it.
-KEEP = 1_200_000
+#: Chunks whose ids a worker keeps, for each of two generations, by mode. Results don't depend on it.
+KEEP = {"spaced": 1_200_000, "bare": 600_000}
 _LONGEST = 64
 _ODD = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
@@ -166,7 +166,7 @@ class Encoder:
             if self.mode == "spaced":
                 c[0] = "\0" + c[0]
             parts.append((k, c))
-        if len(self.now) > KEEP:
+        if len(self.now) > KEEP[self.mode]:
             self.old, self.now = self.now, {}
         now, need, long = self.now, set(), {}
         for _, c in parts:
