@@ -187,7 +187,7 @@ def ward_cuts(rows: DataFrame, most: int, *, block: int = BLOCK) -> DataFrame:
     """
     active, members = rows, rows.select("video_id", "id", F.col("id").alias("cluster"))
     while True:
-        large = active.groupBy("video_id").count().filter(F.col("count") > block).select("video_id")
+        large = active.groupBy("video_id").count().filter(F.col("count") > max(block, most)).select("video_id")
         if large.isEmpty():
             break
         big = active.join(large.hint("merge"), "video_id", "left_semi")
@@ -263,7 +263,7 @@ def cluster_speakers(embeddings: DataFrame, most: int = 6, *, block: int = BLOCK
     kinds = rows.groupBy("video_id", "embedding").agg(F.min("segment_id").alias("id"), F.count(F.lit(1)).cast("double").alias("w"))
     kinds = written(kinds.select("video_id", "id", F.col("embedding").alias("x"), "w"), "embeddings")
     cut = written(kinds.join(ward_cuts(kinds, most, block=block).hint("merge"), ["video_id", "id"]), "cuts")
-    k = choose_k(silhouettes(cut, most, block=block))
+    k = choose_k(written(silhouettes(cut, most, block=block), "silhouettes"))
     label = F.when(F.coalesce("k", F.lit(1)) > 1, F.get("labels", F.col("k") - 2)).otherwise(0)
     found = cut.join(k.hint("merge"), "video_id", "left").select("video_id", F.col("x").alias("embedding"), label.alias("label"))
     named = written(rows.join(found.hint("merge"), ["video_id", "embedding"]).select("video_id", "segment_id", "label"), "labels")
