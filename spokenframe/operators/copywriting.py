@@ -2,46 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import NON_LATIN, clean_hook, ensure_emoji, hook_reason, normalise_hashtags, strip_emoji, text, words_of
+from ..sources.shared import written
 
 _ORDER = {name: k for k, (name, _) in enumerate(L.HOOK_CATEGORIES)}
 _NAMES = "array(" + ", ".join(f"'{n}'" for n in _ORDER) + ")"
 
 
-def assemble_hooks(proposed: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """(clip_id, category, text): at most one usable hook a category, in the order of proposal.
-
-    proposed: (clip_id, pos, category, text).  Unusable hooks and repeats of a kept text are dropped.  A category is
-    matched without case; an unknown one stands for the first free one.  taken: hooks a clip has already.
-    """
+def _usable_items(proposed: DataFrame) -> DataFrame:
+    """(clip_id, items): each clip's usable hooks in the order of proposal."""
     rows = proposed.withColumn("text", clean_hook(F.col("text"))).filter(hook_reason(F.col("text")) == "")
-    items = rows.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.lower(F.trim(text(F.col("category")))).alias("c"), "text", F.lower(strip_emoji(F.col("text"))).alias("key")))).alias("items"))
-    have = "cast(array() as array<struct<category:string,text:string,key:string>>)"
-    if taken is not None:
-        old = taken.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("category", "text", F.lower(strip_emoji(F.col("text"))).alias("key")))).alias("old"))
-        items = items.join(old.hint("merge"), "clip_id", "left")
-        have = f"coalesce(old, {have})"
-    match = f"coalesce(get(filter({_NAMES}, n -> lower(n) = x.c), 0), get(filter({_NAMES}, n -> not exists(kept, k -> k.category = n)), 0))"
+    return rows.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.lower(F.trim(text(F.col("category")))).alias("c"), "text", F.lower(strip_emoji(F.col("text"))).alias("key")))).alias("items"))
+
+
+def _chosen(items: DataFrame, have: str, named: str) -> DataFrame:
+    """(clip_id, category, text): items folded over the hooks a clip has; named: which categories an item may name, the first free one stands for others."""
+    match = f"coalesce(get(filter({_NAMES}, n -> lower(n) = x.c and {named}), 0), get(filter({_NAMES}, n -> not exists(kept, k -> k.category = n)), 0))"
     fold = f"""aggregate(items, {have}, (kept, x) -> if(exists(kept, k -> k.key = x.key) or {match} is null or exists(kept, k -> k.category = {match}),
       kept, concat(kept, array(struct({match} as category, x.text as text, x.key as key)))))"""
     kept = items.select("clip_id", F.explode(F.expr(fold)).alias("k"))
     return kept.select("clip_id", "k.category", ensure_emoji(F.col("k.text"), F.col("k.category")).alias("text"))
 
 
+def assemble_hooks(proposed: DataFrame) -> DataFrame:
+    """(clip_id, category, text): at most one usable hook a category, in the order of proposal.
+
+    proposed: (clip_id, pos, category, text).  Unusable hooks and repeats of a kept text are dropped.  A category is
+    matched without case; an unknown one stands for the first free one.
+    """
+    return _chosen(_usable_items(proposed), "cast(array() as array<struct<category:string,text:string,key:string>>)", "true")
+
+
 def missing_hooks(clips: DataFrame, hooks: DataFrame) -> DataFrame:
     """(clip_id, category): categories for which a clip has no hook."""
     names = clips.select("clip_id", F.explode(F.expr(_NAMES)).alias("category"))
     return names.join(hooks.select("clip_id", "category").hint("merge"), ["clip_id", "category"], "left_anti")
 
 
+def fill_requests(clips: DataFrame, hooks: DataFrame) -> DataFrame:
+    """(clip_id, missing, existing): for clips without a full set, the categories that they lack and the hooks that they have, both in print order."""
+    place = F.array_position(F.expr(_NAMES), F.col("category"))
+    texts = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c])
+    lack = missing_hooks(clips, hooks).withColumn("place", place).groupBy("clip_id").agg(texts("category").alias("missing"))
+    have = hooks.withColumn("place", place).groupBy("clip_id").agg(texts("text").alias("existing"))
+    return lack.join(have.hint("merge"), "clip_id", "left").select("clip_id", "missing", F.coalesce("existing", F.array().cast("array<string>")).alias("existing"))
+
+
 def merge_fill(hooks: DataFrame, filled: DataFrame) -> DataFrame:
-    """hooks with the answers to a follow-up request merged in under the same rules."""
-    old = hooks.join(filled.select("clip_id").distinct().hint("merge"), "clip_id", "left_anti").select("clip_id", "category", "text")
-    return assemble_hooks(filled, hooks).unionByName(old)
+    """hooks with the answers (clip_id, pos, category, text) to a request for missing ones merged in.
+
+    An answer may name a category that the clip lacks; any other name stands for the first one that
+    is still free, so a good hook under a filled category isn't lost.
+    """
+    old = hooks.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("category", "text", F.lower(strip_emoji(F.col("text"))).alias("key")))).alias("old"))
+    items = _usable_items(filled).join(old.hint("merge"), "clip_id", "left").withColumn("old", F.expr("coalesce(old, cast(array() as array<struct<category:string,text:string,key:string>>))"))
+    rest = hooks.join(items.select("clip_id").hint("merge"), "clip_id", "left_anti").select("clip_id", "category", "text")
+    return _chosen(items, "old", "not exists(old, k -> k.category = n)").unionByName(rest)
+
+
+def complete_hooks(clips: DataFrame, hooks: DataFrame, ask: Callable[[DataFrame], DataFrame], *, rounds: int = 3) -> DataFrame:
+    """hooks (clip_id, category, text) after up to `rounds` follow-up requests for what the clips lack.
+
+    ask takes fill_requests' rows and returns proposals (clip_id, pos, category, text).  A clip that is complete, or got
+    nothing from the round before, is not asked for again.  Every round's hooks are written, so that
+    an answer is asked for once; the rounds end when no clip is left to ask for.
+    """
+    hooks, open_ = written(hooks.select("clip_id", "category", "text"), "hooks"), clips.select("clip_id")
+    for _ in range(rounds):
+        requests = written(fill_requests(open_, hooks.join(open_.hint("merge"), "clip_id", "left_semi")), "fill-requests")
+        if requests.isEmpty():
+            break
+        merged = written(merge_fill(hooks, written(ask(requests), "fill-answers")), "hooks")
+        count = lambda h: h.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"))
+        grown = count(merged).join(count(hooks).withColumnRenamed("n", "was").hint("merge"), "clip_id", "left").filter("n > coalesce(was, 0)")
+        open_ = written(grown.join(requests.select("clip_id").hint("merge"), "clip_id", "left_semi").select("clip_id"), "filled-clips")
+        hooks = merged
+    return hooks
 
 
 def repair_ranking(hooks: DataFrame, rankings: DataFrame) -> DataFrame:

@@ -106,9 +106,17 @@ def summary_requests(numbered: DataFrame, system: str, schema: str = "", chunks:
 
 
 def reduce_summaries(requests: DataFrame, responses: DataFrame, most_chars: int = 1500) -> DataFrame:
-    """(video_id, notes, fallback): "[Ns] text" lines of each video's answers in order, and their texts as a plain summary."""
-    rows = requests.join(responses.filter("error is null and trim(coalesce(response, '')) <> ''").hint("merge"), "request_id")
-    item = F.struct("chunk_idx", F.format_string("[%ds] %s", F.floor(F.col("start_ms") / 1000), F.trim("response")).alias("line"), F.trim("response").alias("text"))
+    """(video_id, notes, fallback): "[Ns] text" lines of each video's answers in order of time, and their texts as a plain summary.
+
+    Answers are JSON with `summary`, whose labels and white space are cleaned; failed, broken and blank ones give no
+    line.  Seconds are rounded, halves to even.
+    """
+    from ..functions.text import clean_label_text
+
+    parsed = parse_model_json(responses.filter("error is null").select("request_id", "response"), "response", "summary string")
+    said = parsed.select("request_id", clean_label_text(F.col("parsed.summary")).alias("said")).filter("said <> ''")
+    rows = requests.join(said.hint("merge"), "request_id")
+    item = F.struct("start_ms", "chunk_idx", F.format_string("[%.0fs] %s", F.bround(F.col("start_ms") / 1000.0), F.col("said")).alias("line"), F.col("said").alias("text"))
     by = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
     return by.select("video_id", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("notes"), F.left(F.array_join(F.transform("x", lambda e: e["text"]), " "), F.lit(most_chars)).alias("fallback"))
 

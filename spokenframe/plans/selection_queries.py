@@ -455,10 +455,14 @@ def _(jobs):
 
 
 def _hooks(segments):
-    names = list(W._ORDER)
-    category = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("segment_id") % 13 + 1).cast("int"))
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 7)
-    return segments.select(F.col("video_id").alias("clip_id"), F.col("segment_id").alias("pos"), F.when(F.col("segment_id") % 4 == 0, "other").otherwise(F.upper(category)).alias("category"), F.array_join(words, " ").alias("text"))
+    """Every run of seven words of a segment as a proposal; categories take turns, some are unknown."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 7).cast("int")), lambda j: F.array_join(F.slice(words, j * 7 + 1, 7), " "))
+    rows = segments.select("video_id", "segment_id", F.posexplode(runs).alias("j", "text"))
+    names = F.array(*[F.lit(n) for n in W._ORDER])
+    turn = F.col("segment_id") + F.col("j")
+    category = F.when(turn % 4 == 0, "other").otherwise(F.upper(F.element_at(names, (turn % 13 + 1).cast("int"))))
+    return rows.select(F.col("video_id").alias("clip_id"), (F.col("segment_id") * 100_000 + F.col("j")).alias("pos"), category.alias("category"), "text")
 
 
 @query("f20_assemble_hooks", "segments")
@@ -471,6 +475,20 @@ def _(segments):
     return W.missing_hooks(segments.select(F.col("video_id").alias("clip_id")).distinct(), W.assemble_hooks(_hooks(segments)))
 
 
+@query("f21_fill_rounds", "segments")
+def _(segments):
+    """Clips whose first answer is one segment's hooks are asked again; each answer comes from the segments with the next numbers."""
+    proposals = written(_hooks(segments), "proposals")
+    numbered = proposals.withColumn("turn", F.floor(F.col("pos") / 100_000) % 4)
+
+    def ask(requests):
+        have = F.floor(F.size("existing") / 4) % 3 + 1
+        return numbered.join(requests.select("clip_id", have.alias("turn")).hint("merge"), ["clip_id", "turn"]).drop("turn")
+
+    first = W.assemble_hooks(numbered.filter("turn = 0").drop("turn"))
+    return W.complete_hooks(segments.select(F.col("video_id").alias("clip_id")).distinct(), first, ask)
+
+
 @query("f22_repair_ranking", "segments")
 def _(segments):
     hooks = W.assemble_hooks(_hooks(segments))
@@ -550,13 +568,22 @@ def _(segments):
     return X.model_map(asked, _echo, retries=1).select("request_id", F.get_json_object("response", "$.words").cast("bigint").alias("words"), F.col("error").isNotNull().alias("failed"))
 
 
+def _summary(system: str, prompt: str, schema: str) -> str:
+    """A stand-in for a model: says how many words it read, fails, breaks off or says nothing on some prompts."""
+    n = len(prompt.split())
+    if n % 11 == 0:
+        raise ValueError("eleven")
+    said = {"summary": "" if n % 13 == 0 else f"Summary: speaker B  says {n} words."}
+    return f"Here: {json.dumps(said)} Done." if n % 3 == 0 else "no json" if n % 7 == 0 else json.dumps(said)
+
+
 @query("f23_summaries", "segments", f"""{_CHUNKS.replace('trim(text)) + 1 as n,', 'trim(text)) + 1 as n, ' + _NW + ' as words,').replace('select video_id, r, start_ms, 0 as chunk', 'select video_id, r, words, start_ms, 0 as chunk').replace('select s.video_id, s.r, s.start_ms', 'select s.video_id, s.r, s.words, s.start_ms')},
-w as (select video_id, chunk, min(chunk_start) as start_ms, sum(words) as n from c group by 1, 2), y as (select *, concat('{{"words": ', n, '}}') as said from w where n % 11 <> 0)
-select video_id, string_agg(concat('[', start_ms // 1000, 's] ', said), chr(10) order by chunk) as notes, left(string_agg(said, ' ' order by chunk), 1500) as fallback from y group by 1""")
+w as (select video_id, chunk, min(chunk_start) as start_ms, sum(words) as n from c group by 1, 2), y as (select *, concat('Someone says ', n, ' words.') as said from w where n % 11 <> 0 and n % 13 <> 0 and (n % 3 = 0 or n % 7 <> 0))
+select video_id, string_agg(concat('[', round_even(start_ms / 1000, 0)::bigint, 's] ', said), chr(10) order by start_ms, chunk) as notes, left(string_agg(said, ' ' order by start_ms, chunk), 1500) as fallback from y group by 1""")
 def _(segments):
     numbered = S.number_chunks(segments.select("video_id", "segment_id", "start_ms", "text"), 500)
     asked = written(X.summary_requests(numbered, "Summarise."), "requests")
-    return X.reduce_summaries(asked, X.model_map(asked, _echo, retries=1))
+    return X.reduce_summaries(asked, written(X.model_map(asked, _summary, retries=1), "responses"))
 
 
 @query("f24_describe_requests", "windows segments", "with t as (select w.video_id, w.window_id, string_agg(trim(s.text), ' ' order by s.segment_id) as text from windows w join segments s on s.video_id = w.video_id and s.end_ms > w.start_ms and s.start_ms < w.end_ms group by 1, 2) select concat(video_id, ':', window_id) as request_id, concat('Video ', video_id, chr(10), chr(10), text) as prompt from t where trim(text) <> ''")

@@ -85,7 +85,7 @@ def test_hook_sets(spark):
     got = {(x.clip_id, x.category): x.text for x in hooks.collect()}
     assert got == {(1, "Shock"): "😳 The crowd turned on him", (1, "Curiosity"): "👀 The door slams in silence", (2, "Debate"): "🗣️ Who was right in the end"}
     more = W.merge_fill(hooks, spark.createDataFrame([(1, 0, "Irony", "He had called for calm"), (1, 1, "Shock", "Not taken at this place now")], "clip_id long, pos int, category string, text string"))
-    assert {(x.clip_id, x.category) for x in more.collect()} == {*got, (1, "Irony")}
+    assert {(x.clip_id, x.category) for x in more.collect()} == {*got, (1, "Irony"), (1, "Conflict")}  # a filled name stands for the first free one
     ranked = W.repair_ranking(hooks, spark.createDataFrame([(1, [2, 9, 2])], "clip_id long, ranking array<int>"))
     assert {(x.clip_id, x.category, x.rank) for x in ranked.collect()} == {(1, "Curiosity", 1), (1, "Shock", 2), (2, "Debate", 1)}
     assert W.missing_hooks(spark.createDataFrame([(1,)], "clip_id long"), hooks).count() == 11
