@@ -139,11 +139,11 @@ def _squeezed(c: Column) -> Column:
 
 def clean_label_text(c: Column, openers: tuple[str, ...] = L.TASK_OPENERS) -> Column:
     """Speaker labels become "someone", spaces collapse, openings that restate the task go, the next letter rises."""
-    out = _squeezed(c)
-    for o in openers:
-        rest = F.trim(F.substr(out, F.lit(len(o) + 1)))
-        out = F.when(F.startswith(F.lower(out), F.lit(o)), F.concat(F.upper(F.left(rest, F.lit(1))), F.substr(rest, F.lit(2)))).otherwise(out)
-    return out
+    def without(acc: Column, opener: Column) -> Column:
+        rest = F.trim(F.substr(acc, F.length(opener) + 1))
+        return F.when(F.startswith(F.lower(acc), opener), F.concat(F.upper(F.left(rest, F.lit(1))), F.substr(rest, F.lit(2)))).otherwise(acc)
+
+    return F.aggregate(F.array(*[F.lit(o) for o in openers]), _squeezed(c), without)
 
 
 def clean_hook(c: Column) -> Column:

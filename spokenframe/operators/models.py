@@ -3,39 +3,109 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 RESPONSE = "request_id string, response string, error string"
 
 
-def model_map(requests: DataFrame, call: Callable[[str, str, str], str] | None, *, concurrency: int = 8, retries: int = 3) -> DataFrame:
+def request_hash() -> Column:
+    """What a request is known by in a store: its system text, prompt and schema."""
+    return F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in ("system", "prompt", "schema")])), 256)
+
+
+def _answer(call: Callable[[str, str, str], str] | None, retries: int, system: str, prompt: str, schema: str) -> tuple[str | None, str | None]:
+    """(answer, error) after up to `retries` tries; the error of a failed one is named in the next prompt."""
+    answer, error, asked = None, "no model", prompt
+    for _ in range(retries if call else 0):
+        try:
+            return call(system, asked, schema), None
+        except Exception as e:  # noqa: BLE001  whatever a model raises is the row's error
+            error = f"{type(e).__name__}: {e}"
+            asked = f"{prompt}\n\nThe last answer failed: {error}"
+    return answer, error
+
+
+def model_map(requests: DataFrame, call: Callable[[str, str, str], str] | None, *, concurrency: int = 8, in_flight: int = 1, retries: int = 3, store: str | None = None) -> DataFrame:
     """(request_id, response, error) of requests (request_id, system, prompt, schema).
 
-    call(system, prompt, schema) returns the answer's text.  concurrency bounds how many calls run at once.  A call
-    that raises is repeated, with the error named in the prompt; after `retries` tries the row carries
-    the error and the others go on.  Without a call every row carries an error.
+    call(system, prompt, schema) returns the answer's text.  concurrency bounds how many calls run at once in the whole
+    cluster, in_flight of them in one task.  A call that raises is repeated, with the error named in the
+    prompt; after `retries` tries the row carries the error and the others go on.  Without a call every row carries an error.
+
+    store: a folder that driver and executors share, for answers by request hash.  What it holds is not asked again, equal
+    requests are asked once, and every answer is put there as soon as it has come, in files that an attempt of a
+    task names for itself: a killed attempt's successor reads what it left.  Failures aren't stored.
     """
+    asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "system", "prompt", "schema")
+    tasks = max(1, concurrency // max(1, in_flight))
+    if store is None:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            with ThreadPoolExecutor(max(1, in_flight)) as pool:
+                for pdf in batches:
+                    got = list(pool.map(lambda r: _answer(call, retries, r[0], r[1], r[2]), zip(pdf["system"], pdf["prompt"], pdf["schema"], strict=True)))
+                    yield pd.DataFrame({"request_id": pdf["request_id"].astype(str), "response": [a for a, _ in got], "error": [e for _, e in got]})
+
+        return asked.repartition(tasks).mapInPandas(run, RESPONSE)
+    asked = written(asked.withColumn("hash", request_hash()), "requests")
+    have = stored_answers(asked.sparkSession, store)
+    open_ = asked.select("hash", "system", "prompt", "schema").dropDuplicates(["hash"]).join(have.select("hash").hint("merge"), "hash", "left_anti")
+    failed = written(open_.repartition(tasks, "hash").sortWithinPartitions("hash").mapInPandas(_storing(call, retries, max(1, in_flight), store), "hash string, error string"), "failed-requests")
+    done = stored_answers(asked.sparkSession, store)
+    rows = asked.select("request_id", "hash").join(done.hint("merge"), "hash", "left").join(failed.hint("merge"), "hash", "left")
+    return rows.select("request_id", "response", F.when(F.col("response").isNull(), F.col("error")).alias("error"))
+
+
+def stored_answers(spark: SparkSession, store: str) -> DataFrame:
+    """(hash, response) of a store; none if it is not there yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    schema = "hash string, response string"
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    # attempts that ran side by side may have answered a request twice
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(store).groupBy("hash").agg(F.min("response").alias("response"))
+
+
+def _storing(call: Callable[[str, str, str], str] | None, retries: int, in_flight: int, store: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task that answers its requests and stores each answer in a file of its own name; (hash, error) of those that failed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                answer, error, prompt = None, "no model", r.prompt
-                for _ in range(retries if call else 0):
-                    try:
-                        answer, error = call(r.system, prompt, r.schema), None
-                        break
-                    except Exception as e:  # noqa: BLE001  whatever a model raises is the row's error
-                        error = f"{type(e).__name__}: {e}"
-                        prompt = f"{r.prompt}\n\nThe last answer failed: {error}"
-                rows.append((str(r.request_id), answer, error))
-            yield pd.DataFrame(rows, columns=["request_id", "response", "error"])
-
-    asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "system", "prompt", "schema")
-    return asked.repartition(concurrency).mapInPandas(run, RESPONSE)
+        import json
+        import uuid
+
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        place, root = fs.FileSystem.from_uri(store if "://" in store or not store.startswith("file:") else "file://" + store[5:])
+        context = TaskContext.get()
+        folder = f"{root}/stage-{context.stageId()}-task-{context.partitionId()}"  # another attempt of the task has the same
+        place.create_dir(folder, recursive=True)
+        known = set()
+        for info in place.get_file_info(fs.FileSelector(folder)):
+            with place.open_input_file(info.path) as f:
+                known |= {json.loads(line)["hash"] for line in f.read().decode().splitlines()}
+
+        def ask(r: tuple[str, str, str, str]) -> tuple[str, str | None]:
+            if r[0] in known:
+                return r[0], None
+            answer, error = _answer(call, retries, *r[1:])
+            if error is None:
+                with place.open_output_stream(f"{folder}/{uuid.uuid4().hex}.json") as out:
+                    out.write((json.dumps({"hash": r[0], "response": answer}) + "\n").encode())
+            return r[0], error
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in batches:
+                got = list(pool.map(ask, pdf[["hash", "system", "prompt", "schema"]].itertuples(index=False, name=None)))
+                yield pd.DataFrame([x for x in got if x[1] is not None], columns=["hash", "error"])
+
+    return run
 
 
 def _outer_json(text: str) -> str | None:
