@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.text import is_low_value, starts_dependently, words_of
 from ..sources.shared import written
-from .ranges import near_points, overlapping, range_join, text_in_window, texts_in, words_in_windows
+from .ranges import near_points, overlapping, range_join, text_in_window, texts_in, timed_words, words_in_windows
 from .segments import ends_sentence, pause_points, sentence_ends, sentence_starts
 
 LEAD_IN, LEAD_OUT = 180, 350
@@ -161,9 +161,12 @@ def expand_for_context(windows: DataFrame, words: DataFrame, segments: DataFrame
 
 def complete_ending(windows: DataFrame, words: DataFrame, segments: DataFrame, punctuated: DataFrame, *, media: DataFrame | None = None, min_ms: int = 0, max_ms: int = 60_000, ahead_ms: int = 8000, trim_ms: int = 1500) -> DataFrame:
     """(keys, start_ms, end_ms): an end inside a sentence moves to its end, else back to the last ended one, else off trailing connectives."""
-    w = _with_limits(windows, min_ms, max_ms, media)
+    if "seg_start" not in words.columns:
+        words = written(timed_words(words, segments), "words")
+    w = written(_with_limits(windows, min_ms, max_ms, media), "windows")
     tail = text_in_window(w.select(*KEYS, F.greatest(F.lit(0), F.col("end_ms") - 6000).alias("start_ms"), "end_ms"), words, segments).withColumnRenamed("text", "tail")
     w = w.join(tail.hint("merge"), KEYS, "left").withColumn("open", (F.coalesce("tail", F.lit("")) != "") & ~ends_sentence(F.col("tail")))
+    w = written(w.drop("tail"), "tails")
     probes = w.filter("open").select("video_id", F.col("window_id").alias("probe_id"), F.col("end_ms").alias("t_ms"))
     hit = near_points(probes, punctuated, max_ms, ahead_ms).groupBy("video_id", F.col("probe_id").alias("window_id")).agg(
         F.min(F.when(F.col("point") > F.col("p"), F.col("point"))).alias("after"), F.max(F.when(F.col("point") < F.col("p"), F.col("point"))).alias("before"))
@@ -171,7 +174,7 @@ def complete_ending(windows: DataFrame, words: DataFrame, segments: DataFrame, p
     later = F.least(F.col("after") + LEAD_OUT, F.when(F.col("total_ms") > 0, F.col("total_ms")))
     later = F.when(F.col("after").isNotNull() & (later - F.col("start_ms") <= F.col("max_ms")), later)
     sooner = F.when(F.col("before") + LEAD_OUT - F.col("start_ms") >= F.col("min_ms"), F.col("before") + LEAD_OUT)
-    w = w.withColumn("moved", F.coalesce(later, sooner))
+    w = written(w.withColumn("moved", F.coalesce(later, sooner)), "moved-ends")
     # trailing connectives: the last words of what is still open
     stuck = w.filter("open and moved is null")
     last = words_in_windows(stuck.select(*KEYS, "start_ms", "end_ms"), words, segments).groupBy(*KEYS).agg(F.expr("array_sort(collect_list(struct(word_idx, word, end_ms)), (a, b) -> case when a.word_idx > b.word_idx then -1 else 1 end)").alias("last"))

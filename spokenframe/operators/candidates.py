@@ -36,11 +36,11 @@ def candidate_windows(anchored: DataFrame, *, min_ms: int = 20_000, max_ms: int
     Sentences under least_anchor start a window only at every `every`-th place.  Windows grow until the first
     that is too long.  Of windows whose edges fall into the same quarter seconds the first (by i, then j) stays.
     """
-    first = anchored.filter((F.col("anchor") >= least_anchor) | (F.col("i") % every == 0)).select("video_id", "i", "start_ms", "anchor", "trigger", F.explode(F.sequence(F.col("i"), F.col("i") + reach - 1)).alias("j"))
-    last = anchored.select("video_id", F.col("i").alias("j"), "end_ms")
-    rows = first.join(last.hint("merge"), ["video_id", "j"]).withColumn("ms", F.col("end_ms") - F.col("start_ms"))
-    over = F.max((F.col("ms") > max_ms).cast("int")).over(Window.partitionBy("video_id", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("over", over).filter((F.col("over") == 0) & (F.col("ms") >= min_ms))
+    ahead = F.collect_list("end_ms").over(Window.partitionBy("video_id").orderBy("i").rowsBetween(0, reach - 1))
+    first = anchored.select("video_id", "i", "start_ms", "anchor", "trigger", ahead.alias("ends")).filter((F.col("anchor") >= least_anchor) | (F.col("i") % every == 0))
+    long = F.array_position(F.transform("ends", lambda e: e - F.col("start_ms") > max_ms), F.lit(True))
+    ends = F.when(long > 0, F.slice("ends", F.lit(1), long.cast("int") - 1)).otherwise(F.col("ends"))
+    rows = first.select("video_id", "i", "start_ms", "anchor", "trigger", F.posexplode(ends).alias("k", "end_ms")).filter(F.col("end_ms") - F.col("start_ms") >= min_ms).withColumn("j", F.col("i") + F.col("k"))
     nth = F.row_number().over(Window.partitionBy("video_id", F.floor(F.col("start_ms") / 250), F.floor(F.col("end_ms") / 250)).orderBy("i", "j"))
     return rows.withColumn("nth", nth).filter("nth = 1").select("video_id", "i", "j", "start_ms", "end_ms", "anchor", "trigger")
 

@@ -32,6 +32,7 @@ def generate_candidates(words: DataFrame, segments: DataFrame, turns: DataFrame,
     Columns: video_id, window_id, anchor_id, rank, name, start_ms, end_ms, trigger, text, factors, punch, conflict, heuristic_score, before, after, kinds.
     """
     segments, audio_frames = written(segments, "segments"), written(audio_frames, "loudness")
+    turns, scenes, media = written(turns, "turns"), written(scenes, "scenes"), written(media, "media")
     words = written(R.timed_words(words, segments), "words")
     anchored = C.anchored_sentences(S.build_sentences(words, segments), triggers, low_value)
     raw = C.candidate_windows(anchored, min_ms=min_ms, max_ms=max_ms).withColumn("window_id", F.col("i") * 100_000 + F.col("j"))
@@ -53,7 +54,7 @@ def apply_validation(clips: DataFrame, verdicts: DataFrame, words: DataFrame, se
 
     Columns: video_id, window_id, index (by start), start_ms, end_ms, text, speakers.  A video of which nothing is left has no row.
     """
-    segments = written(segments, "segments")
+    segments, media = written(segments, "segments"), written(media, "media")
     words = written(R.timed_words(words, segments), "words")
     points = _points(words, segments, scenes)
     rows = clips.join(verdicts.hint("merge"), KEYS, "left").withColumn("verdict", F.coalesce("verdict", F.lit("accept"))).filter("verdict <> 'reject'")
@@ -63,7 +64,7 @@ def apply_validation(clips: DataFrame, verdicts: DataFrame, words: DataFrame, se
     moved = B.expand_for_context(wider.withColumn("lookback_ms", own), words, segments, _starts(points), max_ms=max_ms)
     same = rows.join(wider.select(KEYS).hint("merge"), KEYS, "left_anti").select(*KEYS, "start_ms", "end_ms")
     moved = written(moved.unionByName(same), "expanded")
-    trimmed = written(B.trim_filler_opening(moved, S.build_sentences(words, segments), media=media, min_ms=min_ms, max_ms=max_ms), "trimmed")
+    trimmed = written(B.trim_filler_opening(moved, written(S.build_sentences(words, segments), "sentences"), media=media, min_ms=min_ms, max_ms=max_ms), "trimmed")
     floored = trimmed.withColumn("floor_ms", F.when(F.col("trimmed"), F.col("start_ms")))
     refined = B.refine_boundaries(floored.drop("trimmed"), words, segments, points, media=media, min_ms=min_ms, max_ms=max_ms)
     opens = refined.filter("opens_mid_sentence").select(*KEYS, "start_ms", "end_ms")
