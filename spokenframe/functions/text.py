@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.segments import ends_sentence
+from ..operators.joins import dealt
 from . import lexicons as L
 
 EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}\\x{FE0F}\\x{200D}]"
@@ -133,6 +134,19 @@ def apply_truncations(rows: DataFrame, mapping: DataFrame, key: str, column: str
     return rows.join(known.hint("merge"), "video_id", "left").withColumn(column, fixed).drop("_map")
 
 
+def truncated_words(words: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(video_id, segment_id, word_idx, word): the words whose first token is mapped, with that token replaced in its case; their number is how many words a mapping changes.
+
+    words: (video_id, segment_id, word_idx, word, ...); mapping: (video_id, short, long).  Times stay those of the words.
+    """
+    bare = F.regexp_extract("word", TOKEN, 0)
+    rows = words.select("video_id", "segment_id", "word_idx", "word", bare.alias("bare"), F.lower(bare).alias("short")).filter("bare <> ''")
+    hit = dealt(rows, mapping.select("video_id", "short", "long"), ["video_id", "short"])
+    at = F.instr("word", F.col("bare"))
+    fixed = F.concat(F.left("word", at - 1), match_case(F.col("long"), F.col("bare")), F.substr("word", at + F.length("bare")))
+    return hit.select("video_id", "segment_id", "word_idx", fixed.alias("word"))
+
+
 def _squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text(c), SPEAKER_LABEL, "someone"), r"\s+", " "))
 

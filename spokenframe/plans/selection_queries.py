@@ -21,7 +21,7 @@ from ..operators import signals as G
 from ..operators import speakers as K
 from ..sources import transcripts as A
 from ..sources.shared import shared_dir, written
-from ..streaming import feeds
+from ..streaming import feeds, upserts
 from . import stage_sql as Q
 from .registry import query
 from .signal_queries import _CHUNKS, _SENT, HOP, _faced
@@ -637,6 +637,19 @@ def _(feedback):
     return feeds.job_latest(feedback.select(F.col("project_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event").alias("status"), F.col("value").alias("progress"))).drop("ts")
 
 
+@query("s02_job_upserts", "feedback", "select project_id as job_id, arg_max(event, struct_pack(a := ts, b := event_id)) as status, arg_max(value, struct_pack(a := ts, b := event_id)) as progress from feedback group by 1")
+def _(feedback):
+    """Updates arrive as files, a few a batch; every batch is upserted into a table, from which the states are read."""
+    spark = feedback.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/updates-{uuid.uuid4().hex}"
+    rows = feedback.select(F.col("project_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event").alias("status"), F.col("value").alias("progress"))
+    rows.repartition(6, "seq").write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    put = upserts.upsert_into(f"{folder}/table", ["job_id"], ["ts", "seq"])
+    arriving.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return upserts.read_table(spark, f"{folder}/table", "job_id bigint, ts timestamp, seq bigint, status string, progress double").select("job_id", "status", "progress")
+
+
 @query("s03_segments_stream", "segments words", "select video_id, segment_id, start_ms, end_ms, trim(text) as text from segments")
 def _(segments, words):
     """Segments that arrive as files, picked up by a stream that ends once all are read."""

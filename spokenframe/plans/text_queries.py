@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..sources.shared import written
 from .registry import query
 
 _TRIG = (("story", 0.9, r"\b(then|this|to the)\b"), ("lesson", 0.85, r"\b(of the|it)\b"), ("claim", 0.5, r"\b(and|he)\b"), ("explanation", 0.35, r"\b(or)\b"))
@@ -82,8 +83,11 @@ def _(segments):
     return T.proper_nouns(_unstopped(segments))
 
 
-@query("e08_find_truncations", "segments", f"""with {_NAMES}, n as (select video_id, lower(token) as token, count(*) as n, min(segment_id * 100000 + pos) as seen from tok group by 1, 2), k as (select n.* from n join names using (video_id, token) where length(token) >= 2),
-p as (select s.video_id, s.token as short, l.token as long, row_number() over (partition by s.video_id, s.token order by length(l.token), l.seen) as r from k s join k l on l.video_id = s.video_id and length(l.token) > length(s.token) and ends_with(l.token, s.token) where l.n >= 1 and l.n >= 1.0 * s.n) select video_id, short, long from p where r = 1""")
+_TRUNCATED = f"""with {_NAMES}, n as (select video_id, lower(token) as token, count(*) as n, min(segment_id * 100000 + pos) as seen from tok group by 1, 2), k as (select n.* from n join names using (video_id, token) where length(token) >= 2),
+p as (select s.video_id, s.token as short, l.token as long, row_number() over (partition by s.video_id, s.token order by length(l.token), l.seen) as r from k s join k l on l.video_id = s.video_id and length(l.token) > length(s.token) and ends_with(l.token, s.token) where l.n >= 1 and l.n >= 1.0 * s.n)"""
+
+
+@query("e08_find_truncations", "segments", f"{_TRUNCATED} select video_id, short, long from p where r = 1")
 def _(segments):
     return T.find_truncations(_unstopped(segments), least_length=2, dominance=1.0, least_count=1)
 
@@ -94,6 +98,14 @@ def _(segments):
     return T.apply_truncations(segments.select("video_id", "segment_id", "text"), mapping, "segment_id")
 
 
+@query("e09_truncated_words", "segments words", rf"""{_TRUNCATED}, q as (select w.*, regexp_extract(word, '[A-Za-z][A-Za-z''’-]*') as bare from words w),
+z as (select q.*, case when upper(bare) = bare then upper(long) when upper(left(bare, 1)) = left(bare, 1) then upper(left(long, 1)) || lower(substr(long, 2)) else long end as new from q join p on p.video_id = q.video_id and p.short = lower(q.bare) and p.r = 1)
+select video_id, segment_id, word_idx, left(word, instr(word, bare) - 1) || new || substr(word, instr(word, bare) + length(bare)) as word from z""")
+def _(segments, words):
+    mapping = T.find_truncations(_unstopped(segments), least_length=2, dominance=1.0, least_count=1)
+    return T.truncated_words(words, written(mapping, "mapping"))
+
+
 @query("e10_clean_label_text", "segments", r"""select video_id, segment_id, trim(regexp_replace(regexp_replace(concat(speaker, ' said: ', text), '(?i)\bspeakers?\s+[A-Z]\b', 'someone', 'g'), '\s+', ' ', 'g')) as cleaned, concat(upper(left(trim(text), 1)), substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 2)) as opened from segments""")
 def _(segments):
     return segments.select("video_id", "segment_id", T.clean_label_text(F.concat("speaker", F.lit(" said: "), "text")).alias("cleaned"), T.clean_label_text(F.concat(F.lit("Summary: "), "text")).alias("opened"))
