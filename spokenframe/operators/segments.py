@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+from .joins import prefix_sums
 from .ranges import in_any_span
 
 #: A word or text that ends a sentence.
@@ -160,12 +162,26 @@ def suppress_cues(cues: DataFrame, spans: DataFrame) -> DataFrame:
     return cues.join(hidden.hint("merge"), ["video_id", "cue_id"], "left_anti")
 
 
-def number_chunks(segments: DataFrame, budget: int = 5000) -> DataFrame:
+#: Segments of a video up to which one task streams it.
+STREAM_ROWS = 1_000_000
+
+
+def number_chunks(segments: DataFrame, budget: int = 5000, *, stream_rows: int = STREAM_ROWS) -> DataFrame:
     """segments without blank ones, with chunk_idx: in order, a chunk closes once its texts, with one more character each, reach the budget.
 
-    Where a chunk closes depends on where the last one did, so a video's rows stream by in order and only the running length is held.
+    Where a chunk closes depends on where the last one did.  A video's rows stream by in order and only the running length is
+    held; videos of more than stream_rows segments are cut by pointers instead, by as many tasks as there are.
     """
     rows = segments.filter(F.trim("text") != "").withColumn("_n", (F.length(F.trim("text")) + 1).cast("bigint"))
+    long = rows.groupBy("video_id").count().filter(F.col("count") > stream_rows).select("video_id")
+    if long.isEmpty():
+        return _streamed_chunks(rows, budget)
+    long = written(long, "long-videos")
+    short = _streamed_chunks(rows.join(long.hint("merge"), "video_id", "left_anti"), budget)
+    return short.unionByName(_pointed_chunks(rows.join(long.hint("merge"), "video_id", "left_semi"), budget))
+
+
+def _streamed_chunks(rows: DataFrame, budget: int) -> DataFrame:
     rows = rows.repartition("video_id").sortWithinPartitions("video_id", "segment_id")
     fields = [f for f in rows.schema.fields if f.name != "_n"]
 
@@ -185,9 +201,41 @@ def number_chunks(segments: DataFrame, budget: int = 5000) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("chunk_idx", T.LongType())]))
 
 
-def chunk_by_budget(segments: DataFrame, budget: int = 5000) -> DataFrame:
+def _pointed_chunks(rows: DataFrame, budget: int) -> DataFrame:
+    """Chunks by pointer doubling: every row points at the row that would open the next chunk if it opened one.
+
+    A row stands at the length of all text before it.  Its pointer leads to the first row at its place plus the budget or later; places are
+    cut into stretches of one budget, so that row is in the next stretch, or follows the last row of that one or of
+    the row's own.  In round k the openings known so far are followed 2**k chunks on, and pointers are
+    doubled.  A row's chunk opened less than a budget before it, in its own stretch or the one before.
+    """
+    at = prefix_sums(rows.select("video_id", "segment_id", "_n"), ["video_id"], "segment_id", ["_n"]).withColumnRenamed("before__n", "p")
+    at = written(at.withColumn("b", F.floor(F.col("p") / budget)), "places")
+    stretch = written(at.groupBy("video_id", "b").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.max(F.col("p") + F.col("_n")).alias("after")), "stretches")  # at most half a budget of rows each
+    own = stretch.select("video_id", "b", F.col("after").alias("own_after"))
+    ahead = stretch.select("video_id", (F.col("b") - 1).alias("b"), "ps", "after")
+    to = at.join(own.hint("merge"), ["video_id", "b"]).join(ahead.hint("merge"), ["video_id", "b"], "left")
+    first = F.get(F.filter("ps", lambda x: x >= F.col("p") + budget), F.lit(0))
+    jump = written(to.select("video_id", "p", F.coalesce(first, "after", "own_after").alias("to")), "pointers")
+    opens, step = written(at.filter("p = 0").select("video_id", "p", F.lit(0).cast("long").alias("chunk_idx")), "openings"), 1
+    while True:
+        more = opens.join(jump.hint("merge"), ["video_id", "p"]).select("video_id", F.col("to").alias("p"), (F.col("chunk_idx") + step).alias("chunk_idx"))
+        more = written(more.join(at.select("video_id", "p").hint("merge"), ["video_id", "p"], "left_semi"), "openings")  # the end of a video is no row
+        if more.isEmpty():
+            break
+        opens, step = opens.union(more), 2 * step
+        jump = written(jump.join(jump.select("video_id", F.col("p").alias("to"), F.col("to").alias("next")).hint("merge"), ["video_id", "to"]).select("video_id", "p", F.col("next").alias("to")), "pointers")
+    opens = opens.withColumn("b", F.floor(F.col("p") / budget))
+    here = opens.select("video_id", "b", F.col("p").alias("open_p"), F.col("chunk_idx").alias("open_idx"))
+    before = opens.select("video_id", (F.col("b") + 1).alias("b"), F.col("chunk_idx").alias("last_idx"))
+    found = at.join(here.hint("merge"), ["video_id", "b"], "left").join(before.hint("merge"), ["video_id", "b"], "left")
+    found = found.select("video_id", "segment_id", F.coalesce(F.when(F.col("open_p") <= F.col("p"), F.col("open_idx")), "last_idx").alias("chunk_idx"))
+    return rows.drop("_n").join(found.hint("merge"), ["video_id", "segment_id"])
+
+
+def chunk_by_budget(segments: DataFrame, budget: int = 5000, *, stream_rows: int = STREAM_ROWS) -> DataFrame:
     """(video_id, chunk_idx, start_ms, n_segments, chars) of the chunks that number_chunks makes."""
-    rows = number_chunks(segments.select("video_id", "segment_id", "start_ms", "text"), budget)
+    rows = number_chunks(segments.select("video_id", "segment_id", "start_ms", "text"), budget, stream_rows=stream_rows)
     return rows.groupBy("video_id", "chunk_idx").agg(F.min_by("start_ms", "segment_id").alias("start_ms"), F.count(F.lit(1)).alias("n_segments"), F.sum(F.length(F.trim("text")) + 1).alias("chars"))
 
 

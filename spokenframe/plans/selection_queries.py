@@ -20,6 +20,7 @@ from ..operators import selection as P
 from ..operators import signals as G
 from ..operators import speakers as K
 from ..sources import transcripts as A
+from ..sources.arrivals import TranscriptFiles
 from ..sources.shared import shared_dir, written
 from ..streaming import feeds, upserts
 from . import stage_sql as Q
@@ -49,6 +50,19 @@ def _(segments, words):
     return back.join(n.hint("merge"), ["video_id", "segment_id"], "left").select("video_id", "segment_id", "start_ms", "end_ms", "text", "speaker", F.coalesce("n_words", F.lit(0)).alias("n_words"))
 
 
+@query("a01_transcript_source", "segments words", "select s.video_id, row_number() over (partition by s.video_id order by s.start_ms, s.segment_id) - 1 as segment_id, s.start_ms, s.end_ms, trim(s.text) as text, s.speaker, (select count(*) from words w where w.video_id = s.video_id and w.segment_id = s.segment_id) as n_words from segments s")
+def _(segments, words):
+    """Transcripts written as files, one a video, and read by the data source."""
+    spark = segments.sparkSession
+    spark.dataSource.register(TranscriptFiles)
+    folder = f"{shared_dir(spark).rstrip('/')}/transcripts-{uuid.uuid4().hex}"
+    each = F.array_sort(F.collect_list(F.struct(F.col("segment_id").alias("id"), "start", "end", "text", "words", "speaker")))
+    _nested(segments, words).groupBy("video_id").agg(each.alias("segments")).select(F.to_json(F.struct("video_id", "segments")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    back, spoken = A.split_words(A.filter_speech(spark.read.format("transcripts").option("suffix", ".txt").load(folder).drop("file")))
+    n = spoken.groupBy("video_id", "segment_id").agg(F.count(F.lit(1)).alias("n_words"))
+    return back.join(n.hint("merge"), ["video_id", "segment_id"], "left").select("video_id", "segment_id", "start_ms", "end_ms", "text", "speaker", F.coalesce("n_words", F.lit(0)).alias("n_words"))
+
+
 @query("a04_write_artifact", "candidates", "select video_id, candidate_id, start_ms, end_ms, case when video_id % 2 = 1 then heuristic_score + 1 else heuristic_score end as heuristic_score from candidates")
 def _(candidates):
     """Results written for each video, those of every other video written again, and all read back."""

@@ -114,6 +114,12 @@ def _(segments):
     return S.chunk_by_budget(segments, 500)
 
 
+@query("c11_chunks_by_pointers", "segments", _CHUNKS + " select video_id, chunk_idx, start_ms, n_segments, chars from k")
+def _(segments):
+    """Every video in the way of very long ones."""
+    return S.chunk_by_budget(segments, 500, stream_rows=0)
+
+
 @query("c12_sample_middle", "segments", """with n as (select video_id, segment_id, count(*) over (partition by video_id) as n, row_number() over (partition by video_id order by segment_id) - 1 as k from segments)
 select video_id, segment_id as chunk_idx from n where n <= 4 or k = 0 or k = n - 1 or (k > 0 and k < n - 1 and (k - 1) % greatest(1, (n - 2) // 2) = 0 and (k - 1) / greatest(1, (n - 2) // 2) < 2)""")
 def _(segments):
