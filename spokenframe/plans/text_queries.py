@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import lexicon_tables as H
 from ..sources.shared import written
 from .registry import query
 
@@ -157,3 +158,17 @@ def _(segments):
 @query("e24_media_shape", "faces", "select video_id, t_ms, face_no, x >= y as landscape, round(case when y > 0 then x / y else 0 end, 6) as ratio from faces")
 def _(faces):
     return faces.select("video_id", "t_ms", "face_no", T.is_landscape(F.col("x"), F.col("y")).alias("landscape"), F.round(T.aspect_ratio(F.col("x"), F.col("y")), 6).alias("ratio"))
+
+
+@query("e04_lexicon_table", "segments benchmark", r"""with x as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as pattern from benchmark),
+w as (select video_id, segment_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as word from segments), h as (select video_id, segment_id, word, count(*) as hits from w join x on x.pattern = w.word group by 1, 2, 3)
+select video_id, segment_id, count(*) as entries, sum(hits)::bigint as hits, round(sum(hits * length(word) / 10.0), 6)::double as score, arg_min(word, (-length(word), word)) as best from h group by 1, 2""")
+def _(segments, benchmark):
+    """Thousands of words of the benchmark as a lexicon, heavier the longer they are."""
+    names = benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("name")).distinct()
+    lexicon = names.select(F.lit("benchmark").alias("lexicon"), "name", F.col("name").alias("pattern"), (F.length("name") / 10.0).alias("weight"), F.lit(True).alias("literal"))
+    keys = ["video_id", "segment_id"]
+    hits = written(H.lexicon_hits(segments, lexicon, keys), "hits")
+    counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"), F.sum("hits").alias("hits"))
+    scores = H.weighted_hits(hits, keys).select(*keys, F.round("score", 6).alias("score"))
+    return counts.join(scores.hint("merge"), keys).join(H.best_entries(hits, keys).select(*keys, F.col("name").alias("best")).hint("merge"), keys)
