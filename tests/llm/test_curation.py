@@ -169,8 +169,8 @@ def one_edit(a, b):
 def plain_variants(rows):
     v = plain_vocabulary(rows)
     near = {a: [b for b in v if abs(len(a) - len(b)) < 2 and one_edit(a, b)] for a in v}
-    form = {a: next((b for b in sorted(near[a], key=lambda b: (-v[b], b)) if v[b] >= 2 * v[a]), None) if near[a] else None for a in v}
-    form = {a: min(near[a], key=lambda b: (-v[b], b)) if near[a] and v[min(near[a], key=lambda b: (-v[b], b))] >= 2 * v[a] else None for a in v}
+    best = {a: min(near[a], key=lambda b: (-v[b], b), default=None) for a in v}
+    form = {a: b if b and v[b] >= 2 * v[a] else None for a, b in best.items()}
 
     def root(a):
         while form[a]:

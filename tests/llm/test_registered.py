@@ -122,3 +122,21 @@ def test_op8_and_op9(spark, tables):
     assert len(got) == len(tables[1]) and all(x.same and x.merged_same and x.n_pieces <= x.n_merged for x in got.values())
     _, got = rows_of(spark, "op9_jaccard_join", tables[0])
     assert {i: (x.class_id, x.n_links) for i, x in got.items()} == {i: (8, 1) if i in (8, 45) else (0 if i < 3 else i, 0) for i in tables[1]}  # texts without words are one class without links
+
+
+def test_op11_to_op13(spark, tables):
+    from collections import Counter as Count
+
+    from .test_curation import check_mix, plain_manifest, plain_variants
+
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    rows = [(x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in docs.collect()]
+    df = queries.QUERIES["op11_source_mix"](spark, tables[0])
+    assert types(df) == {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"}
+    check_mix([(x[0], x[1], x[3]) for x in rows], df.join(docs.select("doc_id", "source"), "doc_id").collect())
+    df = queries.QUERIES["op12_merkle_manifest"](spark, tables[0])
+    assert list(types(df).items()) == [("doc_id", "bigint"), *[(c, "string") for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], ("verified", "boolean")]
+    assert Count(map(tuple, df.collect())) == plain_manifest(rows)
+    df = queries.QUERIES["op13_spelling_variants"](spark, tables[0])
+    assert list(types(df).items()) == [*[(c, "string") for c in ("word", "form", "root")], *[(c, "bigint") for c in ("n", "n_near", "form_n")]]
+    assert {tuple(x) for x in df.collect()} == plain_variants([(x[0], x[1]) for x in rows])
