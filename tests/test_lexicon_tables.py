@@ -8,7 +8,7 @@ from spokenframe.operators import lexicon_tables as H
 
 def test_ten_thousand_entries(spark):
     r = random.Random(1)
-    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(3, 6))) for _ in range(6000)]
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(3, 6))) for _ in range(8000)]
     literals = [*{w for w in words}, *{f"{r.choice(words)} {r.choice(words)}" for _ in range(6000)}, "aa", "a", "c++", "(x)", "don't"]
     patterns = [r"\b(ab|cd)\b.{0,5}\be", r"\d+ (?:%|percent)", "b{2,}"]
     entries = [("lit", f"n{k}", p, k % 7 / 2, True) for k, p in enumerate(literals)] + [("re", f"p{k}", p, 1.0, False) for k, p in enumerate(patterns)] + [("lit", "same", "aa", 9.0, True), ("none", "x", "", 1.0, True), ("none", "y", None, 1.0, True)]
