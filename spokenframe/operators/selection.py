@@ -61,7 +61,7 @@ def select_clips(candidates: DataFrame, evaluations: DataFrame, requested: int,
     clips = kinds.agg(F.min(F.struct((-F.col("blended")).alias("neg"), "candidate_id")).alias("best")).select("video_id", F.col("best.candidate_id").alias("candidate_id"), "start_ms", "end_ms", "tokens", (-F.col("best.neg")).alias("blended"))
     clips = written(clips, "clips")
     place = F.struct((-F.col("blended")).alias("neg"), "candidate_id")
-    pairs = duplicate_pairs(clips.select("video_id", place.alias("id"), "start_ms", "end_ms", "tokens"), overlap_at=overlap_at, similar_at=similar_at)
+    pairs = duplicate_pairs(clips.select("video_id", place.alias("id"), "start_ms", "end_ms", "tokens"), overlap_at=overlap_at, similar_at=similar_at, measured=False)
     gone = beaten(pairs.select("video_id", F.col("a_id").alias("better"), F.col("b_id").alias("worse")))
     kept = written(clips.withColumn("id", place).join(gone.hint("merge"), ["video_id", "id"], "left_anti"), "kept-clips")
     counts = counts.join(kept.groupBy("video_id").agg(F.count(F.lit(1)).alias("strong")).hint("merge"), "video_id")
