@@ -4,6 +4,8 @@ Times are whole milliseconds.  Spark has no interval join, so both sides are cut
 bins of a fixed width and meet by (video_id, bin); the exact predicate is tested after
 that, in the first bin that a pair shares, so that no pair comes twice.  The
 cost follows the pairs that share a bin, and a long video spreads over its bins.
+A range of hours or days has many bins; where ranges may be so long, `long` keeps each
+row to some 70 bins by wider bins for longer ranges.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 BIN_MS = 30_000
+#: With `long`, a range of more than FAN bins goes to bins FAN times as wide, at most LEVELS - 1 times.
+FAN, LEVELS = 64, 4
 
 
 def _bins(df: DataFrame, lo: Column, hi: Column, width: int) -> DataFrame:
@@ -21,12 +25,41 @@ def _bins(df: DataFrame, lo: Column, hi: Column, width: int) -> DataFrame:
     return df.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, F.floor(hi / width)))))
 
 
-def range_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], on: Column, *, key: str = "video_id", width: int = BIN_MS) -> DataFrame:
+def _levelled(df: DataFrame, lo: Column, hi: Column, width: int, *, left: bool) -> DataFrame:
+    """A row for each bin of a range at the level of its length (its own), and for each that it visits at the levels above, where it has few.
+
+    Tag 0 is for own bins of the left side and all bins of the right one, tag 1 for visited bins of the left side and own bins of the right one.
+    """
+    spans = F.floor(F.greatest(lo, hi) / width) - F.floor(lo / width)
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(spans <= FAN ** (k + 1), k).otherwise(level)
+
+    def places(k: int, tag: int, holds: Column) -> Column:
+        first = F.floor(lo / (width * FAN**k))
+        bins = F.sequence(first, F.greatest(first, F.floor(hi / (width * FAN**k))))
+        return F.when(holds, F.transform(bins, lambda b: F.struct(F.lit(k).alias("_level"), F.lit(tag).alias("_tag"), b.alias("_bin"), first.alias("_first"))))
+
+    found = []
+    for k in range(LEVELS):
+        tags = (level == k, level < k) if left else (level <= k, level == k)
+        found += [places(k, tag, holds) for tag, holds in enumerate(tags) if k or not tag]  # nothing visits the lowest level
+    return df.withColumn("_place", F.explode(F.flatten(F.array_compact(F.array(*found))))).select(*df.columns, "_place.*")
+
+
+def range_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], on: Column, *, key: str = "video_id", width: int = BIN_MS, long: bool = False) -> DataFrame:
     """Pairs of rows of the same key whose closed ranges share a moment and for which `on` holds.
 
     Apart from the key, the sides have no column in common.  Reversed ranges count as
-    their first moment.  Rows without a partner are not returned.
+    their first moment.  Rows without a partner are not returned.  With `long`, a pair meets at the level
+    of its longer range: the left one's own bins meet all bins of the right (tag 0), bins
+    that it visits meet the right one's own (tag 1).
     """
+    if long:
+        a = _levelled(left, F.col(left_range[0]), F.col(left_range[1]), width, left=True).withColumnRenamed("_first", "_a")
+        b = _levelled(right, F.col(right_range[0]), F.col(right_range[1]), width, left=False).withColumnRenamed("_first", "_b")
+        joined = a.join(b.hint("merge"), [key, "_level", "_tag", "_bin"])
+        return joined.filter((F.col("_bin") == F.greatest("_a", "_b")) & on).drop("_level", "_tag", "_bin", "_a", "_b")
     a = _bins(left, F.col(left_range[0]), F.col(left_range[1]), width).withColumnRenamed("_first", "_a")
     b = _bins(right, F.col(right_range[0]), F.col(right_range[1]), width).withColumnRenamed("_first", "_b")
     joined = a.join(b.hint("merge"), [key, "_bin"])  # sizes after explode are not known, so no automatic broadcast
@@ -45,17 +78,17 @@ def _all(windows: DataFrame, found: DataFrame, **defaults) -> DataFrame:
     return out
 
 
-def overlapping(windows: DataFrame, items: DataFrame, *, closed: bool = False) -> DataFrame:
+def overlapping(windows: DataFrame, items: DataFrame, *, closed: bool = False, long: bool = False) -> DataFrame:
     """Pairs of windows and items (start_ms, end_ms) that overlap: strictly, or with shared ends if closed."""
     cond = (F.col("end_ms") > F.col("w_start")) & (F.col("start_ms") < F.col("w_end"))
     if closed:
         cond = (F.col("end_ms") >= F.col("w_start")) & (F.col("start_ms") <= F.col("w_end"))
-    return range_join(_window(windows), items, ("w_start", "w_end"), ("start_ms", "end_ms"), cond)
+    return range_join(_window(windows), items, ("w_start", "w_end"), ("start_ms", "end_ms"), cond, long=long)
 
 
-def points_in(windows: DataFrame, points: DataFrame, at: str = "t_ms") -> DataFrame:
+def points_in(windows: DataFrame, points: DataFrame, at: str = "t_ms", *, long: bool = False) -> DataFrame:
     """Pairs of windows and points inside their closed range."""
-    return range_join(_window(windows), points, ("w_start", "w_end"), (at, at), F.col(at).between(F.col("w_start"), F.col("w_end")))
+    return range_join(_window(windows), points, ("w_start", "w_end"), (at, at), F.col(at).between(F.col("w_start"), F.col("w_end")), long=long)
 
 
 def joined_text(order: list[str], text: str, separator: str = " ") -> Column:
@@ -64,9 +97,9 @@ def joined_text(order: list[str], text: str, separator: str = " ") -> Column:
     return F.concat_ws(separator, F.filter(F.transform(pairs, lambda x: x["_t"]), lambda t: t != ""))
 
 
-def text_between(windows: DataFrame, segments: DataFrame) -> DataFrame:
+def text_between(windows: DataFrame, segments: DataFrame, *, long: bool = False) -> DataFrame:
     """(video_id, window_id, text, n_segments): texts of the segments that strictly overlap each window."""
-    found = overlapping(windows, segments).groupBy("video_id", "window_id").agg(joined_text(["segment_id"], "text").alias("text"), F.count(F.lit(1)).alias("n_segments"))
+    found = overlapping(windows, segments, long=long).groupBy("video_id", "window_id").agg(joined_text(["segment_id"], "text").alias("text"), F.count(F.lit(1)).alias("n_segments"))
     return _all(windows, found, text="", n_segments=0)
 
 
@@ -84,9 +117,9 @@ def _spoken(lo: Column, hi: Column) -> Column:
     return (middle >= 2 * lo) & (middle <= 2 * hi) & (F.col("seg_end") > lo) & (F.col("seg_start") < hi)
 
 
-def words_in_windows(windows: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
+def words_in_windows(windows: DataFrame, words: DataFrame, segments: DataFrame, *, long: bool = False) -> DataFrame:
     """A row for each word whose midpoint lies in a window and whose segment strictly overlaps it."""
-    return range_join(_window(windows), timed_words(words, segments), ("w_start", "w_end"), ("start_ms", "end_ms"), _spoken(F.col("w_start"), F.col("w_end")))
+    return range_join(_window(windows), timed_words(words, segments), ("w_start", "w_end"), ("start_ms", "end_ms"), _spoken(F.col("w_start"), F.col("w_end")), long=long)
 
 
 def texts_in(windows: DataFrame, words: DataFrame, segments: DataFrame, **spans: tuple[Column, Column]) -> DataFrame:
@@ -124,9 +157,9 @@ def texts_in(windows: DataFrame, words: DataFrame, segments: DataFrame, **spans:
     return rows.select(*keys, *[F.coalesce(n, f"{n}_seg", F.lit("")).alias(n) for n in spans], *[f"{n}_first" for n in spans])
 
 
-def words_between(windows: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
+def words_between(windows: DataFrame, words: DataFrame, segments: DataFrame, *, long: bool = False) -> DataFrame:
     """(video_id, window_id, n_words, words): the words of each window in order."""
-    found = words_in_windows(windows, words, segments).groupBy("video_id", "window_id").agg(
+    found = words_in_windows(windows, words, segments, long=long).groupBy("video_id", "window_id").agg(
         F.count(F.lit(1)).alias("n_words"), F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]).alias("words")
     )
     return _all(windows, found, n_words=0, words=F.array().cast("array<string>"))
@@ -145,39 +178,39 @@ def speaker_at(probes: DataFrame, turns: DataFrame) -> DataFrame:
     return probes.select("video_id", "probe_id").join(found.hint("merge"), ["video_id", "probe_id"], "left")
 
 
-def speakers_between(windows: DataFrame, turns: DataFrame) -> DataFrame:
+def speakers_between(windows: DataFrame, turns: DataFrame, *, long: bool = False) -> DataFrame:
     """(video_id, window_id, speakers): distinct speakers of strictly overlapping turns by first appearance."""
-    first = overlapping(windows, turns).groupBy("video_id", "window_id", "speaker").agg(F.min("turn_idx").alias("turn_idx"))
+    first = overlapping(windows, turns, long=long).groupBy("video_id", "window_id", "speaker").agg(F.min("turn_idx").alias("turn_idx"))
     found = first.groupBy("video_id", "window_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker"))), lambda x: x["speaker"]).alias("speakers"))
     return _all(windows, found, speakers=F.array().cast("array<string>"))
 
 
-def frames_between(windows: DataFrame, frames: DataFrame) -> DataFrame:
+def frames_between(windows: DataFrame, frames: DataFrame, *, long: bool = False) -> DataFrame:
     """A row for each frame at a time inside a closed window."""
-    return points_in(windows, frames)
+    return points_in(windows, frames, long=long)
 
 
-def events_between(windows: DataFrame, events: DataFrame) -> DataFrame:
+def events_between(windows: DataFrame, events: DataFrame, *, long: bool = False) -> DataFrame:
     """A row for each event that strictly overlaps a window."""
-    return overlapping(windows, events)
+    return overlapping(windows, events, long=long)
 
 
-def energy_between(windows: DataFrame, audio_frames: DataFrame, hop_ms: int) -> DataFrame:
+def energy_between(windows: DataFrame, audio_frames: DataFrame, hop_ms: int, *, long: bool = False) -> DataFrame:
     """A row for each loudness frame of a window: from int(start / hop) up to, not including, int(end / hop)."""
     w = _window(windows).withColumn("lo", F.greatest(F.lit(0), F.floor(F.col("w_start") / hop_ms))).withColumn("hi", F.floor(F.col("w_end") / hop_ms) - 1)
-    return range_join(w, audio_frames, ("lo", "hi"), ("frame_idx", "frame_idx"), F.col("frame_idx").between(F.col("lo"), F.col("hi")), width=max(1, BIN_MS // hop_ms))
+    return range_join(w, audio_frames, ("lo", "hi"), ("frame_idx", "frame_idx"), F.col("frame_idx").between(F.col("lo"), F.col("hi")), width=max(1, BIN_MS // hop_ms), long=long)
 
 
-def in_any_span(probes: DataFrame, spans: DataFrame) -> DataFrame:
+def in_any_span(probes: DataFrame, spans: DataFrame, *, long: bool = False) -> DataFrame:
     """(video_id, probe_id, inside): whether t lies in any closed span."""
     t = probes.select("video_id", "probe_id", F.col("t_ms").alias("p"))
-    hit = range_join(t, spans, ("p", "p"), ("start_ms", "end_ms"), F.col("p").between(F.col("start_ms"), F.col("end_ms"))).select("video_id", "probe_id").distinct().withColumn("inside", F.lit(True))
+    hit = range_join(t, spans, ("p", "p"), ("start_ms", "end_ms"), F.col("p").between(F.col("start_ms"), F.col("end_ms")), long=long).select("video_id", "probe_id").distinct().withColumn("inside", F.lit(True))
     return probes.select("video_id", "probe_id").join(hit.hint("merge"), ["video_id", "probe_id"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def scene_count_between(windows: DataFrame, scenes: DataFrame) -> DataFrame:
+def scene_count_between(windows: DataFrame, scenes: DataFrame, *, long: bool = False) -> DataFrame:
     """(video_id, window_id, scene_count): scenes that strictly overlap each window."""
-    return _all(windows, overlapping(windows, scenes).groupBy("video_id", "window_id").agg(F.count(F.lit(1)).alias("scene_count")), scene_count=0)
+    return _all(windows, overlapping(windows, scenes, long=long).groupBy("video_id", "window_id").agg(F.count(F.lit(1)).alias("scene_count")), scene_count=0)
 
 
 def scene_edges(scenes: DataFrame) -> DataFrame:

@@ -46,6 +46,27 @@ def _(windows, silences):
     return R.events_between(windows, silences).select("video_id", "window_id", F.col("start_ms").alias("event_start"), F.col("end_ms").alias("event_end"))
 
 
+_AT = "(epoch_us(ts) - min(epoch_us(ts)) over (partition by project_id)) // 1000"
+
+
+@query("b07_events_between_long", "feedback", f"""with p as (select project_id, event_id, event, {_AT} as t from feedback),
+q as (select *, coalesce(lead(t) over (partition by project_id order by t, event_id), t) as next from p),
+w as (select project_id, event_id, t as s, t + 864000000 as e from q where event = 'boundary_adjusted')
+select w.project_id as video_id, w.event_id as window_id, count(q.t) as n_spans, coalesce(sum(least(w.e, q.next) - greatest(w.s, q.t)) filter (q.t is not null), 0)::bigint as shared_ms
+from w left join q on q.project_id = w.project_id and q.event = 'clip_selected' and q.next > w.s and q.t < w.e group by all""")
+def _(feedback):
+    """Ten days from each adjustment of a project, and the spans between a selection and what follows it, often hours."""
+    t = F.timestamp_diff("MILLISECOND", F.min("ts").over(Window.partitionBy("project_id")), F.col("ts"))
+    rows = feedback.select(F.col("project_id").alias("video_id"), "event_id", "event", t.alias("start_ms"))
+    after = F.lead("start_ms").over(Window.partitionBy("video_id").orderBy("start_ms", "event_id"))
+    rows = rows.withColumn("end_ms", F.coalesce(after, "start_ms"))
+    windows = rows.filter("event = 'boundary_adjusted'").select("video_id", F.col("event_id").alias("window_id"), "start_ms", (F.col("start_ms") + 864_000_000).alias("end_ms"))
+    spans = rows.filter("event = 'clip_selected'").select("video_id", "start_ms", "end_ms")
+    shared = F.least("w_end", "end_ms") - F.greatest("w_start", "start_ms")
+    found = R.events_between(windows, spans, long=True).groupBy("video_id", "window_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(shared).alias("shared_ms"))
+    return windows.select("video_id", "window_id").join(found.hint("merge"), ["video_id", "window_id"], "left").fillna(0, ["n_spans", "shared_ms"])
+
+
 @query("b08_energy_between", "windows audio_frames", f"select {_KEYS}, count(*) as n_frames, round(avg(a.rms_db), 6) as mean_db from windows w join audio_frames a on a.video_id = w.video_id and a.frame_idx >= w.start_ms // 400 and a.frame_idx < w.end_ms // 400 group by all")
 def _(windows, audio_frames):
     return R.energy_between(windows, audio_frames, 400).groupBy("video_id", "window_id").agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.avg("rms_db"), 6).alias("mean_db"))
