@@ -80,3 +80,14 @@ def test_evaluated_ranges_and_ids_that_repeat_by_video(spark):
     assert rows == {(1, 5, 100_000, 140_000, 1, 1), (2, 5, 1000, 31_000, 1, 0)}
     rows = {(x.video_id, x.candidate_id) for x in P.select_clips(candidates, judged, 5, model_answered=False).collect()}
     assert rows == {(1, 5), (2, 5), (1, 7)}
+
+
+def test_few_other_pairs_meet_their_sets(spark):
+    """Sets that share rare tokens without being alike stay apart before whole sets travel; equal ones are joined once."""
+    r = random.Random(3)
+    rows = [(k, sorted({f"w{r.randrange(500)}" for _ in range(90)})) for k in range(200)]
+    rows += [(1000 + k, [f"c{j}" for j in range(40)]) for k in range(30)] + [(2000, [f"c{j}" for j in range(38)] + ["d", "e"])]
+    sets = spark.createDataFrame(rows, "id long, tokens array<string>")
+    met = [(x.a_id, x.b_id) for x in U._met(sets.filter("id < 1001 or id = 2000"), [], 0.72).collect()]
+    assert met.count((1000, 2000)) == 1 and len(met) < 20
+    assert U.similar_pairs(sets, [], 0.72).count() == 30 * 29 // 2 + 30
