@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, token_similarity
 from ..sources.shared import written
-from .duplicates import OVERLAP, SIMILAR, beaten, duplicate_pairs, duplicate_reason
+from .duplicates import OVERLAP, SIMILAR, duplicate_reason, outdone
 from .ranges import time_overlap_ratio
 
 FLOOR = 0.42
@@ -49,7 +49,7 @@ def select_clips(candidates: DataFrame, evaluations: DataFrame, requested: int,
     Best first, a clip stays unless it duplicates one that stays (by time or by words);
     the first `requested` are put in order of time.  candidates: (video_id, candidate_id, start_ms, end_ms, text,
     heuristic_score), ids unique within a video; evaluations as clamp_evaluation gives them, whose range then counts, or without video_id and range.
-    Ties go to the smaller id.  A video's rows need not fit a task: pairs of duplicates are joined, the choice is made in
+    Ties go to the smaller id.  A video's rows need not fit a task: the choice is made in blocks of clips, each in
     rounds.  Clips of the same range and words count as one for that, the best of them.
     """
     rows = scored(candidates, evaluations, model_answered=model_answered).select("video_id", "candidate_id", "start_ms", "end_ms", "text", "blended")
@@ -61,8 +61,7 @@ def select_clips(candidates: DataFrame, evaluations: DataFrame, requested: int,
     clips = kinds.agg(F.min(F.struct((-F.col("blended")).alias("neg"), "candidate_id")).alias("best")).select("video_id", F.col("best.candidate_id").alias("candidate_id"), "start_ms", "end_ms", "tokens", (-F.col("best.neg")).alias("blended"))
     clips = written(clips, "clips")
     place = F.struct((-F.col("blended")).alias("neg"), "candidate_id")
-    pairs = duplicate_pairs(clips.select("video_id", place.alias("id"), "start_ms", "end_ms", "tokens"), overlap_at=overlap_at, similar_at=similar_at, measured=False)
-    gone = beaten(pairs.select("video_id", F.col("a_id").alias("better"), F.col("b_id").alias("worse")))
+    gone = outdone(clips.select("video_id", place.alias("id"), "start_ms", "end_ms", "tokens"), overlap_at=overlap_at, similar_at=similar_at)
     kept = written(clips.withColumn("id", place).join(gone.hint("merge"), ["video_id", "id"], "left_anti"), "kept-clips")
     counts = counts.join(kept.groupBy("video_id").agg(F.count(F.lit(1)).alias("strong")).hint("merge"), "video_id")
     best = kept.withColumn("nth", F.row_number().over(Window.partitionBy("video_id").orderBy("id"))).filter(F.col("nth") <= requested)

@@ -91,3 +91,20 @@ def test_few_other_pairs_meet_their_sets(spark):
     met = [(x.a_id, x.b_id) for x in U._met(sets.filter("id < 1001 or id = 2000"), [], 0.72).collect()]
     assert met.count((1000, 2000)) == 1 and len(met) < 20
     assert U.similar_pairs(sets, [], 0.72).count() == 30 * 29 // 2 + 30
+
+
+def test_blocks_of_clips_choose_as_all_pairs_do(spark):
+    r = random.Random(4)
+    rows = [(k % 2, k, s := r.randrange(200) * 1000, s + 30_000, sorted({f"w{r.randrange(9)}" for _ in range(4)} | {f"v{k % 30}"})) for k in range(90)]
+    drops = {}
+    for video in (0, 1):
+        kept = []
+        for v, k, s, e, t in rows:
+            like = [(max(0, min(e, y[3]) - max(s, y[2])) / 30_000, jaccard(set(t), set(y[4]))) for y in kept]
+            same = any(o >= 0.35 or j >= 0.72 or (o > 0.15 and j > 0.72 * 0.75) for o, j in like)
+            if v == video:
+                drops[v, k] = same
+                kept += [] if same else [(v, k, s, e, t)]
+    clips = spark.createDataFrame(rows, "video_id long, id long, start_ms long, end_ms long, tokens array<string>")
+    met = [(x.video_id, x.id) for x in U.outdone(clips, block=4).collect()]
+    assert len(met) == len(set(met)) and set(met) == {k for k, gone in drops.items() if gone}
