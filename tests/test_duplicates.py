@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from spokenframe.functions import lexicons as L
 from spokenframe.operators import duplicates as U
@@ -50,6 +51,29 @@ def test_duplicate_pairs(spark):
     assert U.duplicate_pairs(clips.limit(0)).count() == 0
 
 
+def test_duplicate_links_count_pairs(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(260):
+        s = r.randrange(40) * 5000
+        text = f"base{k % 9} more{k % 9} words{k % 9} here{k % 9} " + " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(k % 3)) if k % 11 else "the"
+        rows.append((k % 2, k, s, s + r.choice([0, 8000, 20_000, 20_000]), text))
+    clips = spark.createDataFrame(rows, "video_id long, id long, start_ms long, end_ms long, text string")
+    want = {(v, k): Counter() for v, k, *_ in rows}
+    for x in U.duplicate_pairs(clips).collect():
+        for k in (x.a_id, x.b_id):
+            want[x.video_id, k][x.reason.split()[0]] += 1
+    found = U.duplicate_links(clips).collect()
+    assert len(found) == len(rows)
+    assert {(x.video_id, x.id): (x.n_overlaps, x.n_transcript, x.n_adjacent) for x in found} == {k: (n["overlaps"], n["transcript"], n["adjacent"]) for k, n in want.items()}
+    assert all(sum(n[x] for n in want.values()) for x in ("overlaps", "transcript", "adjacent"))
+    words = {k: frozenset(w for w in text.split() if len(w) > 2 and w not in L.STOP_WORDS) for _, k, _, _, text in rows}
+    first = {}
+    for v, k, *_ in rows:
+        first.setdefault((v, words[k]), k)
+    assert {x.id: x.class_id for x in found} == {k: first[v, words[k]] if words[k] else k for v, k, *_ in rows}
+
+
 def test_beaten_follows_chains(spark):
     r = random.Random(3)
     edges = [(1, k, k + 1) for k in range(12)] + [(2, a, b) for a in range(60) for b in range(a + 1, 60) if r.random() < 0.1]
