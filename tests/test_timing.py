@@ -164,6 +164,21 @@ def test_a_callers_lexicon_reaches_the_scores(spark):
     assert own.conflict.intensity > plain.conflict.intensity == 0 and own.factors.emotional_reaction >= own.conflict.intensity
 
 
+def test_windows_of_one_range_are_measured_once(spark, monkeypatch):
+    words, segs = transcript(spark, (0, "You are lying about all of it and I think everybody here knows that very well by now. " * 4))
+    w = windows(spark, *[(0, 25_000 + 1000 * (k % 2)) for k in range(12)])
+    w = w.withColumn("anchor", F.col("window_id") / 100).withColumn("trigger", F.when(F.col("window_id") % 4 < 2, "story").when(F.col("window_id") > 5, "lesson"))
+    audio = words.select("video_id", F.col("word_idx").alias("frame_idx"), F.lit(-30.0).alias("rms_db"), F.lit(0.1).alias("flatness"), F.lit(0.1).alias("modulation"))
+    frames = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 0.5)], "video_id long, t_ms long, n_faces long, motion double, sharpness double, brightness double")
+    scenes = spark.createDataFrame([(1, 0, 0, 240_000)], "video_id long, scene_idx long, start_ms long, end_ms long")
+    measured, measure = [], C.window_measures
+    monkeypatch.setattr(C, "window_measures", lambda rows, *a, **k: measured.append(rows.count()) or measure(rows, *a, **k))
+    got = {x.window_id: x for x in C.score_windows(w, words, segs, S.merge_turns(segs), audio, G.audio_events(audio, 400), frames, scenes, hop_ms=400).collect()}
+    assert measured == [6] and got.keys() == set(range(12))
+    assert got[0].factors == got[4].factors == got[8].factors and got[0].heuristic_score < got[4].heuristic_score < got[8].heuristic_score
+    assert [(got[k].trigger, got[k].factors.narrative_structure) for k in (1, 2, 6)] == [("story", 0.9), (None, 0.3), ("lesson", 0.85)]
+
+
 def test_an_expansion_keeps_to_its_own_reach(spark):
     words, segs = transcript(spark, (0, "Here we are now."), (6000, "Some more of that."), (12_000, "And it goes on."))
     w = windows(spark, (12_000, 14_000), (12_000, 14_000)).withColumn("lookback_ms", F.when(F.col("window_id") == 0, 4000).otherwise(7000))
