@@ -179,6 +179,23 @@ def test_windows_of_one_range_are_measured_once(spark, monkeypatch):
     assert [(got[k].trigger, got[k].factors.narrative_structure) for k in (1, 2, 6)] == [("story", 0.9), (None, 0.3), ("lesson", 0.85)]
 
 
+def test_envelopes_of_ragged_series(spark):
+    """Series of several lengths in one batch, against plain sums; their spectra come from one vectorised function."""
+    import cmath
+
+    rows = [(v, k, 0.5 if v == 2 else (k * k * 7 % 11) / 10) for v, n in ((0, 3), (1, 21), (2, 30), (3, 40)) for k in range(n)]
+    found = G.envelope_modulation(spark.createDataFrame(rows, "video_id long, frame_idx long, rms double"))
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(x.video_id, x.frame_idx): x.modulation for x in found.collect()}
+    assert len(got) == len(rows) and all(got[v, k] == 0 for v, k, _ in rows if v < 3)
+    series = [x for v, _, x in rows if v == 3]
+    for k in range(40):
+        seen = series[max(0, k - 11) : k + 11]  # int(0.6 / 0.05) is 11
+        mean = sum(seen) / len(seen)
+        mag = [(f / (len(seen) * 0.05), abs(sum((x - mean) * cmath.exp(-2j * cmath.pi * f * i / len(seen)) for i, x in enumerate(seen)))) for f in range(len(seen) // 2 + 1)]
+        assert abs(got[3, k] - sum(m for f, m in mag if 3 <= f <= 8) / sum(m for _, m in mag)) < 1e-9
+
+
 def test_an_expansion_keeps_to_its_own_reach(spark):
     words, segs = transcript(spark, (0, "Here we are now."), (6000, "Some more of that."), (12_000, "And it goes on."))
     w = windows(spark, (12_000, 14_000), (12_000, 14_000)).withColumn("lookback_ms", F.when(F.col("window_id") == 0, 4000).otherwise(7000))
