@@ -107,18 +107,21 @@ def best_hook(best: Column, first: Column) -> Column:
 def trim_to_words(paragraphs: Column, question: Column, limit: int = 190) -> Column:
     """While the paragraphs hold more than limit less the question's words, the last sentence of the longest goes; it ends where that has only one."""
     budget = F.lit(limit) - F.size(words_of(question))
-    count = lambda p: F.size(words_of(p))
+    split = lambda p: F.split(F.trim(text(p)), r"(?<=[.!?])\s+")
 
     def step(acc: Column, _: Column) -> Column:
-        total = F.aggregate(acc, F.lit(0), lambda a, p: a + count(p))
-        longest = F.array_position(F.transform(acc, count), F.array_max(F.transform(acc, count))).cast("int")
-        sentences = F.split(F.trim(F.get(acc, longest - 1)), r"(?<=[.!?])\s+")
-        cut = F.array_join(F.slice(sentences, F.lit(1), F.greatest(F.lit(0), F.size(sentences) - 1)), " ")
-        shorter = F.transform(acc, lambda p, i: F.when(i == longest - 1, cut).otherwise(p))
-        return F.when((total > budget) & (F.size(sentences) > 1), shorter).otherwise(acc)
-
-    most = F.greatest(F.lit(1), F.aggregate(paragraphs, F.lit(0), lambda a, p: a + F.size(F.split(p, r"(?<=[.!?])\s+"))))
-    return F.aggregate(F.sequence(F.lit(1), most), paragraphs, step)
+        total = F.aggregate(acc, F.lit(0), lambda a, p: a + p["n"])
+        words = F.transform(acc, lambda p: p["n"])
+        longest = F.array_position(words, F.array_max(words)).cast("int") - 1
+        shorter = F.transform(acc, lambda p, i: F.when(i == longest, F.struct(F.slice(p["c"], F.lit(1), F.size(p["c"]) - 1).alias("c"), (p["n"] - F.element_at(p["c"], -1)).alias("n"))).otherwise(p))
+        return F.when((total > budget) & (F.size(F.get(acc, longest)["c"]) > 1), shorter).otherwise(acc)
+
+    # texts are split once; the fold sees only how many words each sentence has
+    counts = F.transform(paragraphs, lambda p: F.transform(split(p), lambda s: F.size(words_of(s))))
+    state = F.transform(counts, lambda c: F.struct(c.alias("c"), F.aggregate(c, F.lit(0), lambda a, x: a + x).alias("n")))
+    most = F.greatest(F.lit(1), F.aggregate(paragraphs, F.lit(0), lambda a, p: a + F.size(split(p))))
+    left = F.aggregate(F.sequence(F.lit(1), most), state, step)
+    return F.zip_with(paragraphs, left, lambda p, s: F.when(F.size(s["c"]) == F.size(split(p)), p).otherwise(F.array_join(F.slice(split(p), F.lit(1), F.size(s["c"])), " ")))
 
 
 def assemble_caption(*, headline: Column, paragraphs: Column, question: Column, location: Column, hashtags: Column, limit: int = 190) -> Column:
