@@ -132,3 +132,28 @@ def test_blocks_of_clips_choose_as_all_pairs_do(spark):
     clips = spark.createDataFrame(rows, "video_id long, id long, start_ms long, end_ms long, tokens array<string>")
     met = [(x.video_id, x.id) for x in U.outdone(clips, block=4).collect()]
     assert len(met) == len(set(met)) and set(met) == {k for k, gone in drops.items() if gone}
+
+
+def test_words_of_clips_that_time_drops_are_not_joined(spark, monkeypatch):
+    """Hundreds of clips of one moment fall to the best of them; only the first block and what time leaves go to the joins by words."""
+    rows = [(1, k, 0, 30_000, [f"w{k % 7}", f"v{k % 11}", "u"]) for k in range(600)] + [(1, 1000, 90_000, 120_000, ["w0", "v0", "u"]), (1, 1001, 200_000, 230_000, ["other"])]
+    seen, met = [], U._met
+
+    def counted(sets, *rest):
+        seen.append(sets.count())
+        return met(sets, *rest)
+
+    monkeypatch.setattr(U, "_met", counted)
+    clips = spark.createDataFrame(rows, "video_id long, id long, start_ms long, end_ms long, tokens array<string>")
+    gone = {x.id for x in U.outdone(clips, block=16).collect()}
+    assert gone == set(range(1, 600)) | {1000}
+    assert sum(seen) < 60
+
+
+def test_sets_between_two_tables(spark):
+    r = random.Random(8)
+    sets = {k: sorted({f"w{r.randrange(12)}" for _ in range(r.randrange(8))}) for k in range(120)}
+    table = lambda ids: spark.createDataFrame([(k % 2, k, sets[k]) for k in ids], "video_id long, id long, tokens array<string>")
+    want = {(a, b) for a in range(20) for b in range(20, 120) if a % 2 == b % 2 and sets[a] and sets[b] and jaccard(set(sets[a]), set(sets[b])) >= 0.6}
+    found = [(x.a_id, x.b_id) for x in U.similar_between(table(range(20)), table(range(20, 120)), ["video_id"], 0.6).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and want
