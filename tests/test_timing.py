@@ -221,3 +221,27 @@ def test_candidates_of_a_library(spark):
 
     rows = e.queries()["f00_generate_candidates"](spark, "/root/testdata/sf0.001").collect()
     assert rows and len({(r.video_id, r.rank) for r in rows}) == len(rows) and all(r.end_ms - r.start_ms >= 20_000 for r in rows)
+
+
+def test_clips_of_one_range_and_verdict_are_repaired_once(spark, monkeypatch):
+    from spokenframe.plans import generate
+    from spokenframe.plans.views import view
+
+    words, segments, scenes, media, every = (view(spark, "/root/testdata/sf0.001", n) for n in ("words", "segments", "scenes", "media", "windows"))
+    some = every.join(media.select("video_id"), "video_id", "left_semi").filter("window_id < 20").collect()
+    n = len(some)
+    copies = spark.createDataFrame([(x.video_id, x.window_id + 1000 * k, x.start_ms, x.end_ms) for x in some for k in range(3)], "video_id long, window_id long, start_ms long, end_ms long")
+    verdicts = copies.select("video_id", "window_id", F.when(F.col("window_id") % 5 == 1, "expand").otherwise("accept").alias("verdict"), F.when(F.col("window_id") % 5 == 2, -4000).otherwise(0).alias("shift_ms"))
+    seen, refine = [], B.refine_boundaries
+
+    def counted(rows, *rest, **more):
+        seen.append(rows.count())
+        return refine(rows, *rest, **more)
+
+    monkeypatch.setattr(B, "refine_boundaries", counted)
+    got = generate.apply_validation(copies, verdicts, words, segments, S.merge_turns(segments), scenes, media).collect()
+    assert seen == [n] and len(got) == 3 * n
+    by = {(x.video_id, x.window_id): (x.start_ms, x.end_ms, x.text, x.speakers) for x in got}
+    assert all(by[v, k % 1000] == found for (v, k), found in by.items()) and any(text for _, _, text, _ in by.values())
+    for v in {x.video_id for x in got}:
+        assert [x["index"] for x in sorted((x for x in got if x.video_id == v), key=lambda x: (x.start_ms, x.window_id))] == list(range(1, 1 + sum(x.video_id == v for x in got)))
