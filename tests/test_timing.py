@@ -245,3 +245,12 @@ def test_clips_of_one_range_and_verdict_are_repaired_once(spark, monkeypatch):
     assert all(by[v, k % 1000] == found for (v, k), found in by.items()) and any(text for _, _, text, _ in by.values())
     for v in {x.video_id for x in got}:
         assert [x["index"] for x in sorted((x for x in got if x.video_id == v), key=lambda x: (x.start_ms, x.window_id))] == list(range(1, 1 + sum(x.video_id == v for x in got)))
+
+
+def test_sentences_read_written_words(spark):
+    """Times of words are made once and written; else each task sorts for them and for the sentences at once."""
+    import __spark_entry__ as e
+
+    for name in ("c01_sentences", "f01_candidate_windows"):
+        plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate posexplode") <= 1, name
