@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SEGMENT = "file string, video_id bigint, segment_id bigint, start double, end double, text string, words array<struct<word:string,start:double,end:double,probability:double>>, speaker string"
 #: Bytes of documents that one task reads, about.
 PART_BYTES = 64 << 20
+#: What opening a document counts, in bytes: many small ones are dealt to many tasks.
+OPEN_BYTES = 256 << 10
 
 
 @dataclass
@@ -59,7 +61,7 @@ class _Folder:
                 out.append([])
                 size = 0
             out[-1].append(path)
-            size += n
+            size += n + OPEN_BYTES
         return [Files(tuple(p)) for p in out]
 
     def read(self, partition: Files) -> Iterator[tuple]:

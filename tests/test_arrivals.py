@@ -56,3 +56,9 @@ def test_a_stream_that_starts_anew(spark, tmp_path):
         crc.unlink()
     put(folder, 4, 1)
     assert go() == [(1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (4, 0)]
+
+
+def test_many_small_documents_are_dealt_to_many_tasks():
+    folder = arrivals._Folder({"path": "file:///none"})
+    parts = folder.parts([(k, f"v{k}.json", 10) for k in range(2000)])
+    assert len(parts) > 4 and [p for x in parts for p in x.paths] == [f"v{k}.json" for k in range(2000)]
