@@ -39,10 +39,10 @@ def standardise(embeddings: DataFrame) -> DataFrame:
     return rows.groupBy("video_id", "segment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda e: e["z"]).alias("embedding"))
 
 
-#: Rows whose distances to all others are held at once.
-ROWS = 1024
-#: Rows of a block: two blocks meet in a task, and so many clusters of a video are left to one task.
-BLOCK = 4096
+#: Distances that a task holds at once: they fit into a core's cache.
+CELLS = 1 << 20
+#: So many clusters of a video are left to one task, as rounds of large videos merge few of a hundred; blocks have at most so many rows, a quarter where a video has no more than four of those.
+BLOCK = 16_384
 
 
 def ward_labels(x: np.ndarray, most: int, sizes: np.ndarray | None = None) -> dict[int, np.ndarray]:
@@ -53,23 +53,33 @@ def ward_labels(x: np.ndarray, most: int, sizes: np.ndarray | None = None) -> di
     """
     n = len(x)
     centre, size, alive = x.astype(float).copy(), np.ones(n) if sizes is None else sizes.astype(float), np.ones(n, bool)
+    norm, slack = (centre * centre).sum(1), (x.shape[1] + 16) * 2.0**-52
     merges: list[tuple[float, int, int]] = []
     chain: list[int] = []
+
+    def costs(i: int, js: np.ndarray | int) -> np.ndarray:
+        return ((centre[js] - centre[i]) ** 2).sum(-1) * (size[js] * size[i] / (size[js] + size[i]))
+
     while len(merges) < n - 1:
         if not chain:
             chain = [int(np.flatnonzero(alive)[0])]
         i = chain[-1]
-        cost = ((centre - centre[i]) ** 2).sum(1) * (size * size[i] / (size + size[i]))
-        cost[~alive] = np.inf
-        cost[i] = np.inf
-        j = int(cost.argmin())
-        if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+        # a product gives bounds that no cost is below; those not above the cost of some cluster are computed in full
+        both = norm + norm[i]
+        bound = (both - 2 * (centre @ centre[i]) - slack * both) * (size * size[i] / (size + size[i]))
+        bound[~alive] = np.inf
+        bound[i] = np.inf
+        near = np.flatnonzero(bound <= costs(i, int(bound.argmin())))
+        cost = costs(i, near)
+        j, least = int(near[cost.argmin()]), float(cost.min())
+        if len(chain) > 1 and costs(i, chain[-2]) <= least:
             j = chain[-2]
             chain = chain[:-2]
             lo, hi = min(i, j), max(i, j)
-            merges.append((float(cost[j]), lo, hi))
+            merges.append((float(costs(i, j)), lo, hi))
             centre[lo] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
             size[lo] += size[hi]
+            norm[lo] = (centre[lo] * centre[lo]).sum()
             alive[hi] = False
         else:
             chain.append(j)
@@ -91,57 +101,82 @@ def ward_labels(x: np.ndarray, most: int, sizes: np.ndarray | None = None) -> di
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
+    """Arrays of one length as the rows of a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel())
 
 
 def _grid(rows: DataFrame, block: int, found: Callable[[dict, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """What `found` makes of every pair of blocks (rows, others) of each video; rows: (video_id, id, ...).
 
-    A row goes to as many groups as its video has blocks, once on either side.
+    Two blocks meet in one group for both orders, so a row goes to as many groups as its video has blocks.
     """
-    blocks = rows.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    count = F.count(F.lit(1))
+    blocks = rows.groupBy("video_id").agg(F.least(F.ceil(4 * count / block), F.greatest(F.lit(4), F.ceil(count / block))).alias("_n"))
     rows = rows.join(blocks.hint("merge"), "video_id").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
-    left = rows.select("*", F.col("_own").alias("_row"), every.alias("_col"), F.lit(True).alias("_left"))
-    right = rows.select("*", every.alias("_row"), F.col("_own").alias("_col"), F.lit(False).alias("_left"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    rows = rows.withColumns({"_row": F.least("_own", "_other"), "_col": F.greatest("_own", "_other"), "_left": F.col("_own") <= F.col("_other")})
 
     def run(group: pa.Table) -> pa.Table:
-        side = group["_left"].combine_chunks()
+        key, side = {"video_id": group["video_id"][0].as_py()}, group["_left"].combine_chunks()
+        if group["_row"][0] == group["_col"][0]:
+            return found(key, group, group)
         a, b = group.filter(side), group.filter(pa.compute.invert(side))
-        return found({"video_id": group["video_id"][0].as_py()}, a, b)
+        return pa.concat_tables([found(key, a, b), found(key, b, a)])
+
+    return rows.drop("_n", "_own", "_other").groupBy("video_id", "_row", "_col").applyInArrow(run, schema)
+
 
-    return left.union(right).drop("_n", "_own").groupBy("video_id", "_row", "_col").applyInArrow(run, schema)
+def _beside(x: np.ndarray, scale: float, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Two forms of the rows x: the product of one with the other of further rows holds scale * (|p|^2 + |q|^2) - 2 p q."""
+    norm, one = scale * (x * x).sum(1, keepdims=True), np.ones((len(x), 1))
+    return np.hstack([-2 * x, norm, one]).astype(kind), np.hstack([x, one, norm]).astype(kind)
 
 
 def _nearest(key: dict, a: pa.Table, b: pa.Table) -> pa.Table:
     """(video_id, id, cost, lo, hi): the pair of least Ward cost of each cluster in a with one in b.
 
-    A product of matrices finds the pairs that may be least; their costs are then
-    computed so that both clusters of a pair get the same number, and equal costs go by ids.
+    A product of matrices in single precision gives a cost that no pair is below, whatever it rounds; pairs whose bound is
+    not above the cost of some pair are computed in full, so that both clusters of a pair get the same number, and equal
+    costs go by ids.
     """
-    out: dict[str, list] = {"video_id": [], "id": [], "cost": [], "lo": [], "hi": []}
+    out: dict[str, list] = {"id": [], "cost": [], "lo": [], "hi": []}
     if a.num_rows and b.num_rows:
         x, y, m, n = _matrix(a["x"]), _matrix(b["x"]), a["w"].to_numpy(), b["w"].to_numpy()
         i, j = a["id"].to_numpy(), b["id"].to_numpy()
-        norm = (y * y).sum(1)
-        for lo in range(0, len(x), ROWS):
-            p, w, own = x[lo : lo + ROWS], m[lo : lo + ROWS, None], i[lo : lo + ROWS]
-            pn = (p * p).sum(1)[:, None]
-            cost = (pn + norm - 2 * p @ y.T) * (w * n / (w + n))
-            slack = 1e-9 * (pn + norm.max()) * w
-            cost[own[:, None] == j] = np.inf
-            least = cost.min(1, keepdims=True)
-            r, c = np.nonzero((cost <= least + slack) & np.isfinite(cost))
-            exact = ((p[r] - y[c]) ** 2).sum(1) * ((w[r, 0] * n[c]) / (w[r, 0] + n[c]))
-            small, large = np.minimum(own[r], j[c]), np.maximum(own[r], j[c])
+        scale = 1 - (x.shape[1] + 16) * 2.0**-23  # the product's rounding is below (places + 2) * 2^-24 * 2 (|p|^2 + |q|^2)
+        left, right = _beside(x, scale, np.float32)[0], np.ascontiguousarray(_beside(y, scale, np.float32)[1].T)
+        per_w, per_n = (1 / m).astype(np.float32), (1 / n).astype(np.float32)
+
+        def costs(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            parts = [slice(k, k + CELLS // 16) for k in range(0, len(r), CELLS // 16)]
+            return np.concatenate([((x[r[s]] - y[c[s]]) ** 2).sum(1) * ((m[r[s]] * n[c[s]]) / (m[r[s]] + n[c[s]])) for s in parts])
+
+        step = max(1, CELLS // len(y))
+        for lo in range(0, len(x), step):
+            own = np.arange(lo, min(lo + step, len(x)))
+            least = left[own] @ right
+            least /= per_w[own, None] + per_n
+            if a is b:
+                least[own - lo, own] = np.inf
+            some = costs(own, least.argmin(1))
+            if a is b and len(x) == 1:
+                break  # a cluster alone
+            at = np.flatnonzero(least <= np.nextafter(some.astype(np.float32), np.float32(np.inf))[:, None])
+            r, c = own[at // len(y)], at % len(y)
+            if not len(r):
+                continue
+            exact = costs(r, c)
+            small, large = np.minimum(i[r], j[c]), np.maximum(i[r], j[c])
             order = np.lexsort((large, small, exact, r))
             first = order[np.unique(r[order], return_index=True)[1]]
-            out["id"] += own[r[first]].tolist()
-            out["cost"] += exact[first].tolist()
-            out["lo"] += small[first].tolist()
-            out["hi"] += large[first].tolist()
-        out["video_id"] = [key["video_id"]] * len(out["id"])
-    return pa.table(out, schema=pa.schema([("video_id", pa.int64()), ("id", pa.int64()), ("cost", pa.float64()), ("lo", pa.int64()), ("hi", pa.int64())]))
+            for name, values in zip(out, (i[r[first]], exact[first], small[first], large[first]), strict=True):
+                out[name].append(values)
+    made = {k: pa.array(np.concatenate(v) if v else [], pa.float64() if k == "cost" else pa.int64()) for k, v in out.items()}
+    return pa.table({"video_id": pa.array([key["video_id"]] * len(made["id"]), pa.int64()), **made})
 
 
 def merge_round(active: DataFrame, most: int, block: int) -> DataFrame:
@@ -202,20 +237,19 @@ def ward_cuts(rows: DataFrame, most: int, *, block: int = BLOCK) -> DataFrame:
 def _sums(most: int) -> Callable[[dict, pa.Table, pa.Table], pa.Table]:
     def run(key: dict, a: pa.Table, b: pa.Table) -> pa.Table:
         """Each row's summed distances to the clusters of every cut, as far as they lie in b."""
-        parts = []
+        total = np.empty((0, most * (most + 1) // 2 - 1))
         if a.num_rows and b.num_rows:
-            x, y, w = _matrix(a["x"]), _matrix(b["x"]), b["w"].to_numpy()
-            labels, same = np.array(b["labels"].to_pylist()), b["id"].to_numpy()
+            x, y, w, labels = _matrix(a["x"]), _matrix(b["x"]), b["w"].to_numpy(), _matrix(b["labels"])
             member = np.concatenate([(labels[:, k - 2, None] == np.arange(k)) * w[:, None] for k in range(2, most + 1)], 1)
-            norm, ids = (y * y).sum(1), a["id"].to_numpy()
-            for lo in range(0, len(x), ROWS):
-                p = x[lo : lo + ROWS]
-                d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + norm - 2 * p @ y.T, 0))
-                d[ids[lo : lo + ROWS, None] == same] = 0
-                parts.append(d @ member)
-        total = np.concatenate(parts) if parts else np.empty((0, most * (most + 1) // 2 - 1))
-        ids = a["id"].to_pylist() if parts else []
-        return pa.table({"video_id": pa.array([key["video_id"]] * len(ids), pa.int64()), "id": pa.array(ids, pa.int64()), "sums": pa.array(total.tolist(), pa.list_(pa.float64()))})
+            left, right = _beside(x, 1.0, float)[0], np.ascontiguousarray(_beside(y, 1.0, float)[1].T)
+            total, step = np.empty((len(x), member.shape[1])), max(1, CELLS // len(y))
+            for lo in range(0, len(x), step):
+                d = left[lo : lo + step] @ right
+                np.sqrt(np.maximum(d, 0, out=d), out=d)
+                if a is b:
+                    d[np.arange(len(d)), np.arange(lo, lo + len(d))] = 0
+                total[lo : lo + step] = d @ member
+        return pa.table({"video_id": pa.array([key["video_id"]] * len(total), pa.int64()), "id": a["id"] if len(total) else pa.array([], pa.int64()), "sums": _lists(total)})
 
     return run
 

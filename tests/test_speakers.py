@@ -1,6 +1,7 @@
 """Speaker clustering in rounds and silhouettes by blocks against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,30 @@ def test_equal_embeddings_and_no_rows(spark):
     assert K.cluster_speakers(empty).count() == 0
     nothing = table(spark, {1: two}).withColumn("embedding", F.lit(None).cast("array<double>"))
     assert K.cluster_speakers(nothing).count() == 0
+
+
+def test_thousands_of_segments_need_no_rounds(spark, monkeypatch):
+    """Rounds merge few clusters of a hundred, so videos of some thousand segments are left to one task each."""
+    def round_of(*_):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(K, "merge_round", round_of)
+    x = voices(11, 5000, 3, d=3)
+    rows = spark.createDataFrame([(1, i, e.tolist(), 1.0) for i, e in enumerate(x)], "video_id long, id long, x array<double>, w double")
+    cuts = K.ward_cuts(rows, 6).collect()
+    assert len(cuts) == 5000 and {len(set(c.labels[1] for c in cuts))} == {3}
+
+
+def test_nearest_is_exact_beside_far_and_equal_ones():
+    """Single precision only proposes: a far row, near copies and ties leave the nearest ones as they are."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(300, 8)), r.normal(size=(1, 8)) + 1e-7 * r.normal(size=(50, 8)), [[1e5] * 8], [[4.0] * 8, [6.0] * 8, [8.0] * 8]])
+    w = r.integers(1, 4, len(x)).astype(float)
+    table = pa.table({"id": np.arange(len(x)), "x": K._lists(x), "w": w})
+    got = K._nearest({"video_id": 1}, table, table).to_pylist()
+    assert [g["id"] for g in got] == list(range(len(x)))
+    for g in got:
+        k = g["id"]
+        cost = ((x - x[k]) ** 2).sum(1) * (w * w[k] / (w + w[k]))
+        cost[k] = np.inf
+        assert (g["cost"], g["lo"], g["hi"]) == min((cost[j], min(j, k), max(j, k)) for j in range(len(x)))
