@@ -78,6 +78,27 @@ def test_paragraphs_lose_their_last_sentences(spark):
     assert got == want and any(len(v[0]) < len(x) for v, x in zip(want.values(), [r.text for r in view(spark, SMALL, "segments").collect()]))
 
 
+def test_duplicate_pairs_are_listed(spark):
+    """Every pair of clips of the sample that are the same moment, with its overlap and likeness; counts of them are not enough."""
+    import re
+
+    from spokenframe.functions import lexicons as L
+
+    words = lambda t: {w for w in re.findall("[a-z0-9']+", (t or "").lower()) if len(w) > 2 and w not in L.STOP_WORDS}
+    rows, want = sorted((x.video_id, x.candidate_id, x.start_ms, x.end_ms, words(x.text)) for x in view(spark, SMALL, "candidates").collect()), {}
+    for v, a, s, z, t in rows:
+        for w, b, s2, z2, t2 in rows:
+            if v == w and a < b:
+                over, like = max(0, min(z, z2) - max(s, s2)) / min(z - s, z2 - s2), len(t & t2) / len(t | t2) if t and t2 else 0.0
+                if over >= 0.35 or like >= 0.72 or (over > 0.15 and like > 0.54):
+                    want[v, a, b] = (round(over, 6), round(like, 6), "overlaps" if over >= 0.35 else "transcript" if like >= 0.72 else "adjacent")
+    found = e.queries()["f10_duplicate_pairs"](spark, SMALL).collect()
+    assert len(found) == len(want) > 20 and {(x.video_id, x.a_id, x.b_id) for x in found} == want.keys()
+    for x in found:
+        over, like, reason = want[x.video_id, x.a_id, x.b_id]
+        assert abs(x.overlap - over) < 2e-6 and abs(x.similarity - like) < 2e-6 and x.reason == reason
+
+
 def test_contexts_of_videos(spark):
     from spokenframe.operators import models as X
 
