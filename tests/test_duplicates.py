@@ -157,3 +157,40 @@ def test_sets_between_two_tables(spark):
     want = {(a, b) for a in range(20) for b in range(20, 120) if a % 2 == b % 2 and sets[a] and sets[b] and jaccard(set(sets[a]), set(sets[b])) >= 0.6}
     found = [(x.a_id, x.b_id) for x in U.similar_between(table(range(20)), table(range(20, 120)), ["video_id"], 0.6).collect()]
     assert len(found) == len(set(found)) and set(found) == want and want
+
+
+def test_pairs_of_near_copies_do_not_carry_their_sets(spark, monkeypatch):
+    """A group of 150 near copies makes 11,175 pairs; what is written with sets grows with the sets and their prefixes, large ones (over LARGE tokens) too."""
+    r = random.Random(9)
+    sets = {k: [f"w{j}" for j in range(100) if r.random() < 0.95] for k in range(150)} | {200 + k: [f"v{j}" for j in range(900) if r.random() < 0.9] for k in range(12)}
+    sets |= {300 + k: sorted({f"u{r.randrange(1500)}" for _ in range(1000)}) for k in range(12)}
+    rows, write = [], U.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if any("tokens" in c for c in df.columns):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(U, "written", counted)
+    found = [(x.a_id, x.b_id, round(x.similarity, 9)) for x in U.similar_pairs(U.coded(spark.createDataFrame(list(sets.items()), "id long, tokens array<string>")), [], 0.72).collect()]
+    want = {(a, b, round(jaccard(set(x), set(y)), 9)) for a, x in sets.items() for b, y in sets.items() if a < b and jaccard(set(x), set(y)) >= 0.72}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 11_000
+    assert rows and max(rows) < 28 * len(sets)
+
+
+def test_tokens_as_hashes(spark, monkeypatch):
+    sets = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, None)], "id long, tokens array<string>")
+    assert U.coded(sets).schema["tokens"].dataType.elementType.typeName() == "long"
+    monkeypatch.setattr(U.F, "xxhash64", lambda *c: U.F.lit(1).cast("long"))  # all tokens clash: they stay as they are
+    assert sorted(U.coded(sets).collect()) == sorted(sets.collect())
+
+
+def test_settings_stay_after_writing(spark):
+    from pyspark.sql import functions as F
+
+    from spokenframe.sources import shared
+
+    before = spark.conf.get(shared.CLEANUP, None)
+    out = shared.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "some")
+    assert out.count() == 7 and spark.conf.get(shared.CLEANUP, None) == before
