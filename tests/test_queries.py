@@ -99,6 +99,47 @@ def test_duplicate_pairs_are_listed(spark):
         assert abs(x.overlap - over) < 2e-6 and abs(x.similarity - like) < 2e-6 and x.reason == reason
 
 
+def test_openings_and_endings_are_read_once_for_many_windows(spark, monkeypatch):
+    """Windows share their starts and ends: few more texts are made than windows (six of each before)."""
+    from spokenframe.operators import candidates as C
+    from spokenframe.operators import ranges as R
+
+    texts, windows, write, write_rows = [], [], R.written, C.written
+
+    def said(df, name):
+        out = write(df, name)
+        texts.append(out.count() * sum(f"{c}_first" in df.columns for c in df.columns))
+        return out
+
+    def rows(df, name):
+        out = write_rows(df, name)
+        windows.append(out.count() if name == "ranges" else 0)
+        return out
+
+    monkeypatch.setattr(R, "written", said)
+    monkeypatch.setattr(C, "written", rows)
+    assert e.queries()["f00_generate_candidates"](spark, SMALL).count()
+    assert sum(windows) > 200 and sum(windows) <= sum(texts) < 3 * sum(windows)
+
+
+def test_measures_of_sorted_arrays_are_those_of_rows(spark):
+    """The same doubles as the aggregates over rows, for few and many frames."""
+    import random
+
+    from spokenframe.operators import signals as G
+
+    r = random.Random(6)
+    rows = [(k, float(r.randrange(-70, -5)) if k % 3 else r.uniform(-70, -5)) for k in range(40) for _ in range(k % 9 * k % 60 + 1)]
+    frames = spark.createDataFrame(rows, "k int, db double")
+    above, quiet = G.rise(F.col("db"), F.lit(-40.3), F.lit(-21.7)), F.col("db") < -58.1
+    want = frames.groupBy("k").agg(G.shouting(above).alias("shouting"), G.dynamics(F.col("db"), quiet).alias("dynamics"))
+    sets = frames.groupBy("k").agg(F.array_sort(F.collect_list("db")).alias("db"))
+    got = sets.select("k", G.shouting_of(F.col("db"), F.lit(-40.3), F.lit(-21.7)).alias("shouting"), G.dynamics_of(F.col("db"), F.lit(-36.1)).alias("dynamics"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    none = spark.range(1).select(F.array().cast("array<double>").alias("db")).select(G.shouting_of(F.col("db"), F.lit(-40.0), F.lit(-20.0)).alias("a"), G.dynamics_of(F.col("db"), F.lit(-36.0)).alias("b")).first()
+    assert none.a is None and none.b is None
+
+
 def test_contexts_of_videos(spark):
     from spokenframe.operators import models as X
 
